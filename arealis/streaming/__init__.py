@@ -1,0 +1,4 @@
+"""No streaming operators: the work this library covers is bounded batch.
+
+The single incremental write is the ledger append in ``operators.ledger``.
+"""
