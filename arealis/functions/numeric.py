@@ -43,14 +43,26 @@ def row_mean(cols: list[Column]) -> Column:
     return F.when(present > 0, total / present)
 
 
-def global_row(df: DataFrame, **aggs: Column) -> Column:
-    """One-row aggregate of ``df`` as a struct-valued scalar subquery.
+def with_stats(df: DataFrame, aggs: dict[str, Column], build) -> DataFrame:
+    """Add columns that need one-row statistics of the whole table.
 
-    The aggregate is computed once with map-side partials and comes back as a literal, so
-    there is neither a join nor a single-partition window.
+    The statistics are a scalar subquery: one aggregate with map-side partials whose row comes
+    back as a value, so there is neither a join nor a single-partition window. ``build`` maps
+    the struct of statistics to new columns; the struct is named once, so the subquery is
+    planned once however many columns use it.
     """
-    stats = df.agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias("s"))
-    return stats.scalar()
+    row = df.agg(F.struct(*[e.alias(n) for n, e in aggs.items()]).alias("s")).scalar()
+    return df.withColumn("__g", row).withColumns(build(F.col("__g"))).drop("__g")
+
+
+def standard_scores(g: Column, columns: list[str]) -> list[Column]:
+    """z-scores from the statistics of ``score_stats``."""
+    return [zscore(c, g[f"m_{c}"], g[f"s_{c}"]) for c in columns]
+
+
+def score_stats(columns: list[str]) -> dict[str, Column]:
+    """Mean and population deviation of each column."""
+    return {**{f"m_{c}": F.avg(c) for c in columns}, **{f"s_{c}": F.stddev_pop(c) for c in columns}}
 
 
 def zscore(x: str | Column, mean: Column, sd: Column) -> Column:

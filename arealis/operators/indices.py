@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
-from ..functions.numeric import global_row, row_mean, safe_ratio, zscore
+from ..functions.numeric import row_mean, safe_ratio, score_stats, standard_scores, with_stats
 from .order import average_ranks
 
 
@@ -18,23 +18,20 @@ def composite_index(df: DataFrame, columns, name: str, at_least: int = 3) -> Dat
     have = [c for c in columns if c in df.columns]
     if len(have) < at_least or not have:
         return df
-    stats = global_row(df, **{f"m_{c}": F.avg(c) for c in have},
-                       **{f"s_{c}": F.stddev_pop(c) for c in have})
-    return df.withColumn(name, row_mean(
-        [zscore(c, stats[f"m_{c}"], stats[f"s_{c}"]) for c in have]))
+    return with_stats(df, score_stats(have),
+                      lambda g: {name: row_mean(standard_scores(g, have))})
 
 
 def minmax_index(df: DataFrame, columns, name: str) -> DataFrame:
     """Row mean of min-max scaled columns; a column without spread scores 0."""
     have = [c for c in columns if c in df.columns]
-    stats = global_row(df, **{f"lo_{c}": F.min(c) for c in have},
-                       **{f"hi_{c}": F.max(c) for c in have})
 
-    def scaled(c: str) -> Column:
-        lo, hi, x = stats[f"lo_{c}"], stats[f"hi_{c}"], F.col(c).cast("double")
+    def scaled(g: Column, c: str) -> Column:
+        lo, hi, x = g[f"lo_{c}"], g[f"hi_{c}"], F.col(c).cast("double")
         return F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(x * 0.0)
 
-    return df.withColumn(name, row_mean([scaled(c) for c in have]))
+    ends = {f"{side}_{c}": agg(c) for c in have for side, agg in (("lo", F.min), ("hi", F.max))}
+    return with_stats(df, ends, lambda g: {name: row_mean([scaled(g, c) for c in have])})
 
 
 def rank_index(df: DataFrame, key: str, columns, name: str) -> DataFrame:
@@ -62,9 +59,8 @@ def gaps_to_mean(df: DataFrame, gaps: dict[str, tuple[str, int]]) -> DataFrame:
     live = {n: (c, s) for n, (c, s) in gaps.items() if c in df.columns}
     if not live:
         return df
-    stats = global_row(df, **{f"m_{n}": F.avg(c) for n, (c, _) in live.items()})
-    return df.withColumns({
-        n: (F.col(c) - stats[f"m_{n}"]) if s > 0 else (stats[f"m_{n}"] - F.col(c))
+    return with_stats(df, {f"m_{n}": F.avg(c) for n, (c, _) in live.items()}, lambda g: {
+        n: (F.col(c) - g[f"m_{n}"]) if s > 0 else (g[f"m_{n}"] - F.col(c))
         for n, (c, s) in live.items()})
 
 

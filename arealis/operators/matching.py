@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
-from ..functions.numeric import global_row, row_mean, safe_ratio, zscore
+from ..functions.numeric import safe_ratio
 from ..functions.text import tight_key
+from ..session import cut_lineage
 from .aggregates import latest
+from .indices import composite_index
 from .order import exact_quantiles, keep_first
 
 
@@ -47,11 +49,10 @@ def match_items(items: DataFrame, records: DataFrame, item: str, record_name: st
     cols = records.columns
     named = records.withColumn("__name", tight_key(record_name)).withColumn(
         "__score", preference_score(F.col("__name"), preferred, processed))
-    fits = F.filter(lengths, lambda n: n <= F.length("__name"))
-    pieces = F.flatten(F.transform(fits, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("__name") - n + 1),
-        lambda p: F.substring(F.col("__name"), p, n))))
-    cut = named.withColumn("word", F.explode(F.array_distinct(pieces)))
+    sized = named.withColumn("__n", F.explode(lengths)).where(F.col("__n") <= F.length("__name"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("__name") - F.col("__n") + 1),
+                         lambda p: F.substring(F.col("__name"), p, F.col("__n")))
+    cut = sized.withColumn("word", F.explode(F.array_distinct(pieces)))
     hits = wanted.join(cut, "word").where(
         ~F.exists("barred", lambda b: F.contains(F.col("__name"), b)))
     best = F.max_by(F.struct(*cols), F.struct("__score", -F.col(ordinal)))
@@ -103,8 +104,6 @@ def nutrient_supply(production: DataFrame, composition: DataFrame, population: D
                 for k in P.NUTRIENTS if k != "energy_kcal"}
     out = joined.select(by, "n_crops_matched",
                         *[c.alias(n) for n, c in {**per_head, **per_kcal}.items()])
-    parts = [P.PER_CAPITA_NAMES[k] for k in P.DENSITY_NUTRIENTS]
-    stats = global_row(out, **{f"m_{c}": F.avg(c) for c in parts},
-                       **{f"s_{c}": F.stddev_pop(c) for c in parts})
-    index = row_mean([zscore(c, stats[f"m_{c}"], stats[f"s_{c}"]) for c in parts])
-    return out.withColumn("food_nutrient_density_index", index)
+    # one row per area from here on: written once, so the index does not repeat the work above
+    return composite_index(cut_lineage(out), [P.PER_CAPITA_NAMES[k] for k in P.DENSITY_NUTRIENTS],
+                           "food_nutrient_density_index", at_least=1)

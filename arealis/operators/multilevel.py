@@ -12,11 +12,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import presets as P
-from ..functions.numeric import finite, global_row, listwise, zscore
+from ..functions.numeric import finite, listwise, score_stats, standard_scores, with_stats
 from ..session import cut_lineage
 from .regression import normal_p
 
@@ -56,11 +56,13 @@ def _solve(total: np.ndarray, drop: np.ndarray, logdet: float, n: int):
     """Profile REML at one ratio: coefficients, scale, information and log-likelihood."""
     m = total - drop
     xx, xy, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-    beta = np.linalg.solve(xx, xy)
+    beta = np.linalg.pinv(xx, hermitian=True) @ xy
     p = xx.shape[0]
     rss = max(float(yy - beta @ xy), 1e-300)
     scale = rss / (n - p)
-    loglik = -0.5 * ((n - p) * math.log(scale) + logdet + np.linalg.slogdet(xx)[1])
+    roots = np.linalg.eigvalsh(xx)
+    roots = roots[roots > 1e-12 * roots[-1]]  # collinear terms leave the determinant at 0
+    loglik = -0.5 * ((n - p) * math.log(scale) + logdet + float(np.log(roots).sum()))
     return beta, scale, xx, loglik
 
 
@@ -105,7 +107,7 @@ def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str,
         seen |= evaluate([r for r in np.linspace(lo, hi, width + 2)[1:-1].tolist() if r not in seen])
     ratio = max(seen, key=lambda r: seen[r][3])
     beta, scale, xx, _ = seen[ratio]
-    cov = scale * np.linalg.inv(xx)
+    cov = scale * np.linalg.pinv(xx, hermitian=True)
 
     p = k - 1
     back = np.eye(p)
@@ -141,9 +143,8 @@ def fit_child_model(child: DataFrame, soil_term: str = "fe_isda", outcome: str =
     covars = [c for c in (soil_term, *environment) if c in enough]
     if soil_term not in covars:
         return None
-    stats = global_row(child, **{f"m_{c}": F.avg(c) for c in covars},
-                       **{f"s_{c}": F.stddev_pop(c) for c in covars})
-    scored = child.withColumns({c: zscore(c, stats[f"m_{c}"], stats[f"s_{c}"]) for c in covars})
+    scored = with_stats(child, score_stats(covars),
+                        lambda g: dict(zip(covars, standard_scores(g, covars))))
     terms = [*covars, *[c for c in controls if c in enough], *([round_dummy] if round_dummy else [])]
     rows = listwise(scored.where(F.col(group) != ""), [outcome, *terms])
     size = rows.groupBy(group).count().agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()

@@ -145,9 +145,11 @@ def _keep(df: DataFrame, by: list[str], order: list[Column], pick) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, by: list[str], block: str, order: list[str],
-                 cols: list[str]) -> DataFrame:
+                 cols: list[str], exclusive: bool = False) -> DataFrame:
     """Carry the last non-missing value of ``cols`` forward in document order.
 
+    With ``exclusive`` a row sees only what stands before it.
+
     ``block`` is a coarse position that grows with ``order`` (a page, or a line number
     divided by a constant). Rows are sorted only inside a block; what enters a block comes
     from a table with one row per block.
@@ -155,7 +157,7 @@ def fill_forward(df: DataFrame, by: list[str], block: str, order: list[str],
     keys = [*by, block]
     position = F.struct(*order)
     last_in = (Window.partitionBy(*keys).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+               .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
     before = (Window.partitionBy(*by).orderBy(block)
               .rowsBetween(Window.unboundedPreceding, -1))
     ends = df.groupBy(*keys).agg(*[

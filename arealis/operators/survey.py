@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
-from ..functions.numeric import as_col, global_row, indicator, known, row_mean, zscore
+from ..functions.numeric import as_col, indicator, known
+from .indices import composite_index
 from .joins import attach_clusters, drop_empty
 from .keys import attach_area
 
@@ -193,13 +194,7 @@ def _finish(table: DataFrame, crosswalk: DataFrame, by: str, digits: dict[str, i
 def cluster_soil_index(clusters: DataFrame, columns=P.SOIL_INDEX_COLUMNS,
                        name: str = "soil_index_cluster") -> DataFrame:
     """Composite index over the sampled soil columns, where three or more are there."""
-    have = [c for c in columns if c in clusters.columns]
-    if len(have) < 3:
-        return clusters
-    stats = global_row(clusters, **{f"m_{c}": F.avg(c) for c in have},
-                       **{f"s_{c}": F.stddev_pop(c) for c in have})
-    return clusters.withColumn(name, row_mean(
-        [zscore(c, stats[f"m_{c}"], stats[f"s_{c}"]) for c in have]))
+    return composite_index(clusters, columns, name)
 
 
 def child_table(children: DataFrame, clusters: DataFrame, round_label: str,
