@@ -67,7 +67,7 @@ def _solve(total: np.ndarray, drop: np.ndarray, logdet: float, n: int):
 
 
 def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str,
-                     rounds: int = 8, width: int = 9, max_ratio: float = 1e4) -> MixedFit:
+                     rounds: int = 5, width: int = 24, max_ratio: float = 1e4) -> MixedFit:
     """Fit outcome ~ terms + (1 | group) by REML on complete rows.
 
     The variance ratio is searched on a grid that narrows around its best point each round;
@@ -96,7 +96,7 @@ def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str,
     def evaluate(ratios):
         return {r: _solve(total, m, ld, n) for r, (m, ld) in _penalised(slim, names, ratios).items()}
 
-    grid = [0.0, *np.logspace(-6, math.log10(max_ratio), 2 * width).tolist()]
+    grid = [0.0, *np.logspace(-6, math.log10(max_ratio), width).tolist()]
     seen = evaluate(grid)
     for _ in range(rounds):
         order = sorted(seen)

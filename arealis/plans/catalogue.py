@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import food_queries, survey_queries  # noqa: F401
+from . import food_queries, index_queries, key_queries, survey_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
