@@ -73,26 +73,25 @@ def map_header_columns(cells: DataFrame, rows: int = 12, at_least: int = 3, word
     bars = P.HEADER_BARS if bars is None else bars
     row = _head_rows(cells, rows)
     row = row.withColumn("filled", F.size(F.filter("cells", lambda c: c["text"] != "")))
-    row = row.withColumn("taken", F.array().cast("array<int>"))
-    for canon, keywords in words:
-        bar = bars.get(canon)
-
-        def fits(c, keywords=keywords, bar=bar):
-            hit = F.lit(False)
-            for k in keywords:
-                hit = hit | F.contains(c["text"], F.lit(k))
-            if bar:
-                hit = hit & ~F.contains(c["text"], F.lit(bar))
-            return hit & ~F.array_contains(F.col("taken"), c["col_no"])
-
-        row = row.withColumn(f"at_{canon}", F.get(F.filter("cells", fits), F.lit(0))["col_no"])
-        row = row.withColumn("taken", F.concat("taken", F.filter(
-            F.array(f"at_{canon}"), lambda i: i.isNotNull())))
-    placed = F.array(*[F.struct(F.col(f"at_{c}").alias("col_no"), F.lit(c).alias("canon"))
-                       for c, _ in words])
-    found = F.filter(placed, lambda p: p["col_no"].isNotNull())
+    specs = F.array(*[F.struct(
+        F.lit(canon).alias("canon"), F.array(*[F.lit(k) for k in keywords]).alias("words"),
+        F.lit(bars.get(canon)).cast("string").alias("bar")) for canon, keywords in words])
+
+    def place(taken: Column, spec: Column) -> Column:
+        """Give the name its first cell that holds a keyword, not the bar, and is still free."""
+        free = F.filter("cells", lambda c: (
+            F.exists(spec["words"], lambda w: F.contains(c["text"], w))
+            & F.coalesce(~F.contains(c["text"], spec["bar"]), F.lit(True))
+            & ~F.exists(taken, lambda t: t["col_no"] == c["col_no"])))
+        first = F.transform(F.slice(free, 1, 1), lambda c: F.struct(
+            c["col_no"].cast("int").alias("col_no"), spec["canon"].alias("canon")))
+        return F.concat(taken, first)
+
+    found = F.aggregate(specs, F.array().cast("array<struct<col_no:int,canon:string>>"), place)
+    row = row.withColumn("found", found)
+    found = F.col("found")
     measures = F.exists(found, lambda p: ~p["canon"].isin("county", "subcounty"))
-    heads = (row.withColumn("found", found).where(measures & (F.col("filled") >= at_least))
+    heads = (row.where(measures & (F.col("filled") >= at_least))
              .groupBy(*TABLE).agg(F.min_by("found", "row_no").alias("found"),
                                   F.min("row_no").alias("header_row")))
     return heads.select(*TABLE, "header_row", F.explode("found").alias("f")).select(

@@ -37,19 +37,22 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> list[tuple[st
     return [(r["path"], r["length"]) for r in df.orderBy("path").collect()]
 
 
-def indicator_panel(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Tidy rows of ``[meta, [observations]]`` files; unreadable files and empty values go."""
+def indicator_rows(df: DataFrame, column: str, carry: list[str] = ()) -> DataFrame:
+    """Tidy rows of ``[meta, [observations]]`` texts; unreadable texts and empty values go."""
     obs = ("array<struct<indicator:struct<id:string,value:string>,country:struct<id:string,value:string>,"
            "date:string,value:double>>")
-    files = spark.read.text(paths, wholetext=True)
-    second = F.get(F.from_json("value", "array<string>"), F.lit(1))
-    rows = files.select(F.explode(F.from_json(second, obs)).alias("o"))
-    return (rows.where(F.col("o.value").isNotNull())
-            .select(F.col("o.indicator.id").alias("indicator"),
-                    F.col("o.indicator.value").alias("indicator_name"),
-                    F.col("o.country.id").alias("country"),
-                    F.col("o.date").try_cast("int").alias("year"), F.col("o.value").alias("value"))
-            .orderBy(F.col("indicator").asc_nulls_last(), F.col("year").asc_nulls_last()))
+    second = F.get(F.from_json(column, "array<string>"), F.lit(1))
+    rows = df.select(*carry, F.explode(F.from_json(second, obs)).alias("o")).where(F.col("o.value").isNotNull())
+    return rows.select(*carry, F.col("o.indicator.id").alias("indicator"),
+                       F.col("o.indicator.value").alias("indicator_name"),
+                       F.col("o.country.id").alias("country"),
+                       F.col("o.date").try_cast("int").alias("year"), F.col("o.value").alias("value"))
+
+
+def indicator_panel(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Observations of all files, one whole file a text, ordered by indicator and year."""
+    return indicator_rows(spark.read.text(paths, wholetext=True), "value").orderBy(
+        F.col("indicator").asc_nulls_last(), F.col("year").asc_nulls_last())
 
 
 def union_domains(spark: SparkSession, paths: list[str], area_code: int,
