@@ -63,6 +63,29 @@ def _usable(spec: Spec, used: list[str]) -> Column:
     return ok
 
 
+def _masked(df: DataFrame, live: list[tuple[Spec, list[str]]]) -> tuple[DataFrame, dict[int, list[str]]]:
+    """Columns of every model, NULL in the rows it does not use; the outcome comes last.
+
+    Flags and masked values are steps of their own, so that no aggregate repeats them.
+    """
+    names = sorted({c for s, used in live for c in (s.outcome, *used)})
+    number = {c: f"x_{j}" for j, c in enumerate(names)}
+    wheres = [(F.lit(True) if s.where is None else F.coalesce(s.where, F.lit(False))).alias(f"w_{i}")
+              for i, (s, _) in enumerate(live)]
+    base = df.select(*[finite(c).alias(x) for c, x in number.items()], *wheres)
+    flags = []
+    for i, (s, used) in enumerate(live):
+        ok = F.col(f"w_{i}")
+        for c in (s.outcome, *used):
+            ok = ok & F.col(number[c]).isNotNull()
+        flags.append(ok.alias(f"ok_{i}"))
+    flagged = base.select(*number.values(), *flags)
+    cells = {i: [f"v_{i}_{a}" for a in range(len(used) + 1)] for i, (_, used) in enumerate(live)}
+    values = [F.when(F.col(f"ok_{i}"), F.col(number[c])).alias(v)
+              for i, (s, used) in enumerate(live) for v, c in zip(cells[i], (*used, s.outcome))]
+    return flagged.select(*values), cells
+
+
 def normal_p(z: float) -> float:
     """Two-sided p of a normal score."""
     return math.erfc(abs(z) / math.sqrt(2.0)) if math.isfinite(z) else float("nan")
@@ -78,18 +101,16 @@ def fit_many(df: DataFrame, specs: list[Spec]) -> dict[str, Fit | None]:
     if not live:
         return fits
 
+    masked, cells = _masked(df, live)
     moments = []
-    for i, (s, used) in enumerate(live):
-        ok, cols = _usable(s, used), [*used, s.outcome]
-        v = [F.when(ok, F.col(c).cast("double")) for c in cols]
-        moments.append(F.count(F.when(ok, 1)).alias(f"n_{i}"))
-        for a in range(len(cols)):
-            moments.append(F.avg(v[a]).alias(f"m_{i}_{a}"))
-            for b in range(a, len(cols)):
-                moments.append(F.covar_pop(v[a], v[b]).alias(f"c_{i}_{a}_{b}"))
-    first = df.agg(*moments).first()
-
-    solved, meats = {}, []
+    for i, cols in cells.items():
+        moments.append(F.count(cols[-1]).alias(f"n_{i}"))
+        for a, c in enumerate(cols):
+            moments.append(F.avg(c).alias(f"m_{i}_{a}"))
+            moments += [F.covar_pop(c, cols[b]).alias(f"c_{i}_{a}_{b}") for b in range(a, len(cols))]
+    first = masked.agg(*moments).first()
+
+    solved, scored = {}, {}
     for i, (s, used) in enumerate(live):
         k, n = len(used), first[f"n_{i}"]
         if n < k + s.min_extra:
@@ -101,27 +122,34 @@ def fit_many(df: DataFrame, specs: list[Spec]) -> dict[str, Fit | None]:
         mean = np.array([first[f"m_{i}_{a}"] for a in range(k + 1)])
         sd = np.sqrt(np.diag(cov)[:k])
         scale = np.where(sd > 0, sd, 1.0)
-        corr = cov[:k, :k] / np.outer(scale, scale)
-        inv = np.linalg.pinv(corr, hermitian=True)
+        inv = np.linalg.pinv(cov[:k, :k] / np.outer(scale, scale), hermitian=True)
         beta = inv @ (cov[:k, k] / scale)
         solved[i] = (n, mean, scale, inv, beta, cov[k, k], cov[:k, k] / scale)
-        z = [(F.col(c).cast("double") - float(mean[a])) / float(scale[a]) for a, c in enumerate(used)]
-        fitted = F.lit(float(mean[k]))
-        lever = F.lit(1.0)
-        for a in range(k):
-            fitted = fitted + z[a] * float(beta[a])
-            for b in range(a, k):
-                lever = lever + z[a] * z[b] * float(inv[a, b] * (1 if a == b else 2))
-        rest = F.greatest(F.lit(1e-12), F.lit(1.0) - lever / float(n))
-        u = (F.col(s.outcome) - fitted) / rest
-        u2 = F.when(_usable(s, used), u * u)
-        design = [F.lit(1.0), *z]
-        for a in range(k + 1):
-            for b in range(a, k + 1):
-                meats.append(F.sum(u2 * design[a] * design[b]).alias(f"q_{i}_{a}_{b}"))
+        scored |= {f"z_{i}_{a}": (F.col(c) - float(mean[a])) / float(scale[a])
+                   for a, c in enumerate(cells[i][:-1])}
+        scored[f"y_{i}"] = F.col(cells[i][-1]) - float(mean[k])
     if not solved:
         return fits
-    second = df.agg(*meats).first()
+
+    weights, meats = {}, []
+    for i, (n, _, _, inv, beta, _, _) in solved.items():
+        z = [F.col(f"z_{i}_{a}") for a in range(len(beta))]
+        error, lever = F.col(f"y_{i}"), F.lit(1.0)
+        for a in range(len(z)):
+            error = error - z[a] * float(beta[a])
+            # row a of z' inv z, folded over the symmetric half
+            row = z[a] * float(inv[a, a])
+            for b in range(a + 1, len(z)):
+                row = row + z[b] * float(2.0 * inv[a, b])
+            lever = lever + z[a] * row
+        rest = F.greatest(F.lit(1e-12), F.lit(1.0) - lever / float(n))
+        weights[f"u_{i}"] = F.pow(error / rest, 2)
+        meats.append(F.sum(f"u_{i}").alias(f"q_{i}_0_0"))
+        for a in range(len(z)):
+            meats.append(F.sum(F.col(f"u_{i}") * z[a]).alias(f"q_{i}_0_{a + 1}"))
+            meats += [F.sum(F.col(f"u_{i}") * z[a] * z[b]).alias(f"q_{i}_{a + 1}_{b + 1}")
+                      for b in range(a, len(z))]
+    second = masked.select(*[c.alias(n) for n, c in scored.items()]).withColumns(weights).agg(*meats).first()
 
     for i, (n, mean, scale, inv, beta, var_y, cxy) in solved.items():
         s, used = live[i]
