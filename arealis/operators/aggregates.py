@@ -25,10 +25,10 @@ def price_summary(df: DataFrame, by: str, price: str = "price", unit: str | None
         rows = equals_ignoring_case(rows, low["currency"], currency)
     value = (per_unit_price(price, unit) if unit and unit in df.columns
              else F.col(price).cast("string").try_cast("double"))
-    rows = rows.select(by, value.alias("p")).where(F.col("p") > 0)
-    medians = exact_quantiles(rows, [by], "p", {"median": 0.5})
+    rows = rows.select(by, value.alias("__p")).where(F.col("__p") > 0)
+    medians = exact_quantiles(rows, [by], "__p", {"median": 0.5})
     moments = rows.groupBy(by).agg(
-        F.avg("p").alias("mean"), (F.stddev_samp("p") / F.avg("p")).alias("cv"),
+        F.avg("__p").alias("mean"), (F.stddev_samp("__p") / F.avg("__p")).alias("cv"),
         F.count(F.lit(1)).alias("n"))
     return null_safe_join(moments, medians, [by]).select(
         by, *[F.col(c).alias(f"{prefix}price_{c}") for c in ("median", "mean", "cv", "n")])
@@ -54,20 +54,20 @@ def crop_summary(df: DataFrame, by: str, item: str = "crop", area: str = "area_h
         low, F.lit(staple.lower()))
     rows = latest(df, period, at)
     items = rows.groupBy(by, item).agg(
-        F.sum(area).alias("a"), F.sum(production).alias("p"), F.count(production).alias("k"),
-        F.first(F.col(period)).alias("t"))
+        F.sum(area).alias("__a"), F.sum(production).alias("__p"), F.count(production).alias("__k"),
+        F.first(F.col(period)).alias("__t"))
     z = F.lit(0.0)
     return items.groupBy(by).agg(
-        F.coalesce(F.sum("a"), z).alias("crop_area_ha"),
-        F.coalesce(F.sum("p"), z).alias("crop_production_mt"),
+        F.coalesce(F.sum("__a"), z).alias("crop_area_ha"),
+        F.coalesce(F.sum("__p"), z).alias("crop_production_mt"),
         # as in a left merge of counts: no crop with production gives a missing count
-        F.nullif(F.count(F.when((F.col("k") > 0) & F.col(item).isNotNull(), 1)), F.lit(0))
+        F.nullif(F.count(F.when((F.col("__k") > 0) & F.col(item).isNotNull(), 1)), F.lit(0))
         .alias("n_crops"),
-        F.when(F.max(is_staple), F.coalesce(F.sum(F.when(is_staple, F.col("a"))), z))
+        F.when(F.max(is_staple), F.coalesce(F.sum(F.when(is_staple, F.col("__a"))), z))
         .alias(f"{staple}_area_ha"),
-        F.when(F.max(is_staple), F.coalesce(F.sum(F.when(is_staple, F.col("p"))), z))
+        F.when(F.max(is_staple), F.coalesce(F.sum(F.when(is_staple, F.col("__p"))), z))
         .alias(f"{staple}_production_mt"),
-        F.max("t").alias("crop_year"))
+        F.max("__t").alias("crop_year"))
 
 
 def crop_diversity(df: DataFrame, by: str, item: str = "crop", amount: str = "production_mt",
@@ -78,11 +78,11 @@ def crop_diversity(df: DataFrame, by: str, item: str = "crop", amount: str = "pr
     total is needed.
     """
     rows = (latest(df, period) if period else df).where(F.col(amount) > 0)
-    items = rows.groupBy(by, item).agg(F.sum(amount).alias("x"))
-    staple_x = F.sum(F.when(F.contains(F.lower(F.col(item)), F.lit(staple.lower())), F.col("x")))
-    total = F.sum("x")
+    items = rows.groupBy(by, item).agg(F.sum(amount).alias("__x"))
+    staple_x = F.sum(F.when(F.contains(F.lower(F.col(item)), F.lit(staple.lower())), F.col("__x")))
+    total = F.sum("__x")
     return items.groupBy(by).agg(
-        F.round(F.ln(total) - F.sum(F.col("x") * F.ln("x")) / total, 3)
+        F.round(F.ln(total) - F.sum(F.col("__x") * F.ln("__x")) / total, 3)
         .alias("crop_diversity_shannon"),
         F.round(F.coalesce(staple_x, F.lit(0.0)) / total, 3).alias(f"{staple}_production_share"),
         F.count(F.lit(1)).alias("n_crops_county"))

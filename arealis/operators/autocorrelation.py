@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+from ..session import cut_lineage
 from .regression import Fit, Spec, fit_many
 from .spatial import spatial_lag, standardise_edges
 
+MORAN = "n bigint, morans_i double, expected_i double, perm_p double"
+
 
 def permuted_positions(nodes: DataFrame, key: str, permutations: int, seed: int,
                        bucket_digits: int = 2) -> DataFrame:
@@ -36,40 +40,38 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str, permutat
     every node its number; under permutation k a node takes the value of the node whose
     number is its position.
     """
-    known = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        key, F.col(value).cast("double").alias("x"))
-    stats = known.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"),
-        (F.var_pop("x") * F.count(F.lit(1))).alias("den"), F.min("x").alias("lo"),
-        F.max("x").alias("hi")).alias("s")).scalar()
-    z = known.select(key, (F.col("x") - stats["m"]).alias("z"))
-    ids = z.select(F.col(key).alias("id"))
+    spark = values.sparkSession
+    known = cut_lineage(values.where(finite(value).isNotNull()).select(key, finite(value).alias("x")))
+    s = known.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"),
+                  F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = s["n"]
+    empty = spark.createDataFrame([(n, None, None, None)], MORAN)
+    if n < 2 or s["lo"] == s["hi"]:
+        return empty
+    z = known.select(key, (F.col("x") - s["m"]).alias("z"))
     inner = standardise_edges(
-        edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        edges.join(z.select(F.col(key).alias("src")), "src", "left_semi")
+        .join(z.select(F.col(key).alias("dst")), "dst", "left_semi"))
 
-    place = permuted_positions(known, key, permutations, seed)
+    place = permuted_positions(z, key, permutations, seed)
     numbered = place.where("perm = 0").select(key, "position").join(z, key).select("position", "z")
     drawn = (place.where("perm > 0").join(numbered, "position").select("perm", key, "z")
              .unionByName(z.select(F.lit(0).alias("perm"), key, "z")))
     src = drawn.select("perm", F.col(key).alias("src"), F.col("z").alias("zs"))
     dst = drawn.select("perm", F.col(key).alias("dst"), F.col("z").alias("zd"))
-    cross = (inner.join(src, "src").join(dst, ["perm", "dst"]).groupBy("perm")
-             .agg(F.sum(F.col("w") * F.col("zs") * F.col("zd")).alias("c"), F.sum("w").alias("s0")))
-    ei = F.lit(-1.0) / F.nullif(stats["n"] - 1, F.lit(0))
-    degenerate = stats["hi"] == stats["lo"]
-    i_k = cross.select("perm", F.when(
-        ~degenerate, (stats["n"] / F.col("s0")) * F.col("c") / F.nullif(stats["den"], F.lit(0.0)))
-        .alias("i"))
-    observed = i_k.where("perm = 0").select("i").scalar()
-    at_least = F.abs(F.col("i") - ei) >= F.abs(observed - ei) - 1e-12
-    out = i_k.agg(
-        F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("morans_i"),
-        F.count(F.when((F.col("perm") > 0) & at_least, 1)).alias("k"))
-    has = F.col("morans_i").isNotNull()
-    return out.select(
-        stats["n"].alias("n"), "morans_i", F.when(has, ei).alias("expected_i"),
-        F.when(has, (F.col("k") + 1) / F.lit(float(permutations + 1))).alias("perm_p"))
+    # neighbours' weighted mean of each node first: one row per node and permutation remains
+    lag = (inner.join(dst, "dst").groupBy("perm", "src")
+           .agg(F.sum(F.col("w") * F.col("zd")).alias("lag"), F.sum("w").alias("w")))
+    i_k = cut_lineage(lag.join(src, ["perm", "src"]).groupBy("perm").agg(
+        (n / F.sum("w") * F.sum(F.col("zs") * F.col("lag")) / (s["v"] * n)).alias("i")))
+    first = i_k.where("perm = 0").first()
+    if first is None:
+        return empty
+    ei, observed = -1.0 / (n - 1), first["i"]
+    extreme = F.abs(F.col("i") - ei) >= abs(observed - ei) - 1e-12
+    return i_k.agg(F.count(F.when((F.col("perm") > 0) & extreme, 1)).alias("k")).select(
+        F.lit(n).cast("bigint").alias("n"), F.lit(observed).alias("morans_i"), F.lit(ei).alias("expected_i"),
+        ((F.col("k") + 1) / F.lit(float(permutations + 1))).alias("perm_p"))
 
 
 def autocorrelation_table(df: DataFrame, edges: DataFrame, key: str,
@@ -96,7 +98,7 @@ def residual_autocorrelation(df: DataFrame, edges: DataFrame, key: str,
                              fits: dict[str, Fit | None], **kw) -> DataFrame:
     """Moran's I of the residuals of fitted models."""
     live = {n: f for n, f in fits.items() if f is not None}
-    table = df.select(key, *[f.residual().alias(f"r_{i}") for i, f in enumerate(live.values())])
+    table = cut_lineage(df.select(key, *[f.residual().alias(f"r_{i}") for i, f in enumerate(live.values())]))
     return autocorrelation_table(table, edges, key,
                                  [(f"r_{i}", n) for i, n in enumerate(live)], **kw)
 

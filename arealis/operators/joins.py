@@ -123,9 +123,9 @@ def contains_word(df: DataFrame, filters: dict[str, str]) -> DataFrame:
     """Case-insensitive substring filters, each applied only where its column exists."""
     by_lower = {c.lower(): c for c in df.columns}
     for column, word in filters.items():
-        if column in by_lower and word:
-            df = df.where(F.contains(F.lower(F.col(by_lower[column]).cast("string")),
-                                     F.lit(word.lower())))
+        name = by_lower.get(column.lower())
+        if name and word:
+            df = df.where(F.contains(F.lower(F.col(name).cast("string")), F.lit(word.lower())))
     return df
 
 
