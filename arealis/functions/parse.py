@@ -39,7 +39,7 @@ def unit_quantity(unit: str | Column) -> Column:
 
 
 def per_unit_price(price: str | Column, unit: str | Column) -> Column:
-    return as_col(price).cast("string").try_cast("double") / unit_quantity(unit)
+    return as_col(price).try_cast("double") / unit_quantity(unit)
 
 
 def fiscal_year_end(c: str | Column) -> Column:

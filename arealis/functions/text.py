@@ -44,8 +44,8 @@ def missing_anchors(text: str | Column, anchors: list[str]) -> Column:
     A row without text misses all of them.
     """
     flat = F.coalesce(collapse_spaces(text), F.lit(""))
-    wanted = F.array(*[F.lit(" ".join(a.lower().split())) for a in anchors])
-    shown = F.array(*[F.lit(a) for a in anchors])
-    pairs = F.arrays_zip(wanted.alias("needle"), shown.alias("shown"))
-    missed = F.filter(pairs, lambda p: ~F.contains(flat, p["needle"]))
-    return F.transform(missed, lambda p: p["shown"])
+    wanted = F.array(*[F.struct(F.lit(" ".join(a.lower().split())).alias("needle"), F.lit(a).alias("shown"))
+                       for a in anchors])
+    # the text is bound as a lambda variable, so it is collapsed once and not once per anchor
+    missed = F.transform(F.array(flat), lambda t: F.filter(wanted, lambda w: ~F.contains(t, w["needle"])))
+    return F.transform(F.get(missed, F.lit(0)), lambda w: w["shown"])

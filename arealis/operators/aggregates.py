@@ -24,7 +24,7 @@ def price_summary(df: DataFrame, by: str, price: str = "price", unit: str | None
     if currency and "currency" in low:
         rows = equals_ignoring_case(rows, low["currency"], currency)
     value = (per_unit_price(price, unit) if unit and unit in df.columns
-             else F.col(price).cast("string").try_cast("double"))
+             else F.col(price).try_cast("double"))
     rows = rows.select(by, value.alias("__p")).where(F.col("__p") > 0)
     medians = exact_quantiles(rows, [by], "__p", {"median": 0.5})
     moments = rows.groupBy(by).agg(

@@ -163,7 +163,7 @@ def balance_checks(df: DataFrame, layer: str, expected_area: str, area="area", d
 def price_checks(df: DataFrame, layer: str, keys: DataFrame, key: str, date="date", price="price",
                  admin="admin1") -> DataFrame:
     """Rows, date span, prices that are not numbers, and areas that match."""
-    unread = F.col(price).isNotNull() & F.col(price).cast("string").try_cast("double").isNull()
+    unread = F.col(price).isNotNull() & F.col(price).try_cast("double").isNull()
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"),
                    F.count(F.when(unread, 1)).alias("bad"))
     names = df.select(name_key(admin).alias("__k"), F.col(admin).alias("v")).where(F.col(admin).isNotNull()).distinct()

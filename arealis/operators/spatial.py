@@ -99,8 +99,11 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
     are planar."""
     size = float(cell or max_distance)
     d = F.lit(float(max_distance))
-    edges = polygons.select(area, ordinal, F.explode(ring_edges(rings)).alias("e"))
     e = {k: F.col(f"e.{k}") for k in ("x1", "y1", "x2", "y2")}
+    # of polygons that share an edge only the first can win it, so copies drop out here
+    edges = (polygons.select(area, ordinal, F.explode(ring_edges(rings)).alias("e"))
+             .groupBy("e").agg(F.min_by(F.struct(area, ordinal), ordinal).alias("__p"))
+             .select(f"__p.{area}", f"__p.{ordinal}", "e"))
     spread = edges.select(
         area, ordinal, "e",
         F.explode(F.sequence(_index(F.least(e["x1"], e["x2"]) - d, size),
@@ -112,12 +115,12 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
     dist = point_segment_distance(F.col(x), F.col(y), e["x1"], e["y1"], e["x2"], e["y2"])
     near = (placed.withColumns({"ix": _index(F.col(x), size), "iy": _index(F.col(y), size)})
             .join(spread, ["ix", "iy"])
-            .select(point_key, area, ordinal, dist.alias("distance"))
-            .where(F.col("distance") <= d))
+            .select(point_key, area, ordinal, dist.alias("distance")))
     inside = points_in_polygons(placed, polygons, [area, ordinal], x, y, rings).select(
         point_key, area, ordinal, F.lit(0.0).alias("distance"))
     best = near.unionByName(inside).groupBy(point_key).agg(
-        F.min_by(F.struct(area, "distance"), F.struct("distance", ordinal)).alias("b"))
+        F.min_by(F.struct(area, "distance"), F.struct("distance", ordinal)).alias("b")
+    ).where(F.col("b.distance") <= d)
     found = F.col(f"b.{area}")
     if isinstance(polygons.schema[area].dataType, StringType):
         found = F.coalesce(found, F.lit(""))
@@ -206,14 +209,20 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     other = spread.select("ix", "iy", F.col(area).alias("dst"),
                           *[F.col(c).alias(f"b_{c}") for c in names])
     near = segment_distance(tuple(F.col(c) for c in names), tuple(F.col(f"b_{c}") for c in names))
+    apart = F.lit(False)
+    for p, q in (("x1", "x2"), ("y1", "y2")):  # boxes further apart than the reach
+        apart = apart | (F.greatest(p, q) + reach < F.least(f"b_{p}", f"b_{q}")) | (
+            F.greatest(f"b_{p}", f"b_{q}") + reach < F.least(p, q))
+    # the exact distance is an aggregate input, evaluated once; a filter would evaluate it again
     close = (spread.withColumnRenamed(area, "src").join(other, ["ix", "iy"])
-             .where((F.col("src") < F.col("dst")) & (near <= reach + 1e-12))
-             .select("src", "dst"))
+             .where((F.col("src") < F.col("dst")) & ~apart)
+             .groupBy("src", "dst").agg(F.min(near).alias("__d"))
+             .where(F.col("__d") <= reach + 1e-12).select("src", "dst"))
     corner = polygons.select(area, F.explode(rings).alias("ring")).select(
         F.col(area).alias("src"), F.get("ring", F.lit(0))["x"].alias("lon"),
         F.get("ring", F.lit(0))["y"].alias("lat"))
-    held = points_in_polygons(corner, polygons.withColumnRenamed(area, "dst"), ["dst"],
-                              rings=rings).where("src <> dst").select("src", "dst")
+    held = points_in_polygons(corner, polygons.withColumnRenamed(area, "dst"), ["dst"], rings=rings,
+                              cell=suggest_cell(polygons, rings, per_side=1)).where("src <> dst").select("src", "dst")
     half = close.unionByName(held)
     pairs = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return standardise_edges(pairs.withColumn("w", F.lit(1.0)))

@@ -37,7 +37,7 @@ def area_estimates(df: DataFrame, by: str, weight: str, shares: list[str] = (),
 
 # --- row features ------------------------------------------------------------------------
 def number(c: str) -> Column:
-    return F.col(c).cast("string").try_cast("double")
+    return F.col(c).try_cast("double")
 
 
 def z_flag(c: str, limit: float = P.Z_LIMIT, cut: float = P.Z_CUT) -> Column:
