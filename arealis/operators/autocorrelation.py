@@ -55,8 +55,9 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str, permutat
 
     place = permuted_positions(z, key, permutations, seed)
     numbered = place.where("perm = 0").select(key, "position").join(z, key).select("position", "z")
-    drawn = (place.where("perm > 0").join(numbered, "position").select("perm", key, "z")
-             .unionByName(z.select(F.lit(0).alias("perm"), key, "z")))
+    # both ends of an edge look the values up, so the orderings are written once
+    drawn = cut_lineage(place.where("perm > 0").join(numbered, "position").select("perm", key, "z")
+                        .unionByName(z.select(F.lit(0).alias("perm"), key, "z")))
     src = drawn.select("perm", F.col(key).alias("src"), F.col("z").alias("zs"))
     dst = drawn.select("perm", F.col(key).alias("dst"), F.col("z").alias("zd"))
     # neighbours' weighted mean of each node first: one row per node and permutation remains

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import name_key
 from ..operators import survey as S
 from ..operators.multilevel import fit_child_model, mixed_table
-from .base import AREAS, SUPPLIED, Tables, areas, query, rounded, sql_key, supplied
+from .base import AREAS, SUPPLIED, Tables, areas, query, rounded, sql_key
 
 # coded answers: column -> integer expression valid in both dialects
 MICRO = {
@@ -45,8 +45,11 @@ MICRO_SQL = (f"select {sql_key('n_name')} as county_norm, "
 
 
 def microdata(t: Tables) -> DataFrame:
-    return supplied(t).select(name_key("n_name").alias("county_norm"),
-                              *[F.expr(e).alias(c) for c, e in MICRO.items()])
+    # names are normalised in the small table, not once per record
+    keys = t.nation.select("n_nationkey", name_key("n_name").alias("county_norm"))
+    places = t.supplier.join(keys, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "county_norm")
+    return t.lineitem.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "county_norm", *[F.expr(e).alias(c) for c, e in MICRO.items()])
 
 
 @query("""
