@@ -53,7 +53,8 @@ def match_items(items: DataFrame, records: DataFrame, item: str, record_name: st
     pieces = F.transform(F.sequence(F.lit(1), F.length("__name") - F.col("__n") + 1),
                          lambda p: F.substring(F.col("__name"), p, F.col("__n")))
     cut = sized.withColumn("word", F.explode(F.array_distinct(pieces)))
-    hits = wanted.join(cut, "word").where(
+    # the planner does not see how the pieces multiply, so neither side is broadcast on a guess
+    hits = wanted.join(cut.hint("merge"), "word").where(
         ~F.exists("barred", lambda b: F.contains(F.col("__name"), b)))
     best = F.max_by(F.struct(*cols), F.struct("__score", -F.col(ordinal)))
     return hits.groupBy(item).agg(best.alias("__r")).select(item, "__r.*")

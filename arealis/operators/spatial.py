@@ -3,9 +3,10 @@
 Polygons are small in number but may be large in extent, points and pixels are many. A
 polygon is cut into the grid cells it covers; a cell that no edge enters needs no further
 test, and one that an edge does enter carries only the edges a ray from it can meet. Points
-find their cell by arithmetic, so the join is an ordinary hash join whose build side is the
-cell index: broadcast when it is small at run time, otherwise shuffled with AQE splitting
-cells that hold many points.
+find their cell by arithmetic, so the join is an ordinary equi-join with the cell index. The
+planner cannot see how far the cutting multiplies rows, so the index is measured: within
+``BROADCAST_BYTES`` it is broadcast, beyond that both sides are shuffled and AQE splits cells
+that hold many points.
 """
 
 from __future__ import annotations
@@ -23,6 +24,15 @@ def _index(v: Column, cell: float) -> Column:
     return F.floor(v / F.lit(float(cell))).cast("bigint")
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def sized(index: DataFrame, bytes_per_row: Column) -> DataFrame:
+    """The index with the join strategy that its measured size allows."""
+    total = index.agg(F.sum(bytes_per_row).alias("b")).first()["b"] or 0
+    return F.broadcast(index) if total <= BROADCAST_BYTES else index.hint("merge")
+
+
 def suggest_cell(polygons: DataFrame, rings: str = "rings", per_side: int = 8) -> float:
     """Cell size that cuts the average polygon into about ``per_side`` cells a side."""
     pts = F.flatten(rings)
@@ -68,7 +78,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str],
     placed = points.where(finite(lon).isNotNull() & finite(lat).isNotNull()).withColumns(
         {"ix": _index(x, cell), "iy": _index(y, cell)})
     inside = F.col("edges").isNull() | strictly_within(F.col("edges"), x, y)
-    return placed.join(cells, ["ix", "iy"]).where(inside).drop("ix", "iy", "edges")
+    weight = F.lit(64) + F.coalesce(F.size("edges"), F.lit(0)) * 40
+    return placed.join(sized(cells, weight), ["ix", "iy"]).where(inside).drop("ix", "iy", "edges")
 
 
 def locate_points(points: DataFrame, polygons: DataFrame, point_key: str, area: str, ordinal: str,
@@ -114,7 +125,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
         finite(x).isNotNull() & finite(y).isNotNull())
     dist = point_segment_distance(F.col(x), F.col(y), e["x1"], e["y1"], e["x2"], e["y2"])
     near = (placed.withColumns({"ix": _index(F.col(x), size), "iy": _index(F.col(y), size)})
-            .join(spread, ["ix", "iy"])
+            .join(sized(spread, F.lit(120)), ["ix", "iy"])
             .select(point_key, area, ordinal, dist.alias("distance")))
     inside = points_in_polygons(placed, polygons, [area, ordinal], x, y, rings).select(
         point_key, area, ordinal, F.lit(0.0).alias("distance"))
@@ -214,7 +225,7 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
         apart = apart | (F.greatest(p, q) + reach < F.least(f"b_{p}", f"b_{q}")) | (
             F.greatest(f"b_{p}", f"b_{q}") + reach < F.least(p, q))
     # the exact distance is an aggregate input, evaluated once; a filter would evaluate it again
-    close = (spread.withColumnRenamed(area, "src").join(other, ["ix", "iy"])
+    close = (spread.withColumnRenamed(area, "src").join(other.hint("merge"), ["ix", "iy"])
              .where((F.col("src") < F.col("dst")) & ~apart)
              .groupBy("src", "dst").agg(F.min(near).alias("__d"))
              .where(F.col("__d") <= reach + 1e-12).select("src", "dst"))

@@ -54,10 +54,8 @@ def best_header(lines: DataFrame, words=P.LINE_HEADER_WORDS) -> list[str]:
         for w in keywords:
             any_of = any_of | F.contains(low, F.lit(w))
         hits = hits + any_of.cast("int")
-    row = lines.select("text", hits.alias("h"), F.struct("doc_id", "line_no").alias("o")).where("h > 0").agg(
-        F.max_by("text", "h").alias("any"), F.max("h").alias("h"))
-    top = lines.select("text", hits.alias("h"), F.struct("doc_id", "line_no").alias("o")).join(
-        row.select("h"), "h", "left_semi").agg(F.min_by("text", "o").alias("t")).first()
+    scored = lines.select("text", hits.alias("h"), F.struct(-hits, "doc_id", "line_no").alias("o")).where("h > 0")
+    top = scored.agg(F.min_by("text", "o").alias("t")).first()
     return header_names(top["t"], words) if top and top["t"] else []
 
 

@@ -61,9 +61,9 @@ def test_rows_by_name_and_section(spark):
     area, sub = C.classify_rows(cell_table(spark, grid), xwalk(spark))
     assert [(r.county_norm, r.population_total, r.population_female, r.county_code) for r in area.collect()] == [("nairobi", 1000.0, 600.0, "K1")]
     assert [(r.subcounty_norm, r.population_male) for r in sub.collect()] == [("westlands", 4.0)]
-    grid = [["County", "Agricultural land", "", "Households"], ["", "Subsistence", "Commercial", ""], ["Kenya", "9", "9", "9"],
+    grid = [["County", "Agricultural land", "", "Households"], ["", "Subsistence", "Commercial", ""], ["Whole land", "9", "9", "9"],
             ["Nairobi", "1", "2", "3"], ["Nairobi", "4", "5", "6"], ["Tana River", "7", "8", "9"], ["Nairobi", "0", "0", "0"]]
-    area, sub = C.sectioned_table(cell_table(spark, grid), xwalk(spark), ("kenya",))
+    area, sub = C.sectioned_table(cell_table(spark, grid), xwalk(spark), ("whole land",))
     assert {(r.county_norm, r.ag_land_ha_subsistence, r.farming_households_total) for r in area.collect()} == {
         ("nairobi", 1.0, 3.0), ("tana river", 7.0, 9.0)}
     assert {(r.subcounty_norm, r.ag_land_ha_commercial, r.subcounty_code) for r in sub.collect()} == {("nairobi", 5.0, "S2")}
