@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of labelled rows. Terms are the words that go with label 1 beyond chance among them (a
-chi-square bound that grows with the number of words tried); their document frequencies are counted over the whole
-corpus. The index keeps examples in blocks with the largest weight of each term per block: a query takes blocks by
+Examples are a bounded sample of labelled rows. A text's features are its words, their first letters, and marks for first
+letters that recur (so that a text full of such words differs from one with a chance hit). Terms are the features that
+go with label 1 beyond chance among the examples (a chi-square bound that grows with the number of features tried);
+their document frequencies are counted over the whole corpus. The index keeps examples in blocks with the largest weight of each term per block: a query takes blocks by
 falling upper bound and stops when no block can improve its k nearest, so the result is exact. Neighbours vote by
-inverse distance, votes are calibrated on the examples themselves (each left out in turn), and the nearest ones are
+inverse squared distance, votes are calibrated on the examples themselves (each left out in turn), and the nearest ones are
 returned as evidence.
 """
 
@@ -33,17 +34,46 @@ NEIGHBOURS = 15
 BLOCK = 64
 NEARNESS = 0.05  # added to distances, so that equal texts do not vote without bound
 EVIDENCE = 3
+STEM = 5  # letters of a beginning
+RECURS = (2, 4, 8)  # times a beginning recurs
 THRESHOLD = 0.7
 
 
-def terms(text: str | None) -> list[str]:
-    return TERM.findall(text.lower()) if text else []
+class Vocabulary(dict):
+    """Features by number, with the beginnings that they need."""
+
+    def __init__(self, names: list[str]):
+        super().__init__((w, k) for k, w in enumerate(names))
+        self.stems = {w.partition("*")[0] for w in names if "*" in w}
+
+
+def features(text: str | None, wanted: Vocabulary | None = None) -> dict[str, int]:
+    """Features with counts: words, ``ab*`` for words that begin so, ``ab*4`` for four or more such words.
+
+    ``wanted``: only these; the recurring ones then count for the beginnings among them alone.
+    """
+    if not text:
+        return {}
+    words = Counter(TERM.findall(text.lower()))
+    begun: Counter = Counter()
+    for w, n in words.items():
+        begun[w[:STEM]] += n
+    if wanted is None:
+        found = dict(words)
+        begins = begun.items()
+    else:
+        found = {w: words[w] for w in words.keys() & wanted}
+        begins = [(b, begun[b]) for b in begun.keys() & wanted.stems]
+    for b, n in begins:
+        found[f"{b}*"] = n
+        found.update((f"{b}*{k}", 1) for k in RECURS if n >= k)
+    return found if wanted is None else {f: n for f, n in found.items() if f in wanted}
 
 
 class Index:
     """Unit TF-IDF vectors of the examples in blocks; ``ids`` and ``labels`` in index order."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
         self.vocabulary, self.idf = vocabulary, idf
         blank = [y for _, y, found in examples if not found]
         # examples without any term: what such a text is, with one vote for and one against
@@ -89,7 +119,7 @@ class Index:
         return at, cosine
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (np.clip(1 - cosine, 0, 1) + NEARNESS)
+        weight = 1 / (np.clip(1 - cosine, 0, 1) + NEARNESS) ** 2
         prior = 1.0  # weight of what texts without evidence are
         return float((weight @ self.labels[at] + prior * self.blank) / (weight.sum() + prior))
 
@@ -113,12 +143,10 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Calibrated score and the ids of the nearest examples."""
-        words = terms(text)
-        shared = self.vocabulary.keys() & set(words)
-        if not shared or not len(self.labels):
+        found = features(text, self.vocabulary)
+        if not found or not len(self.labels):
             return self.blank, []
-        found = Counter(self.vocabulary[w] for w in words if w in shared)
-        at, cosine = self.nearest(self.vector(found))
+        at, cosine = self.nearest(self.vector({self.vocabulary[w]: n for w, n in found.items()}))
         odds = self.slope * _odds(self.vote(at, cosine)) + self.shift
         return float(1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))), self.ids[at[:EVIDENCE]].tolist()
 
@@ -148,7 +176,7 @@ def select_terms(rows: DataFrame) -> list[str]:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def distinct(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(set(terms(t))) for t in texts])
+        return pd.Series([list(features(t)) for t in texts])
 
     counted = stored(rows.select("label", F.explode(distinct("text")).alias("term")).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("label").alias("p")).filter(F.col("n") >= MIN_ROWS))
@@ -160,14 +188,14 @@ def select_terms(rows: DataFrame) -> list[str]:
     return sorted(r["term"] for r in clear.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect())
 
 
-def corpus_frequencies(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+def corpus_frequencies(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents: a pass over the whole corpus, a short vector per task."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 total += 1
-                for w in vocabulary.keys() & set(terms(t)):
+                for w in features(t, vocabulary):
                     found[vocabulary[w]] += 1
         yield pa.RecordBatch.from_pydict({"term": np.append(np.arange(len(found)), -1),
                                           "n": np.append(found, total)})
@@ -181,14 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         most: int = MAX_EXAMPLES) -> Index:
     """Index of the labelled rows of ``labels``. Terms, vectors and index are bounded by the parameters above."""
     rows = stored(examples(docs, labels, text, key, label, most))
-    vocabulary = {w: k for k, w in enumerate(select_terms(rows))}
+    vocabulary = Vocabulary(select_terms(rows))
     held, total = corpus_frequencies(docs, text, vocabulary) if vocabulary else (np.zeros(0), 0)
     idf = np.log1p(total / np.maximum(held, 1))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def counted(texts: pd.Series) -> pd.Series:
-        found = (Counter(vocabulary[w] for w in terms(t) if w in vocabulary) for t in texts)
-        return pd.Series([[x for pair in sorted(c.items()) for x in pair] for c in found])
+        return pd.Series([[x for w, n in features(t, vocabulary).items() for x in (vocabulary[w], n)] for t in texts])
 
     # about `most` rows of at most MAX_TERMS pairs
     vectors = rows.select("id", "label", counted("text").alias("c")).collect()
