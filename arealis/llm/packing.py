@@ -8,12 +8,14 @@ shard, and a lost task packs the same rows again.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,12 @@ WINDOW = 2048
 END = 1  # id after every document
 SHARD_DOCS = 256
 K1, B = 1.2, 0.75
-CACHE = 200_000  # distinct pre-tokens a task keeps with their ids
+CACHE = 400_000  # distinct pre-tokens a worker keeps with their ids
 #: Characters beyond these, and what may be a special token, go to the tokenizer as whole texts.
-_OTHER = regex.compile(r"[^\x00-ɏ]|<\|")
+_OTHER = re.compile(r"[^\x00-ɏ]|<\|")
+# The tokenizer's pre-token rule with its classes written out for the characters above: letters, numbers, blanks.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Encoder(dict):
@@ -35,41 +40,48 @@ class Encoder(dict):
     """
 
     def __init__(self, path: str):
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= CACHE:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        split = {k: _SPLIT.findall(t) for k, t in enumerate(texts) if t and not _OTHER.search(t)}
+        whole = [k for k, t in enumerate(texts) if t and k not in split]
+        missing = list(set().union(*split.values()) - self.keys())
+        if len(self) + len(missing) > CACHE:
             self.clear()
-        ids = self[token] = self.whole(token)
-        return ids
+            missing = list(set().union(*split.values()))
+        found = self.tokenizer.encode_batch(missing + [texts[k] for k in whole], add_special_tokens=False)
+        found = [np.array(e.ids, "<u4") for e in found]
+        self.update((t, ids.tobytes()) for t, ids in zip(missing, found))
+        for k, ids in zip(whole, found[len(missing):]):
+            out[k] = ids
+        for k, tokens in split.items():
+            out[k] = np.frombuffer(b"".join(map(self.__getitem__, tokens)), "<u4")
+        return out
+
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        if _OTHER.search(text):
-            return np.frombuffer(self.whole(text), "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split.findall(text))), "<u4")
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One per worker, so that tasks share what it has seen."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 class ShardIndex:
-    """BM25 over the documents of a shard, given as arrays of ids."""
+    """BM25 over the documents of a shard, given as arrays of ids, none of them empty."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.terms, term, doc, tf = [], [], [], []
         for k, ids in enumerate(docs):
-            t, n = np.unique(ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, return_counts=True)
-            self.terms.append(t.astype(np.int64))
+            ids = np.sort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            self.terms.append(ids[first].astype(np.int64))
             term.append(self.terms[-1])
-            doc.append(np.full(len(t), k))
-            tf.append(n)
+            doc.append(np.full(len(first), k))
+            tf.append(np.diff(first, append=len(ids)))
         term, doc, tf = np.concatenate(term), np.concatenate(doc), np.concatenate(tf).astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.n, self.doc = len(docs), doc[order]
@@ -137,12 +149,12 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
     schema = T.StructType([T.StructField(key, kind)] + [T.StructField(c, T.LongType()) for c in names])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, task = Encoder(tokenizer), Packer(window), TaskContext.get().partitionId()
+        packer, task = Packer(window), TaskContext.get().partitionId()
         end = np.array([END], "<u4")
         for batch in batches:
             for k in range(0, batch.num_rows, SHARD_DOCS):
                 part = batch.slice(k, SHARD_DOCS)
-                docs = [np.concatenate([encoder.encode(t), end]) for t in part.column(1).to_pylist()]
+                docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer).encode(part.column(1).to_pylist())]
                 rows = np.array(packer.add(docs), np.int64).reshape(-1, 5)
                 crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
                 columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],
