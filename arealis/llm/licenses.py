@@ -8,6 +8,7 @@ same way until no anchor is left. Coverage is the share of the template's words
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -132,23 +133,19 @@ class Scanner:
         return [(name, row[0], -row[1], row[2], n) for name, (row, n) in sorted(best.items())]
 
     def _regions(self, template: list[str], held: Counter, places: dict[str, list[int]], n: int):
-        """Around each place of the rarest words, of which more than may be missing are tried; overlaps are joined."""
-        spare = len(template) - int(-(-self.coverage * len(template) // 1))
-        pivots, count = [], 0
+        """Where the template would lie around each place of its rarest words, more of which are tried than may be missing."""
+        spare = len(template) - math.ceil(self.coverage * len(template))
+        slack, starts, count = len(template) // 4 + 2, set(), 0
         for x in sorted((x for x in held if x in places), key=lambda x: (len(places[x]), x)):
-            pivots.append(x)
+            starts.update(k - at for at, w in enumerate(template) if w == x for k in places[x])
             count += held[x]
             if count > spare:
                 break
-        size = 2 * len(template)
-        spans = sorted((max(k - size, 0), min(k + size, n)) for x in pivots for k in places[x])
-        out: list[tuple[int, int]] = []
-        for begin, end in spans:
-            if out and begin < out[-1][1] - size and end - out[-1][0] <= 2 * size:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((begin, end))
-        return out
+        last = None
+        for start in sorted(starts):
+            if last is None or start - last > slack // 2:
+                last = start
+                yield max(start - slack, 0), min(start + len(template) + slack, n)
 
 
 def license_scan(df: DataFrame, templates: dict[str, list[str]] | None = None, text: str = "text",

@@ -75,9 +75,14 @@ def bucket(value: Column) -> Column:
     return F.when(value < 64, value).otherwise(power * 32 + F.floor(value / F.pow(F.lit(2.0), power)).cast("long"))
 
 
+def permille(a: str, b: str) -> Column:
+    """Thousandths of ``a / b``, rounded down; null where ``b`` is 0."""
+    return F.floor(F.try_divide(F.col(a) * 1000, F.col(b)))
+
+
 def ratios(df: DataFrame) -> DataFrame:
     """``(g_lang, g_source, metric, value)`` of every document that passes the base rules; null groups are ''."""
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.floor(F.col(a) * 1000 / F.col(b)).alias("value"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), permille(a, b).alias("value"))
                      for m, (a, b, _, _) in RATIOS.items()])
     return (df.filter("not base_failed").select(*_groups(), F.explode(each).alias("r"))
             .select("g_lang", "g_source", "r.metric", "r.value"))
@@ -127,7 +132,7 @@ def judged(df: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataF
     fence = lambda c: F.coalesce(F.col(f"{c}_0"), F.col(f"{c}_1"), whole[c])
     good = ~F.col("base_failed")
     for m, (a, b, _, below) in RATIOS.items():
-        value = F.floor(F.col(a) * 1000 / F.col(b))
+        value = permille(a, b)
         good &= F.coalesce(value <= fence(f"high_{m}"), F.lit(True))
         if below:
             good &= F.coalesce(value >= fence(f"low_{m}"), F.lit(True))
