@@ -13,6 +13,7 @@ numbers, ties go to fewer tokens.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 MARK = "▁"  # begins a pre-token
 SCALE = 10_000
 FALLBACK = -20 * SCALE  # per byte
-NODES, WORDS = 200_000, 300_000  # kept by a task
+NODES, WORDS = 500_000, 400_000  # kept by a worker
 LONG = 64  # characters of a word beyond which it is not put into the trie
 
 
@@ -38,60 +39,80 @@ def load_scores(path: str) -> dict[str, int]:
 
 
 class Counter(dict):
-    """Token count of a word, computed on first sight."""
+    """Token count of a word, computed on first sight.
+
+    A forward value is ``(score << 32) - tokens``, so that one comparison ranks scores and then fewer tokens.
+    """
 
     def __init__(self, scores: dict[str, int]):
         super().__init__()
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
-        self.root, self.nodes = ({}, (0, 0)), 0
-
-    def step(self, word: str, end: int, path: list[tuple[int, int]]) -> tuple[int, int]:
-        """Forward score and negated token count of ``word[:end]`` from those of its prefixes."""
-        n = len(word[end - 1].encode("utf-8", "replace"))
-        score, tokens = path[end - 1]
-        best = (score + n * FALLBACK, tokens - n)
-        for begin in range(max(end - self.longest, 0), end):
-            piece = self.scores.get(word[begin:end])
-            if piece is not None:
-                score, tokens = path[begin]
-                best = max(best, (score + piece, tokens - 1))
+        self.weights = {p: (s << 32) - 1 for p, s in scores.items()}
+        self.lengths: dict[str, list[int]] = {}  # of the pieces that end in three given characters
+        for length in sorted({len(p) for p in scores}):
+            for p in scores:
+                if len(p) == length > 2:
+                    self.lengths.setdefault(p[-3:], []).append(length)
+        self.lengths = {e: sorted(set(n)) for e, n in self.lengths.items()}
+        self.children: dict[tuple[int, str], int] = {}
+        self.values = [0]  # forward value of each node
+
+    def step(self, word: str, end: int, path: list[int]) -> int:
+        """Forward value of ``word[:end]`` from those of its prefixes."""
+        weight, char, before = self.weights.get, word[end - 1], path[end - 1]
+        n = 1 if char < "\x80" else len(char.encode("utf-8", "replace"))
+        best = before + n * ((FALLBACK << 32) - 1)
+        w = weight(char)
+        if w is not None and before + w > best:
+            best = before + w
+        if end > 1:
+            w = weight(word[end - 2:end])
+            if w is not None and path[end - 2] + w > best:
+                best = path[end - 2] + w
+        for length in self.lengths.get(word[end - 3:end], ()) if end > 2 else ():
+            if length > end:
+                break
+            w = weight(word[end - length:end])
+            if w is not None and path[end - length] + w > best:
+                best = path[end - length] + w
         return best
 
     def __missing__(self, word: str) -> int:
-        marked, path = MARK + word, [(0, 0)]
+        marked, path = MARK + word, [0]
         if len(self) >= WORDS:
             self.clear()
         if len(marked) > LONG:
             for end in range(1, len(marked) + 1):
                 path.append(self.step(marked, end, path))
-            return -path[-1][1]
-        if self.nodes >= NODES:
-            self.root, self.nodes = ({}, (0, 0)), 0
-        node = self.root
+            return -path[-1] & 0xFFFFFFFF
+        if len(self.values) >= NODES:
+            self.children, self.values = {}, [0]
+        node, children, values = 0, self.children, self.values
         for end, char in enumerate(marked, 1):
-            child = node[0].get(char)
+            child = children.get((node, char))
             if child is None:
-                child = node[0][char] = ({}, self.step(marked, end, path))
-                self.nodes += 1
+                child = children[node, char] = len(values)
+                values.append(self.step(marked, end, path))
             node = child
-            path.append(node[1])
-        count = self[word] = -path[-1][1]
+            path.append(values[node])
+        count = self[word] = -path[-1] & 0xFFFFFFFF
         return count
 
 
+@lru_cache(1)
+def counter(path: str) -> Counter:
+    """One per worker, so that tasks share what it has seen."""
+    return Counter(load_scores(path))
+
+
 def counts(text: Column, path: str) -> Column:
     """Struct of ``n_words`` and ``n_tokens`` of a text column."""
-    state: list[Counter] = []  # one per worker
-
     @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
     def fn(texts: pd.Series) -> pd.DataFrame:
-        if not state:
-            state.append(Counter(load_scores(path)))
-        out = []
+        out, known = [], counter(path)
         for t in texts:
             # bytes part at ASCII blanks only
             words = [w.decode("utf-8", "replace") for w in t.encode("utf-8", "replace").split()] if t else []
-            out.append((len(words), sum(map(state[0].__getitem__, words))))
+            out.append((len(words), sum(map(known.__getitem__, words))))
         return pd.DataFrame(out, columns=["n_words", "n_tokens"], dtype="int64")
 
     return fn(text)
