@@ -20,16 +20,13 @@ TRACE_MARKS = ("tr", "trace", "[0]", "0")
 
 
 def composition_cell(c: str | Column) -> Column:
-    """Composition-table cell: trace is 0, bracketed estimates count, ranges are missing."""
+    """Composition-table cell: a mark stands for its value, a number may stand in brackets, the rest is missing."""
     s = F.replace(F.trim(as_col(c).cast("string")), F.lit(","), F.lit(""))
-    plain = F.regexp_extract(s, r"^(-?\d+(?:\.\d+)?)$", 1)
-    bracketed = F.regexp_extract(s, r"^\[(-?\d+(?:\.\d+)?)\]$", 1)
-    return (
-        F.when(s.isNull() | s.isin(*MISSING_MARKS), F.lit(None).cast("double"))
-        .when(F.lower(s).isin(*TRACE_MARKS), F.lit(0.0))
-        .when(plain != "", plain.try_cast("double"))
-        .when(bracketed != "", bracketed.try_cast("double"))
-    )
+    marks = {**dict.fromkeys(MISSING_MARKS, None), **dict.fromkeys(TRACE_MARKS, 0.0)}
+    values = F.create_map(*[x for mark, v in marks.items() for x in (F.lit(mark), F.lit(v).cast("double"))])
+    number = F.regexp_replace(s, r"^\[(.*)\]$", "$1")
+    number = F.when(number.rlike(r"^-?\d+(?:\.\d+)?$"), number.try_cast("double"))
+    return F.coalesce(F.try_element_at(values, F.lower(s)), number)
 
 
 def unit_quantity(unit: str | Column) -> Column:

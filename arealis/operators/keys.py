@@ -22,20 +22,20 @@ def seed_areas(spark: SparkSession) -> DataFrame:
     return df.withColumn("county_norm", name_key("county_name"))
 
 
-def guess_columns(columns: list[str]) -> dict[str, str | None]:
-    """Name and code columns of a boundary attribute table, by what their names hold."""
-    def first(test):
-        return next((c for c in columns if test(c.lower())), None)
+def match_column(columns: list[str], patterns, clean=str.lower) -> str | None:
+    """The first column whose cleaned name a pattern covers; earlier patterns go first."""
+    names = [(clean(c), c) for c in columns]
+    return next((c for p in patterns for name, c in names if re.fullmatch(p, name)), None)
 
-    def level(n: int, plain: tuple[str, ...]):
-        named = first(lambda c: (f"adm{n}" in c and ("en" in c or "name" in c)) or c in plain)
-        coded = first(lambda c: f"adm{n}" in c and ("pcode" in c or "code" in c))
-        return named, coded
 
-    area_name, area_code = level(1, ("county", "county_nam", "counties"))
-    sub_name, sub_code = level(2, ("subcounty", "sub_county", "scounty", "sub_count"))
-    return {"area_name": area_name, "area_code": area_code,
-            "subarea_name": sub_name, "subarea_code": sub_code}
+def letters_only(name: str) -> str:
+    return re.sub("[^0-9a-z]+", "", name.lower())
+
+
+def match_alias(columns: list[str], aliases: tuple[str, ...], suffix: bool = True) -> str | None:
+    """The column named like an alias once only letters and digits are compared, else one that ends so."""
+    patterns = [*aliases, f".*(?:{'|'.join(aliases)})"] if suffix else aliases
+    return match_column(columns, patterns, letters_only)
 
 
 def classify_layers(features: DataFrame, layer: str = "layer",
@@ -66,7 +66,7 @@ def build_crosswalk(spark: SparkSession, subareas: DataFrame | None = None,
     for df, source in ((subareas, "subarea layer"), (areas, "area layer")):
         if df is None:
             continue
-        cols = guess_columns(df.columns)
+        cols = {role: match_column(df.columns, p) for role, p in P.BOUNDARY_COLUMNS.items()}
         if cols["area_name"] is None:
             continue
 
@@ -94,45 +94,35 @@ def key_table(crosswalk: DataFrame, key: str = "county_norm",
     return keep_first(keyed, [key], [F.col(c) for c in carry])
 
 
-def area_frame(crosswalk: DataFrame | None, spark: SparkSession, at_least: int = 40) -> DataFrame:
-    """Areas of the crosswalk when it holds enough of them, else the built-in list."""
-    if crosswalk is not None:
-        table = key_table(crosswalk)
-        if len(table.head(at_least)) >= at_least:
-            return table.select("county_code", "county_name", "county_norm")
-    return seed_areas(spark)
+def area_frame(crosswalk: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """Areas of the crosswalk; the built-in list where there is no crosswalk."""
+    areas = seed_areas(spark) if crosswalk is None else key_table(crosswalk)
+    return areas.select("county_code", "county_name", "county_norm")
 
 
 def key_hits(df: DataFrame, keys: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
-    """For every column: how many of its rows normalise to a known key.
+    """For every column: how many of its filled cells there are and how many normalise to a known key.
 
-    All columns are counted in one pass; values are counted before they are matched, so a
-    value that fills a column costs one row.
+    Cells meet the keys before anything is grouped, and the counts are summed map-side, so that a large table is
+    not shuffled by value where the keys are few.
     """
     columns = columns or df.columns
     long = df.select(*[name_key(c).alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = keys.select(F.col(key).alias("value")).where("value <> ''").distinct()
-    return (counts.join(known, "value", "left_semi").groupBy("column")
-            .agg(F.sum("n").alias("hits")))
+        [], columns, "column", "value").where("value <> ''")
+    known = keys.select(F.col(key).alias("value"), F.lit(1).alias("hit")).where("value <> ''").distinct()
+    return (long.join(known, "value", "left").groupBy("column")
+            .agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("filled")))
 
 
-def detect_key_column(df: DataFrame, keys: DataFrame, key: str = "county_norm") -> str | None:
-    """The column that looks like an area name: most matching rows, the first one on ties.
+def detect_key_column(df: DataFrame, keys: DataFrame, key: str = "county_norm", share: float = 1 / 3) -> str | None:
+    """The column that looks like an area name: most matching cells, the first one on ties.
 
-    At least min(20, max(1, rows // 3)) rows must match.
+    At least ``share`` of its filled cells must match, and one cell.
     """
     order = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    hits = key_hits(df, keys, key)
-    best = (hits.agg(F.max_by(F.struct("column", "hits"),
-                              F.struct("hits", -order[F.col("column")])).alias("b"))
-            .select("b.column", "b.hits").first())
-    if best is None or best["column"] is None:
-        return None
-    # the bound needs no more than 60 rows, so the table is not counted
-    rows = len(df.select(F.lit(1)).head(60))
-    return best["column"] if best["hits"] >= min(20, max(1, rows // 3)) else None
+    hits = key_hits(df, keys, key).where((F.col("hits") > 0) & (F.col("hits") >= F.floor(F.col("filled") * share)))
+    best = hits.agg(F.max_by("column", F.struct("hits", -order[F.col("column")])).alias("column")).first()
+    return best["column"]
 
 
 def attach_area(df: DataFrame, crosswalk: DataFrame, column: str, key: str = "county_norm",
@@ -181,29 +171,3 @@ def decode_area(df: DataFrame, labels: DataFrame, variable: str,
              .groupBy("code").agg(F.min(name_key("label")).alias("__label")))
     out = null_safe_join(df.withColumn("code", F.col(variable).cast("int")), names, ["code"], "left")
     return out.withColumn(key, F.coalesce("__label", F.lit(""))).drop("__label", "code")
-
-
-def map_header(cells: list[str | None], words=P.HEADER_WORDS, bars=None) -> dict[int, str]:
-    """Header cells to canonical names: names in order, each takes its first free cell."""
-    bars = P.HEADER_BARS if bars is None else bars
-    lowered = [(c or "").strip().lower() for c in cells]
-    taken: dict[int, str] = {}
-    for canon, keywords in words:
-        bar = bars.get(canon)
-        for i, cell in enumerate(lowered):
-            if i in taken or (bar and bar in cell):
-                continue
-            if any(k in cell for k in keywords):
-                taken[i] = canon
-                break
-    return taken
-
-
-def resolve_alias(columns: list[str], aliases: tuple[str, ...], suffix: bool = True) -> str | None:
-    """Column by exact cleaned alias in alias order, then by ending in an alias."""
-    cleaned = [(re.sub("[^0-9a-z]+", "", c.lower()), c) for c in columns]
-    by_name = dict(cleaned)
-    exact = next((by_name[a] for a in aliases if a in by_name), None)
-    if exact is not None or not suffix:
-        return exact
-    return next((c for clean, c in cleaned if clean.endswith(tuple(aliases))), None)

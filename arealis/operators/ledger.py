@@ -136,8 +136,8 @@ def manifest(ledger: DataFrame, path: str) -> None:
 
 
 def seed_or_override(spark: SparkSession, override_folder: str | None, seed: DataFrame) -> DataFrame:
-    """The first CSV of the override folder when there is one, else the seed table."""
-    from ..sources.files import first_table
+    """The CSVs of the override folder when there are any, else the seed table."""
+    from ..sources.files import folder_table
 
-    found = first_table(spark, [override_folder]) if override_folder else None
+    found = folder_table(spark, [override_folder], tag="file") if override_folder else None
     return seed if found is None else found

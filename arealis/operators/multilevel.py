@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import presets as P
-from ..functions.numeric import finite, listwise, score_stats, standard_scores, with_stats
+from ..functions.numeric import finite, listwise, score_stats, zscore
 from ..session import cut_lineage
 from .regression import normal_p
 
@@ -34,22 +34,25 @@ class MixedFit:
     n_groups: int
 
 
-def _penalised(groups: DataFrame, names: list[str], ratios: list[float]) -> dict[float, tuple]:
-    """For each ratio: sum over groups of w s s' with w = r / (1 + n r), and of ln(1 + n r)."""
+def _penalised(groups: DataFrame, names: list[str], ratios: list[float]):
+    """For each ratio: sum over groups of w s s' with w = r / (1 + n r), and of ln(1 + n r); and the cross-products,
+    rows and groups in all."""
     ratio = F.col("r")
     w = ratio / (1.0 + F.col("n") * ratio)
-    aggs = [F.sum(F.log1p(F.col("n") * ratio)).alias("logdet")]
+    aggs = [F.sum(F.log1p(F.col("n") * ratio)).alias("logdet"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")]
     k = len(names)
     for a in range(k):
         for b in range(a, k):
             aggs.append(F.sum(w * F.col(names[a]) * F.col(names[b])).alias(f"c_{a}_{b}"))
+            aggs.append(F.sum(f"t_{a}_{b}").alias(f"t_{a}_{b}"))
     rows = (groups.withColumn("r", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
             .groupBy("r").agg(*aggs).collect())
-    out = {}
-    for row in rows:
-        m = np.array([[row[f"c_{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
-        out[row["r"]] = (m, row["logdet"])
-    return out
+
+    def matrix(row, kind: str) -> np.ndarray:
+        return np.array([[row[f"{kind}_{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
+
+    found = {row["r"]: (matrix(row, "c"), row["logdet"]) for row in rows}
+    return (found, matrix(rows[0], "t"), rows[0]["n"], rows[0]["g"]) if rows else (found, None, 0, 0)
 
 
 def _solve(total: np.ndarray, drop: np.ndarray, logdet: float, n: int):
@@ -66,16 +69,18 @@ def _solve(total: np.ndarray, drop: np.ndarray, logdet: float, n: int):
     return beta, scale, xx, loglik
 
 
-def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str,
-                     rounds: int = 5, width: int = 24, max_ratio: float = 1e4) -> MixedFit:
-    """Fit outcome ~ terms + (1 | group) by REML on complete rows.
+def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str, rounds: int = 2, width: int = 128,
+                     max_ratio: float = 1e4, min_rows: int = 0, min_groups: int = 0) -> MixedFit | None:
+    """Fit outcome ~ terms + (1 | group) by REML on complete rows; None with too few rows or groups.
 
-    The variance ratio is searched on a grid that narrows around its best point each round;
-    0 (no group variance) is always among the candidates.
+    The variance ratio is searched on a wide grid that moves up while its last point is the best and then narrows
+    around the best point; 0 (no group variance) is always among the candidates. The totals come with the first grid.
     """
     rows = listwise(df.where(F.col(group).isNotNull()), [outcome, *terms])
-    mean = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*terms, outcome])],
+    mean = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate([*terms, outcome])],
                     *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate([*terms, outcome])]).first()
+    if mean["n"] < max(min_rows, 1):
+        return None
     shift = np.array([mean[f"m{i}"] for i in range(len(terms) + 1)], float)
     scale_x = np.array([mean[f"s{i}"] or 1.0 for i in range(len(terms) + 1)], float)
     names = ["v0", *[f"v{i + 1}" for i in range(len(terms) + 1)]]
@@ -87,25 +92,29 @@ def random_intercept(df: DataFrame, outcome: str, terms: list[str], group: str,
              for a in range(k) for b in range(a, k)]
     groups = cut_lineage(scaled.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names], *cross))
-    t = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"),
-                   *[F.sum(f"t_{a}_{b}").alias(f"t_{a}_{b}") for a in range(k) for b in range(a, k)]).first()
-    total = np.array([[t[f"t_{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
-    n, n_groups = t["n"], t["g"]
-    slim = groups.select("n", *names)
+    grid = [0.0, *np.logspace(-6, math.log10(max_ratio), width).tolist()]
+    found, total, n, n_groups = _penalised(groups, names, grid)
+    if n_groups < min_groups:
+        return None
+    seen = {r: _solve(total, m, ld, n) for r, (m, ld) in found.items()}
 
-    def evaluate(ratios):
-        return {r: _solve(total, m, ld, n) for r, (m, ld) in _penalised(slim, names, ratios).items()}
+    def best() -> float:
+        return max(seen, key=lambda r: seen[r][3])
 
-    grid = [0.0, *np.logspace(-6, math.log10(max_ratio), width).tolist()]
-    seen = evaluate(grid)
+    def add(ratios: list[float]) -> None:
+        fresh = [r for r in ratios if r not in seen]
+        seen.update((r, _solve(total, m, ld, n)) for r, (m, ld) in _penalised(groups, names, fresh)[0].items())
+
+    while best() == max(seen) and max(seen) < 1e12:
+        add((max(seen) * np.logspace(0, 4, width)[1:]).tolist())
     for _ in range(rounds):
         order = sorted(seen)
-        at = max(range(len(order)), key=lambda i: seen[order[i]][3])
+        at = order.index(best())
         lo, hi = order[max(at - 1, 0)], order[min(at + 1, len(order) - 1)]
         if hi - lo <= 1e-9 * max(hi, 1e-6):
             break
-        seen |= evaluate([r for r in np.linspace(lo, hi, width + 2)[1:-1].tolist() if r not in seen])
-    ratio = max(seen, key=lambda r: seen[r][3])
+        add(np.linspace(lo, hi, width + 2)[1:-1].tolist())
+    ratio = best()
     beta, scale, xx, _ = seen[ratio]
     cov = scale * np.linalg.pinv(xx, hermitian=True)
 
@@ -138,19 +147,15 @@ def fit_child_model(child: DataFrame, soil_term: str = "fe_isda", outcome: str =
     wanted = [c for c in (soil_term, *environment, *controls) if c in child.columns]
     if outcome not in child.columns or group not in child.columns or not wanted:
         return None
-    counts = child.agg(*[F.count(finite(c)).alias(c) for c in wanted]).first()
-    enough = [c for c in wanted if counts[c] > 50]
+    stats = child.agg(*[F.count(finite(c)).alias(f"n_{c}") for c in wanted],
+                      *[e.alias(n) for n, e in score_stats(wanted).items()]).first()
+    enough = [c for c in wanted if stats[f"n_{c}"] > 50]
     covars = [c for c in (soil_term, *environment) if c in enough]
     if soil_term not in covars:
         return None
-    scored = with_stats(child, score_stats(covars),
-                        lambda g: dict(zip(covars, standard_scores(g, covars))))
+    scored = child.withColumns({c: zscore(c, F.lit(stats[f"m_{c}"]), F.lit(stats[f"s_{c}"])) for c in covars})
     terms = [*covars, *[c for c in controls if c in enough], *([round_dummy] if round_dummy else [])]
-    rows = listwise(scored.where(F.col(group) != ""), [outcome, *terms])
-    size = rows.groupBy(group).count().agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    if (size["n"] or 0) < 100 or size["g"] < 5:
-        return None
-    return random_intercept(rows, outcome, terms, group)
+    return random_intercept(scored.where(F.col(group) != ""), outcome, terms, group, min_rows=100, min_groups=5)
 
 
 def mixed_table(spark: SparkSession, fits: dict[str, MixedFit | None]) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
@@ -109,11 +110,6 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
                .alias(n) for n in probs])
 
 
-def median_of(df: DataFrame, value: str) -> Column:
-    """Global exact median as a scalar subquery."""
-    return exact_quantiles(df, [], value, {"q": 0.5}).select("q").scalar()
-
-
 def average_ranks(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Long table ``(key, variable, value, avg_rank, total)``; ties share their mean rank."""
     long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
@@ -158,13 +154,30 @@ def fill_forward(df: DataFrame, by: list[str], block: str, order: list[str],
     position = F.struct(*order)
     last_in = (Window.partitionBy(*keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
-    before = (Window.partitionBy(*by).orderBy(block)
-              .rowsBetween(Window.unboundedPreceding, -1))
     ends = df.groupBy(*keys).agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"__end_{c}") for c in cols])
-    carried = ends.select(*keys, *[
-        F.last(f"__end_{c}", ignorenulls=True).over(before).alias(f"__in_{c}") for c in cols])
+    carried = _carried(ends, by, block, cols)
     out = null_safe_join(df, carried, keys, "left")
     out = out.withColumns({
         c: F.coalesce(F.last(c, ignorenulls=True).over(last_in), F.col(f"__in_{c}")) for c in cols})
     return out.drop(*[f"__in_{c}" for c in cols])
+
+
+def _carried(ends: DataFrame, by: list[str], block: str, cols: list[str], span: int = 1024) -> DataFrame:
+    """What enters each block: from earlier blocks of its span, else from earlier spans.
+
+    The blocks of a group are cut into spans of ``span`` positions, so that a window holds a span's blocks, or a row
+    per span of a group.
+    """
+    place = F.unix_date(block) if isinstance(ends.schema[block].dataType, DateType) else F.col(block)
+    spans = ends.withColumn("__span", F.floor(place / span))
+    earlier = lambda *parts: Window.partitionBy(*parts[:-1]).orderBy(parts[-1]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    inside = spans.withColumns({f"__in_{c}": F.last(f"__end_{c}", ignorenulls=True).over(earlier(*by, "__span", block))
+                                for c in cols})
+    tails = spans.groupBy(*by, "__span").agg(*[
+        F.max_by(f"__end_{c}", F.when(F.col(f"__end_{c}").isNotNull(), F.col(block))).alias(f"__tail_{c}") for c in cols])
+    tails = tails.select(*by, "__span", *[F.last(f"__tail_{c}", ignorenulls=True).over(earlier(*by, "__span")).alias(
+        f"__before_{c}") for c in cols])
+    out = null_safe_join(inside, tails, [*by, "__span"])
+    return out.select(*by, block, *[F.coalesce(f"__in_{c}", f"__before_{c}").alias(f"__in_{c}") for c in cols])

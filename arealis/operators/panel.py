@@ -12,16 +12,10 @@ from .indices import composite_index
 from .order import exact_quantiles, keep_last
 
 
-def dense_panel(df: DataFrame, by: str, period: str, value: str) -> DataFrame:
-    """Every area with every period that occurs; what was not observed is NULL.
-
-    The period list is one small array read as a scalar subquery and exploded per area, so
-    there is no join of areas with periods. Each (area, period) is taken once, as its mean.
-    """
-    cells = df.groupBy(by, period).agg(F.avg(finite(value)).alias(value))
-    periods = df.agg(F.array_sort(F.collect_set(period)).alias("p")).scalar()
-    grid = df.select(by).distinct().select(by, F.explode(periods).alias(period))
-    return grid.join(cells, [by, period], "left")
+def period_means(df: DataFrame, by: str, period: str, value: str) -> DataFrame:
+    """Each (area, period) once, as its mean. Features need no rows for what was not observed: they take the number
+    of periods and the last one from the whole table."""
+    return df.groupBy(by, period).agg(F.avg(finite(value)).alias(value))
 
 
 def _trend(period: str, value: str, at_least: int = 3) -> Column:
@@ -34,15 +28,16 @@ def rain_features(df: DataFrame, by: str, period: str = "year", value: str = "va
 
     A year that is missing for an area counts as not dry but stays in the denominator.
     """
-    panel = dense_panel(df, by, period, value)
+    panel = period_means(df, by, period, value)
+    whole = df.agg(F.max(period).alias("last"), F.countDistinct(period).alias("n"))
+    last, n = whole.select("last").scalar(), whole.select("n").scalar()
     stats = panel.groupBy(by).agg(
         F.avg(value).alias("m"), F.stddev_pop(value).alias("s"),
         _trend(period, value).alias("rain_trend_mm_yr"),
-        F.max_by(value, period).alias("recent"), F.count(F.lit(1)).alias("n"))
+        F.max(F.when(F.col(period) == last, F.col(value))).alias("recent"))
     sd = F.when(F.col("s") > 0, F.col("s"))
     dry = (panel.join(stats.select(by, "m", "s"), by)
-           .groupBy(by).agg(F.avg(indicator((F.col(value) - F.col("m")) / sd < -1.0))
-                            .alias("drought_freq")))
+           .groupBy(by).agg((F.sum(indicator((F.col(value) - F.col("m")) / sd < -1.0)) / n).alias("drought_freq")))
     return stats.join(dry, by).select(
         by, F.col("m").alias("rain_mm_mean"), safe_ratio("s", "m").alias("rain_cv"),
         "rain_trend_mm_yr", ((F.col("recent") - F.col("m")) / sd).alias("rain_anomaly_recent"),
@@ -58,7 +53,7 @@ def rescale_factor(df: DataFrame, value: str, threshold: float = 1.5, divisor: f
 
 def vegetation_features(df: DataFrame, by: str, period: str = "year",
                         value: str = "value") -> DataFrame:
-    panel = dense_panel(df, by, period, value)
+    panel = period_means(df, by, period, value)
     scaled = panel.withColumn(value, F.col(value) / rescale_factor(panel, value))
     return scaled.groupBy(by).agg(
         F.avg(value).alias("ndvi_mean"), _trend(period, value).alias("ndvi_trend"),

@@ -98,9 +98,8 @@ def hinted_column(columns: list[str], hints=P.AREA_COLUMN_HINTS) -> str | None:
 
 
 def join_coverage(table: str, df: DataFrame, keys: DataFrame, layer: str, column: str | None = None,
-                  key: str = "county_norm", passing: float = 99.0, warning: float = 80.0,
-                  sample: int = 15) -> DataFrame | None:
-    """Share of named rows that match a key, with up to ``sample`` names that do not."""
+                  key: str = "county_norm", passing: float = 99.0, warning: float = 80.0) -> DataFrame | None:
+    """Share of named rows that match a key, and how many names do not; ``unmatched_names`` lists them."""
     column = column or hinted_column(df.columns)
     if column is None:
         return None
@@ -108,18 +107,18 @@ def join_coverage(table: str, df: DataFrame, keys: DataFrame, layer: str, column
     status = (F.when(F.col("pct") >= passing, "PASS").when(F.col("pct") >= warning, "WARN").otherwise("FAIL"))
     main = findings_from(stats, [finding(layer, status, f"{table} join coverage",
                                          text(F.round("pct", 1), "% of rows match (", column, ")"))])
-    names = unmatched_names(df, keys, column, key, sample).agg(
-        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names")).where(F.col("names") != "")
+    names = unmatched_names(df, keys, column, key).agg(
+        F.count(F.lit(1)).alias("names"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).where("names > 0")
     return main.unionByName(findings_from(names, [
-        finding(layer, "INFO", f"{table} unmatched names", F.col("names"))]))
+        finding(layer, "INFO", f"{table} unmatched names", text(F.col("names"), " in ", F.col("rows"), " rows"))]))
 
 
-def unmatched_names(df: DataFrame, keys: DataFrame, column: str, key: str, limit: int) -> DataFrame:
-    """The first unmatched names in order, as a report sample."""
+def unmatched_names(df: DataFrame, keys: DataFrame, column: str, key: str) -> DataFrame:
+    """``(name, n)``: every name that matches no key, with its rows."""
     known = keys.select(F.col(key).alias("__k")).where("__k <> ''").distinct()
-    return (df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("name")).distinct()
-            .withColumn("__k", name_key("name")).join(known, "__k", "left_anti")
-            .select("name").orderBy("name").limit(limit))
+    return (df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("name"))
+            .agg(F.count(F.lit(1)).alias("n")).withColumn("__k", name_key("name")).join(known, "__k", "left_anti")
+            .select("name", "n"))
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -128,36 +127,41 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     one = df.agg(*[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in columns])
     return one.unpivot([], columns, "column", "n_null")
 
-
-def null_audit(table: str, df: DataFrame, layer: str, keys: tuple[str, ...], expected: int,
-               show: int = 10) -> DataFrame:
-    """Row count, number of measures and the first columns with empty cells."""
+def null_audit(table: str, df: DataFrame, layer: str, keys: tuple[str, ...], expected: int) -> DataFrame:
+    """Row count, number of measures and a row for each column with empty cells."""
     cols = [c for c in df.columns if c not in keys]
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in cols])
     bad = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("k")) for c in cols]),
                    lambda x: x["k"] > 0)
-    listed = F.array_join(F.transform(F.slice(bad, 1, show), lambda x: F.concat(
-        x["c"], F.lit("("), x["k"].cast("string"), F.lit(")"))), ", ")
+    each = one.select(F.explode(bad).alias("x")).select(finding(
+        layer, "WARN", F.concat(F.lit(f"{table}."), F.col("x.c"), F.lit(" null cells")), text(F.col("x.k"))).alias("f"))
     return findings_from(one, [
         finding(layer, graded(F.col("__n") == expected), f"{table} rows", text(F.col("__n"))),
         finding(layer, "INFO", f"{table} measures", str(len(cols))),
-        finding(layer, graded(F.size(bad) == 0), f"{table} null cells",
-                F.when(F.size(bad) == 0, "none").otherwise(listed))])
+        finding(layer, graded(F.size(bad) == 0), f"{table} null cells", text(F.size(bad), " columns"))]
+    ).unionByName(each.select("f.*"))
+
+
+def _listed(df: DataFrame, column: str, layer: str, status: str, label: str) -> DataFrame:
+    """A finding for each distinct value of a column, with its rows."""
+    values = df.groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null")
+    return values.select(finding(layer, status, F.concat(F.lit(f"{label} "), F.col("v")), text(F.col("n"), " rows")).alias(
+        "f")).select("f.*")
 
 
 def balance_checks(df: DataFrame, layer: str, expected_area: str, area="area", domain="domain",
                    year="year", value="value") -> DataFrame:
-    """One area only, its domains, the year span and missing values."""
-    stats = df.agg(F.array_sort(F.collect_set(area)).alias("areas"),
-                   F.array_sort(F.collect_set(domain)).alias("domains"),
+    """One area only (a row for each other one), its domains (a row each), the year span and missing values."""
+    foreign = F.col(area) != expected_area
+    stats = df.agg(F.count(F.when(foreign, 1)).alias("foreign"),
                    F.min(year).alias("lo"), F.max(year).alias("hi"), F.count(F.lit(1)).alias("n"),
                    (F.count(F.lit(1)) - F.count(value)).alias("nulls"))
-    return findings_from(stats, [
-        finding(layer, graded(F.size(F.array_except("areas", F.array(F.lit(expected_area)))) == 0, "FAIL"),
-                "area values", F.array_join("areas", ", ")),
-        finding(layer, "INFO", "domains", F.array_join("domains", ", ")),
+    main = findings_from(stats, [
+        finding(layer, graded(F.col("foreign") == 0, "FAIL"), "rows of other areas", text(F.col("foreign"))),
         finding(layer, "INFO", "year span", text(F.col("lo"), "-", F.col("hi"))),
         finding(layer, graded(F.col("nulls") == 0), "null values", text(F.col("nulls"), " of ", F.col("n")))])
+    return all_findings([main, _listed(df.where(foreign), area, layer, "FAIL", "other area"),
+                         _listed(df, domain, layer, "INFO", "domain")])
 
 
 def price_checks(df: DataFrame, layer: str, keys: DataFrame, key: str, date="date", price="price",
@@ -179,11 +183,10 @@ def price_checks(df: DataFrame, layer: str, keys: DataFrame, key: str, date="dat
 
 
 def indicator_checks(df: DataFrame, layer: str) -> DataFrame:
-    stats = df.agg(F.array_sort(F.collect_set("indicator")).alias("i"), F.min("year").alias("lo"),
-                   F.max("year").alias("hi"))
-    return findings_from(stats, [
-        finding(layer, "INFO", "indicators", text(F.size("i"), ": ", F.array_join("i", ", "))),
+    """A row for each indicator, and the year span."""
+    span = findings_from(df.agg(F.min("year").alias("lo"), F.max("year").alias("hi")), [
         finding(layer, "INFO", "year span", text(F.col("lo"), "-", F.col("hi")))])
+    return span.unionByName(_listed(df, "indicator", layer, "INFO", "indicator"))
 
 
 def table_check(tables: dict[str, DataFrame], name: str, layer: str, expect: int | None = None,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import presets as P
 from ..functions.numeric import listwise
-from .order import average_ranks
+from ..session import cut_lineage
+from .order import value_ranks
 
 
 def standardised(df: DataFrame, columns: list[str], suffix: str = "__z") -> DataFrame:
@@ -35,21 +36,18 @@ def typology(df: DataFrame, key: str, columns=None, k_range=range(3, 8), seed: i
     columns = [c for c in (columns or P.TYPOLOGY_COLUMNS) if c in df.columns]
     z = standardised(df, columns)
     features = VectorAssembler(inputCols=[f"{c}__z" for c in columns], outputCol="features")
-    vectors = features.transform(z).select(key, "features").persist()
-    try:
-        if len(vectors.select(key).head(max(k_range) + 1)) < max(k_range) + 1:
-            return df.withColumn(name, F.lit(None).cast("int")), None
-        judge = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
-        best = None
-        for k in k_range:
-            models = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=name).fit(vectors)
-                      for r in range(n_init)]
-            model = min(models, key=lambda m: m.summary.trainingCost)
-            score = judge.setPredictionCol(name).evaluate(model.transform(vectors))
-            if best is None or score > best[1]:
-                best = (k, score, model)
-    finally:
-        vectors.unpersist()
+    vectors = cut_lineage(features.transform(z).select(key, "features"))
+    if len(vectors.select(key).head(max(k_range) + 1)) < max(k_range) + 1:
+        return df.withColumn(name, F.lit(None).cast("int")), None
+    judge = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
+    best = None
+    for k in k_range:
+        models = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=name).fit(vectors)
+                  for r in range(n_init)]
+        model = min(models, key=lambda m: m.summary.trainingCost)
+        score = judge.setPredictionCol(name).evaluate(model.transform(vectors))
+        if best is None or score > best[1]:
+            best = (k, score, model)
     k, score, model = best
     labels = model.transform(features.transform(z)).select(key, name)
     return df.join(labels, key, "left"), {"k": k, "silhouette": round(score, 3)}
@@ -89,14 +87,18 @@ def principal_component(df: DataFrame, key: str, columns, name: str, min_columns
     return df.withColumn(name, F.when(complete, score))
 
 
-def rank_correlation(df: DataFrame, key: str, columns: list[str], digits: int = 3) -> DataFrame:
-    """Spearman matrix as (variable, one column per variable), ties at their mean rank."""
-    ranks = average_ranks(listwise(df, columns), key, columns)
-    wide = ranks.groupBy(key).agg(
-        *[F.max(F.when(F.col("variable") == c, F.col("avg_rank"))).alias(c) for c in columns])
-    pairs = [F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)
-             if i < j]
-    flat = wide.agg(*pairs)
+def rank_correlation(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+    """Spearman matrix as (variable, one column per variable), ties at their mean rank.
+
+    Ranks belong to values, so they are joined by value, column by column; rows need no key.
+    """
+    full = listwise(df, columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ranks = cut_lineage(value_ranks(full.unpivot([], columns, "variable", "value"), ["variable"], "value"))
+    for i, c in enumerate(columns):
+        mine = ranks.where(F.col("variable") == c).select(
+            F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{i}"))
+        full = full.join(mine, c)
+    flat = full.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"{i}_{j}") for i in range(len(columns)) for j in range(i + 1, len(columns))])
     rows = F.array(*[
         F.struct(F.lit(a).alias("variable"), *[
             F.round(F.lit(1.0) if i == j else F.col(f"{min(i, j)}_{max(i, j)}"), digits).alias(b)

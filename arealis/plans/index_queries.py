@@ -110,10 +110,7 @@ select 'l_quantity' as variable, 1.0::double as l_quantity, round(a, 3) as l_ext
 union all select 'l_extendedprice', round(a, 3), 1.0, round(c, 3) from c
 union all select 'l_discount', round(b, 3), round(c, 3), 1.0 from c""")
 def rank_correlations(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").alias("k"),
-                             "l_quantity", "l_extendedprice", "l_discount")
-    keyed = rows.withColumn("k", F.xxhash64("k", "l_quantity", "l_extendedprice", "l_discount"))
-    return rank_correlation(keyed, "k", ["l_quantity", "l_extendedprice", "l_discount"])
+    return rank_correlation(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
 
 
 @query(f"""

@@ -61,18 +61,27 @@ def attach_area(t: Tables) -> DataFrame:
         "c_custkey", F.trim("admin1").alias("admin1"), "county_code", "county_name")
 
 
-@query(f"""
-select 'admin1' as "column", count(*) as hits from ({_MESSY}) m where {sql_key('admin1')} in (select county_norm from ({AREAS}) a)""")
+_MESSY_COLUMNS = ("c_custkey", "admin1", "c_mktsegment", "c_acctbal")
+_HITS = f"""with cells as ({" union all ".join(
+    f"select {i} as place, '{c}' as name, {sql_key(c)} as value from ({_MESSY}) m" for i, c in enumerate(_MESSY_COLUMNS))}),
+hits as (select place, name, count(*) filter (value in (select county_norm from ({AREAS}) a)) as hits, count(*) as filled
+         from cells where value <> '' group by all)"""
+
+
+@query(f"""{_HITS} select name as "column", hits, filled from hits""")
 def key_column_hits(t: Tables) -> DataFrame:
     return K.key_hits(_messy(t), areas(t), "county_norm")
 
 
-@query("""
-select 'admin1' as key_column, count(*) as n from customer""")
+@query(f"""{_HITS}, best as (
+  select name, 0.5 as least from hits where hits > 0 and hits >= floor(filled * 0.5) order by hits desc, place limit 1)
+select 0.5::double as share, (select name from best) as key_column
+union all select 0.9::double, (select name from hits where hits > 0 and hits >= floor(filled * 0.9) order by hits desc, place limit 1)""")
 def detected_key_column(t: Tables) -> DataFrame:
-    rows = _messy(t)
-    return rows.groupBy(F.lit(K.detect_key_column(rows, areas(t))).alias("key_column")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """The column found with half of its cells matching, and with nine tenths, which none reaches."""
+    found = [(s, K.detect_key_column(_messy(t), areas(t), share=s)) for s in (0.5, 0.9)]
+    return t.region.limit(1).select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias("share"), F.lit(c).cast("string").alias("key_column")) for s, c in found])).alias("r")).select("r.*")
 
 
 @query("""
@@ -88,14 +97,22 @@ def crosswalk_build(t: Tables) -> DataFrame:
     return K.build_crosswalk(t.spark, subareas=layer)
 
 
+_BANDS = {"adm1": (20, 400, 130), "adm2": (401, 5000, 1500), "adm3": (900_000_000, 1_000_000_000, 950_000_000)}
+
+
 @query("""
-with c as (select o_orderpriority, count(*) as n_features from orders group by all),
-b as (select *, case when o_orderpriority < '3' then 'low' else 'high' end as half from c),
-m as (select avg(n_features) as t from c)
-select 'any' as level, o_orderpriority, n_features from c where n_features between 1 and 1000000000
-qualify row_number() over (order by abs(n_features - 1), o_orderpriority) = 1""")
+with layers as (
+  select 'by size ' || p_size as layer, count(*) as n_features from part group by p_size
+  union all select 'copy of ' || p_size, count(*) from part group by p_size
+  union all select 'by clerk ' || o_custkey % 3, count(*) from orders group by all),
+bands as (select * from (values """ + ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in _BANDS.items()) + """) v(level, low, high, target))
+select level, layer, n_features from layers join bands on n_features between low and high
+qualify row_number() over (partition by level order by abs(n_features - target), layer) = 1""")
 def layer_choice(t: Tables) -> DataFrame:
-    return K.classify_layers(t.orders.select("o_orderpriority"), "o_orderpriority", {"any": (1, 1_000_000_000, 1)})
+    """Levels with a nearest layer, ties between copies, and a level that no layer fits."""
+    layers = (t.part.select(F.explode(F.array(F.concat(F.lit("by size "), "p_size"), F.concat(F.lit("copy of "), "p_size"))).alias("layer"))
+              .unionByName(t.orders.select(F.concat(F.lit("by clerk "), (F.col("o_custkey") % 3).cast("string")).alias("layer"))))
+    return K.classify_layers(layers, "layer", _BANDS)
 
 
 @query("""
@@ -218,19 +235,19 @@ def coverage_share(t: Tables) -> DataFrame:
 
 
 @query(f"""{_COVER},
-u as (select distinct admin1 as name from m where admin1 is not null and {sql_key('admin1')} not in (select county_norm from k) order by 1 limit 15)
+u as (select admin1 as name, count(*) as n from m where admin1 is not null and {sql_key('admin1')} not in (select county_norm from k) group by 1)
 select 'food' as layer, case when 100.0 * hit / total >= 99 then 'PASS' when 100.0 * hit / total >= 80 then 'WARN' else 'FAIL' end as status,
   'customers join coverage' as label, round(100.0 * hit / total, 1) || '% of rows match (admin1)' as detail from g
-union all select 'food', 'INFO', 'customers unmatched names', (select string_agg(name, ', ' order by name) from u)""")
+union all select 'food', 'INFO', 'customers unmatched names', (select count(*) || ' in ' || cast(sum(n) as bigint) || ' rows' from u)""")
 def join_coverage(t: Tables) -> DataFrame:
     return Q.join_coverage("customers", _messy(t), areas(t), "food")
 
 
 @query(f"""
-select distinct admin1 as name from ({_MESSY}) m where admin1 is not null
-  and {sql_key('admin1')} not in (select county_norm from ({AREAS}) a) order by 1 limit 5""")
+select admin1 as name, count(*) as n from ({_MESSY}) m where admin1 is not null
+  and {sql_key('admin1')} not in (select county_norm from ({AREAS}) a) group by 1""")
 def unmatched_names(t: Tables) -> DataFrame:
-    return Q.unmatched_names(_messy(t), areas(t), "admin1", "county_norm", 5)
+    return Q.unmatched_names(_messy(t), areas(t), "admin1", "county_norm")
 
 
 @query(f"""
@@ -246,14 +263,16 @@ def null_counts(t: Tables) -> DataFrame:
 with m as ({_MESSY})
 select 'food' as layer, case when count(*) = 1500 then 'PASS' else 'WARN' end as status, 'customers rows' as label, cast(count(*) as varchar) as detail from m
 union all select 'food', 'INFO', 'customers measures', '3'
-union all select 'food', 'WARN', 'customers null cells', 'admin1(' || count(*) || ')' from m where admin1 is null""")
+union all select 'food', 'WARN', 'customers null cells', '1 columns'
+union all select 'food', 'WARN', 'customers.admin1 null cells', cast(count(*) as varchar) from m where admin1 is null""")
 def null_audit(t: Tables) -> DataFrame:
     return Q.null_audit("customers", _messy(t), "food", ("c_custkey",), 1500)
 
 
 @query("""
-select 'food' as layer, 'FAIL' as status, 'area values' as label, string_agg(distinct o_orderstatus, ', ' order by o_orderstatus) as detail from orders
-union all select 'food', 'INFO', 'domains', string_agg(distinct o_orderpriority, ', ' order by o_orderpriority) from orders
+select 'food' as layer, 'FAIL' as status, 'rows of other areas' as label, cast(count(*) as varchar) as detail from orders where o_orderstatus <> 'F'
+union all select 'food', 'FAIL', 'other area ' || o_orderstatus, count(*) || ' rows' from orders where o_orderstatus <> 'F' group by o_orderstatus
+union all select 'food', 'INFO', 'domain ' || o_orderpriority, count(*) || ' rows' from orders group by o_orderpriority
 union all select 'food', 'INFO', 'year span', min(year(o_orderdate)) || '-' || max(year(o_orderdate)) from orders
 union all select 'food', case when count(*) filter (not (o_totalprice > 1000)) = 0 then 'PASS' else 'WARN' end, 'null values',
   count(*) filter (not (o_totalprice > 1000)) || ' of ' || count(*) from orders""")
@@ -278,8 +297,7 @@ def price_checks(t: Tables) -> DataFrame:
 
 
 @query("""
-select 'health' as layer, 'INFO' as status, 'indicators' as label,
-  count(distinct event_type) || ': ' || string_agg(distinct event_type, ', ' order by event_type) as detail from events
+select 'health' as layer, 'INFO' as status, 'indicator ' || event_type as label, count(*) || ' rows' as detail from events group by event_type
 union all select 'health', 'INFO', 'year span', min(year(ts)) || '-' || max(year(ts)) from events""")
 def indicator_checks(t: Tables) -> DataFrame:
     return Q.indicator_checks(t.events.select(F.col("event_type").alias("indicator"), F.year("ts").alias("year")), "health")
@@ -319,11 +337,6 @@ def audit_verdicts(t: Tables) -> DataFrame:
     return Q.verdicts(Q.all_findings([_ready(t), extra]))
 
 
-@query()
-def file_inventory(t: Tables) -> DataFrame:
-    return Q.inventory_summary(Q.file_inventory(t.spark, t.folder, checksum=False))
-
-
 # --- ledger ------------------------------------------------------------------------------------
 _LEDGER = """select 'r' || doc_id % 3 as run_id, lang as layer, source as source_key,
   case when n_chars % 4 = 0 then 'failed' when n_chars % 4 = 1 then 'manual' else 'ok' end as status, n_chars as bytes from documents"""

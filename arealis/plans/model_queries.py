@@ -147,22 +147,23 @@ def residual_autocorrelation(t: Tables) -> DataFrame:
     table = area_table(t)
     edges = cut_lineage(S.queen_contiguity(_squares(t), "area"))
     fits = R.fit_many(table, R.named_specs(("food_density", "nutrition")))
-    return AC.residual_autocorrelation(table, edges, "area", fits, permutations=99, max_missing=10**9)
+    return AC.residual_autocorrelation(table, edges, "area", fits, max_missing=10**9)
 
 
 @query()
 def lagged_model(t: Tables) -> DataFrame:
     edges = cut_lineage(S.queen_contiguity(_squares(t), "area"))
-    fit, _ = AC.lagged_model(area_table(t), edges, "area", "food_nutrient_density_index", ("soil_index", *P.STAGE1_CONTROLS),
-                             ["soil_index", "farming_hh_share"], permutations=9, max_missing=10**9)
-    return R.coefficient_table(t.spark, {"lagged": fit})
+    fit, test = AC.lagged_model(area_table(t), edges, "area", "food_nutrient_density_index", ("soil_index", *P.STAGE1_CONTROLS),
+                                ["soil_index", "farming_hh_share"], max_missing=10**9)
+    return R.coefficient_table(t.spark, {"lagged": fit}).withColumns(
+        {c: test.select(c).scalar() for c in ("morans_i", "expected_i", "perm_p")})
 
 
 @query()
 def kmeans_zones(t: Tables) -> DataFrame:
-    dims = range(8)
+    dims = range(64)
     vectors = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in dims])
-    zones, info = TY.typology(vectors, "vec_id", [f"d{i}" for i in dims], range(3, 6), n_init=2)
+    zones, info = TY.typology(vectors, "vec_id", [f"d{i}" for i in dims])
     return zones.groupBy("soil_zone").agg(F.count(F.lit(1)).alias("n")).withColumns(
         {"k": F.lit(info["k"]), "silhouette": F.lit(info["silhouette"])})
 

@@ -32,21 +32,20 @@ select l_orderkey, l_linenumber,
   case when l_linenumber = 1 then null when l_linenumber = 2 then l_orderkey * 1000 + l_partkey
     when l_linenumber = 3 then -l_quantity when l_linenumber = 4 then null else l_extendedprice end::double as number,
   case when l_linenumber = 1 then null when l_linenumber = 3 then -l_quantity when l_linenumber = 4 then null
-    when l_linenumber = 5 then l_extendedprice when l_linenumber = 6 then 0.0 end::double as composition,
+    when l_linenumber = 5 then l_extendedprice when l_linenumber = 6 then 0.0 when l_linenumber = 7 then l_extendedprice end::double as composition,
   case when l_linenumber = 4 then (case when l_quantity > 0 then l_quantity else 1 end) else 1.0 end::double as quantity
-from lineitem where l_linenumber <= 6""")
+from lineitem""")
 def number_cells(t: Tables) -> DataFrame:
     n, q, p = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_extendedprice")
-    li = t.lineitem.where(n <= 6)
     price = F.regexp_replace(F.format_number(p, 2), "^$", "")
     thousands = F.concat(F.lit(" "), F.format_number(F.col("l_orderkey") * 1000 + F.col("l_partkey"), 0), F.lit(" *"))
     shown = (F.when(n == 1, F.lit("-")).when(n == 2, thousands)
              .when(n == 3, F.concat(F.lit("-"), q.cast("string"))).when(n == 4, F.lit("3-4-5")).otherwise(price))
     comp = (F.when(n == 1, F.lit(" n.d. ")).when(n == 3, F.concat(F.lit("-"), q.cast("string")))
             .when(n == 4, F.concat(q.cast("string"), F.lit("-9"))).when(n == 5, F.concat(F.lit("["), price, F.lit("]")))
-            .when(n == 6, F.lit("Tr")))
+            .when(n == 6, F.lit("Tr")).when(n == 7, price))
     unit = F.when(n == 4, F.concat(F.lit("per "), q.cast("string"), F.lit(" KG"))).otherwise(F.lit("KG"))
-    return li.select("l_orderkey", "l_linenumber", PA.number_cell(shown).alias("number"),
+    return t.lineitem.select("l_orderkey", "l_linenumber", PA.number_cell(shown).alias("number"),
                      PA.composition_cell(comp).alias("composition"), PA.unit_quantity(unit).alias("quantity"))
 
 
@@ -185,10 +184,27 @@ def classified_rows(t: Tables) -> DataFrame:
                    F.col("subcounty_code").alias("code")))
 
 
-@query(f"""select 'census' as doc_id, 1::int as page, 0::int as table_no, 1::int as header_row from (select count(*) as n from lineitem) q where n > 0""")
+_NATION_TABLES = """with cells as (
+  select n_name as doc_id, c_custkey % 40 as row_no, c_custkey % 7 as col_no,
+         case when c_acctbal > 6000 then 'County' when c_acctbal > 3000 then 'Total' when c_acctbal > 0 then c_mktsegment else '' end as text
+  from customer join nation on c_nationkey = n_nationkey),
+once as (select doc_id, row_no, col_no, max(text) as text from cells group by all),
+rows as (select doc_id, row_no, count(*) filter (trim(text) <> '') as filled, bool_or(text = 'County') as named,
+                bool_or(regexp_matches(lower(text), 'population|household|area|density|male|female|total')) as measured from once group by all)
+"""
+
+
+@query(_NATION_TABLES + """select doc_id, 1::int as page, 0::int as table_no,
+  cast(coalesce(min(row_no) filter (filled >= 3 and named and measured), 0) as int) as header_row from rows group by doc_id""")
 def header_rows(t: Tables) -> DataFrame:
-    cells, _ = _census_cells(t)
-    return C.header_row(_with_header(cells, [["Population by county"], ["County", "Total", "Male", "Female"]]))
+    """A table per nation whose cells come from its customers, so that headers stand anywhere or nowhere."""
+    balance = F.col("c_acctbal")
+    text = (F.when(balance > 6000, "County").when(balance > 3000, "Total").when(balance > 0, F.col("c_mktsegment"))
+            .otherwise(""))
+    cells = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        F.col("n_name").alias("doc_id"), (F.col("c_custkey") % 40).cast("int").alias("row_no"),
+        (F.col("c_custkey") % 7).cast("int").alias("col_no")).agg(F.max(text).alias("text"))
+    return C.header_row(cells.withColumns({"page": F.lit(1), "table_no": F.lit(0)}))
 
 
 @query(f"""{_TOTALS}
@@ -221,40 +237,75 @@ def longest_key_prefix(t: Tables) -> DataFrame:
 
 
 @query("""
-with r as (select lower(replace(n_name, '_', ' ')) as key, count(*) as n, round(sum(c_acctbal), 2) as b from customer join nation on c_nationkey = n_nationkey group by all)
-select key, cast(n as double) as population_total, b as households, 7.0::double as density from r""")
+with r as (select n_regionkey as doc_id, lower(replace(n_name, '_', ' ')) as key, count(*) as n, round(sum(c_acctbal), 2) as b
+           from customer join nation on c_nationkey = n_nationkey group by all)
+select doc_id, key, 'population_total' as "column", cast(n as double) as value from r
+union all select doc_id, key, 'households', b from r
+union all select doc_id, key, 'density', 7.0 from r
+union all select doc_id, key, 'population_male', cast(n as double) / 4 from r where doc_id % 2 = 1
+union all select doc_id, key, 'population_female', 5.0 from r where doc_id % 2 = 1""")
 def text_table(t: Tables) -> DataFrame:
+    """A text per region: even ones have three columns, odd ones five, each under a heading of its own."""
     from .base import areas
-    facts = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "n_nationkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("b")))
-    text = F.concat_ws(" ", F.replace("n_name", F.lit("_"), F.lit(" ")), F.col("n").cast("string"), F.format_number("b", 2), F.lit("7"))
-    lines = facts.select(F.lit("d").alias("doc_id"), (F.col("n_nationkey") + 2).cast("bigint").alias("line_no"), text.alias("text"))
-    head = t.region.agg(F.count(F.lit(1))).select(F.lit("d").alias("doc_id"), F.lit(1).cast("bigint").alias("line_no"),
-                                                  F.lit("Name Total Households Density").alias("text"))
+    facts = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+             .groupBy("n_name", "n_nationkey", F.col("n_regionkey").alias("doc_id")).agg(
+                 F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("b")))
+    more = F.when(F.col("doc_id") % 2 == 1, F.concat_ws(" ", (F.col("n") / 4).cast("string"), F.lit("5")))
+    text = F.concat_ws(" ", F.replace("n_name", F.lit("_"), F.lit(" ")), F.col("n").cast("string"), F.format_number("b", 2),
+                       F.lit("7"), more)
+    lines = facts.select("doc_id", (F.col("n_nationkey") + 2).cast("bigint").alias("line_no"), text.alias("text"))
+    heading = F.when(F.col("r_regionkey") % 2 == 1, "Name Total Households Density Male Female").otherwise(
+        "Name Total Households Density")
+    head = t.region.select(F.col("r_regionkey").alias("doc_id"), F.lit(1).cast("bigint").alias("line_no"), heading.alias("text"))
     none = areas(t).where("false").select(F.col("county_norm").alias("subcounty_norm"))
     out = LN.parse_lines(lines.unionByName(head), areas(t), none)["county_norm"]
     return out.withColumnRenamed("county_norm", "key")
 
 
 @query("""
-select lpad(cast(10000 + p_partkey as varchar), 5, '0') as food_code, lpad(cast(p_partkey // 50 % 90 + 10 as varchar), 2, '0') || ' ' || p_group as food_group,
+with u as (
+  select 'orders' as domain, o_custkey % 50 as area_code, o_orderkey, null as c_custkey, o_totalprice, null as c_acctbal from orders
+  union all select 'customer', c_nationkey + 20, null, c_custkey, null, c_acctbal from customer)
+select * from u where area_code = 30""")
+def united_domains(t: Tables) -> DataFrame:
+    """Orders and customers as two files of one domain folder, each with columns of its own; nations have no code."""
+    orders = t.orders.select((F.col("o_custkey") % 50).alias("Area Code"), "o_orderkey", "o_totalprice")
+    customers = t.customer.select((F.col("c_nationkey") + 20).cast("string").alias("area_code"), "c_custkey", "c_acctbal")
+    out = S.union_domains({"orders": orders, "customer": customers, "nation": t.nation}, 30)
+    return out.withColumn("area_code", F.col("area_code").cast("bigint"))
+
+
+@query("""
+with k as (select 'k' || event_type as key, upper(event_type) as layer from (select distinct event_type from events)),
+s as (select distinct 'K ' || event_type || '-' || user_id % 3 as source from events)
+select source, coalesce((select layer from k where starts_with(lower(replace(replace(source, ' ', ''), '-', '')), replace(key, '_', ''))
+  order by length(key) desc limit 1), 'core') as layer from s""")
+def routed_layers(t: Tables) -> DataFrame:
+    kinds = t.events.select("event_type").distinct()
+    registry = kinds.select(F.concat(F.lit("k"), "event_type").alias("key"), F.upper("event_type").alias("layer"))
+    return S.route_layers(t.events.select(F.concat(F.lit("K "), "event_type", F.lit("-"), (F.col("user_id") % 3).cast("string"))
+                                          .alias("source")), registry)
+
+
+@query("""
+select cast(10000 + p_partkey % 90000 as varchar) as food_code, lpad(cast(p_partkey // 50 % 90 + 10 as varchar), 2, '0') || ' ' || p_group as food_group,
   p_name as food_name, p_size::double as edible_factor, case when p_partkey % 4 <> 0 then p_retailprice end as energy_kj
-from (select *, first_value(p_type) over (partition by p_partkey // 50 order by p_partkey) as p_group from part) q where p_partkey < 89999""")
+from (select *, first_value(p_type) over (partition by p_partkey // 50 order by p_partkey) as p_group from part) q""")
 def composition_rows(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     group = F.floor(k / 50)
-    heads = t.part.where(k < 89999).groupBy(group.alias("g")).agg(F.min_by("p_type", "p_partkey").alias("p_type"))
+    heads = t.part.groupBy(group.alias("g")).agg(F.min_by("p_type", "p_partkey").alias("p_type"))
     def cell(col, text):
         return F.struct(F.lit(col).cast("int").alias("col_no"), text.cast("string").alias("text"))
 
-    place = lambda g, row: [F.lit("food").alias("doc_id"), g.cast("int").alias("page"), F.lit(0).alias("table_no"), row.cast("int").alias("row_no")]
+    place = lambda g, row: [F.floor(g / 1800).alias("doc_id"), g.cast("int").alias("page"), F.lit(0).alias("table_no"), row.cast("int").alias("row_no")]
     top = heads.select(*place(F.col("g"), F.lit(0)), F.explode(F.array(
         cell(0, F.lpad((F.col("g") % 90 + 10).cast("string"), 2, "0")), cell(1, F.col("p_type")))).alias("c"))
-    rows = t.part.where(k < 89999).select(*place(group, k % 50 + 1), F.explode(F.array(
-        cell(0, (k + 10000).cast("string")), cell(1, F.replace("p_name", F.lit(" "), F.lit("\n"))), cell(2, F.col("p_size")),
+    rows = t.part.select(*place(group, k % 50 + 1), F.explode(F.array(
+        cell(0, (k % 90000 + 10000).cast("string")), cell(1, F.replace("p_name", F.lit(" "), F.lit("\n"))), cell(2, F.col("p_size")),
         cell(3, F.when(k % 4 == 0, F.lit("nd")).otherwise(F.format_number("p_retailprice", 2))))).alias("c"))
     cells = top.unionByName(rows).select("doc_id", "page", "table_no", "row_no", "c.*")
-    pages = heads.select(F.lit("food").alias("doc_id"), F.col("g").cast("int").alias("page"),
+    pages = heads.select(F.floor(F.col("g") / 1800).alias("doc_id"), F.col("g").cast("int").alias("page"),
                          F.lit("Code Energy Protein Water").alias("head"))
     out = C.composition_rows(cells, pages)["proximates"]
     return out.select("food_code", "food_group", "food_name", "edible_factor", "energy_kj")

@@ -187,3 +187,18 @@ SPATIAL_TARGETS = (("stunting", "child stunting"),
                    ("stunting_change", "stunting change between rounds"))
 ENVIRONMENT_TERMS = ("rain_mm_mean", "ndvi_mean")
 CHILD_CONTROLS = ("child_age_months", "child_female", "mother_edu_years", "wealth")
+
+# --- name patterns, in order of preference (fixed values) -------------------------------
+#: Column roles of a boundary attribute table: patterns for the whole lower-case column name.
+BOUNDARY_COLUMNS = {
+    "area_name": (r"(?=.*adm1)(?=.*(?:en|name)).*|county|county_nam|counties",),
+    "area_code": (r"(?=.*adm1)(?=.*(?:pcode|code)).*",),
+    "subarea_name": (r"(?=.*adm2)(?=.*(?:en|name)).*|subcounty|sub_county|scounty|sub_count",),
+    "subarea_code": (r"(?=.*adm2)(?=.*(?:pcode|code)).*",),
+}
+#: Measure and use of a sectioned agricultural table: (words, name); the last one holds otherwise.
+SECTION_MEASURES = (("area", "ag_land_ha"), ("agricultural land", "ag_land_ha"), ("household", "farming_households"))
+SECTION_USES = (("subsistence", "subsistence"), ("commercial", "commercial"), ("", "total"))
+DATA_WORDS = ("population", "household", "area", "density", "male", "female", "total")
+SKIP_NAMES = ("total", "source", "note", "annex")
+AREA_CODE_ALIASES = ("area code", "area_code", "areacode", "area code (fao)")

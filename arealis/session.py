@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,17 +24,9 @@ def local_session(app: str = "arealis", cores: int | str = "*", partitions: int
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Where that is unset, a local
-    master gets a temporary folder, and a cluster session keeps its lineage and spills
-    instead, since a machine-local folder would not outlive its executor.
+    The folder is the one in ``spark.checkpoint.dir``, which all executors see. Where none is set the plan is left as it
+    is: it is then computed where it is used.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    elif configured is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(configured)
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
+        return df
     return df.checkpoint(eager=True)

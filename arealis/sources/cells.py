@@ -40,20 +40,18 @@ def unrotate(cells: DataFrame, wider_than: int = 20) -> DataFrame:
         F.when(turn, F.reverse("text")).otherwise(F.col("text")).alias("text"))
 
 
-def _head_rows(cells: DataFrame, rows: int) -> DataFrame:
-    """The first rows of each table as one array of lower-case cells, in column order."""
-    top = cells.where(F.col("row_no") < rows)
-    return top.groupBy(*TABLE, "row_no").agg(
+def _row_cells(cells: DataFrame) -> DataFrame:
+    """The rows of each table as one array of lower-case cells, in column order."""
+    return cells.groupBy(*TABLE, "row_no").agg(
         F.array_sort(F.collect_list(F.struct("col_no", F.lower(F.trim(F.coalesce("text", F.lit(""))))
                                              .alias("text")))).alias("cells"))
 
 
-def header_row(cells: DataFrame, rows: int = 15, area_word: str = "county",
-               data_words=("population", "household", "area", "density", "male", "female", "total"),
+def header_row(cells: DataFrame, area_word: str = "county", data_words=P.DATA_WORDS,
                at_least: int = 3) -> DataFrame:
     """(table, header_row): the first row with three or more filled cells that names areas and
     some measure; 0 where there is none."""
-    row = _head_rows(cells, rows).withColumn("filled", F.filter(
+    row = _row_cells(cells).withColumn("filled", F.filter(
         F.transform("cells", lambda c: c["text"]), lambda t: (t != "") & (t != "nan")))
     joined = F.array_join("filled", " ")
     names = F.contains(joined, F.lit(area_word))
@@ -63,7 +61,7 @@ def header_row(cells: DataFrame, rows: int = 15, area_word: str = "county",
                                    .alias("header_row"))
 
 
-def map_header_columns(cells: DataFrame, rows: int = 12, at_least: int = 3, words=P.HEADER_WORDS,
+def map_header_columns(cells: DataFrame, at_least: int = 3, words=P.HEADER_WORDS,
                        bars=None) -> DataFrame:
     """(table, header_row, col_no, canon): columns of each table's header by keyword.
 
@@ -71,7 +69,7 @@ def map_header_columns(cells: DataFrame, rows: int = 12, at_least: int = 3, word
     header is the first row with three or more filled cells and some measure.
     """
     bars = P.HEADER_BARS if bars is None else bars
-    row = _head_rows(cells, rows)
+    row = _row_cells(cells)
     row = row.withColumn("filled", F.size(F.filter("cells", lambda c: c["text"] != "")))
     specs = F.array(*[F.struct(
         F.lit(canon).alias("canon"), F.array(*[F.lit(k) for k in keywords]).alias("words"),
@@ -136,7 +134,7 @@ def classify_rows(cells: DataFrame, crosswalk: DataFrame, area_wins: bool = True
 
 
 def two_tier_crops(cells: DataFrame, keys: DataFrame, key: str = "county_norm", item: str = "doc_id",
-                   skip=("total", "source", "note", "annex")) -> DataFrame:
+                   skip=P.SKIP_NAMES) -> DataFrame:
     """(item, name, year, area_ha, production_mt) from tables with years over Area/Production.
 
     A year holds for the cells to its right until the next one. Of several cells for the same
@@ -170,14 +168,12 @@ def two_tier_crops(cells: DataFrame, keys: DataFrame, key: str = "county_norm",
     return out.where(F.col("area_ha").isNotNull() | F.col("production_mt").isNotNull())
 
 
-def _ag_name(group: Column, sub: Column, col: Column) -> Column:
-    g, s = F.lower(group), F.lower(sub)
-    measure = (F.when(F.contains(g, F.lit("area")) | F.contains(g, F.lit("agricultural land")), "ag_land_ha")
-               .when(F.contains(g, F.lit("household")), "farming_households")
-               .otherwise(F.concat(F.lit("col_"), col.cast("string"))))
-    tail = (F.when(F.contains(s, F.lit("subsistence")), "subsistence")
-            .when(F.contains(s, F.lit("commercial")), "commercial").otherwise("total"))
-    return F.concat_ws("_", measure, tail)
+def _named(spec: DataFrame, column: str, rules, name: str) -> DataFrame:
+    """Join each row to the first rule whose words ``column`` holds; none: null."""
+    low = F.lower(F.col(column))
+    found = F.filter(F.array(*[F.struct(F.lit(w).alias("words"), F.lit(n).alias("name")) for w, n in rules]),
+                     lambda r: F.contains(low, r["words"]))
+    return spec.withColumn(name, F.get(found, F.lit(0))["name"])
 
 
 AG_COLUMNS = [f"{m}_{t}" for m in ("ag_land_ha", "farming_households")
@@ -191,7 +187,7 @@ def sectioned_table(cells: DataFrame, crosswalk: DataFrame, skip_keys: tuple[str
     A name that is both area and sub-area is the sub-area only right inside its own section.
     """
     columns = columns or AG_COLUMNS
-    top = _head_rows(cells, 6)
+    top = _row_cells(cells)
     named = F.contains(F.array_join(F.transform("cells", lambda c: c["text"]), " "), F.lit("county"))
     hrow = top.groupBy(*TABLE).agg(F.coalesce(F.min(F.when(named, F.col("row_no"))), F.lit(0)).alias("__h"))
     tagged = null_safe_join(cells, hrow, TABLE)
@@ -203,7 +199,9 @@ def sectioned_table(cells: DataFrame, crosswalk: DataFrame, skip_keys: tuple[str
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     head = head.withColumn("g", F.coalesce(F.last("g", ignorenulls=True).over(along), F.lit("")))
     two = F.max(F.lower("s").rlike("subsist|commerc")).over(Window.partitionBy(*TABLE))
-    spec = head.select(*TABLE, "col_no", _ag_name(F.col("g"), F.col("s"), F.col("col_no")).alias("canon"),
+    head = _named(_named(head, "g", P.SECTION_MEASURES, "__measure"), "s", P.SECTION_USES, "__use")
+    measure = F.coalesce("__measure", F.concat(F.lit("col_"), F.col("col_no").cast("string")))
+    spec = head.select(*TABLE, "col_no", F.concat_ws("_", measure, "__use").alias("canon"),
                        (F.col("__h") + F.when(two, 2).otherwise(1)).alias("__start"))
     body = cells.join(spec, [*TABLE, "col_no"]).where(F.col("row_no") >= F.col("__start"))
     rows = body.groupBy(*TABLE, "row_no").agg(

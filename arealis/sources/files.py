@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import presets as P
-from ..operators.keys import attach_detected_area, resolve_alias
+from ..functions.text import slug, tight_key
+from ..operators.keys import attach_detected_area, match_alias, match_column
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -25,16 +27,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> list[tuple[str, int]]:
-    """(path, bytes) of the files under a folder, in name order; contents are not read."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).load(root).select("path", "length"))
-    return [(r["path"], r["length"]) for r in df.orderBy("path").collect()]
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, length)`` of the files under a folder; contents are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob).load(root).select("path", "length"))
 
 
 def indicator_rows(df: DataFrame, column: str, carry: list[str] = ()) -> DataFrame:
@@ -55,40 +51,36 @@ def indicator_panel(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("indicator").asc_nulls_last(), F.col("year").asc_nulls_last())
 
 
-def union_domains(spark: SparkSession, paths: list[str], area_code: int,
-                  code_aliases=("area code", "area_code", "areacode", "area code (fao)"),
-                  tag: str = "domain", strip: str = r"^.*/|\.csv$") -> DataFrame | None:
-    """One area's rows of several files with differing columns, tagged with the file's name.
+def union_domains(tables: dict[str, DataFrame], area_code: int, code_aliases=P.AREA_CODE_ALIASES,
+                  tag: str = "domain") -> DataFrame | None:
+    """One area's rows of several tables with differing columns, tagged with the table's name.
 
-    Files without an area-code column are skipped.
+    Tables without an area-code column are skipped; columns that a table lacks are null.
     """
     parts = []
-    for path in sorted(paths):
-        df = spark.read.option("header", True).csv(path)
-        by_low = {c.strip().lower(): c for c in df.columns}
-        code = next((by_low[a] for a in code_aliases if a in by_low), None)
-        if code is None:
-            continue
-        name = F.regexp_replace(F.col("_metadata.file_path"), strip, "")
-        parts.append(df.withColumn(tag, name).where(F.col(code).try_cast("double") == area_code))
+    for name, df in sorted(tables.items()):
+        code = match_column(df.columns, [re.escape(a) for a in code_aliases], lambda c: c.strip().lower())
+        if code is not None:
+            mine = df.where(F.col(f"`{code}`").try_cast("double") == area_code)
+            parts.append(mine.select(*[F.col(f"`{c}`").alias("area_code" if c == code else c) for c in df.columns],
+                                     F.lit(name).alias(tag)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
-def route_layer(source: str, layer_of: dict[str, str], default: str = "core") -> str:
-    """Layer of a folder name: exact, else the first key that shares a prefix once only
-    letters and digits are compared."""
-    if source in layer_of:
-        return layer_of[source]
-
-    def bare(s: str) -> str:
-        return re.sub("[^a-z0-9]", "", s.lower())
+def route_layers(sources: DataFrame, registry: DataFrame, default: str = "core") -> DataFrame:
+    """``(source, layer)`` of folder names by a registry ``(key, layer)``.
 
-    s = bare(source)
-    for key, layer in layer_of.items():
-        k = bare(key)
-        if s and (k.startswith(s) or s.startswith(k)):
-            return layer
-    return default
+    Compared on letters and digits only: the registry key that begins the name, or begins with it, and shares most
+    letters wins; then the first key by name.
+    """
+    left = sources.select("source").distinct().withColumn("__s", tight_key("source"))
+    right = registry.select("key", "layer", tight_key("key").alias("__k")).where("__k <> ''")
+    # names that begin alike share their first letter, which makes this an equi-join
+    near = (F.left("__s", F.lit(1)) == F.left("__k", F.lit(1))) & (
+        F.startswith("__s", F.col("__k")) | F.startswith("__k", F.col("__s")))
+    order = F.struct(-F.least(F.length("__s"), F.length("__k")), F.abs(F.length("__s") - F.length("__k")), "key")
+    return (left.join(right, near, "left").groupBy("source").agg(F.min_by("layer", order).alias("layer"))
+            .select("source", F.coalesce("layer", F.lit(default)).alias("layer")))
 
 
 def table_name(source: str, path: str) -> str:
@@ -100,68 +92,69 @@ def ingest_folder(spark: SparkSession, root: str, out: str, layer_of: dict[str,
                   crosswalk: DataFrame | None = None, skip: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
     """Write every CSV under ``root/<source>/`` as ``out/<layer>/<source>__<stem>``.
 
-    Area code and name are added where a key column is found. Gives (layer, table, path).
-    Document sources are registered like the others, as documented.
+    Area code and name are added where a key column is found. Gives (layer, table, path). Every file has columns of
+    its own and becomes a table of its own, so there is a job per file; the list of files is the folder's catalogue.
     """
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.regexp_extract("path", rf"{re.escape(base)}/(.+)$", 1)
+    files = list_files(spark, root, "*.csv").select("path", F.substring_index(inside, "/", 1).alias("source")).where(
+        F.contains(inside, F.lit("/")) & ~F.col("source").isin("", *skip))
+    registry = spark.createDataFrame(list(layer_of.items()), "key string, layer string")
     written = []
-    base = root.rstrip("/")
-    for path, _ in list_files(spark, root, "*.csv"):
-        inside = path.split(f"{base.rsplit('/', 1)[-1]}/", 1)[-1]
-        source = inside.split("/", 1)[0]
-        if source in skip or "/" not in inside:
-            continue
-        df = strip_tag_row(spark.read.option("header", True).csv(path))
+    for r in files.join(route_layers(files, registry), "source").orderBy("path").collect():
+        df = strip_tag_row(read_positioned(spark, r["path"]), "__at").drop("__at")
         if crosswalk is not None:
             df = attach_detected_area(df, crosswalk)
-        layer, table = route_layer(source, layer_of), table_name(source, path)
-        target = f"{out.rstrip('/')}/{layer}/{table}"
+        table = table_name(r["source"], r["path"])
+        target = f"{out.rstrip('/')}/{r['layer']}/{table}"
         df.write.mode("overwrite").parquet(target)
-        written.append((layer, table, target))
+        written.append((r["layer"], table, target))
     return written
 
 
-def first_table(spark: SparkSession, roots: list[str], glob: str = "*.csv") -> DataFrame | None:
-    """The first file in folder order, then name order."""
-    for root in roots:
-        files = list_files(spark, root, glob)
-        if files:
-            return spark.read.option("header", True).csv(files[0][0])
-    return None
+def read_positioned(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with its records' order in ``__at``: the block they were read from and their place in it."""
+    df = spark.read.option("header", True).csv(path)
+    return df.withColumn("__at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
-def strip_tag_row(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Drop the first record when more than half of its cells are ``#`` tags.
+def folder_table(spark: SparkSession, roots: list[str], tag: str = "file") -> DataFrame | None:
+    """All CSVs of the first folder that has any, tagged with their names; columns a file lacks are null.
 
-    Without an ``order`` column any record made mostly of tags is dropped, which needs no
-    record numbering; data cells do not start with ``#``.
+    Name a single file in ``roots`` to read only that.
     """
+    for root in roots:
+        try:
+            paths = [r["path"] for r in list_files(spark, root, "*.csv").orderBy("path").collect()]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        parts = [spark.read.option("header", True).csv(p).withColumn(tag, F.lit(p.rsplit("/", 1)[-1])) for p in paths]
+        if parts:
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return None
+
+
+def strip_tag_row(df: DataFrame, order: str) -> DataFrame:
+    """Drop the first record, by ``order``, when more than half of its cells are ``#`` tags."""
     cells = [c for c in df.columns if c != order]
     tags = reduce(lambda a, b: a + b, [
-        F.coalesce(F.startswith(F.trim(F.col(c).cast("string")), F.lit("#")).cast("int"), F.lit(0)) for c in cells])
-    is_tag = tags > len(cells) / 2.0
-    if order is not None:
-        is_tag = is_tag & (F.col(order) == df.agg(F.min(order).alias("m")).scalar())
-    return df.where(~is_tag)
+        F.coalesce(F.startswith(F.trim(F.col(f"`{c}`").cast("string")), F.lit("#")).cast("int"), F.lit(0)) for c in cells])
+    first = df.agg(F.min(order).alias("m")).scalar()
+    return df.where(~((tags > len(cells) / 2.0) & (F.col(order) == first)))
 
 
-def raster_column(stem: str) -> str:
-    """Column name of a nutrient raster."""
-    s = stem.lower().removeprefix("isda_")
-    if s in P.RASTER_NAMES:
-        return P.RASTER_NAMES[s]
-    s = re.sub("[^0-9a-z]+", "_", s).strip("_")
-    return s if s.endswith("isda") else f"{s}_isda"
+def raster_columns(df: DataFrame, stem: str = "stem") -> DataFrame:
+    """Add ``column``: the known name of a nutrient raster's file, else the slug of its stem marked as this source's."""
+    names = df.sparkSession.createDataFrame(list(P.RASTER_NAMES.items()), "__slug string, __name string")
+    marked = F.when(F.endswith("__slug", F.lit("isda")), F.col("__slug")).otherwise(F.concat("__slug", F.lit("_isda")))
+    return (df.withColumn("__slug", slug(F.regexp_replace(F.lower(stem), "^isda_", ""))).join(names, "__slug", "left")
+            .withColumn("column", F.coalesce("__name", marked)).drop("__slug", "__name"))
 
 
 def point_columns(columns: list[str]) -> tuple[str | None, str | None, dict[str, str]]:
     """Latitude, longitude and the nutrient columns of a point table."""
-    lat, lon = resolve_alias(columns, P.LAT_ALIASES), resolve_alias(columns, P.LON_ALIASES)
-    found = {n: resolve_alias(columns, a, suffix=False) for n, a in P.NUTRIENT_ALIASES.items()}
+    lat, lon = match_alias(columns, P.LAT_ALIASES), match_alias(columns, P.LON_ALIASES)
+    found = {n: match_alias(columns, a, suffix=False) for n, a in P.NUTRIENT_ALIASES.items()}
     return lat, lon, {n: c for n, c in found.items() if c}
-
-
-def price_area_filter(df: DataFrame, code: str, columns=("iso3", "country")) -> DataFrame:
-    """Rows whose country column holds the code."""
-    by_low = {c.lower(): c for c in df.columns}
-    c = next((by_low[x] for x in columns if x in by_low), None)
-    return df if c is None else df.where(F.contains(F.upper(F.col(c)), F.lit(code.upper())))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from arealis import presets as P
 from arealis.operators import keys as K
 from arealis.operators import ledger as L
 from arealis.operators import quality as Q
@@ -36,7 +37,7 @@ def test_domains_are_united_and_tagged(spark, tmp_path):
     (tmp_path / "trade.csv").write_text("Area Code,Year,Value\n114,2020,1\n5,2020,9\n")
     (tmp_path / "crops.csv").write_text("Area Code,Item,Value\n114,maize,2\n")
     (tmp_path / "none.csv").write_text("x\n1\n")
-    df = S.union_domains(spark, [str(p) for p in tmp_path.glob("*.csv")], 114)
+    df = S.union_domains({p.stem: S.read_table(spark, str(p)) for p in tmp_path.glob("*.csv")}, 114)
     assert {(r.domain, r.Value, r.Year, r.Item) for r in df.collect()} == {("trade", "1", "2020", None), ("crops", "2", None, "maize")}
 
 
@@ -51,8 +52,19 @@ def test_drop_folder_routes_and_joins(spark, tmp_path):
     assert {(layer, table) for layer, table, _ in got} == {("soil", "soilhive__my_file"), ("food", "fortification__f")}
     soil = spark.read.parquet(next(p for layer, _, p in got if layer == "soil"))
     assert {(r.place, r.county_code) for r in soil.collect()} == {("Nairobi", "K1"), ("Tana-River", "K2")}
-    assert S.first_table(spark, [str(tmp_path / "absent"), str(tmp_path / "external/fortification")]).columns == ["v"]
-    assert S.route_layer("unknown", layers) == "core"
+    (tmp_path / "external/fortification/g.csv").write_text("v,w\n2,3\n")
+    both = S.folder_table(spark, [str(tmp_path / "absent"), str(tmp_path / "external/fortification")])
+    assert {tuple(r) for r in both.collect()} == {("1", "f.csv", None), ("2", "g.csv", "3")}
+    names = spark.createDataFrame([("unknown",), ("Soil-Hive",), ("fort",), ("soil hive data 2",)], "source string")
+    registry = spark.createDataFrame([*layers.items(), ("soil", "other")], "key string, layer string")
+    assert {tuple(r) for r in S.route_layers(names, registry).collect()} == {
+        ("unknown", "core"), ("Soil-Hive", "soil"), ("fort", "food"), ("soil hive data 2", "soil")}
+
+
+def test_only_a_first_record_of_tags_goes(spark):
+    df = spark.createDataFrame([(0, "a", "#x"), (1, "#y", "#z")], "at int, p string, q string")
+    assert S.strip_tag_row(df, "at").count() == 2
+    assert [r.at for r in S.strip_tag_row(df.where("at = 1"), "at").collect()] == []
 
 
 def test_rows_by_name_and_section(spark):
@@ -69,9 +81,13 @@ def test_rows_by_name_and_section(spark):
     assert {(r.subcounty_norm, r.ag_land_ha_commercial, r.subcounty_code) for r in sub.collect()} == {("nairobi", 5.0, "S2")}
 
 
-def test_header_words_in_order():
-    assert K.map_header(["Sub-County", "County", "Female", "Male", "Total"]) == {
+def test_header_words_in_order(spark):
+    grid = [["x"]] * 30 + [["Sub-County", "County", "Female", "Male", "Total"]]  # however far down
+    got = C.map_header_columns(cell_table(spark, grid)).collect()
+    assert {r.col_no: r.canon for r in got} == {
         0: "subcounty", 1: "county", 2: "population_female", 3: "population_male", 4: "population_total"}
+    assert {r.header_row for r in got} == {30}
+    assert C.header_row(cell_table(spark, grid)).first().header_row == 30
 
 
 def test_department_rows_carry_headings(spark):
@@ -85,23 +101,44 @@ def test_text_lines(spark):
     lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(rows)], "doc_id string, line_no bigint, text string")
     w = xwalk(spark)
     out = LN.parse_lines(lines, w, w)
-    assert [(r.county_norm, r.population_total) for r in out["county_norm"].collect()] == [("tana river", 3.0)]
-    assert {(r.subcounty_norm, r.population_male) for r in out["subcounty_norm"].collect()} == {("nairobi", 4.0), ("bura", 7.0)}
+    def values(df, key, column):
+        return {(r[key], r.value) for r in df.collect() if r.column == column}
+
+    assert values(out["county_norm"], "county_norm", "population_total") == {("tana river", 3.0)}
+    assert values(out["subcounty_norm"], "subcounty_norm", "population_male") == {("nairobi", 4.0), ("bura", 7.0)}
     area_first = LN.parse_lines(lines, w, w, subarea_wins=False)
-    assert {r.county_norm for r in area_first["county_norm"].collect()} == {"tana river", "nairobi"}
+    assert values(area_first["county_norm"], "county_norm", "population_male") == {("tana river", 1.0), ("nairobi", 4.0)}
+
+
+def test_every_text_has_its_own_width_and_names_may_be_long(spark):
+    keys = spark.createDataFrame([(f"area {x}",) for x in "abcdefg"] + [("a name of four",)], "county_norm string")
+    none = keys.where("false").select(F.col("county_norm").alias("subcounty_norm"))
+    rows = [("a", i, f"Area {x} 1 2 3") for i, x in enumerate("abcd")]
+    rows += [("b", 0, "Male Female Total Households Density")] + [("b", i, f"Area {x} 1 2 3 4 5") for i, x in enumerate("efg", 1)]
+    lines = spark.createDataFrame([*rows, ("c", 0, "A name of four 1 2 3")], "doc_id string, line_no bigint, text string")
+    out = LN.parse_lines(lines, keys, none)["county_norm"].collect()
+    assert {(r.doc_id, r.county_norm) for r in out} == {(d, f"area {x}") for d, xs in (("a", "abcd"), ("b", "efg")) for x in xs} | {
+        ("c", "a name of four")}
+    assert {r.column for r in out if r.doc_id == "b"} == {"population_male", "population_female", "population_total",
+                                                          "households", "density"}
 
 
 def test_crosswalk_seed_and_detection(spark):
     seed = K.build_crosswalk(spark)
     assert seed.count() == 47 and seed.where("county_norm = 'murang a'").first().county_code == "KE21"
-    assert K.area_frame(xwalk(spark), spark).count() == 47
+    assert K.area_frame(None, spark).count() == 47
+    assert {r.county_norm for r in K.area_frame(xwalk(spark), spark).collect()} == {"nairobi", "tana river"}
     df = spark.createDataFrame([("x", "Nairobi"), ("y", "Bura"), ("z", "q")], "a string, b string")
     assert K.detect_key_column(df, xwalk(spark)) == "b"
     assert K.detect_key_column(df.select("a"), xwalk(spark)) is None
-    assert K.guess_columns(["ADM1_EN", "ADM1_PCODE", "ADM2_EN", "x"])["subarea_name"] == "ADM2_EN"
-    assert K.resolve_alias(["GPS_Latitude", "m3-P"], ("lat", "latitude")) == "GPS_Latitude"
+    many = spark.createDataFrame([(f"n{i}", "Nairobi" if i < 20 else f"v{i}") for i in range(900)], "a string, b string")
+    assert K.detect_key_column(many, xwalk(spark)) is None  # 20 chance hits
+    found = {role: K.match_column(["ADM1_EN", "ADM1_PCODE", "ADM2_EN", "x"], p) for role, p in P.BOUNDARY_COLUMNS.items()}
+    assert found == {"area_name": "ADM1_EN", "area_code": "ADM1_PCODE", "subarea_name": "ADM2_EN", "subarea_code": None}
+    assert K.match_alias(["GPS_Latitude", "m3-P"], ("lat", "latitude")) == "GPS_Latitude"
     assert S.point_columns(["Lat", "Long", "M3.P", "Zinc"])[2] == {"P": "M3.P", "Zn": "Zinc"}
-    assert S.raster_column("isda_iron_extractable") == "fe_isda" and S.raster_column("bulk-density") == "bulk_density_isda"
+    stems = spark.createDataFrame([("isda_iron_extractable",), ("bulk-density",), ("x isda",)], "stem string")
+    assert {r.column for r in S.raster_columns(stems).collect()} == {"fe_isda", "bulk_density_isda", "x_isda"}
 
 
 def test_ledger_files(spark, tmp_path):
