@@ -220,31 +220,62 @@ def coverage_check(tables: dict[str, DataFrame], name: str, columns: list[str],
     return findings_from(stats, rules)
 
 
-def readiness(tables: dict[str, DataFrame], rules: list[dict], layer: str, spark: SparkSession) -> DataFrame:
-    """Declared readiness rules of a layer.
-
-    A rule has ``table`` and optionally ``expect``, ``essential``, ``columns`` (coverage),
-    ``distinct`` (column, at least) and ``optional`` (absence is only noted).
+def readiness(tables: dict[str, DataFrame], rules, layer: str, spark: SparkSession) -> DataFrame:
+    """Findings of declared readiness rules; ``presets.READINESS`` has those of the five layers.
+
+    A rule names a ``table`` with ``expect`` rows (else any), and if it is not ``essential`` a missing one only warns;
+    an ``optional`` one is only noted. On a table that exists: ``columns`` with ``expect`` filled cells, ``distinct``
+    (column, at least so many values), ``present`` (columns, at least so many of them). Rules with a ``label`` look
+    across tables: ``prefix`` (at least so many tables whose names begin so), ``inputs`` (columns by a part of their
+    name) and ``one_of`` (tables one of which has rows).
     """
     parts = []
     for r in rules:
-        name, essential = r["table"], r.get("essential", True)
-        if name not in tables and r.get("optional"):
-            parts.append(fixed_findings(spark, [(layer, "INFO", name, "not built (optional)")]))
+        if "label" in r:
+            parts.append(_across(tables, r, layer, spark))
             continue
-        parts.append(table_check(tables, name, layer, r.get("expect"), essential, spark))
+        name, essential = r["table"], r.get("essential", True)
         if name not in tables:
+            status, note = ("INFO", "not built (optional)") if r.get("optional") else (
+                "FAIL" if essential else "WARN", "missing")
+            parts.append(fixed_findings(spark, [(layer, status, name, note)]))
             continue
+        df = tables[name]
+        parts.append(table_check(tables, name, layer, r.get("expect"), essential, spark))
         if r.get("columns"):
-            parts.append(coverage_check(tables, name, r["columns"], layer, r["expect"], essential))
+            parts.append(coverage_check(tables, name, list(r["columns"]), layer, r["expect"], essential))
         if r.get("distinct"):
             col, least = r["distinct"]
-            stats = tables[name].agg(F.countDistinct(col).alias("d"))
+            stats = df.agg(F.countDistinct(col).alias("d"))
             parts.append(findings_from(stats, [finding(
                 layer, graded(F.col("d") >= least), f"{name}.{col} distinct", text(F.col("d")))]))
+        if r.get("present"):
+            wanted, least = r["present"]
+            have = len(set(wanted) & set(df.columns))
+            parts.append(fixed_findings(spark, [(layer, "PASS" if have >= least else "WARN", f"{name} columns",
+                                                 f"{have}/{len(wanted)} present")]))
     return all_findings(parts)
 
 
+def _across(tables: dict[str, DataFrame], rule: dict, layer: str, spark: SparkSession) -> DataFrame:
+    """The finding of a rule about several tables."""
+    if "prefix" in rule:
+        begin, least = rule["prefix"]
+        n = sum(name.startswith(begin) for name in tables)
+        return fixed_findings(spark, [(layer, "PASS" if n >= least else "WARN", rule["label"], f"{n} of {least}")])
+    lacking = [f"{name}.{part}" if part else name for name, stems in rule["inputs"].items() for part in (stems or ("",))
+               if name not in tables or not any(part in c.lower() for c in tables[name].columns)]
+    choice = [tables[t] for t in rule.get("one_of", ()) if t in tables]
+    if lacking or ("one_of" in rule and not choice):
+        note = ", ".join(lacking) or " or ".join(rule["one_of"])
+        return fixed_findings(spark, [(layer, "WARN", rule["label"], f"missing {note}")])
+    if not choice:
+        return fixed_findings(spark, [(layer, "PASS", rule["label"], "present")])
+    rows = reduce(lambda a, b: a.union(b), [t.select(F.lit(1).alias("one")) for t in choice])
+    return findings_from(rows.agg(F.count("one").alias("n")), [
+        finding(layer, graded(F.col("n") > 0), rule["label"], text(F.col("n"), " rows to draw on"))])
+
+
 def file_inventory(spark: SparkSession, root: str, checksum: bool = True) -> DataFrame:
     """(path, bytes, sha256) of the files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

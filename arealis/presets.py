@@ -202,3 +202,47 @@ SECTION_USES = (("subsistence", "subsistence"), ("commercial", "commercial"), ("
 DATA_WORDS = ("population", "household", "area", "density", "male", "female", "total")
 SKIP_NAMES = ("total", "source", "note", "annex")
 AREA_CODE_ALIASES = ("area code", "area_code", "areacode", "area code (fao)")
+
+# --- readiness of the five layers (fixed values: table names, columns and counts) --------
+#: See ``quality.readiness`` for the fields of a rule.
+READINESS = {
+    "geography": (
+        {"table": "crosswalk_admin", "expect": 290, "distinct": ("county_norm", 47)},
+        {"table": "census_population_county", "expect": 47}, {"table": "census_agriculture_county", "expect": 47},
+        {"table": "census_population_subcounty"}, {"table": "census_agriculture_subcounty"},
+        {"table": "remote_sensing_county", "expect": 47, "essential": False,
+         "columns": ("rain_mm_mean", "ndvi_mean", "drought_freq")},
+    ),
+    "soil": (
+        {"table": "soilgrids_zonal_county", "expect": 47},
+        {"table": "isda_county", "expect": 47, "columns": ("p_isda", "k_isda", "zn_isda", "fe_isda")},
+        {"table": "afsis_county", "essential": False},
+        {"label": "soil index inputs", "inputs": {"soilgrids_zonal_county": ("soc", "nitrogen", "cec"),
+                                                  "isda_county": ("p_isda", "k_isda", "zn_isda", "fe_isda")}},
+    ),
+    "food": (
+        {"table": "faostat_kenya"}, {"table": "prices_wfp_observed"},
+        {"table": "napr_crop_county", "distinct": ("crop", 9)},
+        {"table": "kfct_foods"}, {"table": "kfct_proximates"}, {"table": "kfct_minerals"}, {"table": "kfct_vitamins"},
+        {"table": "prices_wb_modeled", "optional": True},
+        {"label": "food density inputs", "inputs": {"napr_crop_county": ()},
+         "one_of": ("kfct_proximates", "kfct_minerals", "kfct_vitamins")},
+    ),
+    "health": (
+        {"table": "kdhs_county", "expect": 47, "columns": ("stunting", "wasting", "underweight")},
+        {"table": "kdhs_controls_county", "expect": 47,
+         "present": (("mdd", "wealth_factor_mean", "edu_years_mean", "improved_water_share", "improved_sanitation_share",
+                      "diarrhea_share", "vit_a_supp_share", "maternal_bmi_mean"), 6)},
+        {"table": "kdhs_county_2014", "expect": 47, "essential": False, "columns": ("stunting",)},
+        {"table": "kdhs_controls_county_2014", "expect": 47, "essential": False},
+        {"label": "trend inputs", "inputs": {"kdhs_county": ("stunting",), "kdhs_county_2014": ("stunting",)}},
+        {"table": "wb_hnp_panel", "essential": False},
+        {"table": "kdhs_gps_clusters", "optional": True}, {"table": "kdhs_gps_clusters_2014", "optional": True},
+    ),
+    "policy": (
+        {"label": "Action Plan tables", "prefix": ("action_plan__", 10)},
+        {"table": "policy_county_summary", "expect": 47, "essential": False, "columns": ("policy_signal_index",),
+         "present": (("fertilizer_priority",), 1)},
+        {"table": "policy_panel"},
+    ),
+}

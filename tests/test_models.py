@@ -1,5 +1,7 @@
 """Statistics against independent numpy on small data."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -125,3 +127,145 @@ def test_typology_needs_rows(spark):
     rows = [(i, float(i % 3) * 10 + 0.1 * (i % 5), float(i % 3) * 10) for i in range(30)] + [(30, None, 1.0)]
     out, info = TY.typology(spark.createDataFrame(rows, "k int, a double, b double"), "k", ["a", "b"], range(3, 5), n_init=2)
     assert info["k"] == 3 and out.where("k = 30 and soil_zone is null").count() == 1
+
+
+# --- the model family on one made area table -------------------------------------------------
+
+@pytest.fixture(scope="module")
+def areas_data():
+    from arealis import presets as P
+
+    rng = np.random.default_rng(5)
+    names = sorted({c for y, x in P.SPECIFICATIONS.values() for c in (y, *x)} | {*P.SOIL_INDEX_COLUMNS, "mdd", "wasting", "underweight"})
+    d = pd.DataFrame(rng.normal(size=(90, len(names))), columns=names)
+    d["stunting"] += 2 * d.soil_index - d.wealth_factor_mean
+    d["food_nutrient_density_index"] += d.soil_index
+    d.loc[:20, "mdd"] = np.nan
+    d["area"] = [f"a{i:02d}" for i in range(len(d))]
+    return d
+
+
+@pytest.fixture(scope="module")
+def areas_frame(spark, areas_data):
+    return spark.createDataFrame(areas_data).select(
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in spark.createDataFrame(areas_data).dtypes])
+
+
+def numpy_fit(d, y, x):
+    full = d[[y, *x]].dropna()
+    b, se, r2 = hc3(np.c_[np.ones(len(full)), full[list(x)]], full[y].values)
+    p = [math.erfc(abs(t) / math.sqrt(2)) for t in b / se]
+    return dict(zip(["Intercept", *x], zip(b, se, p))), len(full), r2
+
+
+def test_named_models_and_p_values(spark, areas_frame, areas_data):
+    from arealis import presets as P
+
+    rows = R.coefficient_table(spark, R.fit_many(areas_frame, R.named_specs())).collect()
+    assert {r.model for r in rows} == set(P.SPECIFICATIONS)
+    for name, (y, x) in P.SPECIFICATIONS.items():
+        want, n, r2 = numpy_fit(areas_data, y, x)
+        mine = {r.term: r for r in rows if r.model == name}
+        assert set(mine) == set(want)
+        for term, (b, se, p) in want.items():
+            assert (mine[term].coef, mine[term].se, mine[term].p) == pytest.approx((b, se, p), rel=1e-6, abs=1e-12)
+            assert mine[term].n == n and mine[term].r2 == pytest.approx(r2)
+
+
+def test_other_outcomes_variants_and_refined_models(areas_frame, areas_data):
+    from arealis import presets as P
+
+    got = {r.outcome: r for r in R.alternative_outcomes(areas_frame).collect()}
+    assert set(got) == {label for _, label in P.OUTCOME_LABELS}
+    for c, label in P.OUTCOME_LABELS:
+        want, n, r2 = numpy_fit(areas_data, c, P.STAGE2_REGRESSORS)
+        assert got[label].n == n and got[label].r2 == round(r2, 3)
+        assert got[label].b_soil_index == pytest.approx(want["soil_index"][0], abs=6e-5)
+        assert got[label].p_food_density == pytest.approx(want["food_nutrient_density_index"][2], abs=6e-4)
+    z = (areas_data[list(P.SOIL_INDEX_COLUMNS)] - areas_data[list(P.SOIL_INDEX_COLUMNS)].mean()) / areas_data[
+        list(P.SOIL_INDEX_COLUMNS)].std(ddof=0)
+    d = areas_data.assign(soil_index_z=z.mean(axis=1))
+    want, n, _ = numpy_fit(d, "food_nutrient_density_index", ("soil_index_z", *P.STAGE1_CONTROLS))
+    variants = {r.term: r for r in R.index_variant_models(
+        areas_frame, "area", P.SOIL_INDEX_COLUMNS, "food_nutrient_density_index", P.STAGE1_CONTROLS).collect()}
+    assert set(variants) == {"soil_index_z", "soil_index_minmax", "soil_index_rank"}
+    assert variants["soil_index_z"].b == pytest.approx(want["soil_index_z"][0], abs=6e-5)
+    assert variants["soil_index_z"].p == pytest.approx(want["soil_index_z"][2], abs=6e-4)
+    refined = {r.model: r for r in R.refined_models(areas_frame, "area").collect()}
+    assert len(refined) == 6
+    want, n, _ = numpy_fit(areas_data, "mdd", ("fe_isda", *P.DIET_REGRESSORS))
+    assert refined["Diet, iron"].n == n == 69
+    assert refined["Diet, iron"].b_soil == pytest.approx(want["fe_isda"][0], abs=6e-5)
+    u, s, v = np.linalg.svd(z.values, full_matrices=False)
+    pca = z.values @ (v[0] if v[0].mean() >= 0 else -v[0])
+    want, _, _ = numpy_fit(areas_data.assign(soil_pca1=pca), "food_nutrient_density_index", ("soil_pca1", *P.STAGE1_CONTROLS))
+    assert refined["Food density, component"].b_soil == pytest.approx(want["soil_pca1"][0], abs=6e-5)
+
+
+def test_residuals_and_lags_equal_numpy(spark, areas_frame, areas_data):
+    n = len(areas_data)
+    W = np.zeros((n, n))
+    for i in range(n):
+        W[i, [(i - 1) % n, (i + 1) % n]] = 0.5
+    names = areas_data.area.tolist()
+    edges = spark.createDataFrame([(names[i], names[j], 0.5) for i in range(n) for j in range(n) if W[i, j]],
+                                  "src string, dst string, w double")
+    x = ("soil_index", "ag_land_share")
+    X = np.c_[np.ones(n), areas_data[list(x)]]
+    y = areas_data.stunting.values
+    e = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
+    fits = R.fit_many(areas_frame, [R.Spec("m", "stunting", x)])
+    row = AC.residual_autocorrelation(areas_frame, edges, "area", fits, permutations=99, digits=9).first()
+    z = e - e.mean()
+    assert row.variable == "m" and row.morans_i == pytest.approx(z @ W @ z / (z @ z), abs=1e-8) and 0 < row.perm_p <= 1
+    fit, test = AC.lagged_model(areas_frame, edges, "area", "stunting", x, ["soil_index"], permutations=19, digits=9)
+    want, _, r2 = numpy_fit(areas_data.assign(w_soil_index=W @ areas_data.soil_index.values), "stunting", (*x, "w_soil_index"))
+    assert fit.coef["w_soil_index"] == pytest.approx(want["w_soil_index"][0]) and fit.r2 == pytest.approx(r2)
+    assert test.count() == 1
+
+
+def test_zones_are_at_a_fixed_point(spark):
+    rng = np.random.default_rng(7)
+    centres = np.array([[0, 0, 0], [6, 0, 0], [0, 6, 0], [0, 0, 6]], float)
+    d = pd.DataFrame(np.repeat(centres, 30, 0) + rng.normal(size=(120, 3)), columns=list("abc"))
+    d["id"] = range(120)
+    zones, info = TY.typology(spark.createDataFrame(d), "id", list("abc"), n_init=3)
+    got = zones.toPandas().sort_values("id")
+    assert info["k"] == 4
+    z = ((d[list("abc")] - d[list("abc")].mean()) / d[list("abc")].std(ddof=0)).values
+    zone = got.soil_zone.values
+    means = np.array([z[zone == k].mean(0) for k in range(4)])
+    assert (((z[:, None] - means) ** 2).sum(2).argmin(1) == zone).all()
+
+
+def test_ranks_do_not_need_row_keys(spark):
+    rows = [(1.0, 5.0), (2.0, 4.0), (2.0, 4.0), (3.0, 1.0), (4.0, 2.0)]
+    df = spark.createDataFrame([("same", *r) for r in rows], "k string, a double, b double")
+    got = {r.variable: r for r in TY.rank_correlation(df, ["a", "b"]).collect()}
+    want = pd.DataFrame(rows).rank().corr().iloc[0, 1]
+    assert got["a"].b == got["b"].a == round(want, 3) and got["a"].a == 1.0
+
+
+def test_large_group_variance_is_followed(spark):
+    rng = np.random.default_rng(9)
+    d = pd.DataFrame({"x": rng.normal(size=400), "g": np.repeat(range(20), 20)})
+    d["y"] = d.x + 1e4 * rng.normal(size=20)[d.g] + rng.normal(size=400)
+    fit = M.random_intercept(spark.createDataFrame(d), "y", ["x"], "g")
+    assert fit.group_var / fit.scale > 1e6 and fit.coef["x"] == pytest.approx(1.0, abs=0.2)
+    assert M.random_intercept(spark.createDataFrame(d), "y", ["x"], "g", min_rows=401) is None
+    assert M.random_intercept(spark.createDataFrame(d), "y", ["x"], "g", min_groups=21) is None
+
+
+def test_household_recode_stands_in_for_child_anaemia(spark):
+    from arealis.operators.survey import nutrition_table
+
+    kids = spark.createDataFrame([("a", 1_000_000, -300, 0, 0, None), ("b", 1_000_000, 0, 0, 0, None)],
+                                 "county_norm string, v005 int, hw70 int, hw71 int, hw72 int, hw57 int")
+    house = spark.createDataFrame([("a", 1_000_000, 1), ("a", 1_000_000, 4), ("b", 3_000_000, 4)],
+                                  "county_norm string, hv005 int, hc57 int")
+    names = spark.createDataFrame([("K1", "A", "a"), ("K2", "B", "b")], "county_code string, county_name string, county_norm string")
+    got = {r.county_norm: r for r in nutrition_table(kids, names, household=house).collect()}
+    assert (got["a"].child_anaemia, got["b"].child_anaemia, got["a"].stunting) == (50.0, 0.0, 100.0)
+    own = kids.withColumn("hw57", F.lit(4))
+    got = {r.county_norm: r for r in nutrition_table(own, names, household=house).collect()}
+    assert got["a"].child_anaemia == 0.0

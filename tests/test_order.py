@@ -50,3 +50,14 @@ def test_fill_forward_across_blocks(spark):
     assert got == {(0, 1): None, (0, 2): "a", (1, 1): "a", (3, 1): "a", (3, 2): "b", (4, 1): "b"}
     prev = {(r.page, r.i): r.v for r in fill_forward(df, ["doc"], "page", ["i"], ["v"], exclusive=True).collect()}
     assert prev[(3, 2)] == "a" and prev[(4, 1)] == "b" and prev[(0, 2)] is None
+
+
+def test_carrying_over_many_blocks(spark):
+    n = 5000
+    df = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("page"), F.lit(0).alias("i"),
+                               F.when(F.col("id") % 1700 == 3, F.col("id")).alias("v"))
+    got = {r.page: r.v for r in fill_forward(df, ["doc"], "page", ["i"], ["v"]).collect()}
+    last = None
+    for k in range(n):
+        last = k if k % 1700 == 3 else last
+        assert got[k] == last

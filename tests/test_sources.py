@@ -174,3 +174,31 @@ def test_area_table_from_layers(spark):
     out = {r.county_code: r for r in build_area_table({"crosswalk": xwalk(spark), "population": pop, "crops": crops, "nutrition": nut}).collect()}
     assert len(out) == 2 and out["K1"].maize_yield_t_ha == 4.0 and out["K1"].crop_production_per_capita_kg == 80.0
     assert out["K2"].maize_yield_t_ha is None and out["K1"].gap_body_stunting == 10.0
+
+
+def test_declared_readiness_of_the_layers(spark):
+    def rows(n, **columns):
+        return spark.range(n).select("id", *[F.lit(v).alias(c) for c, v in columns.items()])
+
+    def graded(layer, tables):
+        return {r.label: r.status for r in Q.readiness(tables, P.READINESS[layer], layer, spark).collect()}
+
+    got = graded("geography", {"crosswalk_admin": spark.range(290).select((F.col("id") % 47).alias("county_norm")),
+                               "census_population_county": rows(46), "remote_sensing_county": rows(47, ndvi_mean=1.0)})
+    assert got["crosswalk_admin"] == got["crosswalk_admin.county_norm distinct"] == "PASS"
+    assert got["census_population_county"] == "WARN" and got["census_agriculture_county"] == "FAIL"
+    assert got["remote_sensing_county.ndvi_mean"] == "PASS" and got["remote_sensing_county.drought_freq"] == "WARN"
+    isda = rows(47, p_isda=1, k_isda=1, zn_isda=1)
+    got = graded("soil", {"soilgrids_zonal_county": rows(47, **{"soc_0-5cm_mean": 1, "Nitrogen_x": 1, "cec": 1}), "isda_county": isda})
+    assert got["soilgrids_zonal_county"] == "PASS" and got["isda_county.fe_isda"] == "FAIL"
+    assert got["afsis_county"] == "WARN" and got["soil index inputs"] == "WARN"
+    got = graded("food", {"napr_crop_county": rows(20, crop="maize"), "kfct_minerals": rows(3), "faostat_kenya": rows(1)})
+    assert got["faostat_kenya"] == got["food density inputs"] == "PASS" and got["napr_crop_county.crop distinct"] == "WARN"
+    assert got["kfct_foods"] == "FAIL" and got["prices_wb_modeled"] == "INFO"
+    got = graded("health", {"kdhs_county": rows(47, stunting=1.0, wasting=None), "kdhs_controls_county": rows(47, mdd=1)})
+    assert got["kdhs_county.stunting"] == "PASS" and got["kdhs_controls_county columns"] == got["trend inputs"] == "WARN"
+    assert got["kdhs_county.wasting"] == got["kdhs_county.underweight"] == "FAIL" and got["kdhs_gps_clusters"] == "INFO"
+    plan = {f"action_plan__{i}": rows(1) for i in range(10)}
+    got = graded("policy", {**plan, "policy_county_summary": rows(40, policy_signal_index=1.0)})
+    assert got["Action Plan tables"] == "PASS" and got["policy_county_summary"] == got["policy_county_summary columns"] == "WARN"
+    assert got["policy_panel"] == "FAIL"
