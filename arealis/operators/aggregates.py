@@ -12,7 +12,7 @@ from .. import presets as P
 from ..functions.numeric import safe_ratio
 from ..functions.parse import per_unit_price
 from .joins import contains_word, equals_ignoring_case
-from .order import exact_quantiles, keep_last, null_safe_join
+from .order import exact_quantiles, keep_last, null_safe_join, value_counts, weighted_moments
 
 
 def price_summary(df: DataFrame, by: str, price: str = "price", unit: str | None = "unit",
@@ -26,10 +26,10 @@ def price_summary(df: DataFrame, by: str, price: str = "price", unit: str | None
     value = (per_unit_price(price, unit) if unit and unit in df.columns
              else F.col(price).try_cast("double"))
     rows = rows.select(by, value.alias("__p")).where(F.col("__p") > 0)
-    medians = exact_quantiles(rows, [by], "__p", {"median": 0.5})
-    moments = rows.groupBy(by).agg(
-        F.avg("__p").alias("mean"), (F.stddev_samp("__p") / F.avg("__p")).alias("cv"),
-        F.count(F.lit(1)).alias("n"))
+    counts = value_counts(rows, [by], "__p")
+    medians = exact_quantiles(counts, [by], "__p", {"median": 0.5}, counted=True)
+    moments = weighted_moments(counts, [by], "__p").select(
+        by, "mean", (F.col("std") / F.col("mean")).alias("cv"), F.col("count").alias("n"))
     return null_safe_join(moments, medians, [by]).select(
         by, *[F.col(c).alias(f"{prefix}price_{c}") for c in ("median", "mean", "cv", "n")])
 
@@ -153,11 +153,9 @@ def describe(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -
     columns = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "variable", "value")
-    base = long.groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), (F.count(F.lit(1)) - F.count("value")).alias("missing"))
-    quart = exact_quantiles(long, ["variable"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    counts = value_counts(long, ["variable"], "value")
+    base = weighted_moments(counts, ["variable"], "value")
+    quart = exact_quantiles(counts, ["variable"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, counted=True)
     out = base.join(quart, "variable", "left")
     return out.select("variable", "count", *[
         F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from ..session import cut_lineage
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
                    how: str = "inner") -> DataFrame:
@@ -46,14 +48,33 @@ def _with_bucket(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     return cut.transform(df).withColumn("__bucket", F.col("__bucket_d").cast("int")).drop("__bucket_d")
 
 
-def _counts_and_offsets(df: DataFrame, by: list[str], value: str, buckets: int | None):
-    base = df.select(*by, F.col(value).cast("double").alias(value)).where(
-        F.col(value).isNotNull() & ~F.isnan(value))
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(by, value, n)``: rows of each distinct value, missing ones too. Everything below follows from this table, so
+    the input is read for it alone; it is written where a shared folder is set."""
+    return cut_lineage(df.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("n")))
+
+
+def weighted_moments(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(by, count, mean, std, min, max, missing)`` from a table of value counts; ``std`` is the sample deviation."""
+    here = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
+    n = F.when(here.isNotNull(), F.col("n"))
+    first = counts.groupBy(*by).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"), (F.sum(n * here) / F.sum(n)).alias("mean"),
+        F.min(here).alias("min"), F.max(here).alias("max"),
+        F.coalesce(F.sum(F.when(here.isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    off = here - F.col("mean")
+    spread = null_safe_join(counts, first.select(*by, "mean", "count"), by).groupBy(*by).agg(
+        F.sqrt(F.try_divide(F.sum(n * off * off), F.max("count") - 1)).alias("std"))
+    return null_safe_join(first, spread, by)
+
+
+def _counts_and_offsets(df: DataFrame, by: list[str], value: str, buckets: int | None, counted: bool = False):
+    counts = df if counted else value_counts(df, by, value)
+    counts = counts.where(F.col(value).isNotNull() & ~F.isnan(value))
     if not by:
-        base = base.withColumn("__all", F.lit(0))
-        by = ["__all"]
-    bounds = _bounds(base, value, buckets or default_buckets(df))
-    counts = _with_bucket(base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), value, bounds)
+        counts, by = counts.withColumn("__all", F.lit(0)), ["__all"]
+    # cells need even numbers of distinct values, whatever their rows
+    counts = _with_bucket(counts, value, _bounds(counts, value, buckets or default_buckets(df)))
     along = Window.partitionBy(*by).orderBy("__bucket")
     cells = (
         counts.groupBy(*by, "__bucket").agg(F.sum("n").alias("__c"))
@@ -79,12 +100,12 @@ def value_ranks(df: DataFrame, by: list[str], value: str, buckets: int | None =
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, counted: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``.
 
-    Only the buckets that hold a wanted position are sorted.
+    Only the buckets that hold a wanted position are sorted. ``counted``: ``df`` is a table of ``value_counts``.
     """
-    counts, cells, keys = _counts_and_offsets(df, by, value, buckets)
+    counts, cells, keys = _counts_and_offsets(df, by, value, buckets, counted)
     pos = {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in probs.items()}
     end = F.col("__start") + F.col("__c")
     wanted = [r for p in pos.values() for r in (F.floor(p), F.ceil(p))]
