@@ -30,8 +30,10 @@ MAX_EXAMPLES = 16384  # labelled rows learned, about
 MAX_TERMS = 4096
 MIN_ROWS = 3  # examples that hold a term
 CHANCE = 0.05  # of taking any term by accident
+ODDS = 5  # of label 1 with a term, to those without it, at least: weaker ones say more about a text's length
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
+CACHE = 100_000  # scores of feature sets that a worker keeps
 NEARNESS = 0.05  # added to distances, so that equal texts do not vote without bound
 EVIDENCE = 3
 STEM = 5  # letters of a beginning
@@ -90,7 +92,7 @@ class Index:
             self.blocks.append((term, weight, np.repeat(np.arange(len(part)), [len(t) for t, _ in part]), len(part)))
         self.most *= np.float32(1 + 1e-6)  # bounds stay bounds after rounding
         self.vectors = [v for _, _, v in vectors]
-        self.slope, self.shift = 1.0, 0.0
+        self.slope, self.shift, self.scored = 1.0, 0.0, {}
         self._calibrate()
 
     def vector(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +108,13 @@ class Index:
         query = np.zeros(len(self.idf))
         query[term] = weight
         at, cosine = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosine) == NEIGHBOURS and bound[b] < cosine[-1]:
+        for b in np.argsort(-bound, kind="stable").tolist():
+            least = cosine[-1] if len(cosine) == NEIGHBOURS else 0.0
+            if bound[b] <= 0 or bound[b] < least:
                 break
             terms_, weights, row, n = self.blocks[b]
             found = np.bincount(row, query[terms_] * weights, n)
-            place = np.flatnonzero(found > 0)
+            place = np.flatnonzero((found > 0) & (found >= least - 1e-9))
             place = place[place + b * BLOCK != leave]
             at, cosine = np.concatenate([at, place + b * BLOCK]), np.concatenate([cosine, found[place]])
             best = np.lexsort((at, -cosine.round(12)))[:NEIGHBOURS]
@@ -146,9 +149,18 @@ class Index:
         found = features(text, self.vocabulary)
         if not found or not len(self.labels):
             return self.blank, []
-        at, cosine = self.nearest(self.vector({self.vocabulary[w]: n for w, n in found.items()}))
-        odds = self.slope * _odds(self.vote(at, cosine)) + self.shift
-        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))), self.ids[at[:EVIDENCE]].tolist()
+        return self._scored(tuple(sorted((self.vocabulary[w], n) for w, n in found.items())))
+
+    def _scored(self, found: tuple[tuple[int, int], ...]) -> tuple[float, list[int]]:
+        known = self.scored.get(found)
+        if known is None:
+            at, cosine = self.nearest(self.vector(dict(found)))
+            odds = self.slope * _odds(self.vote(at, cosine)) + self.shift
+            known = float(1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))), self.ids[at[:EVIDENCE]].tolist()
+            if len(self.scored) >= CACHE:
+                self.scored.clear()
+            self.scored[found] = known
+        return known
 
 
 def _odds(p: float) -> float:
@@ -183,7 +195,9 @@ def select_terms(rows: DataFrame) -> list[str]:
     tried = counted.count()
     cross = F.col("p") * (n - p - F.col("n") + F.col("p")) - (F.col("n") - F.col("p")) * (p - F.col("p"))
     chi = n * cross.cast("double") ** 2 / (F.col("n").cast("double") * (n - F.col("n")) * p * (n - p))
-    clear = counted.withColumn("chi", chi).filter((F.col("n") < n) & (cross > 0)
+    with_1, with_0 = F.col("p"), F.col("n") - F.col("p")
+    odds = with_1 * (n - p - with_0) >= ODDS * with_0 * (p - with_1)
+    clear = counted.withColumn("chi", chi).filter((F.col("n") < n) & (cross > 0) & odds
                                                   & (F.col("chi") > 2 * math.log(max(tried, 1) / CHANCE)))
     return sorted(r["term"] for r in clear.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect())
 
