@@ -108,8 +108,3 @@ def to_metres(lon: str | Column, lat: str | Column, central_meridian: float = 39
         y = y + F.lit(c) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
     return F.struct((x * radius + 500_000.0).alias("x"),
                     (y * radius + (10_000_000.0 if south else 0.0)).alias("y"))
-
-
-def project_rings(rings: str | Column, **zone) -> Column:
-    return F.transform(as_col(rings), lambda ring: F.transform(
-        ring, lambda p: to_metres(p["x"], p["y"], **zone)))

@@ -127,8 +127,3 @@ def contains_word(df: DataFrame, filters: dict[str, str]) -> DataFrame:
         if name and word:
             df = df.where(F.contains(F.lower(F.col(name).cast("string")), F.lit(word.lower())))
     return df
-
-
-def gate(df: DataFrame, column: str, allowed: tuple[str, ...], otherwise: str = "skipped") -> Column:
-    """Status column: NULL for allowed sources, else the given word."""
-    return F.when(~F.coalesce(F.col(column).isin(*allowed), F.lit(False)), F.lit(otherwise))

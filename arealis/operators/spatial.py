@@ -11,6 +11,8 @@ that hold many points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,10 +20,31 @@ from pyspark.sql.types import StringType
 from ..functions.geometry import (odd_crossings, point_segment_distance, ring_edges,
                                   segment_distance, strictly_within)
 from ..functions.numeric import as_col, finite
+from ..session import cut_lineage
+
 
+def _index(v: Column, cell: float | Column) -> Column:
+    return F.floor(v / (cell if isinstance(cell, Column) else F.lit(float(cell)))).cast("bigint")
 
-def _index(v: Column, cell: float) -> Column:
-    return F.floor(v / F.lit(float(cell))).cast("bigint")
+
+def edge_cells(edges: DataFrame, cell: float, pad: float, e: dict[str, Column]) -> DataFrame:
+    """``edges`` with the cells (ix, iy) within ``pad`` of them.
+
+    A long edge is cut into pieces of a few cells, so that its cells lie along it and do not fill its box.
+    """
+    span = F.greatest(F.abs(e["x2"] - e["x1"]), F.abs(e["y2"] - e["y1"]))
+    n = F.greatest(F.ceil(span / (4.0 * cell)), F.lit(1)).cast("bigint")
+    at = lambda a, b, k: e[a] + (e[b] - e[a]) * (k / F.col("__n"))
+    cut = edges.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    k = F.col("__k")
+    ends = {c: (at(f"{c}1", f"{c}2", k), at(f"{c}1", f"{c}2", k + 1)) for c in "xy"}
+    # cut points are rounded, so pieces reach a little further than they are long
+    slack = pad + cell * 1e-6
+    for c in "xy":
+        a, b = ends[c]
+        cut = cut.withColumn(f"__{c}", F.sequence(_index(F.least(a, b) - slack, cell), _index(F.greatest(a, b) + slack, cell)))
+    return (cut.withColumn("ix", F.explode("__x")).withColumn("iy", F.explode("__y"))
+            .drop("__n", "__k", "__x", "__y"))
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -42,44 +65,59 @@ def suggest_cell(polygons: DataFrame, rings: str = "rings", per_side: int = 8) -
     return (mean / per_side) if mean else 1.0
 
 
+LEVEL_SIDE = 32  # cells a side of a polygon at most
+
+
+def _extent(rings: str) -> tuple[Column, Column]:
+    pts = F.flatten(rings)
+    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    return F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)
+
+
 def polygon_cells(polygons: DataFrame, keys: list[str], cell: float, rings: str = "rings") -> DataFrame:
-    """(ix, iy, keys, edges): the cells each polygon covers; ``edges`` is NULL for cells that
-    lie wholly inside."""
-    size = float(cell)
-    base = polygons.select(*keys, ring_edges(rings).alias("__e"))
-    xs = F.flatten(F.transform("__e", lambda e: F.array(e["x1"], e["x2"])))
-    ys = F.flatten(F.transform("__e", lambda e: F.array(e["y1"], e["y2"])))
-    base = base.select(*keys, "__e",
-                       _index(F.array_min(xs), size).alias("__cx0"),
-                       _index(F.array_max(xs), size).alias("__cx1"),
-                       F.explode(F.sequence(_index(F.array_min(ys), size),
-                                            _index(F.array_max(ys), size))).alias("iy"))
+    """(level, ix, iy, keys, edges): the cells each polygon covers; ``edges`` is NULL for cells that lie wholly inside.
+
+    A polygon much larger than the others has cells twice, four times .. as wide (its ``level``), so that none has
+    more than ``LEVEL_SIDE`` a side. Edges go to the rows of cells that they touch, and only these are gathered.
+    """
+    side = F.greatest(*_extent(rings)) / (float(cell) * LEVEL_SIDE)
+    level = F.when(side > 1, F.ceil(F.log2(side))).otherwise(0).cast("int")
+    size = float(cell) * F.pow(F.lit(2.0), F.col("level"))
+    parts = polygons.select(*keys, rings, level.alias("level"), F.monotonically_increasing_id().alias("__part"))
+    edges = parts.select(*keys, "level", "__part", F.explode(ring_edges(rings)).alias("e"))
     slack = size * 1e-9  # a point on a cell border may be rounded to either side
-    y0, y1 = F.col("iy") * size - slack, (F.col("iy") + 1) * size + slack
-    in_row = F.filter("__e", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-                      & (F.least(e["y1"], e["y2"]) <= y1))
-    rows = base.select(*keys, "iy", in_row.alias("__row"),
-                       F.explode(F.sequence("__cx0", "__cx1")).alias("ix"))
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    rows = edges.withColumn("iy", F.explode(F.sequence(_index(low - slack, size), _index(high + slack, size))))
+    rows = rows.groupBy(*keys, "level", "__part", "iy").agg(
+        F.collect_list("e").alias("__row"),
+        _index(F.min(F.least("e.x1", "e.x2")), F.max(size)).alias("__cx0"),
+        _index(F.max(F.greatest("e.x1", "e.x2")), F.max(size)).alias("__cx1"))
+    rows = rows.withColumn("ix", F.explode(F.sequence("__cx0", "__cx1")))
     x0, x1 = F.col("ix") * size - slack, (F.col("ix") + 1) * size + slack
     entered = F.exists("__row", lambda e: (F.greatest(e["x1"], e["x2"]) >= x0)
                        & (F.least(e["x1"], e["x2"]) <= x1))
     centre = odd_crossings(F.col("__row"), (F.col("ix") + 0.5) * size, (F.col("iy") + 0.5) * size)
     ahead = F.filter("__row", lambda e: F.greatest(e["x1"], e["x2"]) >= x0)
     return (rows.withColumn("__in", entered).where(F.col("__in") | centre)
-            .select("ix", "iy", *keys, F.when(F.col("__in"), ahead).alias("edges")))
+            .select("level", "ix", "iy", *keys, F.when(F.col("__in"), ahead).alias("edges")))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str], lon: str = "lon",
                        lat: str = "lat", rings: str = "rings", cell: float | None = None) -> DataFrame:
     """Every (point, polygon) pair with the point strictly inside; boundary points are out."""
     cell = cell or suggest_cell(polygons, rings)
-    cells = polygon_cells(polygons, keys, cell, rings)
+    cells = cut_lineage(polygon_cells(polygons, keys, cell, rings))
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    placed = points.where(finite(lon).isNotNull() & finite(lat).isNotNull()).withColumns(
-        {"ix": _index(x, cell), "iy": _index(y, cell)})
+    # a few whole numbers: each level is twice as wide as the one before
+    levels = cells.agg(F.collect_set("level").alias("l")).scalar()
+    size = float(cell) * F.pow(F.lit(2.0), F.col("level"))
+    placed = points.where(finite(lon).isNotNull() & finite(lat).isNotNull()).withColumn(
+        "level", F.explode(levels)).withColumns({"ix": _index(x, size), "iy": _index(y, size)})
     inside = F.col("edges").isNull() | strictly_within(F.col("edges"), x, y)
     weight = F.lit(64) + F.coalesce(F.size("edges"), F.lit(0)) * 40
-    return placed.join(sized(cells, weight), ["ix", "iy"]).where(inside).drop("ix", "iy", "edges")
+    for k in keys:
+        weight = weight + F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0))
+    return placed.join(sized(cells, weight), ["level", "ix", "iy"]).where(inside).drop("level", "ix", "iy", "edges")
 
 
 def locate_points(points: DataFrame, polygons: DataFrame, point_key: str, area: str, ordinal: str,
@@ -108,30 +146,30 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
     """All points with the nearest polygon within ``max_distance`` (0 inside), else the empty
     key (NULL for keys that are not strings); ties go to the smallest ``ordinal``. Coordinates
     are planar."""
-    size = float(cell or max_distance)
-    d = F.lit(float(max_distance))
     e = {k: F.col(f"e.{k}") for k in ("x1", "y1", "x2", "y2")}
+    placed = points.select(point_key, x, y).where(finite(x).isNotNull() & finite(y).isNotNull())
+    inside = cut_lineage(points_in_polygons(placed, polygons, [area, ordinal], x, y, rings).groupBy(point_key).agg(
+        F.min_by(F.struct(area, F.lit(0.0).alias("distance")), ordinal).alias("b")))
+    left = placed.join(inside, point_key, "left_anti")
     # of polygons that share an edge only the first can win it, so copies drop out here
-    edges = (polygons.select(area, ordinal, F.explode(ring_edges(rings)).alias("e"))
-             .groupBy("e").agg(F.min_by(F.struct(area, ordinal), ordinal).alias("__p"))
-             .select(f"__p.{area}", f"__p.{ordinal}", "e"))
-    spread = edges.select(
-        area, ordinal, "e",
-        F.explode(F.sequence(_index(F.least(e["x1"], e["x2"]) - d, size),
-                             _index(F.greatest(e["x1"], e["x2"]) + d, size))).alias("ix"),
-    ).withColumn("iy", F.explode(F.sequence(_index(F.least(e["y1"], e["y2"]) - d, size),
-                                            _index(F.greatest(e["y1"], e["y2"]) + d, size))))
-    placed = points.select(point_key, x, y).where(
-        finite(x).isNotNull() & finite(y).isNotNull())
+    edges = cut_lineage(polygons.select(area, ordinal, F.explode(ring_edges(rings)).alias("e"))
+                        .groupBy("e").agg(F.min_by(F.struct(area, ordinal), ordinal).alias("__p"))
+                        .select(f"__p.{area}", f"__p.{ordinal}", "e"))
     dist = point_segment_distance(F.col(x), F.col(y), e["x1"], e["y1"], e["x2"], e["y2"])
-    near = (placed.withColumns({"ix": _index(F.col(x), size), "iy": _index(F.col(y), size)})
-            .join(sized(spread, F.lit(120)), ["ix", "iy"])
-            .select(point_key, area, ordinal, dist.alias("distance")))
-    inside = points_in_polygons(placed, polygons, [area, ordinal], x, y, rings).select(
-        point_key, area, ordinal, F.lit(0.0).alias("distance"))
-    best = near.unionByName(inside).groupBy(point_key).agg(
-        F.min_by(F.struct(area, "distance"), F.struct("distance", ordinal)).alias("b")
-    ).where(F.col("b.distance") <= d)
+    parts = [inside]
+    # what lies within a radius is nearest of all; only points without such an edge look further
+    for radius in (max_distance / 16, max_distance / 4, max_distance):
+        size = float(cell or radius)
+        spread = edge_cells(edges, size, float(radius), e)
+        near = (left.withColumns({"ix": _index(F.col(x), size), "iy": _index(F.col(y), size)})
+                .join(sized(spread, F.lit(120)), ["ix", "iy"])
+                .select(point_key, area, ordinal, dist.alias("distance")))
+        found = cut_lineage(near.groupBy(point_key).agg(
+            F.min_by(F.struct(area, "distance"), F.struct("distance", ordinal)).alias("b"))
+            .where(F.col("b.distance") <= radius))
+        parts.append(found)
+        left = left.join(found, point_key, "left_anti")
+    best = reduce(lambda p, q: p.unionByName(q), parts)
     found = F.col(f"b.{area}")
     if isinstance(polygons.schema[area].dataType, StringType):
         found = F.coalesce(found, F.lit(""))
@@ -210,12 +248,11 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     if cell is None:
         span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
         cell = (edges.agg(F.avg(span).alias("s")).first()["s"] or 0.0) + reach
-    size, d = float(cell), F.lit(float(tolerance))
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    spread = edges.withColumn("ix", F.explode(F.sequence(
-        _index(F.least(x1, x2) - d, size), _index(F.greatest(x1, x2) + d, size)))
-    ).withColumn("iy", F.explode(F.sequence(
-        _index(F.least(y1, y2) - d, size), _index(F.greatest(y1, y2) + d, size))))
+    # most neighbours share a corner, which needs no distances
+    corners = polygons.select(F.col(area).alias("src"), F.explode(F.array_distinct(F.flatten(rings))).alias("c"))
+    met = cut_lineage(corners.join(corners.withColumnRenamed("src", "dst"), "c").where(F.col("src") < F.col("dst"))
+                      .select("src", "dst").distinct())
+    spread = edge_cells(edges, float(cell), float(tolerance), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
     names = ("x1", "y1", "x2", "y2")
     other = spread.select("ix", "iy", F.col(area).alias("dst"),
                           *[F.col(c).alias(f"b_{c}") for c in names])
@@ -226,7 +263,7 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
             F.greatest(f"b_{p}", f"b_{q}") + reach < F.least(p, q))
     # the exact distance is an aggregate input, evaluated once; a filter would evaluate it again
     close = (spread.withColumnRenamed(area, "src").join(other.hint("merge"), ["ix", "iy"])
-             .where((F.col("src") < F.col("dst")) & ~apart)
+             .where((F.col("src") < F.col("dst")) & ~apart).join(met, ["src", "dst"], "left_anti")
              .groupBy("src", "dst").agg(F.min(near).alias("__d"))
              .where(F.col("__d") <= reach + 1e-12).select("src", "dst"))
     corner = polygons.select(area, F.explode(rings).alias("ring")).select(
@@ -234,7 +271,7 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
         F.get("ring", F.lit(0))["y"].alias("lat"))
     held = points_in_polygons(corner, polygons.withColumnRenamed(area, "dst"), ["dst"], rings=rings,
                               cell=suggest_cell(polygons, rings, per_side=1)).where("src <> dst").select("src", "dst")
-    half = close.unionByName(held)
+    half = close.unionByName(met).unionByName(held)
     pairs = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return standardise_edges(pairs.withColumn("w", F.lit(1.0)))
 

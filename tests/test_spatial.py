@@ -71,3 +71,28 @@ def test_raster_choice_takes_first_name(spark):
     names = spark.createDataFrame([("soc_5-15cm_mean",), ("soc_0-5cm_mean",), ("x_cec",)], "raster_id string")
     assert {r.stem: r.raster_id for r in S.choose_rasters(names, ["soc", "cec", "phh2o"]).collect()} == {
         "soc": "soc_0-5cm_mean", "cec": "x_cec"}
+
+
+def test_one_large_and_one_detailed_outline(spark):
+    import math
+
+    ring = [(1000 + 900 * math.cos(t / 50_000 * math.pi), 1000 + 900 * math.sin(t / 50_000 * math.pi)) for t in range(100_000)]
+    small = [(str(i), [[(i * 10, 0), (i * 10 + 1, 0), (i * 10 + 1, 1), (i * 10, 1)]]) for i in range(40)]
+    polys = polygons(spark, [("disc", [ring]), *small])
+    cells = S.polygon_cells(polys, ["area"], 0.125)
+    assert cells.where("area = 'disc'").count() < 2000
+    pts = points(spark, [(1000, 1000), (1000, 1899), (1000, 1901), (370, 370), (360, 360), (20.5, 0.5), (25, 0.5)])
+    got = {r.pid: r.area for r in S.locate_points(pts, polys, "pid", "area", "ordinal").collect()}
+    assert got == {0: "disc", 1: "disc", 2: None, 3: "disc", 4: None, 5: "2", 6: None}
+
+
+def test_long_edges_have_cells_along_them(spark):
+    long = [(0, 0), (10_000, 10_000), (10_000, 10_001), (0, 1)]
+    small = [(f"s{i}", [[(i, -5), (i + 1, -5), (i + 1, -4), (i, -4)]]) for i in range(30)]
+    touch = [(5000, 4999.995), (5001, 4990), (5002, 4990)]
+    polys = polygons(spark, [("long", [long]), ("touch", [touch]), *small])
+    edges = polys.select("area", F.explode(S.ring_edges("rings")).alias("e")).select("area", "e.*")
+    names = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    assert S.edge_cells(edges.where("area = 'long'"), 1.0, 0.01, names).count() < 300_000
+    got = {(r.src, r.dst) for r in S.queen_contiguity(polys, "area", cell=10.0).collect()}
+    assert ("long", "touch") in got and ("touch", "long") in got and ("s0", "s1") in got and ("s0", "s2") not in got
