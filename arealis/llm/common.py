@@ -1,28 +1,31 @@
-"""Shared folder, word rules and key helpers of the text operators."""
+"""Shared folder and key helpers of the text operators."""
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+@lru_cache(None)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="arealis-shared-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of the driver's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="arealis-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else _own_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors do not matter."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors do not matter.
+
+    The tables (``stored-*``) serve the running application; the folder's owner clears them afterwards.
+    """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,11 +36,6 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
 
 
-def split_keys(*keys: Column) -> Column:
-    """A 64-bit spread of rows that also parts equal rows: their place in the input is mixed in."""
-    return F.xxhash64(*keys, F.monotonically_increasing_id())
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns named like a result, which the result replaces."""
     taken = {n.lower() for n in names}

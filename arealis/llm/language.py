@@ -66,8 +66,8 @@ def labelled(df: DataFrame, text: str = "text", lang: str = "lang", per_language
         F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most `languages` rows; a row's language is looked up in it
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    share = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) * F.col("n") \
-        < F.lit(per_language << 30)
+    drawn = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
+    share = drawn * F.col("n") < per_language
     return rows.join(F.broadcast(sizes), "lang").filter(share).select("text", "lang")
 
 
