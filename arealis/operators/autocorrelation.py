@@ -36,63 +36,82 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str, permutat
     """One row: n, I, its expectation and the two-sided permutation p.
 
     Nodes without a value are left out and the weights of the others made to sum to one
-    again. Without spread or without edges the statistics are missing. Permutation 0 gives
-    every node its number; under permutation k a node takes the value of the node whose
-    number is its position.
+    again. Without spread or without edges the statistics are missing.
     """
-    spark = values.sparkSession
-    known = cut_lineage(values.where(finite(value).isNotNull()).select(key, finite(value).alias("x")))
-    s = known.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"),
-                  F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    known = values.where(finite(value).isNotNull())
+    return morans_of_complete(known, edges, key, [value], permutations, seed).drop("variable")
+
+
+def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: list[str], permutations: int = 999,
+                       seed: int = 42) -> DataFrame:
+    """A row per column, for nodes that have a value in all of them: the orderings are drawn once.
+
+    Permutation 0 gives every node its number; under permutation k a node takes the values of the node whose number
+    is its position.
+    """
+    spark, kind = values.sparkSession, f"variable string, {MORAN}"
+    x = [f"x{i}" for i in range(len(columns))]
+    known = cut_lineage(values.select(key, *[finite(c).alias(n) for c, n in zip(columns, x)]))
+    s = known.agg(F.count(F.lit(1)).alias("n"), *[
+        f(n).alias(f"{name}_{n}") for n in x for name, f in (
+            ("m", F.avg), ("v", F.var_pop), ("lo", F.min), ("hi", F.max))]).first()
     n = s["n"]
-    empty = spark.createDataFrame([(n, None, None, None)], MORAN)
-    if n < 2 or s["lo"] == s["hi"]:
-        return empty
-    z = known.select(key, (F.col("x") - s["m"]).alias("z"))
+    live = [i for i, c in enumerate(x) if n >= 2 and s[f"lo_{c}"] != s[f"hi_{c}"]]
+    flat = spark.createDataFrame([(c, n, None, None, None) for i, c in enumerate(columns) if i not in live], kind)
+    if not live:
+        return flat
+    z = known.select(key, *[(F.col(x[i]) - s[f"m_{x[i]}"]).alias(f"z{i}") for i in live])
     inner = standardise_edges(
         edges.join(z.select(F.col(key).alias("src")), "src", "left_semi")
         .join(z.select(F.col(key).alias("dst")), "dst", "left_semi"))
-
+    zs = [f"z{i}" for i in live]
     place = permuted_positions(z, key, permutations, seed)
-    numbered = place.where("perm = 0").select(key, "position").join(z, key).select("position", "z")
+    numbered = place.where("perm = 0").select(key, "position").join(z, key).select("position", *zs)
     # both ends of an edge look the values up, so the orderings are written once
-    drawn = cut_lineage(place.where("perm > 0").join(numbered, "position").select("perm", key, "z")
-                        .unionByName(z.select(F.lit(0).alias("perm"), key, "z")))
-    src = drawn.select("perm", F.col(key).alias("src"), F.col("z").alias("zs"))
-    dst = drawn.select("perm", F.col(key).alias("dst"), F.col("z").alias("zd"))
+    drawn = cut_lineage(place.where("perm > 0").join(numbered, "position").select("perm", key, *zs)
+                        .unionByName(z.select(F.lit(0).alias("perm"), key, *zs)))
+    src = drawn.select("perm", F.col(key).alias("src"), *[F.col(c).alias(f"s{c}") for c in zs])
+    dst = drawn.select("perm", F.col(key).alias("dst"), *[F.col(c).alias(f"d{c}") for c in zs])
     # neighbours' weighted mean of each node first: one row per node and permutation remains
     lag = (inner.join(dst, "dst").groupBy("perm", "src")
-           .agg(F.sum(F.col("w") * F.col("zd")).alias("lag"), F.sum("w").alias("w")))
-    i_k = cut_lineage(lag.join(src, ["perm", "src"]).groupBy("perm").agg(
-        (n / F.sum("w") * F.sum(F.col("zs") * F.col("lag")) / (s["v"] * n)).alias("i")))
+           .agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"d{c}")).alias(f"l{c}") for c in zs]))
+    i_k = cut_lineage(lag.join(src, ["perm", "src"]).groupBy("perm").agg(*[
+        (n / F.sum("w") * F.sum(F.col(f"sz{i}") * F.col(f"lz{i}")) / (s[f"v_{x[i]}"] * n)).alias(f"i{i}") for i in live]))
     first = i_k.where("perm = 0").first()
     if first is None:
-        return empty
-    ei, observed = -1.0 / (n - 1), first["i"]
-    extreme = F.abs(F.col("i") - ei) >= abs(observed - ei) - 1e-12
-    return i_k.agg(F.count(F.when((F.col("perm") > 0) & extreme, 1)).alias("k")).select(
-        F.lit(n).cast("bigint").alias("n"), F.lit(observed).alias("morans_i"), F.lit(ei).alias("expected_i"),
-        ((F.col("k") + 1) / F.lit(float(permutations + 1))).alias("perm_p"))
+        return flat.unionByName(spark.createDataFrame([(columns[i], n, None, None, None) for i in live], kind))
+    ei = -1.0 / (n - 1)
+    hits = i_k.agg(*[F.count(F.when((F.col("perm") > 0) & (
+        F.abs(F.col(f"i{i}") - ei) >= abs(first[f"i{i}"] - ei) - 1e-12), 1)).alias(f"k{i}") for i in live])
+    rows = F.array(*[F.struct(
+        F.lit(columns[i]).alias("variable"), F.lit(n).cast("bigint").alias("n"), F.lit(first[f"i{i}"]).alias("morans_i"),
+        F.lit(ei).alias("expected_i"), ((F.col(f"k{i}") + 1) / F.lit(float(permutations + 1))).alias("perm_p")) for i in live])
+    return hits.select(F.explode(rows).alias("r")).select("r.*").unionByName(flat)
 
 
 def autocorrelation_table(df: DataFrame, edges: DataFrame, key: str,
                           targets: list[tuple[str, str]], permutations: int = 999, seed: int = 42,
                           max_missing: int = 5, digits: int = 3) -> DataFrame:
-    """Moran's I of each column with at most ``max_missing`` areas without a value."""
+    """Moran's I of each column with at most ``max_missing`` areas without a value.
+
+    Columns without missing values share their orderings.
+    """
     have = [(c, label) for c, label in targets if c in df.columns]
-    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c, _ in have]).first()
-    parts = [
-        morans_i(df, edges, key, c, permutations, seed).select(
-            F.lit(label).alias("variable"), F.round("morans_i", digits).alias("morans_i"),
-            F.round("expected_i", digits).alias("expected_i"), F.round("perm_p", digits).alias("perm_p"))
-        for c, label in have if counts[c] >= counts["__n"] - max_missing]
+    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(finite(c)).alias(c) for c, _ in have]).first()
+    wanted = [(c, label) for c, label in have if counts[c] >= counts["__n"] - max_missing]
+    whole = [c for c, _ in wanted if counts[c] == counts["__n"]]
+    parts = [morans_of_complete(df, edges, key, whole, permutations, seed)] if whole else []
+    parts += [morans_i(df, edges, key, c, permutations, seed).withColumn("variable", F.lit(c))
+              for c, _ in wanted if c not in whole]
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "variable string, morans_i double, expected_i double, perm_p double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in wanted for x in pair])
+    return out.select(names[F.col("variable")].alias("variable"), *[
+        F.round(c, digits).alias(c) for c in ("morans_i", "expected_i", "perm_p")])
 
 
 def residual_autocorrelation(df: DataFrame, edges: DataFrame, key: str,

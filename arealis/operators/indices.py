@@ -10,28 +10,43 @@ from ..functions.numeric import row_mean, safe_ratio, score_stats, standard_scor
 from .order import average_ranks
 
 
-def composite_index(df: DataFrame, columns, name: str, at_least: int = 3) -> DataFrame:
-    """Row mean of population z-scores over those of ``columns`` that exist.
-
-    With fewer than ``at_least`` of them the table is returned as it is.
-    """
-    have = [c for c in columns if c in df.columns]
-    if len(have) < at_least or not have:
-        return df
-    return with_stats(df, score_stats(have),
-                      lambda g: {name: row_mean(standard_scores(g, have))})
+def _score_index(have: list[str]):
+    """Statistics and expression of a row mean of population z-scores."""
+    return score_stats(have), lambda g: row_mean(standard_scores(g, have))
 
 
-def minmax_index(df: DataFrame, columns, name: str) -> DataFrame:
-    """Row mean of min-max scaled columns; a column without spread scores 0."""
-    have = [c for c in columns if c in df.columns]
-
+def _minmax_index(have: list[str]):
+    """The same of min-max scaled columns; a column without spread scores 0."""
     def scaled(g: Column, c: str) -> Column:
         lo, hi, x = g[f"lo_{c}"], g[f"hi_{c}"], F.col(c).cast("double")
         return F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(x * 0.0)
 
     ends = {f"{side}_{c}": agg(c) for c in have for side, agg in (("lo", F.min), ("hi", F.max))}
-    return with_stats(df, ends, lambda g: {name: row_mean([scaled(g, c) for c in have])})
+    return ends, lambda g: row_mean([scaled(g, c) for c in have])
+
+
+def _with_indices(df: DataFrame, parts: dict[str, tuple]) -> DataFrame:
+    """Several indices from one struct of statistics, so that the input is read once for all of them."""
+    stats = {k: v for aggs, _ in parts.values() for k, v in aggs.items()}
+    return with_stats(df, stats, lambda g: {name: build(g) for name, (_, build) in parts.items()}) if parts else df
+
+
+def composite_indices(df: DataFrame, indices: dict[str, tuple], at_least: int = 3) -> DataFrame:
+    """Row means of population z-scores over those of each index's columns that exist.
+
+    An index with fewer than ``at_least`` of them is left out.
+    """
+    have = {name: [c for c in columns if c in df.columns] for name, columns in indices.items()}
+    return _with_indices(df, {n: _score_index(c) for n, c in have.items() if c and len(c) >= at_least})
+
+
+def composite_index(df: DataFrame, columns, name: str, at_least: int = 3) -> DataFrame:
+    return composite_indices(df, {name: tuple(columns)}, at_least)
+
+
+def minmax_index(df: DataFrame, columns, name: str) -> DataFrame:
+    """Row mean of min-max scaled columns."""
+    return _with_indices(df, {name: _minmax_index([c for c in columns if c in df.columns])})
 
 
 def rank_index(df: DataFrame, key: str, columns, name: str) -> DataFrame:
@@ -46,8 +61,9 @@ def rank_index(df: DataFrame, key: str, columns, name: str) -> DataFrame:
 
 def index_variants(df: DataFrame, key: str, columns, prefix: str = "soil_index") -> DataFrame:
     """The same index built from z-scores, min-max scores and ranks."""
-    out = composite_index(df, columns, f"{prefix}_z")
-    out = minmax_index(out, columns, f"{prefix}_minmax")
+    have = [c for c in columns if c in df.columns]
+    parts = {f"{prefix}_z": _score_index(have)} if len(have) >= 3 else {}
+    out = _with_indices(df, {**parts, f"{prefix}_minmax": _minmax_index(have)})
     return rank_index(out, key, columns, f"{prefix}_rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import presets as P
 from ..functions.numeric import round_half_even
 from .order import keep_last
 
@@ -16,15 +17,13 @@ LEDGER = T.StructType([
     T.StructField("bytes", T.LongType()), T.StructField("status", T.StringType()),
     T.StructField("message", T.StringType()), T.StructField("extracted_at", T.TimestampType())])
 STATUSES = ("ok", "manual", "skipped", "failed")
-REGISTRY = ("layer", "source_key", "title", "publisher", "mirror", "access", "license", "role", "url")
-URL_KEYS = ("url", "resource_url", "api", "base_url", "dataset_url", "landing")
 
 
 def flatten_registry(spark: SparkSession, layers: dict[str, dict[str, dict]]) -> DataFrame:
     """Source registry (layer -> key -> metadata) as rows."""
-    rows = [(layer, key, *[_text(meta.get(c)) for c in REGISTRY[2:-1]], _first_url(meta))
+    rows = [(layer, key, *[_text(meta.get(c)) for c in P.REGISTRY_COLUMNS[2:-1]], _first_url(meta))
             for layer, sources in layers.items() for key, meta in (sources or {}).items()]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in REGISTRY))
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in P.REGISTRY_COLUMNS))
 
 
 def _text(v) -> str | None:
@@ -32,7 +31,7 @@ def _text(v) -> str | None:
 
 
 def _first_url(meta: dict) -> str | None:
-    return next((str(meta[k]) for k in URL_KEYS if meta.get(k)), None)
+    return next((str(meta[k]) for k in P.URL_KEYS if meta.get(k)), None)
 
 
 def ledger_rows(spark: SparkSession, records: list[dict]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import presets as P
 from ..functions.numeric import finite, indicator, known, safe_ratio
 from ..functions.parse import fiscal_year_end
-from .indices import composite_index
+from .indices import composite_indices
 from .order import exact_quantiles, keep_last
 
 
@@ -79,12 +79,6 @@ def spending_ratios(exp: DataFrame) -> DataFrame:
     return exp.withColumns(new) if new else exp
 
 
-INTENSITY = ("ag_budget_alloc_kes_m", "ag_expenditure_kes_m", "ag_dev_expenditure_kes_m",
-             "ag_absorption_rate", "ag_share_of_budget", "health_expenditure_kes_m")
-SIGNALS = ("fertilizer_priority", "ag_expenditure_kes_m", "ag_absorption_rate", "ag_share_of_budget")
-FOOD_SIGNALS = ("fertilizer_priority", "ag_expenditure_kes_m", "ag_dev_expenditure_kes_m")
-
-
 def policy_summary(areas: DataFrame, rollout: DataFrame | None = None,
                    spending: DataFrame | None = None, key: str = "county_norm",
                    ordinal: str | None = None) -> DataFrame:
@@ -100,13 +94,13 @@ def policy_summary(areas: DataFrame, rollout: DataFrame | None = None,
                                 "fertilizer_priority"), key, "left")
     if spending is not None:
         exp = spending_ratios(spending).withColumn("expenditure_fy", fiscal_year_end("fiscal_year"))
-        have = [c for c in INTENSITY if c in exp.columns]
+        have = [c for c in P.SPENDING_INTENSITY if c in exp.columns]
         ties = [F.col(ordinal)] if ordinal else [F.col(c) for c in have]
         last = keep_last(exp.select(key, "expenditure_fy", *have, *([ordinal] if ordinal else [])),
                          [key], [F.col("expenditure_fy"), *ties])
         out = out.join(last.select(key, "expenditure_fy", *have), key, "left")
-    out = composite_index(out, SIGNALS, "policy_signal_index", at_least=1)
-    return composite_index(out, FOOD_SIGNALS, "soil_food_policy_signal", at_least=1)
+    return composite_indices(out, {"policy_signal_index": P.POLICY_SIGNALS, "soil_food_policy_signal": P.FOOD_SIGNALS},
+                             at_least=1)
 
 
 def policy_panel(areas: DataFrame, rollout: DataFrame | None = None,

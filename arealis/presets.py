@@ -201,6 +201,13 @@ SECTION_MEASURES = (("area", "ag_land_ha"), ("agricultural land", "ag_land_ha"),
 SECTION_USES = (("subsistence", "subsistence"), ("commercial", "commercial"), ("", "total"))
 DATA_WORDS = ("population", "household", "area", "density", "male", "female", "total")
 SKIP_NAMES = ("total", "source", "note", "annex")
+# spending columns and the signals of the two policy indices
+SPENDING_INTENSITY = ("ag_budget_alloc_kes_m", "ag_expenditure_kes_m", "ag_dev_expenditure_kes_m",
+                      "ag_absorption_rate", "ag_share_of_budget", "health_expenditure_kes_m")
+POLICY_SIGNALS = ("fertilizer_priority", "ag_expenditure_kes_m", "ag_absorption_rate", "ag_share_of_budget")
+FOOD_SIGNALS = ("fertilizer_priority", "ag_expenditure_kes_m", "ag_dev_expenditure_kes_m")
+REGISTRY_COLUMNS = ("layer", "source_key", "title", "publisher", "mirror", "access", "license", "role", "url")
+URL_KEYS = ("url", "resource_url", "api", "base_url", "dataset_url", "landing")
 AREA_CODE_ALIASES = ("area code", "area_code", "areacode", "area code (fao)")
 
 # --- readiness of the five layers (fixed values: table names, columns and counts) --------
