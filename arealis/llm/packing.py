@@ -8,9 +8,11 @@ shard, and a lost task packs the same rows again.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,14 +38,28 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{
 class Encoder(dict):
     """Ids of texts by a byte-level BPE file, as bytes of unsigned 32-bit little-endian numbers.
 
-    Such a tokenizer works on each pre-token by itself, so the ids of a pre-token are kept and joined.
+    Such a tokenizer works on each pre-token by itself, so the ids of a pre-token are kept and joined. ``ranks`` is
+    the same vocabulary as ranks of byte strings, with which short strings are encoded sooner.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.short = Tokenizer.from_file(path), None
+        if ranks:
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.short = tiktoken.Encoding("ranks", pat_str=_SPLIT.pattern, mergeable_ranks=table, special_tokens={})
+
+    def tokens(self, missing: list[str]) -> list[bytes]:
+        """Ids of pre-tokens as bytes."""
+        if self.short is None:
+            found = [e.ids for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)]
+        else:
+            found = map(self.short.encode_ordinary, missing)
+        return [array("I", ids).tobytes() for ids in found]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
@@ -53,21 +69,19 @@ class Encoder(dict):
         if len(self) + len(missing) > CACHE:
             self.clear()
             missing = list(set().union(*split.values()))
-        found = self.tokenizer.encode_batch(missing + [texts[k] for k in whole], add_special_tokens=False)
-        found = [np.array(e.ids, "<u4") for e in found]
-        self.update((t, ids.tobytes()) for t, ids in zip(missing, found))
-        for k, ids in zip(whole, found[len(missing):]):
-            out[k] = ids
+        self.update(zip(missing, self.tokens(missing)))
+        for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4")
         for k, tokens in split.items():
             out[k] = np.frombuffer(b"".join(map(self.__getitem__, tokens)), "<u4")
         return out
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ranks: str | None = None) -> Encoder:
     """One per worker, so that tasks share what it has seen."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, ranks)
 
 
 class ShardIndex:
@@ -137,7 +151,8 @@ class Packer:
         yield from np.argsort(-index.scores(terms), kind="stable").tolist()
 
 
-def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW,
+         ranks: str | None = None) -> DataFrame:
     """A row per piece: ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document is its ids and the end id; a null or empty text is the end id alone. Every id lies in one piece,
@@ -154,7 +169,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
         for batch in batches:
             for k in range(0, batch.num_rows, SHARD_DOCS):
                 part = batch.slice(k, SHARD_DOCS)
-                docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer).encode(part.column(1).to_pylist())]
+                docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer, ranks).encode(part.column(1).to_pylist())]
                 rows = np.array(packer.add(docs), np.int64).reshape(-1, 5)
                 crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
                 columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],

@@ -54,7 +54,8 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"),
+                        ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:

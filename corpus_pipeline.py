@@ -35,7 +35,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"),
+                        ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_copies", near_copies_stage),
