@@ -418,16 +418,8 @@ def plain_fingerprint(text, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 
-@needs_tables
-def test_components_agree_with_brute_force(spark):
-    texts = documents(spark) | {-1: None, -2: "", -3: "A B", -4: "a b", -5: "É x Y z"}
-    base = texts[min(k for k, t in texts.items() if t and len(t.split()) > 300)].split()
-    rng = random.Random(14)
-    for k in range(60):
-        words = list(base)
-        for _ in range(rng.randrange(6)):
-            words[rng.randrange(len(words))] = f"x{k}"
-        texts[10_000 + k] = " ".join(words)
+def plain_components(texts):
+    """Smallest key reachable over fingerprints that differ in at most 3 bits; and the fingerprints."""
     prints = {k: plain_fingerprint(t) for k, t in texts.items()}
     label = {k: k for k in texts}
 
@@ -442,13 +434,27 @@ def test_components_agree_with_brute_force(spark):
             if (prints[a] ^ prints[b]).bit_count() <= 3:
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
+    return {k: root(k) for k in texts}, prints
+
+
+@needs_tables
+def test_components_agree_with_brute_force(spark):
+    texts = documents(spark) | {-1: None, -2: "", -3: "A B", -4: "a b", -5: "É x Y z"}
+    base = texts[min(k for k, t in texts.items() if t and len(t.split()) > 300)].split()
+    rng = random.Random(14)
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{k}"
+        texts[10_000 + k] = " ".join(words)
+    roots, prints = plain_components(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in simhash.near_copies(df).collect()}
     assert {k: int(r["fingerprint"], 16) for k, r in got.items()} == prints
-    assert {k: r["component_id"] for k, r in got.items()} == {k: root(k) for k in texts}
-    assert len({root(k) for k in texts}) < len(texts) - 40
+    assert {k: r["component_id"] for k, r in got.items()} == roots
+    assert len(set(roots.values())) < len(texts) - 40
     kept = simhash.drop_near_copies(df.withColumn("fp", F.lit("own")).withColumn("row", F.lit(1)))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(k) for k in texts})
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
     assert kept.columns == ["doc_id", "text", "fp", "row"]
 
 
@@ -499,13 +505,28 @@ def test_pipeline_stages_keep_the_columns_and_do_their_work(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    names, kept, start = docs.columns, [], docs.count()
+    names, kept = docs.columns, [documents(spark)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == names, name
-        kept.append(docs.count())
-    assert start > kept[0] >= kept[1] > kept[2] >= kept[3] > 0.5 * start
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    start, good, clean, single, texts = kept
+    assert len(start) > len(good) >= len(clean) > len(single) >= len(texts) > 0.5 * len(start)
+    for k, t in start.items():
+        n, _, symbols, dup, repeated, _ = plain_counts(t)
+        if n < 50 or 2 * repeated > n or symbols > 2 * n:
+            assert k not in good
+        elif not symbols and not dup and 20 * repeated < n:
+            assert k in good
+    predicted = {r["doc_id"]: r["score"] for r in toxicity.toxicity(
+        spark.createDataFrame(list(good.items()), "doc_id long, text string"), spark.read.parquet(f"{FOLDER}/labels.parquet"),
+        parts=1, held=1).collect()}
+    assert set(clean) == {k for k, p in predicted.items() if p < toxicity.THRESHOLD}
+    roots, _ = plain_components(clean)
+    assert set(single) == set(roots.values())
+    items = [" ".join(decontamination.words(r["text"])) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    held = {k for k, t in single.items() if any(i in " ".join(decontamination.words(t)) for i in items)}
+    assert set(texts) == set(single) - held
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
