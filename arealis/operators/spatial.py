@@ -158,7 +158,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
     dist = point_segment_distance(F.col(x), F.col(y), e["x1"], e["y1"], e["x2"], e["y2"])
     parts = [inside]
     # what lies within a radius is nearest of all; only points without such an edge look further
-    for radius in (max_distance / 16, max_distance / 4, max_distance):
+    for radius in (max_distance / 8, max_distance):
         size = float(cell or radius)
         spread = edge_cells(edges, size, float(radius), e)
         near = (left.withColumns({"ix": _index(F.col(x), size), "iy": _index(F.col(y), size)})
