@@ -1,14 +1,11 @@
-"""Benchmark decontamination: CGK random walks, repeated bit sampling, exact edit distance.
-
-A CGK walk reads a word sequence step by step, writes out the word it stands on and moves on or stays by a random bit of
-(step, word). Two sequences at a small edit distance fall into step again after each edit, so their outputs differ in
-few places: edit distance has become Hamming distance. A table samples ``SAMPLED`` output places of one walk; items
-lie under their samples, every item-sized window of every text is looked up under its own, and ``WALKS`` walks with
-``TABLES`` samplings each bring the recall at the bound (similarity 0.8) above 0.95. What is found is held
-against the text around by exact edit distance in words.
-
-Windows are skipped where no item can lie within the bound: an edit spoils at most two word pairs, so a passage
-within ``d`` edits of an item has all but ``2d`` of its word pairs from the benchmark. That screen loses nothing.
+"""Benchmark decontamination: rare word pairs of the items find the places, exact edit distance settles them.
+
+An edit spoils at most two word pairs (a word and the next one), so a passage within ``d`` edits of an item of ``n``
+words still holds ``n - 1 - 2d`` of its pairs, and of any ``2d + t`` of them at least ``t``. Every item is listed under
+its ``2d + t`` pairs that are rarest among the items; a text is looked at where ``t`` of them stand within the length of
+a passage and enough of all the item's pairs around them. Both tests are necessary conditions, whatever the length of
+the item and the kind of the edits, so that nothing is lost. What is left is held against the text by exact edit
+distance in words. Where the similarity is so low that no pair need survive, single words stand for the pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +23,8 @@ from pyspark.sql import types as T
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8  # 1 - edits / words of the item, at least
 MIN_WORDS = 5  # shorter items say nothing about a text and are not looked for
-WALKS, TABLES, SAMPLED = 16, 3, 4
-STEPS = 256  # walked at most; longer items are looked up by their beginning, and verified whole
 BLOCK_WORDS = 1 << 20  # words of the items that one pass over the corpus takes, which bounds the broadcast index
 BATCH_WORDS = 1 << 18
-_GROWTH = 1.12  # of item lengths within a class
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,72 +33,53 @@ def words(text: str | None) -> list[str]:
 
 
 class Items:
-    """Samples of the items by table, class and walk."""
+    """Items by their rarest pairs of words."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, seed: int = 7):
-        rng = np.random.default_rng(seed)
+    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY):
+        if not 0 < similarity <= 1:
+            raise ValueError("a similarity above 0 and at most 1 is asked for")
         parsed = [(i, w) for i, t in rows if len(w := words(t)) >= MIN_WORDS]
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in parsed]
         self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
                       for _, w in parsed]
         self.allowed = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
-        self.moves = rng.integers(1, 1 << 62, (WALKS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        pairs = [_pair_hash(w) for w in self.words]
-        self.pair_bits = 16 + max(0, sum(map(len, pairs)) // 4096).bit_length()
-        self.pairs = np.zeros(1 << self.pair_bits, bool)
-        for h in pairs:
-            self.pairs[h >> np.uint64(64 - self.pair_bits)] = True
-        self.classes, low = [], MIN_WORDS
-        longest = max(map(len, self.words), default=0)
-        while low <= longest:
-            high = max(low, int(low * _GROWTH))
-            members = [k for k, w in enumerate(self.words) if low <= len(w) <= high]
-            if members:
-                self.classes.append(self._class(low, high, members, similarity, rng))
-            low = high + 1
-
-    def _class(self, low: int, high: int, members: list[int], similarity: float, rng) -> dict:
-        steps = min(2 * low, STEPS)
-        places = np.stack([np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False))
-                           for _ in range(WALKS * TABLES)]).reshape(WALKS, TABLES, -1)
-        c = {"low": low, "need": low - 1 - 2 * int((1 - similarity) * high + 1e-9), "steps": steps, "places": places}
-        starts = np.cumsum([0] + [len(self.words[k]) + steps for k in members])
-        joined = np.zeros(starts[-1] + STEPS, np.int64)
-        for s, k in zip(starts, members):
-            joined[s:s + len(self.words[k])] = self.words[k]
-        all_keys = np.concatenate([self.samples(joined, starts[:-1], walk, c).ravel() for walk in range(WALKS)])
-        owner = np.tile(np.repeat(np.array(members), TABLES), WALKS)
-        order = np.argsort(all_keys, kind="stable")
-        c["keys"], c["owners"] = all_keys[order], owner[order]
-        c["bits"] = 16 + max(0, len(order) // 4096).bit_length()
-        c["filled"] = np.zeros(1 << c["bits"], bool)
-        c["filled"][all_keys >> np.uint64(64 - c["bits"])] = True
-        return c
-
-    def samples(self, ids: np.ndarray, starts: np.ndarray, walk: int, c: dict) -> np.ndarray:
-        """Keys (windows x tables) of one walk of a class from each start."""
-        at, out = starts.copy(), {}
-        wanted = set(c["places"][walk].ravel().tolist())
-        for j in range(c["steps"]):
-            here = ids[at]
-            if j in wanted:
-                out[j] = here.astype(np.uint64)
-            at += (((here.astype(np.uint64) + _ODD) * self.moves[walk, j]) >> np.uint64(63)).astype(np.int64)
-        keys = np.empty((len(starts), TABLES), np.uint64)
-        for t, places in enumerate(c["places"][walk].tolist()):
-            h = np.full(len(starts), walk * TABLES + t + 1, np.uint64)
-            for j in places:
-                h = (h ^ out[j]) * _ODD
-                h ^= h >> np.uint64(29)
-            keys[:, t] = h * _ODD
-        return keys
+        # pairs that survive at least; where that is none, words
+        self.paired = [len(w) - 1 - 2 * d > 0 for w, d in zip(self.words, self.allowed)]
+        self.need = [len(w) - 1 - 2 * d if p else len(w) - d
+                     for w, d, p in zip(self.words, self.allowed, self.paired)]
+        self.held = [_pair_hash(w) if p else _word_hash(w) for w, p in zip(self.words, self.paired)]
+        self.tables = [self._table([k for k, p in enumerate(self.paired) if p == kind]) for kind in (True, False)]
+
+    def _table(self, members: list[int]) -> dict | None:
+        """Distinct hashes in order with the items under each."""
+        if not members:
+            return None
+        values, inverse, counts = np.unique(np.concatenate([self.held[k] for k in members]), return_inverse=True,
+                                            return_counts=True)
+        keys, owners, hits, at = [], [], np.zeros(len(self.words), np.int64), 0
+        for k in members:
+            n, need = len(self.held[k]), self.need[k]
+            hits[k] = min(need, 2 + n // 20)
+            rarest = np.argsort(counts[inverse[at:at + n]], kind="stable")[:n - need + hits[k]]
+            keys.append(np.unique(inverse[at:at + n][rarest]))
+            owners.append(np.full(len(keys[-1]), k))
+            at += n
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        used, begin = np.unique(key[order], return_index=True)
+        t = {"keys": values[used], "begin": np.append(begin, len(order)), "owners": owner[order], "hits": hits,
+             "reach": np.array([len(w) + d for w, d in zip(self.words, self.allowed)]),
+             "bits": 16 + (len(used) // 4096).bit_length()}
+        t["filled"] = np.zeros(1 << t["bits"], bool)
+        t["filled"][t["keys"] >> np.uint64(64 - t["bits"])] = True
+        return t
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """``(text, item, start, end, edits)`` of the best place of every item found in each text, in words."""
         found, batch, ids, total = [], [], [], 0
         known = self.vocabulary.get
-        if not self.classes:
+        if not self.words:
             return found
         reach = 2 * max(map(len, self.words))  # parts of a long text overlap by more than any passage
         for k, text in enumerate(texts):
@@ -130,43 +105,65 @@ class Items:
         if not parts:
             return []
         offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
-        ids = np.zeros(offsets[-1] + 2 * STEPS + max(c["low"] for c in self.classes), np.int64)
+        ids = np.zeros(offsets[-1] + 1, np.int64)
         for o, p in zip(offsets, parts):
             ids[o:o + len(p)] = p
-        upto = np.concatenate([[0], np.cumsum(self.pairs[_pair_hash(ids) >> np.uint64(64 - self.pair_bits)])])
-        n, found_item, found_at = int(offsets[-1]), [], []
-        for c in self.classes:
-            starts = np.flatnonzero(upto[c["low"] - 1:c["low"] - 1 + n] - upto[:n] >= c["need"])
-            for walk in range(WALKS if len(starts) else 0):
-                keys = self.samples(ids, starts, walk, c).ravel()
-                hit = np.flatnonzero(c["filled"][keys >> np.uint64(64 - c["bits"])])
-                a, b = np.searchsorted(c["keys"], keys[hit]), np.searchsorted(c["keys"], keys[hit], "right")
-                for q in np.flatnonzero(b > a):
-                    found_item.append(c["owners"][a[q]:b[q]])
-                    found_at.append(np.full(b[q] - a[q], starts[hit[q] // TABLES]))
-        return self._verified(batch, parts, offsets, found_item, found_at)
-
-    def _verified(self, batch, parts, offsets, found_item, found_at) -> list[tuple[int, int, int, int, int]]:
-        if not found_item:
-            return []
-        item, at = np.concatenate(found_item), np.concatenate(found_at)
+        found = []
+        for table, hashed in zip(self.tables, (_pair_hash, _word_hash)):
+            if table is not None:
+                hashes = hashed(ids)
+                item, at = self._places(table, hashes)
+                found += self._verified(batch, parts, offsets, hashes, item, at)
+        return found
+
+    @staticmethod
+    def _places(table: dict, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of their rare hashes, so many of which lie within the reach of a passage."""
+        at = np.flatnonzero(table["filled"][hashes >> np.uint64(64 - table["bits"])])
+        key = np.minimum(np.searchsorted(table["keys"], hashes[at]), len(table["keys"]) - 1)
+        same = table["keys"][key] == hashes[at]
+        at, key = at[same], key[same]
+        first = table["begin"][key]
+        count = table["begin"][key + 1] - first
+        row = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        item, at = table["owners"][row], np.repeat(at, count)
+        order = np.argsort(item, kind="stable")  # places rise already
+        item, at = item[order], at[order]
+        last = np.arange(len(item)) + table["hits"][item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        opens = (last < len(item)) & (item[inside] == item) & (at[inside] - at < table["reach"][item])
+        # a hit counts when it lies between the first and the last of such a run
+        depth = np.zeros(len(item) + 1, np.int64)
+        np.add.at(depth, np.flatnonzero(opens), 1)
+        np.add.at(depth, last[opens] + 1, -1)
+        kept = np.cumsum(depth[:-1]) > 0
+        return item[kept], at[kept]
+
+    def _verified(self, batch, parts, offsets, hashes, item, at) -> list[tuple[int, int, int, int, int]]:
         doc = np.searchsorted(offsets, at, "right") - 1
-        rows = np.unique(np.stack([doc, item, at], 1), axis=0)
+        order = np.lexsort((at, item, doc))
+        doc, item, at = doc[order].tolist(), item[order].tolist(), at[order].tolist()
         found, k = [], 0
-        while k < len(rows):
-            doc, item, first = rows[k]
-            n, d = len(self.words[item]), self.allowed[item]
-            last = first
-            while k < len(rows) and tuple(rows[k, :2]) == (doc, item) and rows[k, 2] - first <= 4 * n:
-                last = rows[k, 2]
+        while k < len(doc):
+            here, n, d, first = (doc[k], item[k]), len(self.words[item[k]]), self.allowed[item[k]], at[k]
+            while k < len(doc) and (doc[k], item[k]) == here and at[k] - first <= 4 * n:
+                last = at[k]
                 k += 1
-            lo, hi = max(first - d - offsets[doc], 0), last + n + 2 * d - offsets[doc]
-            hit = best_place(self.words[item], parts[doc][lo:hi])
+            begin, end = int(offsets[here[0]]), int(offsets[here[0]]) + len(parts[here[0]])
+            lo, hi = max(first - n - d, begin), min(last + n + d, end)  # holds every passage with one of the places
+            if self._most(here[1], hashes[lo:hi], n + d) < self.need[here[1]]:
+                continue
+            hit = best_place(self.words[here[1]], parts[here[0]][lo - begin:hi - begin])
             if hit[2] <= d:
-                text, shift = batch[doc]
-                found.append((text, int(item), int(lo + hit[0] + shift), int(lo + hit[1] + shift), hit[2]))
+                text, shift = batch[here[0]]
+                found.append((text, here[1], lo - begin + hit[0] + shift, lo - begin + hit[1] + shift, hit[2]))
         return found
 
+    def _most(self, item: int, hashes: np.ndarray, length: int) -> int:
+        """Most places within a length at which a hash of the item stands."""
+        upto = np.concatenate([[0], np.cumsum(np.isin(hashes, self.held[item]))])
+        return int((upto[length:] - upto[:-length]).max()) if len(upto) > length else int(upto[-1])
+
 
 def _pair_hash(ids: np.ndarray) -> np.ndarray:
     """Hash of each word with the next one; of unknown words something that the benchmark hardly has."""
@@ -175,6 +172,11 @@ def _pair_hash(ids: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * _ODD
 
 
+def _word_hash(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ (h >> np.uint64(32))) * _ODD
+
+
 def _last_row(item: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
     """Edit distance of ``item`` to what ends at each place of ``text`` (from any place, or from the first)."""
     steps = np.arange(len(text) + 1)

@@ -139,6 +139,34 @@ def test_leaks_at_any_place_of_a_long_text_and_of_odd_rows(spark, odd, empty, mo
     assert decontamination.drop_contaminated(clash, items).count() == len(ODD)
 
 
+@pytest.mark.parametrize("length", [5, 20, 60, 200, 1200])
+def test_items_of_any_length_are_found_at_the_bound(length):
+    rng = random.Random(length)
+    pool = [f"w{k}" for k in range(2000)]
+    items = [rng.choices(pool, k=length) for _ in range(4)]
+    index, most = decontamination.Items([(k, " ".join(x)) for k, x in enumerate(items)]), length // 5
+    for k, item in enumerate(items):
+        gone = set(rng.sample(range(length), most))
+        for part in (item[most:], item[:length - most], [w for i, w in enumerate(item) if i not in gone],
+                     [w if i not in gone else f"new{i}" for i, w in enumerate(item)], edited(rng, item, most)):
+            found = index.search([" ".join(rng.choices(pool, k=30) + part + rng.choices(pool, k=30))])
+            assert [r[1] for r in found] == [k] and found[0][4] <= most
+
+
+def test_low_similarities_lose_nothing():
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(60)]
+    for similarity in (0.3, 0.5, 0.6):
+        items = [rng.choices(pool, k=rng.randrange(5, 30)) for _ in range(20)]
+        index = decontamination.Items([(k, " ".join(x)) for k, x in enumerate(items)], similarity)
+        for _ in range(20):
+            text = rng.choices(pool, k=40) + edited(rng, rng.choice(items), 3) + rng.choices(pool, k=20)
+            want = {(k, d) for k, x in enumerate(items)
+                    if (d := edit_distance(x, text)) <= int((1 - similarity) * len(x) + 1e-9)}
+            assert {(r[1], r[4]) for r in index.search([" ".join(text)])} == want
+
+
+
 # -- chat
 
 def test_log_is_folded(spark):
