@@ -1,9 +1,11 @@
 """Packing of documents into windows of tokens by lexical retrieval.
 
-Every task takes its rows in shards of ``SHARD_DOCS`` documents, each with a BM25 inverted index over token ids. A
-window starts with a seed document and is filled with the unused documents nearest to the seed; what does not fit is
-the next window's seed, so only a task's last window is padded. No text leaves its task: there is no shuffle, no hot
-shard, and a lost task packs the same rows again.
+Document frequencies and the mean length are those of the whole table. Every document goes to a shard by one of its
+terms, drawn by idf and saturated count with the same random numbers for all (consistent weighted sampling): documents
+share a key with the probability of their weighted Jaccard similarity, whatever files they come from. Keys fill shards
+of about ``SHARD_TOKENS``, larger keys are salted over several. A shard is one task with a BM25 inverted index over all
+its documents: a window starts with a seed document and is filled with the unused documents nearest to the seed; what
+does not fit is the next window's seed, so only a shard's last window is padded.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 WINDOW = 2048
 END = 1  # id after every document
-SHARD_DOCS = 256
+SHARD_TOKENS = 1 << 20
+ENCODED_ROWS = 256  # texts encoded at a time
 K1, B = 1.2, 0.75
 CACHE = 400_000  # distinct pre-tokens a worker keeps with their ids
 #: Characters beyond these, and what may be a special token, go to the tokenizer as whole texts.
@@ -85,9 +91,12 @@ def encoder(path: str, ranks: str | None = None) -> Encoder:
 
 
 class ShardIndex:
-    """BM25 over the documents of a shard, given as arrays of ids, none of them empty."""
+    """BM25 over the documents of a shard, given as arrays of ids, none of them empty.
+
+    ``corpus`` are the document frequencies, number of documents and mean length to use, else those of the shard.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
         self.terms, term, doc, tf = [], [], [], []
         for k, ids in enumerate(docs):
             ids = np.sort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
@@ -101,9 +110,9 @@ class ShardIndex:
         self.n, self.doc = len(docs), doc[order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term))])
         size = np.array([len(d) for d in docs], np.float64)
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1))
-        df = np.diff(self.begin)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        df, n, mean = corpus or (np.diff(self.begin), self.n, size.mean())
+        norm = K1 * (1 - B + B * size / max(mean, 1))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
@@ -118,12 +127,12 @@ class ShardIndex:
 class Packer:
     """Windows of one task: ``add`` a shard of ``(ids)`` documents at a time, get ``(doc, start, length, window, offset)``."""
 
-    def __init__(self, window: int = WINDOW):
-        self.size, self.window, self.filled = window, 0, 0
+    def __init__(self, window: int = WINDOW, corpus: tuple[np.ndarray, int, float] | None = None):
+        self.size, self.window, self.filled, self.corpus = window, 0, 0, corpus
         self.seed = np.empty(0, np.int64)  # ids of the open window's seed
 
     def add(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        index, unused, pieces = ShardIndex(docs), np.ones(len(docs), bool), []
+        index, unused, pieces = ShardIndex(docs, self.corpus), np.ones(len(docs), bool), []
         ranked: Iterator[int] = iter(())
         if self.filled:
             ranked = self._ranked(index, self.seed)
@@ -151,31 +160,131 @@ class Packer:
         yield from np.argsort(-index.scores(terms), kind="stable").tolist()
 
 
+def _ids(row: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(row, "<u4" if wide else "<u2").astype("<u4")
+
+
+def _encoded(df: DataFrame, tokenizer: str, ranks: str | None, text: str, key: str) -> DataFrame:
+    """``(key, ids, wide, tokens)``: the ids with the end id, of two bytes each, or of four where one needs them."""
+    schema = T.StructType([T.StructField("key", df.select(key).schema[key].dataType), T.StructField("ids", T.BinaryType()),
+                           T.StructField("wide", T.BooleanType()), T.StructField("tokens", T.LongType())])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([END], "<u4")
+        for batch in batches:
+            for k in range(0, batch.num_rows, ENCODED_ROWS):
+                part = batch.slice(k, ENCODED_ROWS)
+                docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer, ranks).encode(part.column(1).to_pylist())]
+                wide = [bool(d.max() >= 1 << 16) for d in docs]
+                rows = [(d if w else d.astype("<u2")).tobytes() for d, w in zip(docs, wide)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(rows, pa.binary()), pa.array(wide, pa.bool_()),
+                     pa.array([len(d) for d in docs], pa.int64())], names=schema.names)
+
+    return df.select(F.col(key), F.col(text)).mapInArrow(fn, schema)
+
+
+def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Document frequency of every id, number of documents and their mean length: a vector per task is sent."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = np.unique(_ids(ids, wide))
+                if terms[-1] >= len(df):
+                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
+                df[terms] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": at, "n": df[at]})
+
+    total = encoded.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
+    rows = encoded.select("ids", "wide").mapInArrow(count, "term long, n long").groupBy("term").agg(
+        F.sum("n").alias("n")).collect()
+    df = np.zeros(1 + max((r["term"] for r in rows), default=0), np.int64)
+    for r in rows:
+        df[r["term"]] = r["n"]
+    return df, total["n"], total["mean"] or 0.0
+
+
+class Placer:
+    """The term that a document is placed by."""
+
+    def __init__(self, corpus: tuple[np.ndarray, int, float], seed: int = 7):
+        df, n, _ = corpus
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.drawn = -np.log(np.random.default_rng(seed).uniform(1e-12, 1, len(df)))
+
+    def key(self, ids: np.ndarray) -> int:
+        terms, tf = np.unique(ids, return_counts=True)
+        return int(terms[np.argmin(self.drawn[terms] / (self.idf[terms] * tf / (tf + K1)))])
+
+
+def shards(sizes: list[tuple[int, int]], most: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """First shard and number of shards of every key, from ``(key, tokens)``; and the number of all shards."""
+    places, shard, filled = {}, 0, 0
+    for key, tokens in sorted(sizes):
+        if tokens > most:
+            continue
+        if filled and filled + tokens > most:
+            shard, filled = shard + 1, 0
+        places[key], filled = (shard, 1), filled + tokens
+    shard += bool(filled)
+    for key, tokens in sorted(sizes):
+        if tokens > most:
+            places[key] = (shard, -(-tokens // most))
+            shard += places[key][1]
+    return places, shard
+
+
 def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW,
-         ranks: str | None = None) -> DataFrame:
+         ranks: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row per piece: ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document is its ids and the end id; a null or empty text is the end id alone. Every id lies in one piece,
-    repeated rows are packed each, ``sequence_id`` is the task's number and a count within it, offsets are gapless. An
-    empty table gives no rows.
+    repeated rows are packed each, ``sequence_id`` is the shard's number and a count within it, offsets are gapless. An
+    empty table gives no rows. Windows do not depend on files or row order, but for keys salted over several shards.
     """
     kind = df.select(key).schema[key].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(key, kind)] + [T.StructField(c, T.LongType()) for c in names])
+    encoded = stored(_encoded(df, tokenizer, ranks, text, key))
+    context = encoded.sparkSession.sparkContext
+    shared = context.broadcast(corpus_statistics(encoded))
+
+    @F.pandas_udf(T.LongType())
+    def placed_by(ids: pd.Series, wide: pd.Series) -> pd.Series:
+        placer = Placer(shared.value)
+        return pd.Series([placer.key(_ids(i, w)) for i, w in zip(ids, wide)], dtype=np.int64)
+
+    # a key is an id of the vocabulary, so these are as many rows as it has ids at most
+    sizes = encoded.groupBy(placed_by("ids", "wide").alias("k")).agg(F.sum("tokens").alias("n")).collect()
+    places, count = shards([tuple(r) for r in sizes], shard_tokens)
+    placed = context.broadcast(places)
+
+    @F.pandas_udf(T.IntegerType())
+    def shard_of(ids: pd.Series, wide: pd.Series, row: pd.Series) -> pd.Series:
+        placer = Placer(shared.value)
+        first = [placed.value[placer.key(_ids(i, w))] for i, w in zip(ids, wide)]
+        return pd.Series([a + int(r) % n for (a, n), r in zip(first, row)], dtype=np.int32)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, task = Packer(window), TaskContext.get().partitionId()
-        end = np.array([END], "<u4")
+        keys, docs = [], []
         for batch in batches:
-            for k in range(0, batch.num_rows, SHARD_DOCS):
-                part = batch.slice(k, SHARD_DOCS)
-                docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer, ranks).encode(part.column(1).to_pylist())]
-                rows = np.array(packer.add(docs), np.int64).reshape(-1, 5)
-                crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
-                columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],
-                           (task << 32) + rows[:, 3], rows[:, 4]]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows[:, 0]))] + [pa.array(c, pa.int64()) for c in columns],
-                    names=[key, *names])
+            keys.append(batch.column(0))
+            docs += [_ids(i, w) for i, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if not docs:
+            return
+        held = pa.chunked_array(keys).combine_chunks()
+        named = held.cast(pa.string()).to_pylist()
+        order = sorted(range(len(docs)), key=lambda k: (zlib.crc32(docs[k]), named[k] is None, named[k]))
+        docs = [docs[k] for k in order]
+        rows = np.array(Packer(window, shared.value).add(docs), np.int64).reshape(-1, 5)
+        crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
+        columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],
+                   (TaskContext.get().partitionId() << 32) + rows[:, 3], rows[:, 4]]
+        yield pa.RecordBatch.from_arrays(
+            [held.take(pa.array(np.array(order)[rows[:, 0]]))] + [pa.array(c, pa.int64()) for c in columns],
+            names=[key, *names])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(fn, schema)
+    sent = encoded.withColumn("shard", shard_of("ids", "wide", F.monotonically_increasing_id()))
+    return sent.repartitionById(max(count, 1), "shard").select("key", "ids", "wide").mapInArrow(fn, schema)

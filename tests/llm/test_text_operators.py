@@ -295,6 +295,35 @@ def test_bm25_agrees_with_the_formula_and_neighbours_come_first():
     assert [p[0] for p in packing.Packer(6).add(docs)] == [0, 2, 1, 3]
 
 
+def test_neighbours_meet_from_any_place_of_the_table(spark):
+    rng = random.Random(5)
+    pool = [f"{a}{b}" for a in ("stone", "river", "cloud", "paper") for b in range(400)]
+    topics = [rng.sample(pool, 60) for _ in range(600)]
+    texts = [(k, " ".join(rng.choices(topics[k % 600], k=80))) for k in range(1200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def windows(df, shard_tokens=packing.SHARD_TOKENS):
+        found = defaultdict(set)
+        for r in packing.pack(df, queries.vocabulary("byte_bpe_50k.json"), window=1024, shard_tokens=shard_tokens).collect():
+            found[r["sequence_id"]].add(r["doc_id"])
+        return sorted(map(sorted, found.values()))
+
+    def met(found):
+        return sum(any(k in w and k + 600 in w for w in found) for k in range(600))
+
+    got = windows(df.coalesce(1))
+    several = met(windows(df, 1 << 14))
+    assert met(got) > 120, met(got)  # 600 rows apart; about one document in six begins a window, by chance there were 2
+    assert several > 40, several
+    assert windows(df.orderBy(F.xxhash64("doc_id")).repartition(7)) == got
+
+
+def test_large_keys_are_salted():
+    places, count = packing.shards([(5, 40), (9, 250), (7, 50), (8, 30)], 100)
+    assert places == {5: (0, 1), 7: (0, 1), 8: (1, 1), 9: (2, 3)} and count == 5
+    assert packing.shards([], 100) == ({}, 0)
+
+
 # -- quality
 
 def plain_counts(text):
