@@ -4,6 +4,10 @@ A template is looked for around every place of the template word that is rarest
 stands several times is aligned each time. Within such a region words that occur once on both sides are anchors; the
 longest increasing run of anchors is fixed, equal neighbours of anchors are joined to it, and every gap is aligned the
 same way until no anchor is left. Coverage is the share of the template's words that are aligned.
+
+A notice that longer blocks interrupt does not fit such a region. Between the places found, the text is therefore
+aligned whole, by longest common subsequence, from the first to the last supported word: one that stands beside its
+neighbour of the template. Blocks between may have any length.
 """
 
 from __future__ import annotations
@@ -46,6 +50,7 @@ TEMPLATES = {
 }
 WORD = re.compile(r"\w+")
 COVERAGE = 0.8
+PART = 2  # words that a part lying apart adds at least to a place reported already; one word may be chance
 
 
 def words(text: str | None) -> list[str]:
@@ -94,6 +99,26 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def reaches(w: list[str], template: list[str], at: list[int], firm: list[bool], first: int, stop: int,
+            need: int) -> int | None:
+    """First index of ``at`` from ``first`` on, backwards where ``stop`` is less, by which the words from the first firm
+    one to a firm one have a common subsequence of ``need`` words with the template."""
+    step = 1 if stop > first else -1
+    masks: dict[str, int] = {}
+    for k, x in enumerate(template[::step]):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full, begun = (1 << len(template)) - 1, False
+    open_bits = full  # zeros count the subsequence
+    for k in range(first, stop, step):
+        begun = begun or firm[k]
+        if begun:
+            same = open_bits & masks[w[at[k]]]
+            open_bits = ((open_bits + same) | (open_bits - same)) & full
+            if firm[k] and len(template) - open_bits.bit_count() >= need:
+                return k
+    return None
+
+
 class Scanner:
     """Templates as word lists, searched together."""
 
@@ -120,18 +145,54 @@ class Scanner:
                 for k, x in enumerate(w):
                     if x in shared:
                         places.setdefault(x, []).append(k)
-            taken = -1
+            taken, found = -1, []
             for begin, end in self._regions(template, held, places, len(w)):
                 pairs = align(w[begin:end], template)
                 share = len(pairs) / len(template)
                 if share < self.coverage or begin + pairs[0][0] <= taken:
                     continue
                 taken = begin + pairs[-1][0]
-                row = (share, -(begin + pairs[0][0]), taken + 1)
-                here = best.setdefault(name, [row, 0])
-                here[0], here[1] = max(here[0], row), here[1] + 1
+                found.append((share, begin + pairs[0][0], taken + 1))
+            for share, begin, end in self._interrupted(w, template, held, places, found):
+                here = best.setdefault(name, [(share, -begin, end), 0])
+                here[0], here[1] = max(here[0], (share, -begin, end)), here[1] + 1
         return [(name, row[0], -row[1], row[2], n) for name, (row, n) in sorted(best.items())]
 
+    def _interrupted(self, w: list[str], template: list[str], held: Counter, places: dict[str, list[int]],
+                     found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+        """``(coverage, start, end)``: the places found, with parts that lie apart, and those in parts between them."""
+        every = sorted(k for x in held if x in places for k in places[x])
+        need = next(k for k in range(1, len(template) + 1) if k / len(template) >= self.coverage)
+        neighbours = set(zip(template, template[1:]))
+
+        def words_of(low: int, high: int) -> tuple[list[int], list[bool]]:
+            at = every[bisect_left(every, low):bisect_left(every, high)]
+            return at, [k > low and (w[k - 1], w[k]) in neighbours or k + 1 < high and (w[k], w[k + 1]) in neighbours
+                        for k in at]
+
+        spans, free = list(found), 0
+        for _, begin, end in [*found, (0.0, len(w), len(w))]:
+            at, firm = words_of(free, begin)
+            i, free = 0, end
+            while len(at) - i >= need and (last := reaches(w, template, at, firm, i, len(at), need)) is not None:
+                spans.append((need / len(template), at[reaches(w, template, at, firm, last, i - 1, need)], at[last] + 1))
+                i = last + 1
+        spans.sort(key=lambda x: x[1])
+        out, free = [], 0
+        for k, (share, begin, end) in enumerate(spans):
+            at, firm = words_of(free, spans[k + 1][1] if k + 1 < len(spans) else len(w))
+            whole = (share, begin, end) in found
+            most = round(share * len(template)) + (PART - 1 if whole else -1)  # a part that stands apart is no chance word
+            last = None
+            while most < len(template) and (better := reaches(w, template, at, firm, 0, len(at), most + 1)) is not None:
+                most, last = most + 1, better
+            if last is not None:
+                first = reaches(w, template, at, firm, last, -1, most)
+                share, begin, end = most / len(template), at[first], at[last] + 1
+            out.append((share, begin, end))
+            free = end
+        return out
+
     def _regions(self, template: list[str], held: Counter, places: dict[str, list[int]], n: int):
         """Where the template would lie around each place of its rarest words, more of which are tried than may be missing."""
         spare = len(template) - math.ceil(self.coverage * len(template))

@@ -238,6 +238,30 @@ def test_licenses_are_found_once_per_place(spark, odd, empty):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("inserted", [0, 10, 30, 60, 400, 5000])
+def test_interrupted_notices_are_found_whole(inserted):
+    rng = random.Random(inserted)
+    notice, scanner = licenses.words(licenses.TEMPLATES["MIT"][1]), licenses.Scanner({"MIT": [licenses.TEMPLATES["MIT"][1]]})
+    block = [f"page{k}" for k in range(inserted)]
+    for cut in (10, len(notice) // 2, len(notice) - 10):
+        text = ["before"] * 20 + notice[:cut] + block + notice[cut:] + ["after"] * 20
+        whole = len(licenses.align(text, notice)) / len(notice)
+        (got,) = scanner.scan(" ".join(text))
+        assert got[1] == whole == 1.0 or inserted < 10
+        assert got[2:] == (20, 20 + len(notice) + inserted, 1)
+        assert scanner.scan(" ".join(text * 2 + notice))[0][4] == 3
+    thin = notice[:20] + block + [x for x in notice[20:40] if rng.random() < 0.9] + block + notice[40:]
+    # a lone word apart is not added to a notice that is reported without it
+    assert scanner.scan(" ".join(thin))[0][1] > (len(licenses.align(thin, notice)) - licenses.PART) / len(notice)
+
+
+def test_scattered_words_are_no_notice():
+    filler = " x" * 50
+    text = filler.join(["it was released", "under it", "the driver", "mit", "had no license"])
+    assert licenses.Scanner(licenses.TEMPLATES).scan(text) == []
+
+
+
 # -- packing
 
 def check_packing(rows, ids, window):
