@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"\w+")
+# Scripts without blanks between words (Thai to Myanmar, Khmer, kana, ideographs): every letter is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 SIMILARITY = 0.8  # 1 - edits / words of the item, at least
-MIN_WORDS = 5  # shorter items say nothing about a text and are not looked for
 BLOCK_WORDS = 1 << 20  # words of the items that one pass over the corpus takes, which bounds the broadcast index
 BATCH_WORDS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +39,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY):
         if not 0 < similarity <= 1:
             raise ValueError("a similarity above 0 and at most 1 is asked for")
-        parsed = [(i, w) for i, t in rows if len(w := words(t)) >= MIN_WORDS]
+        parsed = [(i, w) for i, t in rows if (w := words(t))]
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in parsed]
         self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
@@ -197,9 +198,10 @@ def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return end - int(back.argmin()), end, int(row[end])
 
 
-def item_blocks(benchmark: DataFrame, text: str, key: str, similarity: float = SIMILARITY) -> Iterator[Items]:
-    """Indexes of all items, in blocks of at most about ``BLOCK_WORDS`` words each."""
-    rows = benchmark.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(
+def item_blocks(benchmark: DataFrame, text: str, key: str | None, similarity: float = SIMILARITY) -> Iterator[Items]:
+    """Indexes of all items, in blocks of at most about ``BLOCK_WORDS`` words each; those without an id only if no
+    key is named."""
+    rows = benchmark.select((F.col(key) if key else F.lit(0)).alias("id"), F.col(text).alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = 1 + size // (4 * BLOCK_WORDS)
@@ -213,8 +215,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """``(key, item, start, end, edits, item_words)``: the nearest place of each item in each text, where near enough.
 
     Case, punctuation and line breaks do not count; ``start`` and ``end`` count words. Null and empty texts hold
-    nothing; repeated texts and items are reported each; items without an id, or of fewer than ``MIN_WORDS`` words, are
-    not looked for; an empty table on either side gives no rows.
+    nothing; repeated texts and items are reported each; items without an id or a word are not looked for, those of
+    so few words that the similarity allows no edit must stand there word for word; an empty table on either side gives
+    no rows. A letter of a script without blanks counts as a word.
     """
     kind = docs.select(key).schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("item", T.LongType())] + [
@@ -252,6 +255,6 @@ def holds_item(text: Column, items: Items) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with their columns."""
-    for items in item_blocks(benchmark, "text", "item_id"):
+    for items in item_blocks(benchmark, "text", None):
         docs = docs.filter(~holds_item(F.col(text), items))
     return docs

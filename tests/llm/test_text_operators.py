@@ -167,6 +167,18 @@ def test_low_similarities_lose_nothing():
 
 
 
+def test_short_items_items_without_id_and_texts_without_blanks(spark):
+    items = spark.createDataFrame([(None, "nobody knows my id so far"), (1, "four short words here"), (2, "singular"),
+                                   (3, "今天天气很好我们去公园散步吧")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "well, Nobody knows my id so far."), (2, "just four short words here, yes"), (3, "four words here"),
+         (4, "a singular case"), (5, "他说今天天气真好我们去公园散步吧因为"), (6, "他说天气")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(2, 1): 0, (4, 2): 0, (5, 3): 1}
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()} == {3, 6}
+
+
+
 # -- chat
 
 def test_log_is_folded(spark):
