@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontamination, language, licenses, packing, quality, sharding, simhash, sql, token_counts,
-               toxicity)
+from . import (chat, decontamination, language, licenses, manifest, packing, quality, sharding, simhash, sql,
+               token_counts, toxicity)
 
 SHARDS = 8
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,7 +80,21 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    digest = lambda text: manifest.record_digest([*map(F.col, fields), text])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, digest(F.translate("text", UPPER, LOWER)))
+    rows = docs.select("doc_id", "lang", digest(F.col("text")).alias("leaf"), F.unhex(tampered).alias("received"))
+    made = manifest.manifest(rows, "leaf", ["doc_id"], "lang")
+    received = F.coalesce(F.lower(F.hex("received")), F.col("leaf"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                       manifest.folded_root(received).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_quality, op7_token_counts,
-    op8_toxicity, op9_simhash, op10_language)}
-ORACLES = {"op1_sharding": sql.SHARDING, "op3_chat": sql.CHAT, "op6_quality": sql.QUALITY}
+    op8_toxicity, op9_simhash, op10_language, op11_manifest)}
+ORACLES = {"op1_sharding": sql.SHARDING, "op3_chat": sql.CHAT, "op6_quality": sql.QUALITY,
+           "op11_manifest": sql.MANIFEST}

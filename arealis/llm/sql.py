@@ -100,3 +100,57 @@ verdicts as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not coalesce(beyond, false) as kept
 from based left join verdicts using (doc_id)"""
+
+
+def _value(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::varchar)) || ':' || {column}::varchar, '-')"
+
+
+def _levels(name: str, first: str) -> str:
+    """Nodes of all levels of the trees in ``first`` (tree, level, idx, n, h), with what is left and right in the run."""
+    run = "partition by tree, level, idx // 8 order by idx rows between"
+    return f"""{name} as (
+  {first}
+  union all
+  select tree, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' order by idx))
+  from {name} where n > 1 group by tree, level, idx // 8),
+{name}_runs as (select *, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as lh,
+    coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as rh from {name})"""
+
+
+def _paths(name: str, nodes: str, first: str) -> str:
+    """From ``first`` (doc_id, tree, level, idx, now, proof) up to the top of the tree."""
+    return f"""{name} as (
+  {first}
+  union all
+  select p.doc_id, p.tree, p.level + 1, p.idx // 8, sha256(lh || now || rh), proof || lh || rh
+  from {name} p join {nodes}_runs r using (tree, level, idx) where r.n > 1),
+{name}_ends as (select * from {name} qualify row_number() over (partition by doc_id order by level desc) = 1)"""
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_value, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, {bytes}),
+           lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1])), 4294967295)"""
+_DIGITS = "list_transform(range(length({0}::varchar)), lambda i: ascii(substr({0}::varchar, cast(i + 1 as int), 1))::bigint)"
+
+MANIFEST = f"""
+with recursive lookup as (select list({_CRC_STEP} order by i) as tab from range(256) t(i)),
+leaves as (
+  select doc_id, lang, {_leaf('text')} as h,
+         {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as altered,
+         {_CRC.format(bytes=_DIGITS.format('doc_id'))} % 3 = 0 as tampered,
+         dense_rank() over (order by lang nulls first) - 1 as tree,
+         row_number() over (partition by lang order by doc_id) - 1 as idx,
+         count(*) over (partition by lang) as n from documents cross join lookup),
+{_levels("nodes", "select tree, 0 as level, idx, n, h from leaves")},
+groups as (select tree as idx, h, count(*) over () as n from nodes where n = 1),
+{_levels("tops", "select 0 as tree, 0 as level, idx, n, h from groups")},
+{_paths("low", "nodes", "select doc_id, tree, 0 as level, idx, case when tampered then altered else h end as now, '' as proof from leaves")},
+{_paths("high", "tops", "select doc_id, 0 as tree, 0 as level, tree as idx, now, proof from low_ends")}
+select l.doc_id, l.h as leaf, g.h as subroot, t.h as root, sha256(p.proof) as proof_sha256, p.now as folded_root,
+       p.now = t.h as verified
+from leaves l join groups g on g.idx = l.tree join high_ends p on p.doc_id = l.doc_id
+join tops t on t.n = 1"""
