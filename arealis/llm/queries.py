@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontamination, language, licenses, manifest, packing, quality, sharding, simhash, sql,
-               token_counts, toxicity)
+from . import (chat, decontamination, language, licenses, manifest, packing, quality, secret_scan, sharding,
+               simhash, sql, token_counts, toxicity)
 
 SHARDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,8 +93,19 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    secrets = F.col("secrets")
+    base = F.filter(secrets, lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [secret_scan.counted(secrets, "kind", k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    verdicts = [secret_scan.counted(secrets, "verdict", v).alias(f"n_{v}") for v in ("live", "copied")]
+    return secret_scan.secret_report(table(spark, folder, "documents")).select(
+        "doc_id", *counts, *verdicts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(secrets).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_quality, op7_token_counts,
-    op8_toxicity, op9_simhash, op10_language, op11_manifest)}
+    op8_toxicity, op9_simhash, op10_language, op11_manifest,
+    op12_secrets)}
 ORACLES = {"op1_sharding": sql.SHARDING, "op3_chat": sql.CHAT, "op6_quality": sql.QUALITY,
-           "op11_manifest": sql.MANIFEST}
+           "op11_manifest": sql.MANIFEST, "op12_secrets": sql.SECRETS}

@@ -1,6 +1,6 @@
 """The rows of the text queries as DuckDB SQL, where SQL can state them."""
 
-from . import quality, sharding
+from . import quality, secret_scan, sharding
 
 _F1, _F2 = sharding.FACTORS
 
@@ -154,3 +154,46 @@ select l.doc_id, l.h as leaf, g.h as subroot, t.h as root, sha256(p.proof) as pr
        p.now = t.h as verified
 from leaves l join groups g on g.idx = l.tree join high_ends p on p.doc_id = l.doc_id
 join tops t on t.n = 1"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(kind: int) -> str:
+    pattern = _literal(secret_scan.PATTERNS[secret_scan.KINDS[kind]])
+    return f"""select doc_id, owner, {kind} as kind, unnest(range(1, len(hits) + 1)) as k, unnest(hits) as hit,
+       unnest(list_transform(gaps[:len(hits)], lambda g: length(g))) as gap
+from (select doc_id, source as owner, regexp_extract_all(coalesce(text, ''), {pattern}) as hits,
+             string_split_regex(coalesce(text, ''), {pattern}) as gaps from documents)"""
+
+
+SECRETS = f"""
+with found as ({" union all ".join(map(_matches, range(4)))}),
+placed as (
+  select *, finish - length(hit) as start,
+         case when kind = 0 then regexp_extract(hit, {_literal(secret_scan.ASSIGN)}, 2) else hit end as value
+  from (select *, sum(gap + length(hit)) over (partition by doc_id, kind order by k) as finish from found)),
+valid as (select * from placed where kind <> 0 or length(value) >= {secret_scan.LEAST_VALUE}),
+alone as (
+  select * from valid v where kind < 3 or not exists (
+    select 1 from valid b where b.doc_id = v.doc_id and b.kind < 3 and b.start < v.finish and b.finish > v.start)),
+owned as (select sha256(value) as h, count(distinct doc_id) as repositories,
+                 count(distinct coalesce('=' || owner, '')) as owners from alone group by 1),
+judged as (
+  select doc_id, kind, start, finish,
+         case when owners > {secret_scan.MAX_OWNERS} or repositories > {secret_scan.MAX_REPOSITORIES} then 'copied'
+              when regexp_matches(value, '[A-Za-z]') and regexp_matches(value, '[0-9]')
+                   and not regexp_matches(value, {_literal(secret_scan.PLACEHOLDERS)})
+                   and len(list_distinct(string_split(value, ''))) >= {secret_scan.LEAST_LETTERS} then 'live'
+              else 'plain' end as verdict
+  from alone join owned on h = sha256(value)),
+told as (
+  select *, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || cast(start as bigint) || ':' || cast(finish as bigint) as span
+  from judged where kind < 3 or verdict = 'live')
+select d.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access,
+       count(*) filter (kind = 2) as n_hex, count(*) filter (kind = 3) as n_owned,
+       count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'copied') as n_copied,
+       sha256(coalesce(string_agg(span, ',' order by start, kind) filter (kind < 3), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by start, kind), '') as spans
+from documents d left join told t using (doc_id) group by d.doc_id"""
