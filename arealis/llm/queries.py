@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, decontamination, language, licenses, manifest, packing, quality, secret_scan, sharding,
-               simhash, sql, token_counts, toxicity)
+               simhash, spelling, sql, token_counts, toxicity)
 
 SHARDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,9 +103,13 @@ def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.listed(secrets).alias("spans"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"), change=spelling.dropped_letter(199))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_quality, op7_token_counts,
     op8_toxicity, op9_simhash, op10_language, op11_manifest,
-    op12_secrets)}
+    op12_secrets, op13_spelling)}
 ORACLES = {"op1_sharding": sql.SHARDING, "op3_chat": sql.CHAT, "op6_quality": sql.QUALITY,
-           "op11_manifest": sql.MANIFEST, "op12_secrets": sql.SECRETS}
+           "op11_manifest": sql.MANIFEST, "op12_secrets": sql.SECRETS, "op13_spelling": sql.SPELLING}

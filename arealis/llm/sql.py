@@ -1,6 +1,6 @@
 """The rows of the text queries as DuckDB SQL, where SQL can state them."""
 
-from . import quality, secret_scan, sharding
+from . import quality, secret_scan, sharding, spelling
 
 _F1, _F2 = sharding.FACTORS
 
@@ -197,3 +197,40 @@ select d.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind =
        sha256(coalesce(string_agg(span, ',' order by start, kind) filter (kind < 3), '')) as base_sha256,
        coalesce(string_agg(span, ',' order by start, kind), '') as spans
 from documents d left join told t using (doc_id) group by d.doc_id"""
+
+_UTF8 = """list_transform(range(octet_length(encode({0}))), lambda i:
+           ('0x' || substr(hex(encode({0})), cast(2 * i + 1 as int), 2))::bigint)"""
+
+SPELLING = f"""
+with recursive lookup as (select list({_CRC_STEP} order by i) as tab from range(256) t(i)),
+runs as (
+  select doc_id, run, count(*) as n
+  from (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents)
+  where length(run) >= {spelling.LEAST_LENGTH} group by all),
+summed as (select run, n, {_CRC.format(bytes=_UTF8.format("(doc_id || ':' || run)"))} as h from runs cross join lookup),
+words as (
+  select word, cast(sum(n) as bigint) as n
+  from (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+               else run end as word, n from summed)
+  where length(word) >= {spelling.LEAST_LENGTH} group by 1 having sum(n) >= {spelling.LEAST_COUNT}),
+shorter as (
+  select word, length(word) as len, i, substr(word, 1, i) || substr(word, i + 2) as rest
+  from (select word, unnest(range(length(word))) as i from words)),
+pairs as (
+  select a.word as u, b.word as v from shorter a join shorter b using (len, i, rest) where a.word <> b.word
+  union select s.word, w.word from shorter s join words w on s.rest = w.word
+  union select w.word, s.word from shorter s join words w on s.rest = w.word),
+near as (
+  select u as word, count(*) as n_near, arg_min(v, (-w.n, v)) as near, max(w.n) as near_n
+  from pairs join words w on w.word = v group by 1),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near,
+         case when near_n >= {spelling.DOMINANCE} * w.n then near end as form,
+         case when near_n >= {spelling.DOMINANCE} * w.n then near_n end as form_n
+  from words w left join near using (word)),
+chain as (
+  select word, word as upto, 0 as steps from forms
+  union all select c.word, f.form, steps + 1 from chain c join forms f on f.word = c.upto where f.form is not null)
+select word, form, (select arg_max(upto, steps) from chain c where c.word = f.word) as root, n, n_near, form_n
+from forms f"""
