@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box_rings, to_metres
 from ..operators import aggregates as A
 from ..operators import autocorrelation as AC
+from ..operators import outlines as O
 from ..operators import spatial as S
 from ..session import cut_lineage
 from .base import SUPPLIED, Tables, query, rounded, supplied
@@ -219,3 +220,28 @@ with m as ({_MORAN}) select 'mean price' as variable, round(morans_i, 3) as mora
 def autocorrelation_table(t: Tables) -> DataFrame:
     values = cut_lineage(_nation_means(t).withColumn("empty", F.lit(None).cast("double")))
     return AC.autocorrelation_table(values, _region_edges(t), "id", [("x", "mean price"), ("empty", "no values"), ("absent", "absent")])
+
+
+# squares of the lattice as parts of two zones; a square's sides are walked counter-clockwise, direction 0 to 3
+_SIDES = """
+with recursive s as (select p_partkey % 40 as x, p_partkey // 40 as y, cast(p_partkey * 7919 % 97 < 65 as int) as zone from part),
+d as (select zone, x as x1, y as y1, x + 1 as x2, y as y2, 0 as d from s union all select zone, x + 1, y, x + 1, y + 1, 1 from s
+  union all select zone, x + 1, y + 1, x, y + 1, 2 from s union all select zone, x, y + 1, x, y, 3 from s),
+o as (select *, row_number() over (order by zone, x1, y1, x2, y2) as id from d a where not exists (
+  select 1 from d b where b.zone = a.zone and b.x1 = a.x2 and b.y1 = a.y2 and b.x2 = a.x1 and b.y2 = a.y1)),
+n as (select a.id, arg_min(b.id, (1 - (b.d - a.d + 4) % 4 + 4) % 4) as after from o a join o b on b.zone = a.zone and b.x1 = a.x2 and b.y1 = a.y2 group by a.id),
+w as (select id as ring, id, 1 as k from o union all select w.ring, n.after, k + 1 from w join n using (id) where n.after > w.ring),
+full_ring as (select ring from w join n using (id) where n.after = w.ring)
+"""
+
+
+def _zones(t: Tables) -> DataFrame:
+    return _squares(t).select((F.col("area") * 7919 % 97 < 65).cast("int").alias("zone"), "rings")
+
+
+@query(_SIDES + """select zone, any_value(x1) filter (k = 1)::double as x, any_value(y1) filter (k = 1)::double as y, count(*) as n_corners,
+  sum(x1 * y2 - x2 * y1) / 2.0::double as size, count(*)::double as length from w join full_ring using (ring) join o using (id) group by zone, ring""")
+def united_outlines(t: Tables) -> DataFrame:
+    first = F.col("ring")[0]
+    return O.outline_rings(_zones(t), "zone").select(
+        "zone", first["x"].alias("x"), first["y"].alias("y"), "n_corners", "size", "length")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +32,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
         return df
     return df.checkpoint(eager=True)
+
+
+def step(df: DataFrame) -> DataFrame:
+    """A round's table of an iterative operator, written to the shared checkpoint folder.
+
+    Without that the plan would double with every round. A session on one machine that names no folder gets one of its
+    own; on a cluster ``spark.checkpoint.dir`` must be set.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arealis-rounds-"))
+    return df.checkpoint(eager=True)
