@@ -1,7 +1,17 @@
-"""Moran's I with a permutation test, on a neighbour table."""
+"""Moran's I with a permutation test, on a neighbour table.
+
+Permutations are a keyed bijection on node numbers (swap-or-not rounds), so none is written out: as long as the values
+of all nodes fit into a task (``NODES_HELD``), every edge is read once, and a task adds up its edges' products under all
+permutations. Beyond that, permuted values are dealt out by a shuffle.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +21,87 @@ from .regression import Fit, Spec, fit_many
 from .spatial import spatial_lag, standardise_edges
 
 MORAN = "n bigint, morans_i double, expected_i double, perm_p double"
+NODES_HELD = 1 << 20  # nodes whose keys and values the driver and every task may hold: some tens of megabytes
+EDGES_HELD = 1 << 20  # edges that a task adds up at once
+FACTORS = (1_103_515_245, 1_664_525)  # odd; products with 28-bit numbers stay in a signed long
+
+
+def round_keys(n: int, permutation: int, seed: int) -> list[tuple[int, int]]:
+    """(pivot, salt) of each round; permutation 0 is the identity."""
+    if permutation == 0 or n < 2:
+        return []
+    digests = (hashlib.md5(f"{seed}|{permutation}|{r}".encode()).hexdigest() for r in range(8 + 2 * (n - 1).bit_length()))
+    return [(int(d[:7], 16) % n, int(d[7:14], 16)) for d in digests]
+
+
+def permuted(x: np.ndarray, n: int, keys: list[tuple[int, int]]) -> np.ndarray:
+    """Positions of node numbers: in each round a number and its partner change places or do not, by one hashed bit."""
+    x = np.asarray(x, np.int64)
+    for pivot, salt in keys:
+        other = (pivot - x) % n
+        h = ((np.maximum(x, other) ^ salt) * FACTORS[0] + salt) & 0x7FFFFFFF
+        h = ((h ^ (h >> 15)) * FACTORS[1]) & 0x7FFFFFFF
+        x = np.where((h >> 13) & 1, other, x)
+    return x
+
+
+def _products(edges: DataFrame, z: np.ndarray, permutations: int, seed: int) -> DataFrame:
+    """(perm, s0 .., w): sums of w z z over ``edges`` (i, j, w) under each permutation; ``z`` has a row per column."""
+    held, n = edges.sparkSession.sparkContext.broadcast(z), z.shape[1]
+    names = [f"s{c}" for c in range(len(z))]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, total, parts, size, weight = held.value, np.zeros((permutations + 1, len(names))), [], 0, 0.0
+
+        def add() -> None:
+            i, j, w = (np.concatenate([p[c] for p in parts]) for c in range(3))
+            for k in range(permutations + 1):
+                keys = round_keys(n, k, seed)
+                if n <= 2 * len(i):  # permute all nodes or the edges' ends, whichever are fewer
+                    at = permuted(np.arange(n), n, keys)
+                    a, b = at[i], at[j]
+                else:
+                    a, b = permuted(i, n, keys), permuted(j, n, keys)
+                total[k] += (z[:, a] * z[:, b]) @ w
+
+        for batch in batches:
+            parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "w")))
+            size, weight = size + batch.num_rows, weight + parts[-1][2].sum()
+            if size >= EDGES_HELD:
+                add()
+                parts, size = [], 0
+        if size:
+            add()
+        if weight:
+            yield pa.RecordBatch.from_pydict({"perm": pa.array(range(permutations + 1), pa.int32()), **{
+                c: total[:, k] for k, c in enumerate(names)}, "w": np.full(permutations + 1, weight)})
+
+    sums = edges.mapInArrow(fn, f"perm int, {', '.join(f'{c} double' for c in names)}, w double")
+    return sums.groupBy("perm").agg(*[F.sum(c).alias(c) for c in (*names, "w")])
+
+
+def _rows_of_held(nodes: pa.Table, edges: DataFrame, key: str, columns: list[str], permutations: int, seed: int) -> list[tuple]:
+    """(variable, n, I, its expectation, p) where the values of all nodes are held: numbers follow the order of keys."""
+    n = nodes.num_rows
+    x = np.array([nodes.column(f"x{c}").to_numpy() for c in range(len(columns))])
+    live = [c for c in range(len(columns)) if n >= 2 and x[c].min() != x[c].max()]
+    rows = [(name, n, None, None, None) for c, name in enumerate(columns) if c not in live]
+    if not live:
+        return rows
+    z = x[live] - x[live].mean(axis=1, keepdims=True)
+    numbers = edges.sparkSession.createDataFrame(pa.table({"node": nodes.column(key), "at": np.arange(n)}))
+    ends = F.broadcast(numbers)  # at most NODES_HELD rows
+    inner = (edges.join(ends.withColumnsRenamed({"node": "src", "at": "i"}), "src")
+             .join(ends.withColumnsRenamed({"node": "dst", "at": "j"}), "dst").select("i", "j", "w"))
+    sums = inner.groupBy("i").agg(F.sum("w").alias("__s"))
+    inner = inner.join(sums, "i").select("i", "j", (F.col("w") / F.col("__s")).alias("w"))
+    got = sorted(_products(inner, z, permutations, seed).collect())
+    ei = -1.0 / (n - 1)
+    for k, c in enumerate(live):
+        i = np.array([n / r["w"] * r[f"s{k}"] for r in got]) / (z[k] @ z[k])
+        p = (np.sum(np.abs(i[1:] - ei) >= abs(i[0] - ei) - 1e-12) + 1) / (permutations + 1) if got else None
+        rows.append((columns[c], n, float(i[0]), ei, float(p)) if got else (columns[c], n, None, None, None))
+    return rows
 
 
 def permuted_positions(nodes: DataFrame, key: str, permutations: int, seed: int,
@@ -44,14 +135,16 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str, permutat
 
 def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: list[str], permutations: int = 999,
                        seed: int = 42) -> DataFrame:
-    """A row per column, for nodes that have a value in all of them: the orderings are drawn once.
-
-    Permutation 0 gives every node its number; under permutation k a node takes the values of the node whose number
-    is its position.
-    """
+    """A row per column, for nodes that have a value in all of them: the permutations are drawn once."""
     spark, kind = values.sparkSession, f"variable string, {MORAN}"
     x = [f"x{i}" for i in range(len(columns))]
     known = cut_lineage(values.select(key, *[finite(c).alias(n) for c, n in zip(columns, x)]))
+    nodes = known.limit(NODES_HELD + 1).toArrow()
+    if nodes.num_rows <= NODES_HELD:
+        rows = _rows_of_held(nodes.sort_by(key), edges, key, columns, permutations, seed)
+        names = ("variable", "n", "morans_i", "expected_i", "perm_p")
+        types = (pa.string(), pa.int64(), *[pa.float64()] * 3)
+        return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], of) for i, (c, of) in enumerate(zip(names, types))}))
     s = known.agg(F.count(F.lit(1)).alias("n"), *[
         f(n).alias(f"{name}_{n}") for n in x for name, f in (
             ("m", F.avg), ("v", F.var_pop), ("lo", F.min), ("hi", F.max))]).first()
@@ -61,10 +154,28 @@ def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: l
     if not live:
         return flat
     z = known.select(key, *[(F.col(x[i]) - s[f"m_{x[i]}"]).alias(f"z{i}") for i in live])
+    ei = -1.0 / (n - 1)
+    i_k = _statistics_of_many(z, edges, key, {f"z{i}": s[f"v_{x[i]}"] for i in live}, n, permutations, seed)
+    first = i_k.where("perm = 0").first()
+    if first is None:
+        return flat.unionByName(spark.createDataFrame([(columns[i], n, None, None, None) for i in live], kind))
+    hits = i_k.agg(*[F.count(F.when((F.col("perm") > 0) & (
+        F.abs(F.col(f"i_z{i}") - ei) >= abs(first[f"i_z{i}"] - ei) - 1e-12), 1)).alias(f"k{i}") for i in live]).first()
+    rows = [(columns[i], n, first[f"i_z{i}"], ei, (hits[f"k{i}"] + 1) / (permutations + 1)) for i in live]
+    return spark.createDataFrame(rows, kind).unionByName(flat)
+
+
+def _statistics_of_many(z: DataFrame, edges: DataFrame, key: str, spread: dict[str, float], n: int, permutations: int,
+                        seed: int) -> DataFrame:
+    """(perm, i_z ..) for more nodes than a task may hold: permuted values are written and joined with the edges.
+
+    Permutation 0 gives every node its number; under permutation k a node takes the values of the node whose number
+    is its position.
+    """
+    zs = list(spread)
     inner = standardise_edges(
         edges.join(z.select(F.col(key).alias("src")), "src", "left_semi")
         .join(z.select(F.col(key).alias("dst")), "dst", "left_semi"))
-    zs = [f"z{i}" for i in live]
     place = permuted_positions(z, key, permutations, seed)
     numbered = place.where("perm = 0").select(key, "position").join(z, key).select("position", *zs)
     # both ends of an edge look the values up, so the orderings are written once
@@ -75,18 +186,8 @@ def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: l
     # neighbours' weighted mean of each node first: one row per node and permutation remains
     lag = (inner.join(dst, "dst").groupBy("perm", "src")
            .agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"d{c}")).alias(f"l{c}") for c in zs]))
-    i_k = cut_lineage(lag.join(src, ["perm", "src"]).groupBy("perm").agg(*[
-        (n / F.sum("w") * F.sum(F.col(f"sz{i}") * F.col(f"lz{i}")) / (s[f"v_{x[i]}"] * n)).alias(f"i{i}") for i in live]))
-    first = i_k.where("perm = 0").first()
-    if first is None:
-        return flat.unionByName(spark.createDataFrame([(columns[i], n, None, None, None) for i in live], kind))
-    ei = -1.0 / (n - 1)
-    hits = i_k.agg(*[F.count(F.when((F.col("perm") > 0) & (
-        F.abs(F.col(f"i{i}") - ei) >= abs(first[f"i{i}"] - ei) - 1e-12), 1)).alias(f"k{i}") for i in live])
-    rows = F.array(*[F.struct(
-        F.lit(columns[i]).alias("variable"), F.lit(n).cast("bigint").alias("n"), F.lit(first[f"i{i}"]).alias("morans_i"),
-        F.lit(ei).alias("expected_i"), ((F.col(f"k{i}") + 1) / F.lit(float(permutations + 1))).alias("perm_p")) for i in live])
-    return hits.select(F.explode(rows).alias("r")).select("r.*").unionByName(flat)
+    return cut_lineage(lag.join(src, ["perm", "src"]).groupBy("perm").agg(*[
+        (n / F.sum("w") * F.sum(F.col(f"s{c}") * F.col(f"l{c}")) / (v * n)).alias(f"i_{c}") for c, v in spread.items()]))
 
 
 def autocorrelation_table(df: DataFrame, edges: DataFrame, key: str,

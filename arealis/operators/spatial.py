@@ -177,6 +177,9 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
         *points.columns, found.alias(area), F.col("b.distance").alias("distance"))
 
 
+GRID_KEYS = 16
+
+
 def zonal_mean(pixels: DataFrame, polygons: DataFrame, area: str, raster: str = "raster_id",
                value: str = "value", lon: str = "lon", lat: str = "lat", rings: str = "rings",
                cell: float | None = None) -> DataFrame:
@@ -187,8 +190,11 @@ def zonal_mean(pixels: DataFrame, polygons: DataFrame, area: str, raster: str =
                                 rings, cell)
     means = inside.groupBy(area, raster).agg(F.avg(value).alias(value),
                                              F.count(F.lit(1)).alias("n_pixels"))
-    rasters = pixels.agg(F.array_sort(F.collect_set(raster)).alias("r")).scalar()
-    grid = polygons.select(area).distinct().select(area, F.explode(rasters).alias(raster))
+    # every area with every raster, as rows: rasters are dealt to a few numbers that each area has all of
+    dealt = F.pmod(F.xxhash64(raster), F.lit(GRID_KEYS))
+    rasters = pixels.select(raster).distinct().withColumn("__k", dealt)
+    areas = polygons.select(area).distinct().withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(GRID_KEYS - 1)).cast("array<bigint>")))
+    grid = areas.join(rasters, "__k").drop("__k")
     return grid.join(means, [area, raster], "left").withColumn(
         "n_pixels", F.coalesce("n_pixels", F.lit(0)))
 
@@ -248,10 +254,12 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     if cell is None:
         span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
         cell = (edges.agg(F.avg(span).alias("s")).first()["s"] or 0.0) + reach
-    # most neighbours share a corner, which needs no distances
-    corners = polygons.select(F.col(area).alias("src"), F.explode(F.array_distinct(F.flatten(rings))).alias("c"))
-    met = cut_lineage(corners.join(corners.withColumnRenamed("src", "dst"), "c").where(F.col("src") < F.col("dst"))
-                      .select("src", "dst").distinct())
+    # most neighbours share a corner, which needs no distances; each area is there once, however many parts meet
+    corners = polygons.select(area, F.explode(F.array_distinct(F.flatten(rings))).alias("c"))
+    at_corner = corners.groupBy("c").agg(F.sort_array(F.collect_set(area)).alias("s")).where(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(
+        F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    met = cut_lineage(at_corner.select(F.explode(pairs).alias("p")).select("p.*").distinct())
     spread = edge_cells(edges, float(cell), float(tolerance), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
     names = ("x1", "y1", "x2", "y2")
     other = spread.select("ix", "iy", F.col(area).alias("dst"),

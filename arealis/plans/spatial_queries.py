@@ -183,14 +183,19 @@ def projected_points(t: Tables) -> DataFrame:
 
 
 # nations of one region as neighbours; the statistic is over all line items
+_H = f"((xor(greatest(spot, (turn % n - spot + n) % n), salt) * {AC.FACTORS[0]} + salt) & 2147483647)"
+_BIT = f"((((xor({_H}, {_H} >> 15) * {AC.FACTORS[1]}) & 2147483647) >> 13) & 1)"
 _MORAN = f"""
-with v as (select n_nationkey as id, n_regionkey as g, avg(l_extendedprice) as x from ({SUPPLIED}) q where n_nationkey <> 7 group by all),
+with recursive v as (select n_nationkey as id, n_regionkey as g, avg(l_extendedprice) as x from ({SUPPLIED}) q where n_nationkey <> 7 group by all),
 n as (select count(*) as n, avg(x) as m, var_pop(x) * count(*) as den from v),
-z as (select id, g, x - m as z from v, n),
+z as (select id, g, x - m as z, row_number() over (order by id) - 1 as spot from v, n),
 e as (select a.id as src, b.id as dst, 1.0 / count(*) over (partition by a.id) as w from v a join v b on a.g = b.g and a.id <> b.id),
-p as (select k, id, row_number() over (partition by k order by md5('42|' || k || '|' || id), id) as pos from v, range(0, 1000) r(k)),
-o as (select pos, z from p join z using (id) where k = 0),
-d as (select p.k, p.id, o.z from p join o using (pos) where p.k > 0 union all select 0, id, z from z),
+key as (select k, r, ('0x' || substr(md5('42|' || k || '|' || r), 1, 7))::bigint as turn, ('0x' || substr(md5('42|' || k || '|' || r), 8, 7))::bigint as salt
+  from range(1, 1000) t(k), range(0, 80) u(r)),
+p as (select k, id, spot, 0 as r from z, range(1, 1000) t(k) union all
+  select k, id, case when {_BIT} = 1 then (turn % n - spot + n) % n else spot end, r + 1
+  from p join key using (k, r), n where r < 8 + 2 * length(bin(n - 1))),
+d as (select p.k, p.id, z.z from p join z on z.spot = p.spot, n where p.r = 8 + 2 * length(bin(n - 1)) union all select 0, id, z from z),
 i as (select a.k, (select n from n) / sum(e.w) * sum(e.w * a.z * b.z) / (select den from n) as i
   from e join d a on a.id = e.src join d b on b.id = e.dst and a.k = b.k group by a.k),
 ob as (select i as obs, -1.0 / (n - 1) as ei from i, n where k = 0)
