@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
 from ..functions.numeric import listwise
-from ..session import cut_lineage
+from ..session import cut_lineage, step
+from .clustering import best_centres, nearest_centre, silhouettes
 from .order import value_ranks
 
 
@@ -29,28 +27,20 @@ def typology(df: DataFrame, key: str, columns=None, k_range=range(3, 8), seed: i
              n_init: int = 10, name: str = "soil_zone") -> tuple[DataFrame, dict | None]:
     """k-means zones on standardised columns, k by best silhouette (the smallest on ties).
 
-    Incomplete rows get no zone. The silhouette uses squared Euclidean distance, which Spark
-    computes from cluster sums in one pass; pairwise Euclidean distances would be quadratic.
-    The best of ``n_init`` starts by cost is kept for each k.
+    Incomplete rows get no zone. The best of ``n_init`` starts by cost is kept for each k; all starts of all k share
+    their passes over the rows. The silhouette is the Euclidean one.
     """
     columns = [c for c in (columns or P.TYPOLOGY_COLUMNS) if c in df.columns]
     z = standardised(df, columns)
-    features = VectorAssembler(inputCols=[f"{c}__z" for c in columns], outputCol="features")
-    vectors = cut_lineage(features.transform(z).select(key, "features"))
-    if len(vectors.select(key).head(max(k_range) + 1)) < max(k_range) + 1:
+    vectors = z.select(key, F.array(*[F.col(f"{c}__z") for c in columns]).alias("v"))
+    rows = step(vectors.select(F.xxhash64(key).alias("h"), "v"))
+    if len(rows.select("h").head(max(k_range) + 1)) < max(k_range) + 1:
         return df.withColumn(name, F.lit(None).cast("int")), None
-    judge = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
-    best = None
-    for k in k_range:
-        models = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=name).fit(vectors)
-                  for r in range(n_init)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        score = judge.setPredictionCol(name).evaluate(model.transform(vectors))
-        if best is None or score > best[1]:
-            best = (k, score, model)
-    k, score, model = best
-    labels = model.transform(features.transform(z)).select(key, name)
-    return df.join(labels, key, "left"), {"k": k, "silhouette": round(score, 3)}
+    best = best_centres(rows, list(k_range), n_init, seed)
+    scores = silhouettes(rows, best)
+    k = max(k_range, key=lambda k: (scores[k], -k))
+    labels = vectors.select(key, nearest_centre("v", best[k]).alias(name))
+    return df.join(labels, key, "left"), {"k": k, "silhouette": round(scores[k], 3), "centres": best[k]}
 
 
 def principal_component(df: DataFrame, key: str, columns, name: str, min_columns: int = 3,

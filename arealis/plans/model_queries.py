@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
 from ..operators import autocorrelation as AC
+from ..operators import clustering as CL
 from ..operators import indices as I
 from ..operators import regression as R
 from ..operators import spatial as S
 from ..operators import typology as TY
 from ..operators.panel import calendar
-from ..session import cut_lineage
+from ..session import cut_lineage, step
 from .base import Tables, query, rounded
 from .spatial_queries import _squares
 
@@ -168,6 +170,34 @@ def kmeans_zones(t: Tables) -> DataFrame:
         {"k": F.lit(info["k"]), "silhouette": F.lit(info["silhouette"])})
 
 
+# rounds from the first rows as centres, then all pairwise distances
+_ZONES = """
+with recursive x as (select vec_id, [embedding[1], embedding[2], embedding[3], embedding[4]]::double[] as v from embeddings),
+c as (select 0 as i, (select list(v order by vec_id) from (select * from x order by vec_id limit {k})) as cs
+  union all select i + 1, (select list(m order by j) from (select j, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] as m from (
+      select v, list_position(ds, list_min(ds)) as j from (select v, list_transform(c.cs, lambda q: list_distance(q, v)) as ds from x)) group by j))
+  from c where i < 20),
+l as (select vec_id, v, list_position(ds, list_min(ds)) as j from (select vec_id, v, list_transform(cs, lambda q: list_distance(q, v)) as ds from x, c where i = 20)),
+n as (select j, count(*) as n, avg(v[1]) as first_mean from l group by j),
+m as (select a.vec_id, a.j, b.j as other, sum(list_distance(a.v, b.v)) as d from l a, l b group by all),
+s as (select vec_id, m.j, max(d / nullif(n - 1, 0)) filter (m.j = other) as a, min(d / n) filter (m.j <> other) as b from m join n on n.j = other group by all),
+t as (select avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) as silhouette from s)
+select {k} as k, cast(j - 1 as int) as zone, n, round(first_mean, 6) as first_mean, round(silhouette, 6) as silhouette from n, t"""
+
+
+@query(" union all ".join(f"select * from ({_ZONES.format(k=k)}) q{k}" for k in (3, 4)))
+def zones_from_given_starts(t: Tables) -> DataFrame:
+    rows = t.embeddings.select(F.xxhash64("vec_id").alias("h"), F.array(*[F.col("embedding")[i].cast("double") for i in range(4)]).alias("v"), "vec_id")
+    first = [np.array(r["v"]) for r in rows.orderBy("vec_id").limit(4).collect()]
+    rows = step(rows.select("h", "v"))
+    best = {k: centres for (k, _), (_, centres) in CL.settled(rows, {(k, 0): np.array(first[:k]) for k in (3, 4)}).items()}
+    scores = CL.silhouettes(rows, best)
+    parts = [rows.groupBy(CL.nearest_centre("v", best[k]).alias("zone")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("v")[0]), 6, "first_mean")).select(
+        F.lit(k).alias("k"), "zone", "n", "first_mean", F.lit(round(scores[k], 6)).alias("silhouette")) for k in (3, 4)]
+    return parts[0].unionByName(parts[1])
+
+
 # the leading eigenvector of a 3 x 3 correlation matrix by repeated multiplication
 _POWER = """
 with recursive c as (select corr(l_quantity, l_extendedprice) as a, corr(l_quantity, l_discount) as b, corr(l_extendedprice, l_discount) as c,

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealis.operators import autocorrelation as AC
+from arealis.operators import clustering as C
 from arealis.operators import multilevel as M
 from arealis.operators import regression as R
+from arealis.operators import spatial as S
 from arealis.operators import typology as TY
 
 
@@ -111,6 +113,31 @@ def test_permutations_are_bijections(spark):
     assert all(sorted(g.position) == list(range(1, 31)) for _, g in p.groupby("perm"))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 24, 1000])
+def test_keyed_bijection(n):
+    drawn = [AC.permuted(np.arange(n), n, AC.round_keys(n, k, 42)) for k in range(60)]
+    assert (drawn[0] == np.arange(n)).all() and all(sorted(d) == list(range(n)) for d in drawn)
+    if n == 24:  # every place is about equally likely
+        at = np.bincount(np.concatenate([AC.permuted(np.arange(n), n, AC.round_keys(n, k, 1))[:1] for k in range(1, 2401)]), minlength=n)
+        assert 60 < at.min() and at.max() < 145
+
+
+def test_statistics_of_held_and_of_many_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = spark.createDataFrame([(f"n{i:02d}", float(v), float(i % 7)) for i, v in enumerate(rng.normal(size=40))], "id string, x double, y double")
+    edges = S.standardise_edges(spark.createDataFrame([(f"n{a:02d}", f"n{(a + d) % 40:02d}", 1.0) for a in range(40) for d in (1, 2, 39)], "src string, dst string, w double"))
+    held = {r.variable: r for r in AC.morans_of_complete(values, edges, "id", ["x", "y"], 199).collect()}
+    monkeypatch.setattr(AC, "EDGES_HELD", 1)
+    in_parts = {r.variable: r for r in AC.morans_of_complete(values, edges.repartition(3), "id", ["x", "y"], 199).collect()}
+    monkeypatch.setattr(AC, "NODES_HELD", 10)
+    many = {r.variable: r for r in AC.morans_of_complete(values, edges, "id", ["x", "y"], 199).collect()}
+    for c in "xy":
+        assert held[c].n == many[c].n == 40 and held[c].morans_i == pytest.approx(many[c].morans_i)
+        assert held[c].perm_p == in_parts[c].perm_p and held[c].perm_p == pytest.approx(many[c].perm_p, abs=0.12)
+    alone = AC.morans_i(values, edges.where("src = 'none'"), "id", "x", 99).first()
+    assert (alone.n, alone.morans_i, alone.perm_p) == (40, None, None)
+
+
 def test_first_component(frame, data):
     got = np.array([r.p for r in TY.principal_component(frame, "id", ["a", "b", "y"], "p").orderBy("id").select("p").collect()])
     Z = data[["a", "b", "y"]]
@@ -129,6 +156,41 @@ def test_typology_needs_rows(spark):
     assert info["k"] == 3 and out.where("k = 30 and soil_zone is null").count() == 1
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_silhouettes_by_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, s, (n, 3)) for c, s, n in ((0, 1, 60), (3, 0.5, 40), (8, 2, 30), (40, 1, 1))])
+    rows = spark.createDataFrame([(i * 7919, v.tolist()) for i, v in enumerate(x)], "h bigint, v array<double>")
+    best = {k: x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 5)} | {1: x[:1]}
+    got = C.silhouettes(rows, best, block)
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for k, centres in best.items():
+        label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        scores = []
+        for i in range(len(x)):
+            mine = (label == label[i]) & (np.arange(len(x)) != i)
+            if k == 1 or not mine.any():
+                scores.append(0.0)
+                continue
+            a, b = far[i][mine].mean(), min(far[i][label == j].mean() for j in set(label) - {label[i]})
+            scores.append((b - a) / max(a, b))
+        assert got[k] == pytest.approx(np.mean(scores))
+
+
+def test_shared_passes_reach_fixed_points(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 1, (50, 2)) for c in ((0, 0), (9, 0), (0, 9), (9, 9))])
+    rows = spark.createDataFrame([(i * 104729, v.tolist()) for i, v in enumerate(x)], "h bigint, v array<double>")
+    first = C.seeds(rows, 4, 3, 42)
+    assert all(any((s == v).all() for v in x) for c in first for s in c)  # seeds are rows
+    assert any(len({tuple((s > 4.5).tolist()) for s in c}) == 4 for c in first)  # one in each heap
+    best = C.best_centres(rows, [1, 4], 3, 42)
+    label = ((x[:, None] - best[4]) ** 2).sum(2).argmin(1)
+    assert np.allclose(best[4], [x[label == j].mean(0) for j in range(4)], atol=1e-6) and np.allclose(best[1], x.mean(0))
+    again = C.best_centres(rows.repartition(5), [4], 3, 42)  # whatever the layout
+    assert np.allclose(sorted(map(tuple, again[4])), sorted(map(tuple, best[4])))
+
+
 # --- the model family on one made area table -------------------------------------------------
 
 @pytest.fixture(scope="module")
