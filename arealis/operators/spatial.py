@@ -177,9 +177,6 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
         *points.columns, found.alias(area), F.col("b.distance").alias("distance"))
 
 
-GRID_KEYS = 16
-
-
 def zonal_mean(pixels: DataFrame, polygons: DataFrame, area: str, raster: str = "raster_id",
                value: str = "value", lon: str = "lon", lat: str = "lat", rings: str = "rings",
                cell: float | None = None) -> DataFrame:
@@ -190,11 +187,9 @@ def zonal_mean(pixels: DataFrame, polygons: DataFrame, area: str, raster: str =
                                 rings, cell)
     means = inside.groupBy(area, raster).agg(F.avg(value).alias(value),
                                              F.count(F.lit(1)).alias("n_pixels"))
-    # every area with every raster, as rows: rasters are dealt to a few numbers that each area has all of
-    dealt = F.pmod(F.xxhash64(raster), F.lit(GRID_KEYS))
-    rasters = pixels.select(raster).distinct().withColumn("__k", dealt)
-    areas = polygons.select(area).distinct().withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(GRID_KEYS - 1)).cast("array<bigint>")))
-    grid = areas.join(rasters, "__k").drop("__k")
+    from .rasters import zone_grid
+
+    grid = zone_grid(polygons, pixels, area, raster)
     return grid.join(means, [area, raster], "left").withColumn(
         "n_pixels", F.coalesce("n_pixels", F.lit(0)))
 

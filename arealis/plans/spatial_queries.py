@@ -9,9 +9,10 @@ from ..functions.geometry import box_rings, to_metres
 from ..operators import aggregates as A
 from ..operators import autocorrelation as AC
 from ..operators import outlines as O
+from ..operators import rasters as RA
 from ..operators import spatial as S
 from ..session import cut_lineage
-from .base import SUPPLIED, Tables, query, rounded, supplied
+from .base import ORACLES, SUPPLIED, Tables, query, rounded, supplied
 
 # One outline per nation on a 5 x 5 grid of 10-wide cells: even nations a box that reaches 2
 # into the next cell on each side, odd nations a right triangle.
@@ -100,6 +101,12 @@ def zonal_mean(t: Tables) -> DataFrame:
     return S.zonal_mean(_pixels(t), _shapes(t), "area").withColumn("value", F.round("value", 6))
 
 
+@query(ORACLES["zonal_mean"])
+def zonal_mean_by_runs(t: Tables) -> DataFrame:
+    lines = cut_lineage(RA.pack_lines(_pixels(t), 16.0))
+    return RA.zonal_mean_of_lines(lines, _shapes(t), "area", 16.0, 1.0).withColumn("value", F.round("value", 6))
+
+
 _GRID = """select cast(l_partkey * 59 % 65 as double) + 0.5 - 2 as lon, cast(l_suppkey * 31 % 65 as double) + 0.5 - 2 as lat, cast(year(l_shipdate) as int) as "year",
   case when count(*) % 5 = 0 then -32768.0 else sum(l_quantity) end as value from lineitem group by all"""
 
@@ -128,6 +135,21 @@ def yearly_sample_mean(t: Tables) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
+@query(ORACLES["sampled_pixels"])
+def sampled_tiles(t: Tables) -> DataFrame:
+    pts = _points(t).withColumnsRenamed({"x": "lon", "y": "lat"})
+    tiles = RA.pack_tiles(_grid(t), -2.0, -2.0, 1.0, 1.0, nodata=-32768.0, by=["year"], side=16)
+    return RA.sample_tiles(pts, tiles, -2.0, -2.0, 1.0, 1.0, side=16).select("pid", "year", "value")
+
+
+@query(ORACLES["yearly_sample_mean"])
+def yearly_tile_mean(t: Tables) -> DataFrame:
+    pts = _points(t).withColumnsRenamed({"x": "lon", "y": "lat"})
+    tiles = RA.pack_tiles(_grid(t), -2.0, -2.0, 1.0, 1.0, nodata=-32768.0, by=["year"], side=16)
+    sampled = RA.sample_tiles(pts, tiles, -2.0, -2.0, 1.0, 1.0, side=16)
+    return sampled.groupBy("pid").agg(rounded(F.avg("value"), 6, "value"))
+
+
 @query("""
 with r as (select distinct replace(p_name, ' ', '_') as raster_id from part), s as (select unnest(['ring', 'red', 'old']) as stem)
 select stem, min(raster_id) as raster_id from r join s on raster_id = stem or starts_with(raster_id, stem || '_') or contains(raster_id, '_' || stem) group by stem""")
