@@ -125,6 +125,19 @@ def detect_key_column(df: DataFrame, keys: DataFrame, key: str = "county_norm",
     return best["column"]
 
 
+def key_columns(df: DataFrame, keys: DataFrame, columns: list[str], group: str = "__file", key: str = "county_norm",
+                share: float = 1 / 3) -> DataFrame:
+    """``(group, column)`` for groups of rows that have a key column: ``detect_key_column`` for all of them at once."""
+    order = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    long = df.select(group, *[name_key(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot(
+        [group], [F.col(f"`{c}`") for c in columns], "column", "value").where("value <> ''")
+    known = keys.select(F.col(key).alias("value"), F.lit(1).alias("hit")).where("value <> ''").distinct()
+    hits = long.join(known, "value", "left").groupBy(group, "column").agg(
+        F.count("hit").alias("hits"), F.count(F.lit(1)).alias("filled"))
+    hits = hits.where((F.col("hits") > 0) & (F.col("hits") >= F.floor(F.col("filled") * share)))
+    return hits.groupBy(group).agg(F.max_by("column", F.struct("hits", -order[F.col("column")])).alias("column"))
+
+
 def attach_area(df: DataFrame, crosswalk: DataFrame, column: str, key: str = "county_norm",
                 carry: tuple[str, ...] = ("county_code", "county_name"),
                 drop_unmatched: bool = False) -> DataFrame:
@@ -142,11 +155,6 @@ def attach_area(df: DataFrame, crosswalk: DataFrame, column: str, key: str = "co
     return joined.select(*base_cols, *[F.col(f"__{c}").alias(c) for c in carry])
 
 
-def attach_detected_area(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    column = detect_key_column(df, crosswalk)
-    return df if column is None else attach_area(df, crosswalk, column)
-
-
 def detect_label_variable(labels: DataFrame, keys: DataFrame, key: str = "county_norm",
                           candidates: tuple[str, ...] = P.AREA_VARIABLES,
                           min_hits: int = P.MIN_LABEL_HITS) -> DataFrame:

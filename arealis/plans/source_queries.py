@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse as PA
 from ..sources import cells as C
 from ..sources import files as S
+from ..sources import infer as IN
 from ..sources import lines as LN
 from .base import CROPS, SUPPLIED, Tables, crops, query, supplied
 
@@ -333,3 +334,41 @@ def department_rows(t: Tables) -> DataFrame:
     heading = F.when(F.col("n") % 3 == 0, F.concat(F.lit("Budget of the "), F.lit("\nNation "), F.char(65 + F.col("n")), F.lit(" County in brief")))
     pages = sums.select(F.lit("cob").alias("doc_id"), F.col("n").alias("page"), F.coalesce(heading, F.lit("continued")).alias("text"))
     return C.department_rows(cells, pages)
+
+
+# cells of six files whose columns differ in type from file to file
+_CELLS = """
+with o as (select 'f' || o_orderkey % 6 as file, o_orderkey as k, o_custkey % 40 = 7 as odd, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
+cells as (
+  select file, 'a' as "column", case when file = 'f1' and odd then k || '.5' else k || '' end as value from o union all
+  select file, 'b', case when odd and file = 'f2' then 'soon' when odd and file = 'f3' then '12' else day end from o union all
+  select file, 'c', case file when 'f4' then 'NA' when 'f5' then '1e5' else ' 7 ' end from o union all
+  select file, 'd', case file when 'f0' then '2021-02-30' when 'f3' then null else '2021-02-28' end from o union all
+  select file, 'e', k || '0000000000000000000' from o),
+coded as (
+  select file, "column", case when value is null or lower(trim(value)) in ('', 'na', 'n/a', 'nan', 'null', 'none') then 0
+      when regexp_matches(trim(value), '^[+-]?[0-9]{1,18}$') then 1
+      when regexp_matches(trim(value), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$') then 2
+      when regexp_matches(trim(value), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and try_cast(trim(value) as date) is not null then 4 else 8 end as c from cells)
+"""
+_TYPE = "case when bit_or(c) = 0 then 'null' when bit_or(c) & 8 > 0 or (bit_or(c) & 3 > 0 and bit_or(c) & 4 > 0) then 'string' when bit_or(c) & 4 > 0 then 'date' when bit_or(c) & 2 > 0 then 'double' else 'long' end"
+
+
+def _cells(t: Tables) -> DataFrame:
+    file, odd = F.concat(F.lit("f"), F.col("o_orderkey") % 6), F.col("o_custkey") % 40 == 7
+    key = F.col("o_orderkey").cast("string")
+    return t.orders.select(
+        file.alias("file"), F.when((file == "f1") & odd, F.concat(key, F.lit(".5"))).otherwise(key).alias("a"),
+        F.when(odd & (file == "f2"), "soon").when(odd & (file == "f3"), "12").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("b"),
+        F.when(file == "f4", "NA").when(file == "f5", "1e5").otherwise(" 7 ").alias("c"),
+        F.when(file == "f0", "2021-02-30").when(file != "f3", "2021-02-28").alias("d"), F.concat(key, F.lit("0" * 19)).alias("e"))
+
+
+@query(_CELLS + f"""select file, "column", {_TYPE} as type, count(*) filter (c > 0) as n_filled from coded group by file, "column" """)
+def inferred_types_by_file(t: Tables) -> DataFrame:
+    return IN.long_types(_cells(t).unpivot(["file"], list("abcde"), "column", "value"), ["file", "column"])
+
+
+@query(_CELLS + f"""select "column", {_TYPE} as type, count(*) filter (c > 0) as n_filled from coded group by "column" """)
+def inferred_types(t: Tables) -> DataFrame:
+    return IN.column_types(_cells(t), list("abcde"))

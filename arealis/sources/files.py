@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .. import presets as P
 from ..functions.text import slug, tight_key
-from ..operators.keys import attach_detected_area, match_alias, match_column
+from ..operators.keys import area_frame, attach_area, key_columns, match_alias, match_column
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -88,34 +88,80 @@ def table_name(source: str, path: str) -> str:
     return f"{source}__{re.sub('[^0-9a-zA-Z]+', '_', stem).strip('_').lower()}"
 
 
+def file_groups(spark: SparkSession, root: str) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
+    """CSVs under a folder, one scan for all that have the same header: (rows, [(path, file)]).
+
+    Rows have the file's columns as texts, ``__file`` and ``__at`` (the order of its records). Headers of all files are
+    read in one pass; files without a line are left out. Records must not run over line ends.
+    """
+    files = {r["file_path"]: r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.csv").load(root).select("path", "_metadata.file_path").collect()}
+    if not files:
+        return []
+    lines = spark.read.text(sorted(files.values())).where(F.col("_metadata.file_block_start") == 0)
+    first = lines.select("_metadata.file_path", "value", F.monotonically_increasing_id().alias("at")).groupBy("file_path").agg(
+        F.min_by("value", "at").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for r in first.orderBy("file_path").collect():
+        by_header.setdefault(r["header"], []).append(r["file_path"])
+    groups = []
+    for of in by_header.values():
+        reader = spark.read.option("header", True)
+        schema = reader.csv(files[of[0]]).schema
+        rows = reader.schema(schema).csv([files[f] for f in of])
+        groups.append((rows.withColumns({
+            "__file": F.col("_metadata.file_path"),
+            "__at": F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())}), [(files[f], f) for f in of]))
+    return groups
+
+
+def strip_tag_rows(df: DataFrame) -> DataFrame:
+    """Drop the first record of every file of a group when more than half of its cells are ``#`` tags."""
+    cells = [c for c in df.columns if c not in ("__file", "__at")]
+    tags = _tags(df, cells)
+    first = df.groupBy("__file").agg(F.min("__at").alias("__first"))  # a row per file
+    return df.join(first, "__file").where(~((tags > len(cells) / 2.0) & (F.col("__at") == F.col("__first")))).drop("__first")
+
+
 def ingest_folder(spark: SparkSession, root: str, out: str, layer_of: dict[str, str],
                   crosswalk: DataFrame | None = None, skip: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
-    """Write every CSV under ``root/<source>/`` as ``out/<layer>/<source>__<stem>``.
+    """Write every CSV under ``root/<source>/`` as ``out/layer=<layer>/table=<source>__<stem>``.
 
-    Area code and name are added where a key column is found. Gives (layer, table, path). Every file has columns of
-    its own and becomes a table of its own, so there is a job per file; the list of files is the folder's catalogue.
+    Area code and name are added where a key column is found. Files with the same header are scanned and written
+    together, so there are a few jobs per header, however many files; the driver holds the list of files and each one's
+    key column. Of files that give the same table the last by path stands. Gives (layer, table, path).
     """
     base = root.rstrip("/").rsplit("/", 1)[-1]
     inside = F.regexp_extract("path", rf"{re.escape(base)}/(.+)$", 1)
     files = list_files(spark, root, "*.csv").select("path", F.substring_index(inside, "/", 1).alias("source")).where(
         F.contains(inside, F.lit("/")) & ~F.col("source").isin("", *skip))
     registry = spark.createDataFrame(list(layer_of.items()), "key string, layer string")
+    tables = {(r["layer"], table_name(r["source"], r["path"])): r["path"]
+              for r in files.join(route_layers(files, registry), "source").orderBy("path").collect()}
+    target_of = {path: place for place, path in tables.items()}
+    keys = None if crosswalk is None else area_frame(crosswalk, spark)
     written = []
-    for r in files.join(route_layers(files, registry), "source").orderBy("path").collect():
-        df = strip_tag_row(read_positioned(spark, r["path"]), "__at").drop("__at")
-        if crosswalk is not None:
-            df = attach_detected_area(df, crosswalk)
-        table = table_name(r["source"], r["path"])
-        target = f"{out.rstrip('/')}/{r['layer']}/{table}"
-        df.write.mode("overwrite").parquet(target)
-        written.append((r["layer"], table, target))
-    return written
-
-
-def read_positioned(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with its records' order in ``__at``: the block they were read from and their place in it."""
-    df = spark.read.option("header", True).csv(path)
-    return df.withColumn("__at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    for rows, members in file_groups(spark, root):
+        wanted = [(f, *target_of[p]) for p, f in members if p in target_of]
+        if not wanted:
+            continue
+        places = spark.createDataFrame(wanted, "__file string, layer string, table string")
+        rows = strip_tag_rows(rows.join(places.select("__file"), "__file", "left_semi"))
+        columns = [c for c in rows.columns if c not in ("__file", "__at")]
+        key_of = {} if keys is None else {r["__file"]: r["column"] for r in key_columns(rows, keys, columns).collect()}
+        for column in sorted({key_of.get(f) for f, _, _ in wanted}, key=lambda c: (c is not None, c)):
+            mine = [w for w in wanted if key_of.get(w[0]) == column]
+            part = rows.join(spark.createDataFrame(mine, places.schema).withColumnsRenamed(
+                {"layer": "__layer", "table": "__table"}), "__file")
+            if column is not None:
+                part = attach_area(part, crosswalk, column)
+            # a file's own columns of these names would hide the folders
+            own = {c: f"{c}_" for c in part.columns if c.lower() in ("layer", "table")}
+            part = part.drop("__file", "__at").withColumnsRenamed(own).withColumnsRenamed({"__layer": "layer", "__table": "table"})
+            (part.repartition("layer", "table").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("layer", "table").parquet(out))
+            written += [(layer, table, f"{out.rstrip('/')}/layer={layer}/table={table}") for _, layer, table in mine]
+    return sorted(written)
 
 
 def folder_table(spark: SparkSession, roots: list[str], tag: str = "file") -> DataFrame | None:
@@ -125,22 +171,27 @@ def folder_table(spark: SparkSession, roots: list[str], tag: str = "file") -> Da
     """
     for root in roots:
         try:
-            paths = [r["path"] for r in list_files(spark, root, "*.csv").orderBy("path").collect()]
+            groups = file_groups(spark, root)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        parts = [spark.read.option("header", True).csv(p).withColumn(tag, F.lit(p.rsplit("/", 1)[-1])) for p in paths]
+        parts = [rows.withColumn(tag, F.url_decode(F.replace(F.substring_index("__file", "/", -1), F.lit("+"), F.lit("%2B"))))
+                 .drop("__file", "__at") for rows, _ in groups]
         if parts:
             return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return None
 
 
+def _tags(df: DataFrame, cells: list[str]):
+    return reduce(lambda a, b: a + b, [
+        F.coalesce(F.startswith(F.trim(F.col(f"`{c}`").cast("string")), F.lit("#")).cast("int"), F.lit(0)) for c in cells])
+
+
 def strip_tag_row(df: DataFrame, order: str) -> DataFrame:
     """Drop the first record, by ``order``, when more than half of its cells are ``#`` tags."""
     cells = [c for c in df.columns if c != order]
-    tags = reduce(lambda a, b: a + b, [
-        F.coalesce(F.startswith(F.trim(F.col(f"`{c}`").cast("string")), F.lit("#")).cast("int"), F.lit(0)) for c in cells])
+    tags = _tags(df, cells)
     first = df.agg(F.min(order).alias("m")).scalar()
     return df.where(~((tags > len(cells) / 2.0) & (F.col(order) == first)))
 

@@ -9,6 +9,7 @@ from arealis.operators import ledger as L
 from arealis.operators import quality as Q
 from arealis.sources import cells as C
 from arealis.sources import files as S
+from arealis.sources import infer as IN
 from arealis.sources import lines as LN
 
 
@@ -61,6 +62,30 @@ def test_drop_folder_routes_and_joins(spark, tmp_path):
         ("unknown", "core"), ("Soil-Hive", "soil"), ("fort", "food"), ("soil hive data 2", "soil")}
 
 
+def test_jobs_of_a_drop_folder_follow_headers_not_files(spark, tmp_path):
+    def jobs(files):
+        root = tmp_path / f"d{files}"
+        for k in range(files):
+            (root / f"src{k % 3}").mkdir(parents=True, exist_ok=True)
+            text = ["place,v\n#adm,#v\nNairobi,{0}\n", "table,place,v\nx,Tana River,{0}\n#a,#b,#c\n", "a b,c\n{0},2\n"][k % 3]
+            (root / f"src{k % 3}/File {k:02d}+%.csv").write_text(text.format(k))
+        (root / "src0/none.csv").write_text("")
+        spark.sparkContext.setJobGroup(str(files), "")
+        got = S.ingest_folder(spark, str(root), str(tmp_path / f"o{files}"), {"src1": "soil"}, xwalk(spark))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(files)))
+
+    (few, n_few), (many, n_many) = jobs(3), jobs(30)
+    assert len(few) == 3 and len(many) == 30 and n_many <= 1.25 * n_few
+    read = {t: [r.asDict() for r in spark.read.parquet(p).collect()] for _, t, p in many}
+    assert read["src0__file_00"] == [{"place": "Nairobi", "v": "0", "county_code": "K1", "county_name": "Nairobi"}]
+    assert {r["place"]: r["county_code"] for r in read["src1__file_04"]} == {"Tana River": "K2", "#b": None}  # tags come second
+    assert all("table_" in r for r in read["src1__file_04"]) and read["src2__file_29"] == [{"a b": "29", "c": "2"}]
+    assert {(layer, t) for layer, t, _ in few} == {("core", "src0__file_00"), ("soil", "src1__file_01"), ("core", "src2__file_02")}
+    both = S.folder_table(spark, [str(tmp_path / "d30/src2")])
+    assert {r.file for r in both.collect()} == {f"File {k:02d}+%.csv" for k in range(2, 30, 3)}
+
+
 def test_only_a_first_record_of_tags_goes(spark):
     df = spark.createDataFrame([(0, "a", "#x"), (1, "#y", "#z")], "at int, p string, q string")
     assert S.strip_tag_row(df, "at").count() == 2
@@ -202,3 +227,14 @@ def test_declared_readiness_of_the_layers(spark):
     got = graded("policy", {**plan, "policy_county_summary": rows(40, policy_signal_index=1.0)})
     assert got["Action Plan tables"] == "PASS" and got["policy_county_summary"] == got["policy_county_summary columns"] == "WARN"
     assert got["policy_panel"] == "FAIL"
+
+
+def test_types_of_text_columns(spark):
+    rows = [("1", "2.5", "2020-01-31", "x", None, " "), ("-7", "1e3", "2020-02-29", "1", "NA", "12"), (None, "3", None, "2", "", "2020-01-01")]
+    df = spark.createDataFrame(rows, "whole string, `re al` string, day string, text string, none string, mixed string")
+    got = {r.column: (r.type, r.n_filled) for r in IN.column_types(df).collect()}
+    assert got == {"whole": ("long", 2), "re al": ("double", 3), "day": ("date", 2), "text": ("string", 3), "none": ("null", 0), "mixed": ("string", 2)}
+    read = IN.read_inferred(df)
+    assert [f.dataType.simpleString() for f in read.schema] == ["bigint", "double", "date", "string", "string", "string"]
+    assert [r["re al"] for r in read.collect()] == [2.5, 1000.0, 3.0] and read.collect()[1].none is None
+    assert {r.type for r in IN.column_types(df.limit(0)).collect()} == {"null"}
