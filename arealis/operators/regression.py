@@ -291,20 +291,22 @@ def subsample_models(df: DataFrame, variables: dict[str, tuple[str, str, str]],
                    "b_first double, p_first double, b_second double")
 
 
+_IRON = tuple("fe_isda" if c == "soil_index" else c for c in P.STAGE2_REGRESSORS)
+#: (label, outcome, soil term, regressors) of the refined models.
+REFINED_PLAN = (
+    ("Food density, composite", "food_nutrient_density_index", "soil_index", ("soil_index", *P.STAGE1_CONTROLS)),
+    ("Food density, iron", "food_nutrient_density_index", "fe_isda", ("fe_isda", *P.STAGE1_CONTROLS)),
+    ("Food density, component", "food_nutrient_density_index", "soil_pca1", ("soil_pca1", *P.STAGE1_CONTROLS)),
+    ("Diet, composite", "mdd", "soil_index", ("soil_index", *P.DIET_REGRESSORS)),
+    ("Diet, iron", "mdd", "fe_isda", ("fe_isda", *P.DIET_REGRESSORS)),
+    ("Nutrition, iron", "stunting", "fe_isda", _IRON),
+)
+
+
 def refined_models(df: DataFrame, key: str) -> DataFrame:
     """Food density, diet and nutrition on the composite, on iron and on the first component."""
     table = principal_component(df, key, P.SOIL_INDEX_COLUMNS, "soil_pca1")
-    s1, diet = P.STAGE1_CONTROLS, P.DIET_REGRESSORS
-    iron2 = tuple("fe_isda" if c == "soil_index" else c for c in P.STAGE2_REGRESSORS)
-    plan = [
-        ("Food density, composite", "food_nutrient_density_index", "soil_index", ("soil_index", *s1)),
-        ("Food density, iron", "food_nutrient_density_index", "fe_isda", ("fe_isda", *s1)),
-        ("Food density, component", "food_nutrient_density_index", "soil_pca1", ("soil_pca1", *s1)),
-        ("Diet, composite", "mdd", "soil_index", ("soil_index", *diet)),
-        ("Diet, iron", "mdd", "fe_isda", ("fe_isda", *diet)),
-        ("Nutrition, iron", "stunting", "fe_isda", iron2),
-    ]
-    plan = [p for p in plan if p[2] != "soil_pca1" or "soil_pca1" in table.columns]
+    plan = [p for p in REFINED_PLAN if p[2] != "soil_pca1" or "soil_pca1" in table.columns]
     fits = fit_many(table, [Spec(label, y, x) for label, y, _, x in plan])
     rows = [{"model": label, "outcome": y, "soil_term": term, "n": fits[label].n,
              "r2": _digits(fits[label].r2, 3), "b_soil": _digits(fits[label].coef.get(term), 4),

@@ -15,7 +15,9 @@ from ..operators import spatial as S
 from ..operators import typology as TY
 from ..operators.panel import calendar
 from ..session import cut_lineage, step
-from .base import Tables, query, rounded
+from . import model_sql as M
+from .base import Tables, query, rounded, sql_row_mean
+from .index_queries import _variant
 from .spatial_queries import _squares
 
 
@@ -124,26 +126,96 @@ def area_table(t: Tables) -> DataFrame:
     return I.gaps_to_mean(I.soil_index(cut_lineage(table)), I.AREA_GAPS)
 
 
-@query()
+_BASE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_linenumber")
+_PARTS = [*_BASE, *[f"s_{c}" for c in _BASE], *[f"x_{c}" for c in _BASE]]
+_MIXED = ", ".join(f"{_PARTS[i % 18]} / (1.0 + {i}) + {_PARTS[(i * 5 + 3) % 18]} * 0.01 as {c}" for i, c in enumerate(_COLUMNS))
+_AREAS = f"""
+means as (select l_partkey as area, count(*) as lines, {", ".join(f"avg({c}::double) as {c}, stddev_samp({c}) as s_{c}, max({c}) as x_{c}" for c in _BASE)} from lineitem group by 1),
+mixed as (select area, lines, l_discount, l_quantity, {_MIXED} from means),
+made as (select *, soc * 0.3 + rain_mm_mean - l_discount as food_nutrient_density_index, l_quantity + soc * 0.1 as stunting, l_quantity - stunting_2014 as stunting_change from mixed),
+scored as (select *, {", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as z_{c}" for c in P.SOIL_INDEX_COLUMNS)} from made),
+indexed as (select *, {sql_row_mean([f"z_{c}" for c in P.SOIL_INDEX_COLUMNS])} as soil_index from scored),
+areas as (select *, stunting - avg(stunting) over () as gap_body_stunting, avg(food_nutrient_density_index) over () - food_nutrient_density_index as gap_food_density,
+  avg(soil_index) over () - soil_index as gap_soil from indexed)"""
+
+
+def _models(specs: dict[str, tuple], select: str, extra: str = "", source: str = "areas") -> str:
+    """Models of a table and one select over each, ``{tag}`` and ``{name}`` filled in."""
+    tags = {name: f"m{i}" for i, name in enumerate(specs)}
+    fits = ", ".join(M.ols(tags[name], source, y, x) for name, (y, x) in specs.items())
+    return (f"with recursive {_AREAS}{extra}, {fits} "
+            + " union all ".join(select.format(tag=tags[name], name=name, outcome=y, first=x[0], second=x[1]) for name, (y, x) in specs.items()))
+
+
+_TERMS = ("select '{name}' as model, '{outcome}' as outcome, term, round(coef, 4) as coef, round(se, 4) as se, round(p, 4) as p, n, "
+          "round(r2, 6) as r2, round(adj_r2, 6) as adj_r2 from {tag}")
+
+
+# where the made columns fit exactly, errors are rounding noise
+_EXACT = "select model, outcome, term, round(coef, case when r2 = 1 then 3 else 4 end) as coef, case when r2 < 1 then se end as se, case when r2 < 1 then p end as p, n, r2, adj_r2 from"
+
+
+@query(_models(P.SPECIFICATIONS, f"{_EXACT} ({_TERMS}) q"))
 def named_models(t: Tables) -> DataFrame:
-    return R.coefficient_table(t.spark, R.fit_many(area_table(t), R.named_specs()))
+    fits = _rounded(R.coefficient_table(t.spark, R.fit_many(area_table(t), R.named_specs())))
+    exact = F.col("r2") == 1
+    return fits.withColumns({"coef": F.when(exact, F.round("coef", 3)).otherwise(F.col("coef")), "se": F.when(~exact, F.col("se")),
+                             "p": F.when(~exact, F.col("p"))})
 
 
-@query()
+_TWO_TERMS = ("select '{name}' as outcome, any_value(n) as n, round(any_value(r2), 3) as r2, round(any_value(coef) filter (term = 'food_nutrient_density_index'), 1) as b_food_density, "
+              "round(any_value(p) filter (term = 'food_nutrient_density_index'), 3) as p_food_density, round(any_value(coef) filter (term = 'soil_index'), 4) as b_soil_index, "
+              "round(any_value(p) filter (term = 'soil_index'), 3) as p_soil_index from {tag}")
+
+
+@query(_models({label: (c, P.STAGE2_REGRESSORS) for c, label in P.OUTCOME_LABELS}, _TWO_TERMS))
 def alternative_outcomes(t: Tables) -> DataFrame:
-    return R.alternative_outcomes(area_table(t))
+    # nearly collinear by construction: the first coefficient is good to five digits
+    return R.alternative_outcomes(area_table(t)).withColumn("b_food_density", F.round("b_food_density", 1))
 
 
-@query()
+_RANKED = f""",
+varied as (select *, {", ".join(map(_variant, P.SOIL_INDEX_COLUMNS)).replace("as z_", "as zz_")} from areas),
+variants as (select *, {", ".join(f"{sql_row_mean([f'{p}_{c}' for c in P.SOIL_INDEX_COLUMNS])} as soil_index_{n}" for p, n in (("zz", "z"), ("m", "minmax"), ("r", "rank")))} from varied)"""
+_VARIANTS = ("z", "minmax", "rank")
+
+
+@query(_models({f"soil_index_{v}": ("food_nutrient_density_index", (f"soil_index_{v}", *P.STAGE1_CONTROLS)) for v in _VARIANTS},
+               "select '{name}' as term, any_value(n) as n, round(any_value(r2), 3) as r2, round(any_value(coef) filter (term = '{first}'), 4) as b, "
+               "round(any_value(p) filter (term = '{first}'), 3) as p from {tag}", _RANKED, "variants"))
 def index_variant_models(t: Tables) -> DataFrame:
     return R.index_variant_models(area_table(t), "area", P.SOIL_INDEX_COLUMNS, "food_nutrient_density_index", P.STAGE1_CONTROLS)
 
 
-@query()
+_REFINED = {label: (y, x) for label, y, _, x in R.REFINED_PLAN}
+_COMPONENT = f", {M.component('pc', 'areas', 'area', P.SOIL_INDEX_COLUMNS)}, refined as (select a.*, pca1 as soil_pca1 from areas a left join pc using (area))"
+
+
+@query(_models(_REFINED, "select '{name}' as model, '{outcome}' as outcome, '{first}' as soil_term, any_value(n) as n, round(any_value(r2), 3) as r2, "
+               "round(any_value(coef) filter (term = '{first}'), 4) as b_soil, round(any_value(p) filter (term = '{first}'), 3) as p_soil from {tag}",
+               _COMPONENT, "refined").replace("'food_nutrient_density_index' as soil_term", "'fe_isda' as soil_term").replace(
+    "filter (term = 'food_nutrient_density_index')", "filter (term = 'fe_isda')"))
 def refined_models(t: Tables) -> DataFrame:
     return R.refined_models(area_table(t), "area")
 
 
+_LAGGED = ("soil_index", "farming_hh_share")
+_LAGS = f""",
+near as (select a.area as src, b.area as dst from areas a join areas b on abs(a.area % 40 - b.area % 40) <= 1 and abs(a.area // 40 - b.area // 40) <= 1 and a.area <> b.area),
+filled as (select area, {", ".join(f"coalesce({c}, avg({c}) over ()) as {c}" for c in _LAGGED)} from areas),
+lagged as (select src as area, {", ".join(f"avg(f.{c}) as w_{c}" for c in _LAGGED)} from near join filled f on f.area = dst group by src),
+with_lags as (select a.*, {", ".join(f"coalesce(w_{c}, 0) as w_{c}" for c in _LAGGED)} from areas a left join lagged using (area))"""
+_LAG_TERMS = ("soil_index", *P.STAGE1_CONTROLS, *[f"w_{c}" for c in _LAGGED])
+
+
+@query(_models({"lagged": ("food_nutrient_density_index", _LAG_TERMS)}, _TERMS, _LAGS, "with_lags"))
+def lagged_coefficients(t: Tables) -> DataFrame:
+    table = area_table(t)
+    edges = cut_lineage(S.queen_contiguity(_squares(t).join(table.select("area"), "area", "left_semi"), "area"))
+    spec = R.Spec("lagged", "food_nutrient_density_index", _LAG_TERMS)
+    return _rounded(R.coefficient_table(t.spark, R.fit_many(S.spatial_lag(table, edges, "area", list(_LAGGED)), [spec])))
+
+
 @query()
 def residual_autocorrelation(t: Tables) -> DataFrame:
     table = area_table(t)
@@ -152,13 +224,40 @@ def residual_autocorrelation(t: Tables) -> DataFrame:
     return AC.residual_autocorrelation(table, edges, "area", fits, max_missing=10**9)
 
 
+def _residual_sql(tag: str, y: str, x: tuple[str, ...]) -> str:
+    fitted = " + ".join(f"(select coef from {tag} where term = '{c}') * {c}" for c in x)
+    return (f"select '{{name}}' as variable, area, {y} - (select coef from {tag} where term = 'Intercept') - ({fitted}) as r from areas "
+            f"where {' and '.join(f'{c} is not null' for c in (y, *x))}")
+
+
+_TESTED = {n: P.SPECIFICATIONS[n] for n in ("food_density", "nutrition")}
+_NEIGHBOURS = f"""
+res as ({" union all ".join(_residual_sql(f"m{i}", y, x).format(name=n) for i, (n, (y, x)) in enumerate(_TESTED.items()))}),
+dev as (select variable, area, r - avg(r) over (partition by variable) as z from res),
+adj as (select a.variable, a.area as src, b.area as dst, 1.0 / count(*) over (partition by a.variable, a.area) as w from dev a join dev b
+  on a.variable = b.variable and abs(a.area % 40 - b.area % 40) <= 1 and abs(a.area // 40 - b.area // 40) <= 1 and a.area <> b.area),
+ends as (select adj.*, a.z as za, b.z as zb from adj join dev a on a.variable = adj.variable and a.area = src join dev b on b.variable = adj.variable and b.area = dst),
+tot as (select variable, count(*) as n, sum(z * z) as zz from dev group by 1)"""
+
+
+@query(f"with recursive {_AREAS}, {', '.join(M.ols(f'm{i}', 'areas', y, x) for i, (y, x) in enumerate(_TESTED.values()))}, {_NEIGHBOURS} "
+       "select variable, round(any_value(n) / sum(w) * sum(w * za * zb) / any_value(zz), 3) as morans_i, round(-1.0 / (any_value(n) - 1), 3) as expected_i "
+       "from ends join tot using (variable) group by variable")
+def residual_statistics(t: Tables) -> DataFrame:
+    """The statistic of ``residual_autocorrelation`` without the test's p, which takes a thousand permutations in SQL."""
+    edges = cut_lineage(S.queen_contiguity(_squares(t), "area"))
+    table = area_table(t)
+    out = AC.residual_autocorrelation(table, edges, "area", R.fit_many(table, R.named_specs(tuple(_TESTED))), permutations=1, max_missing=10**9)
+    return out.select("variable", "morans_i", "expected_i")
+
+
 @query()
 def lagged_model(t: Tables) -> DataFrame:
     edges = cut_lineage(S.queen_contiguity(_squares(t), "area"))
     fit, test = AC.lagged_model(area_table(t), edges, "area", "food_nutrient_density_index", ("soil_index", *P.STAGE1_CONTROLS),
                                 ["soil_index", "farming_hh_share"], max_missing=10**9)
-    return R.coefficient_table(t.spark, {"lagged": fit}).withColumns(
-        {c: test.select(c).scalar() for c in ("morans_i", "expected_i", "perm_p")})
+    tested = (lambda c: F.lit(None).cast("double")) if test is None else (lambda c: test.select(c).scalar())
+    return R.coefficient_table(t.spark, {"lagged": fit}).withColumns({c: tested(c) for c in ("morans_i", "expected_i", "perm_p")})
 
 
 @query()
