@@ -1,11 +1,13 @@
 """Packing of documents into windows of tokens by lexical retrieval.
 
-Document frequencies and the mean length are those of the whole table. Every document goes to a shard by one of its
-terms, drawn by idf and saturated count with the same random numbers for all (consistent weighted sampling): documents
-share a key with the probability of their weighted Jaccard similarity, whatever files they come from. Keys fill shards
-of about ``SHARD_TOKENS``, larger keys are salted over several. A shard is one task with a BM25 inverted index over all
-its documents: a window starts with a seed document and is filled with the unused documents nearest to the seed; what
-does not fit is the next window's seed, so only a shard's last window is padded.
+Document frequencies and the mean length are those of the whole table. Documents are ordered by terms drawn by idf and
+saturated count, each of ``DRAWS`` times with the same random numbers for all (consistent weighted sampling): two
+documents share a draw with the probability of their weighted Jaccard similarity, whatever files they come from. In that
+order, those with the same first term stand together, among them those with the same second, and so on, so a frequent
+term's documents are parted by their next terms. The order is cut into partitions at sampled places and within them
+into shards of about ``SHARD_TOKENS``. A shard has a BM25 inverted index over all its documents: a window starts with
+a seed document and is filled with the unused documents nearest to the seed; what does not fit is the next window's
+seed. An open window goes on in the next shard, so only a partition's last window is padded.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +34,8 @@ from .common import stored
 WINDOW = 2048
 END = 1  # id after every document
 SHARD_TOKENS = 1 << 20
+DRAWS = 4
+CUT_ROWS = 100  # rows sampled for each cut of the order
 ENCODED_ROWS = 256  # texts encoded at a time
 K1, B = 1.2, 0.75
 CACHE = 400_000  # distinct pre-tokens a worker keeps with their ids
@@ -99,12 +104,11 @@ class ShardIndex:
     def __init__(self, docs: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
         self.terms, term, doc, tf = [], [], [], []
         for k, ids in enumerate(docs):
-            ids = np.sort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            self.terms.append(ids[first].astype(np.int64))
-            term.append(self.terms[-1])
-            doc.append(np.full(len(first), k))
-            tf.append(np.diff(first, append=len(ids)))
+            terms, counts = distinct(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
+            self.terms.append(terms)
+            term.append(terms)
+            doc.append(np.full(len(terms), k))
+            tf.append(counts)
         term, doc, tf = np.concatenate(term), np.concatenate(doc), np.concatenate(tf).astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.n, self.doc = len(docs), doc[order]
@@ -135,15 +139,13 @@ class Packer:
         index, unused, pieces = ShardIndex(docs, self.corpus), np.ones(len(docs), bool), []
         ranked: Iterator[int] = iter(())
         if self.filled:
-            ranked = self._ranked(index, self.seed)
+            ranked = self._ranked(index, self.seed, unused)
         following = iter(range(len(docs)))
         for _ in range(len(docs)):
             doc = next((k for k in (ranked if self.filled else following) if unused[k]), None)
-            if doc is None:  # neighbours without a common id rank last, so this is the end of a list begun earlier
-                doc = next(k for k in following if unused[k])
             unused[doc] = False
             if not self.filled:
-                self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc])
+                self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc], unused)
             start, total = 0, len(docs[doc])
             while start < total:
                 length = min(total - start, self.size - self.filled)
@@ -152,12 +154,22 @@ class Packer:
                 if self.filled == self.size:
                     self.window, self.filled = self.window + 1, 0
                     if start < total:
-                        self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc])
+                        self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc], unused)
         return pieces
 
     @staticmethod
-    def _ranked(index: ShardIndex, terms: np.ndarray) -> Iterator[int]:
-        yield from np.argsort(-index.scores(terms), kind="stable").tolist()
+    def _ranked(index: ShardIndex, terms: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents from the nearest on, ties in order: a few are found at first, more if they are asked for."""
+        left = np.flatnonzero(unused)
+        scores, most = index.scores(terms)[left], 16
+        while len(left):
+            if len(left) <= most:
+                near = np.ones(len(left), bool)
+            else:
+                near = scores >= np.partition(scores, len(left) - most)[len(left) - most]
+            best = left[near]
+            yield from best[np.argsort(-scores[near], kind="stable")].tolist()
+            left, scores, most = left[~near], scores[~near], 4 * most
 
 
 def _ids(row: bytes, wide: bool) -> np.ndarray:
@@ -165,41 +177,55 @@ def _ids(row: bytes, wide: bool) -> np.ndarray:
 
 
 def _encoded(df: DataFrame, tokenizer: str, ranks: str | None, text: str, key: str) -> DataFrame:
-    """``(key, ids, wide, tokens)``: the ids with the end id, of two bytes each, or of four where one needs them."""
+    """``(key, ids, wide, tokens, counted)``: the ids with the end id, of two bytes each, or of four where one needs them.
+
+    A task's last row is no document: ``counted`` has the ids it has seen and in how many documents, in pairs.
+    """
     schema = T.StructType([T.StructField("key", df.select(key).schema[key].dataType), T.StructField("ids", T.BinaryType()),
-                           T.StructField("wide", T.BooleanType()), T.StructField("tokens", T.LongType())])
+                           T.StructField("wide", T.BooleanType()), T.StructField("tokens", T.LongType()),
+                           T.StructField("counted", T.ArrayType(T.LongType()))])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END], "<u4")
+        end, df, kind = np.array([END], "<u4"), np.zeros(1 << 16, np.int64), None
         for batch in batches:
+            kind = batch.column(0).type
             for k in range(0, batch.num_rows, ENCODED_ROWS):
                 part = batch.slice(k, ENCODED_ROWS)
                 docs = [np.concatenate([ids, end]) for ids in encoder(tokenizer, ranks).encode(part.column(1).to_pylist())]
                 wide = [bool(d.max() >= 1 << 16) for d in docs]
-                rows = [(d if w else d.astype("<u2")).tobytes() for d, w in zip(docs, wide)]
+                rows = [d if w else d.astype("<u2") for d, w in zip(docs, wide)]
+                for ids in rows:
+                    terms = distinct(ids)[0]
+                    if terms[-1] >= len(df):
+                        df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
+                    df[terms] += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows, pa.binary()), pa.array(wide, pa.bool_()),
-                     pa.array([len(d) for d in docs], pa.int64())], names=schema.names)
+                    [part.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(wide, pa.bool_()),
+                     pa.array([len(d) for d in docs], pa.int64()), pa.nulls(len(docs), pa.list_(pa.int64()))], names=schema.names)
+        if kind is not None:
+            at = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.binary(), pa.bool_(), pa.int64())],
+                 pa.array([np.stack([at, df[at]], 1).ravel()], pa.list_(pa.int64()))], names=schema.names)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(fn, schema)
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order and their counts."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first].astype(np.int64), np.diff(first, append=len(ids))
+
+
 def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Document frequency of every id, number of documents and their mean length: a vector per task is sent."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = np.unique(_ids(ids, wide))
-                if terms[-1] >= len(df):
-                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
-                df[terms] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": at, "n": df[at]})
-
-    total = encoded.agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
-    rows = encoded.select("ids", "wide").mapInArrow(count, "term long, n long").groupBy("term").agg(
-        F.sum("n").alias("n")).collect()
+    """Document frequency of every id, number of documents and their mean length, from what the encoding tasks counted."""
+    total = encoded.filter("tokens is not null").agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")).first()
+    pairs = encoded.filter("counted is not null").select(F.col("counted"), F.explode(F.sequence(
+        F.lit(0), (F.size("counted") / 2).cast("int") - 1)).alias("k")).select(
+        F.get("counted", 2 * F.col("k")).alias("term"), F.get("counted", 2 * F.col("k") + 1).alias("n"))
+    # as many rows as the vocabulary has ids, at most
+    rows = pairs.groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(1 + max((r["term"] for r in rows), default=0), np.int64)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -207,33 +233,27 @@ def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class Placer:
-    """The term that a document is placed by."""
+    """A document's place in the order: its drawn terms, then a checksum, as bytes that compare like the numbers."""
 
     def __init__(self, corpus: tuple[np.ndarray, int, float], seed: int = 7):
         df, n, _ = corpus
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.drawn = -np.log(np.random.default_rng(seed).uniform(1e-12, 1, len(df)))
-
-    def key(self, ids: np.ndarray) -> int:
-        terms, tf = np.unique(ids, return_counts=True)
-        return int(terms[np.argmin(self.drawn[terms] / (self.idf[terms] * tf / (tf + K1)))])
-
-
-def shards(sizes: list[tuple[int, int]], most: int) -> tuple[dict[int, tuple[int, int]], int]:
-    """First shard and number of shards of every key, from ``(key, tokens)``; and the number of all shards."""
-    places, shard, filled = {}, 0, 0
-    for key, tokens in sorted(sizes):
-        if tokens > most:
-            continue
-        if filled and filled + tokens > most:
-            shard, filled = shard + 1, 0
-        places[key], filled = (shard, 1), filled + tokens
-    shard += bool(filled)
-    for key, tokens in sorted(sizes):
-        if tokens > most:
-            places[key] = (shard, -(-tokens // most))
-            shard += places[key][1]
-    return places, shard
+        drawn = -np.log(np.random.default_rng(seed).uniform(1e-12, 1, (DRAWS, len(df))))
+        self.drawn = (drawn / np.log1p((n - df + 0.5) / (df + 0.5))).astype(np.float32)
+
+    def terms(self, ids: np.ndarray) -> np.ndarray:
+        terms, tf = distinct(ids)
+        return terms[np.argmin(self.drawn[:, terms] * ((tf + K1) / tf).astype(np.float32), axis=1)]
+
+    def place(self, ids: np.ndarray) -> bytes:
+        return self.terms(ids).astype(">u4").tobytes() + zlib.crc32(ids.tobytes()).to_bytes(4, "big")
+
+
+def cuts(sample: list[tuple[bytes, int]], parts: int) -> list[bytes]:
+    """Places that cut an order into ``parts`` of about as many tokens, from sampled ``(place, tokens)``."""
+    sample = sorted(sample)
+    upto = np.cumsum([n for _, n in sample]) if sample else np.zeros(0)
+    at = [int(np.searchsorted(upto, upto[-1] * k / parts)) for k in range(1, parts)] if sample else []
+    return sorted({sample[k][0] for k in at})
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW,
@@ -241,50 +261,72 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
     """A row per piece: ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document is its ids and the end id; a null or empty text is the end id alone. Every id lies in one piece,
-    repeated rows are packed each, ``sequence_id`` is the shard's number and a count within it, offsets are gapless. An
-    empty table gives no rows. Windows do not depend on files or row order, but for keys salted over several shards.
+    repeated rows are packed each, ``sequence_id`` is the partition's number and a count within it, offsets are
+    gapless. An empty table gives no rows. Windows do not depend on files or row order; equal documents are ordered by
+    their keys. There are as many partitions as the session's shuffles have, fewer where the table has fewer shards; the
+    sample only says where to cut, so that partitions are about even.
     """
     kind = df.select(key).schema[key].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(key, kind)] + [T.StructField(c, T.LongType()) for c in names])
-    encoded = stored(_encoded(df, tokenizer, ranks, text, key))
-    context = encoded.sparkSession.sparkContext
-    shared = context.broadcast(corpus_statistics(encoded))
-
-    @F.pandas_udf(T.LongType())
-    def placed_by(ids: pd.Series, wide: pd.Series) -> pd.Series:
+    stored_rows = stored(_encoded(df, tokenizer, ranks, text, key))
+    encoded = stored_rows.filter("tokens is not null").select("key", "ids", "wide", "tokens")
+    spark = encoded.sparkSession
+    statistics = corpus_statistics(stored_rows)
+    shared = spark.sparkContext.broadcast(statistics)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, int(statistics[1] * statistics[2] // shard_tokens)))
+
+    def placed(ids: pd.Series, wide: pd.Series, tie: pd.Series) -> list[bytes]:
         placer = Placer(shared.value)
-        return pd.Series([placer.key(_ids(i, w)) for i, w in zip(ids, wide)], dtype=np.int64)
+        # equal documents differ in their ties
+        return [placer.place(np.frombuffer(i, "<u4" if w else "<u2")) + (int(t) & (2 ** 64 - 1)).to_bytes(8, "big")
+                for i, w, t in zip(ids, wide, tie)]
 
-    # a key is an id of the vocabulary, so these are as many rows as it has ids at most
-    sizes = encoded.groupBy(placed_by("ids", "wide").alias("k")).agg(F.sum("tokens").alias("n")).collect()
-    places, count = shards([tuple(r) for r in sizes], shard_tokens)
-    placed = context.broadcast(places)
+    @F.pandas_udf(T.BinaryType())
+    def place(ids: pd.Series, wide: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(placed(ids, wide, tie), dtype=object)
 
-    @F.pandas_udf(T.IntegerType())
-    def shard_of(ids: pd.Series, wide: pd.Series, row: pd.Series) -> pd.Series:
-        placer = Placer(shared.value)
-        first = [placed.value[placer.key(_ids(i, w))] for i, w in zip(ids, wide)]
-        return pd.Series([a + int(r) % n for (a, n), r in zip(first, row)], dtype=np.int32)
+    tie = F.xxhash64("key")
+    one_in = max(1, statistics[1] // (CUT_ROWS * parts))
+    sample = encoded.filter(F.pmod(F.xxhash64("ids", "key"), F.lit(one_in)) == 0) if parts > 1 else encoded.limit(0)
+    bounds = spark.sparkContext.broadcast(cuts([tuple(r) for r in sample.select(place("ids", "wide", tie), "tokens").collect()], parts))
+
+    @F.pandas_udf(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("place", T.BinaryType())]))
+    def part_and_place(ids: pd.Series, wide: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        found = placed(ids, wide, tie)
+        return pd.DataFrame({"part": np.array([bisect_right(bounds.value, p) for p in found], np.int32),
+                             "place": pd.Series(found, dtype=object)})
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
+        packer, held, docs, size = Packer(window, shared.value), [], [], 0
+        part = TaskContext.get().partitionId() << 32
+
+        def shard() -> pa.RecordBatch:
+            rows = np.array(packer.add(docs), np.int64).reshape(-1, 5)
+            crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
+            columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],
+                       part + rows[:, 3], rows[:, 4]]
+            return pa.RecordBatch.from_arrays(
+                [pa.chunked_array(held).combine_chunks().take(pa.array(rows[:, 0]))] + [pa.array(c, pa.int64()) for c in columns],
+                names=[key, *names])
+
         for batch in batches:
-            keys.append(batch.column(0))
-            docs += [_ids(i, w) for i, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        if not docs:
-            return
-        held = pa.chunked_array(keys).combine_chunks()
-        named = held.cast(pa.string()).to_pylist()
-        order = sorted(range(len(docs)), key=lambda k: (zlib.crc32(docs[k]), named[k] is None, named[k]))
-        docs = [docs[k] for k in order]
-        rows = np.array(Packer(window, shared.value).add(docs), np.int64).reshape(-1, 5)
-        crc = [zlib.crc32(docs[d][s:s + n].tobytes()) for d, s, n in rows[:, :3].tolist()]
-        columns = [rows[:, 1], rows[:, 2], np.array(crc, np.int64), np.array([len(d) for d in docs])[rows[:, 0]],
-                   (TaskContext.get().partitionId() << 32) + rows[:, 3], rows[:, 4]]
-        yield pa.RecordBatch.from_arrays(
-            [held.take(pa.array(np.array(order)[rows[:, 0]]))] + [pa.array(c, pa.int64()) for c in columns],
-            names=[key, *names])
-
-    sent = encoded.withColumn("shard", shard_of("ids", "wide", F.monotonically_increasing_id()))
-    return sent.repartitionById(max(count, 1), "shard").select("key", "ids", "wide").mapInArrow(fn, schema)
+            rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            first = 0
+            for k, (ids, wide) in enumerate(rows):
+                docs.append(_ids(ids, wide))
+                size += len(docs[-1])
+                if size >= shard_tokens:
+                    held.append(batch.column(0).slice(first, k + 1 - first))
+                    yield shard()
+                    held, docs, size, first = [], [], 0, k + 1
+            if first < batch.num_rows:
+                held.append(batch.column(0).slice(first))
+        if docs:
+            yield shard()
+
+    sent = encoded.withColumn("at", part_and_place("ids", "wide", tie)).select("key", "ids", "wide", "at.part", "at.place")
+    # keys tell apart what hashes of keys do not
+    dealt = sent.repartitionById(parts, "part").sortWithinPartitions("place", "key")
+    return dealt.select("key", "ids", "wide").mapInArrow(fn, schema)

@@ -354,10 +354,20 @@ def test_neighbours_meet_from_any_place_of_the_table(spark):
     assert windows(df.orderBy(F.xxhash64("doc_id")).repartition(7)) == got
 
 
-def test_large_keys_are_salted():
-    places, count = packing.shards([(5, 40), (9, 250), (7, 50), (8, 30)], 100)
-    assert places == {5: (0, 1), 7: (0, 1), 8: (1, 1), 9: (2, 3)} and count == 5
-    assert packing.shards([], 100) == ({}, 0)
+def test_cuts_part_tokens_evenly():
+    sample = [(bytes([k]), 10) for k in range(100)] + [(bytes([200]), 1000)]
+    assert packing.cuts(sample, 4) == [bytes([49]), bytes([99]), bytes([200])]
+    assert packing.cuts([], 4) == [] and packing.cuts(sample, 1) == []
+
+
+def test_ranked_documents_are_those_of_a_full_sort():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 12, rng.integers(1, 9)) for _ in range(300)]
+    index, unused = packing.ShardIndex(docs), rng.random(300) < 0.7
+    for k in range(20):
+        scores = index.scores(index.terms[k])
+        want = [d for d in np.argsort(-scores, kind="stable").tolist() if unused[d]]
+        assert list(packing.Packer._ranked(index, index.terms[k], unused)) == want
 
 
 # -- quality
