@@ -5,9 +5,10 @@ stands several times is aligned each time. Within such a region words that occur
 longest increasing run of anchors is fixed, equal neighbours of anchors are joined to it, and every gap is aligned the
 same way until no anchor is left. Coverage is the share of the template's words that are aligned.
 
-A notice that longer blocks interrupt does not fit such a region. Between the places found, the text is therefore
-aligned whole, by longest common subsequence, from the first to the last supported word: one that stands beside its
-neighbour of the template. Blocks between may have any length.
+A notice that longer blocks interrupt does not fit such a region. Its parts are found by runs of at least ``RUN`` words
+that stand in the template in a row. Runs that rise in text and template are joined into one region, however far they
+lie apart, and the words between two of them are aligned in the same way beside the runs, as far as the template's gap
+reaches. A part counts only if it has such a run, so long texts do not collect a template word by word.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ TEMPLATES = {
 }
 WORD = re.compile(r"\w+")
 COVERAGE = 0.8
-PART = 2  # words that a part lying apart adds at least to a place reported already; one word may be chance
+RUN = 3  # neighbouring words that a part lying apart has at least in a row
+SLACK = 2  # words more than the template's gap that are looked at beside a run
 
 
 def words(text: str | None) -> list[str]:
@@ -99,24 +101,30 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def reaches(w: list[str], template: list[str], at: list[int], firm: list[bool], first: int, stop: int,
-            need: int) -> int | None:
-    """First index of ``at`` from ``first`` on, backwards where ``stop`` is less, by which the words from the first firm
-    one to a firm one have a common subsequence of ``need`` words with the template."""
-    step = 1 if stop > first else -1
-    masks: dict[str, int] = {}
-    for k, x in enumerate(template[::step]):
-        masks[x] = masks.get(x, 0) | 1 << k
-    full, begun = (1 << len(template)) - 1, False
-    open_bits = full  # zeros count the subsequence
-    for k in range(first, stop, step):
-        begun = begun or firm[k]
-        if begun:
-            same = open_bits & masks[w[at[k]]]
-            open_bits = ((open_bits + same) | (open_bits - same)) & full
-            if firm[k] and len(template) - open_bits.bit_count() >= need:
-                return k
-    return None
+Part = tuple[int, int, int, int, int]  # begin and end in the text, begin and end in the template, words aligned
+
+
+def covered(w: list[str], template: list[str], parts: list[Part], low: int, high: int) -> tuple[int, int, int]:
+    """Words aligned, first and last place, of parts that rise, with what stands beside them between ``low`` and ``high``."""
+    total, begin, end = 0, parts[0][0], parts[-1][1]
+    k0, t0 = parts[0][0], parts[0][2]
+    before = align(w[max(low, k0 - t0 - SLACK):k0], template[:t0])
+    if before:
+        total, begin = len(before), max(low, k0 - t0 - SLACK) + before[0][0]
+    for (_, k1, _, t1, n), after in zip(parts, [*parts[1:], None]):
+        total += n
+        if after is None:
+            rest = align(w[k1:min(high, k1 + len(template) - t1 + SLACK)], template[t1:])
+            total, end = total + len(rest), k1 + rest[-1][0] + 1 if rest else end
+            continue
+        (k2, _, t2, _, _), near = after, after[2] - t1 + SLACK
+        if k2 - k1 <= 2 * near:
+            total += len(align(w[k1:k2], template[t1:t2]))
+        else:
+            head = align(w[k1:k1 + near], template[t1:t2])
+            t1 += head[-1][1] + 1 if head else 0
+            total += len(head) + len(align(w[k2 - near:k2], template[t1:t2]))
+    return total, begin, end
 
 
 class Scanner:
@@ -127,6 +135,7 @@ class Scanner:
         self.templates = [(name, words(t)) for name, texts in templates.items() for t in texts if words(t)]
         self.distinct = [Counter(t) for _, t in self.templates]
         self.vocabulary = {w for t in self.distinct for w in t}
+        self.grams: dict[tuple[str, ...], dict[tuple[str, ...], list[int]]] = {}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """``(license, coverage, start, end, places)`` in words: the best place of each license, and how many it has."""
@@ -158,41 +167,98 @@ class Scanner:
                 here[0], here[1] = max(here[0], (share, -begin, end)), here[1] + 1
         return [(name, row[0], -row[1], row[2], n) for name, (row, n) in sorted(best.items())]
 
+    def _runs(self, w: list[str], template: list[str], every: list[int]) -> list[Part]:
+        """Stretches of at least ``RUN`` words that text and template share in a row, by their place in the text."""
+        if template not in self.grams:
+            self.grams[template] = at = {}
+            for t in range(len(template) - RUN + 1):
+                at.setdefault(template[t:t + RUN], []).append(t)
+        grams, open_, runs = self.grams[template], {}, []
+        for k in every:
+            for t in grams.get(tuple(w[k:k + RUN]), ()):
+                run = open_.get(k - t)
+                if run is not None and runs[run][1] == k + RUN - 1:
+                    k0, _, t0, _, _ = runs[run]
+                    runs[run] = (k0, k + RUN, t0, t + RUN, k + RUN - k0)
+                else:
+                    open_[k - t] = len(runs)
+                    runs.append((k, k + RUN, t, t + RUN, RUN))
+        return runs
+
     def _interrupted(self, w: list[str], template: list[str], held: Counter, places: dict[str, list[int]],
                      found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
         """``(coverage, start, end)``: the places found, with parts that lie apart, and those in parts between them."""
         every = sorted(k for x in held if x in places for k in places[x])
+        runs = self._runs(w, tuple(template), every)
         need = next(k for k in range(1, len(template) + 1) if k / len(template) >= self.coverage)
-        neighbours = set(zip(template, template[1:]))
-
-        def words_of(low: int, high: int) -> tuple[list[int], list[bool]]:
-            at = every[bisect_left(every, low):bisect_left(every, high)]
-            return at, [k > low and (w[k - 1], w[k]) in neighbours or k + 1 < high and (w[k], w[k + 1]) in neighbours
-                        for k in at]
-
-        spans, free = list(found), 0
-        for _, begin, end in [*found, (0.0, len(w), len(w))]:
-            at, firm = words_of(free, begin)
-            i, free = 0, end
-            while len(at) - i >= need and (last := reaches(w, template, at, firm, i, len(at), need)) is not None:
-                spans.append((need / len(template), at[reaches(w, template, at, firm, last, i - 1, need)], at[last] + 1))
-                i = last + 1
-        spans.sort(key=lambda x: x[1])
-        out, free = [], 0
-        for k, (share, begin, end) in enumerate(spans):
-            at, firm = words_of(free, spans[k + 1][1] if k + 1 < len(spans) else len(w))
-            whole = (share, begin, end) in found
-            most = round(share * len(template)) + (PART - 1 if whole else -1)  # a part that stands apart is no chance word
-            last = None
-            while most < len(template) and (better := reaches(w, template, at, firm, 0, len(at), most + 1)) is not None:
-                most, last = most + 1, better
-            if last is not None:
-                first = reaches(w, template, at, firm, last, -1, most)
-                share, begin, end = most / len(template), at[first], at[last] + 1
-            out.append((share, begin, end))
-            free = end
+        whole = []
+        for _, begin, end in found:
+            pairs = align(w[begin:end], template)
+            whole.append((begin, end, pairs[0][1], pairs[-1][1] + 1, len(pairs)))
+        out, low = [], 0
+        for k, part in enumerate([*whole, None]):
+            high = part[0] if part else len(w)
+            mine = runs[bisect_left(runs, (low,)):bisect_left(runs, (high,))]
+            mine = [r for r in mine if r[1] <= high]
+            apart, free = self._chains(w, template, mine, need, low, high)
+            out += apart
+            if part:
+                # parts on both sides go on from the place found, until one goes back in the template
+                chain = [part]
+                for k0, k1, t0, t1, _ in reversed(runs[bisect_left(runs, (free,)):bisect_left(runs, (part[0],))]):
+                    cut = max(0, k1 - chain[0][0])  # what the place found has of it already
+                    if k1 - cut > k0 and t1 - cut <= chain[0][2]:
+                        chain.insert(0, (k0, k1 - cut, t0, t1 - cut, k1 - cut - k0))
+                    elif not cut:
+                        break
+                stop = whole[k + 1][0] if k + 1 < len(whole) else len(w)
+                for k0, k1, t0, t1, _ in runs[bisect_left(runs, (part[0],)):bisect_left(runs, (stop,))]:
+                    cut = max(0, chain[-1][1] - k0)
+                    if k1 <= stop and k1 > k0 + cut and t0 + cut >= chain[-1][3]:
+                        chain.append((k0 + cut, k1, t0 + cut, t1, k1 - k0 - cut))
+                    elif not cut:
+                        break
+                begun, low = chain[0][0], chain[-1][1]
+                if len(chain) > 1:
+                    n, begin, end = covered(w, template, chain, begun, low)
+                    out.append((n / len(template), begin, end))
+                else:
+                    out.append(found[k])
         return out
 
+    @staticmethod
+    def _chains(w: list[str], template: list[str], runs: list[Part], need: int, low: int,
+                high: int) -> tuple[list[tuple[float, int, int]], int]:
+        """Places of notices in parts: the first chain of rising runs that covers enough, then on behind it; the end."""
+        out: list[tuple[float, int, int]] = []
+        best: list = [None] * (len(template) + 1)  # by the template place that a chain has come to: words and chain
+        tested, k = 0, 0
+        while k < len(runs):
+            k0, k1, t0, t1, n = run = runs[k]
+            k += 1
+            # of equal chains the one that was extended last, so that notices are as short as may be
+            fits = [c for c in best[:t0 + 1] if c and c[2] <= k0]
+            before = max(fits, key=lambda c: (c[0], c[2]), default=(0, None, 0))
+            chain = (before[0] + n, (before[1], run), k1)
+            if best[t1] is None or chain[0] >= best[t1][0]:
+                best[t1] = chain
+            if 2 * chain[0] < need or chain[0] <= tested:
+                continue
+            tested = chain[0]
+            parts, link = [], chain[1]
+            while link:
+                link, part = link
+                parts.insert(0, part)
+            if covered(w, template, parts, low, high)[0] < need:
+                continue
+            while k < len(runs) and runs[k][2] >= parts[-1][3] and runs[k][0] >= parts[-1][1]:
+                parts.append(runs[k])
+                k += 1
+            total, begin, end = covered(w, template, parts, low, runs[k][0] if k < len(runs) else high)
+            out.append((total / len(template), begin, end))
+            best, tested, low = [None] * (len(template) + 1), 0, end
+        return out, low
+
     def _regions(self, template: list[str], held: Counter, places: dict[str, list[int]], n: int):
         """Where the template would lie around each place of its rarest words, more of which are tried than may be missing."""
         spare = len(template) - math.ceil(self.coverage * len(template))

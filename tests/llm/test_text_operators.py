@@ -263,8 +263,41 @@ def test_interrupted_notices_are_found_whole(inserted):
         assert got[2:] == (20, 20 + len(notice) + inserted, 1)
         assert scanner.scan(" ".join(text * 2 + notice))[0][4] == 3
     thin = notice[:20] + block + [x for x in notice[20:40] if rng.random() < 0.9] + block + notice[40:]
-    # a lone word apart is not added to a notice that is reported without it
-    assert scanner.scan(" ".join(thin))[0][1] > (len(licenses.align(thin, notice)) - licenses.PART) / len(notice)
+    # what stands beside a run counts, a lone word in the block does not
+    assert scanner.scan(" ".join(thin))[0][1] > (len(licenses.align(thin, notice)) - licenses.RUN) / len(notice)
+
+
+def test_long_texts_collect_no_notice():
+    from pydoc_data.topics import topics
+
+    rng, scanner = random.Random(3), licenses.Scanner(licenses.TEMPLATES)
+    manual = " ".join(topics.values())
+    assert len(licenses.words(manual)) > 50_000 and scanner.scan(manual) == []
+    common = licenses.words(manual)[:3000]
+    theirs = sorted(scanner.vocabulary)
+    text = [rng.choice(common) if rng.random() < 0.4 else rng.choice(theirs) if rng.random() < 0.1 else f"w{rng.randrange(9999)}" for _ in range(200_000)]
+    assert scanner.scan(" ".join(text)) == []
+    notice = licenses.words(licenses.TEMPLATES["MIT"][1])
+    text[1000:1000], text[150_000:150_000] = notice[:30], notice[30:]  # the same text with a notice in two parts
+    ((name, share, start, end, places),) = scanner.scan(" ".join(text))
+    assert (name, share, places) == ("MIT", 1.0, 1) and start == 1000 and end == 150_000 + len(notice) - 30
+
+
+def test_places_agree_with_whole_text_patience():
+    rng = random.Random(9)
+    notice, scanner = licenses.words(licenses.TEMPLATES["MIT"][1]), licenses.Scanner({"MIT": [licenses.TEMPLATES["MIT"][1]]})
+    for _ in range(150):
+        text, at = [f"a{k}" for k in range(rng.randrange(60))], 0
+        while at < len(notice):  # parts of seven words or more, some words changed, blocks between
+            step = rng.randrange(7, 40)
+            text += [x if rng.random() < 0.97 else "changed" for x in notice[at:at + step]] + [f"b{rng.randrange(10 ** 6)}" for _ in range(rng.choice([0, 0, 3, 50, 900]))]
+            at += step
+        whole = len(licenses.align(text, notice)) / len(notice)
+        got = scanner.scan(" ".join(text))
+        if whole >= 0.9:
+            assert len(got) == 1 and whole - 0.08 < got[0][1] <= whole, (whole, got)
+        if whole < licenses.COVERAGE:
+            assert got == []
 
 
 def test_scattered_words_are_no_notice():
