@@ -16,9 +16,13 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of the driver's own."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on one machine (tests), one of the driver's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else _own_folder(spark.sparkContext.applicationId)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def ngram_buckets(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def code_points(text: str) -> np.ndarray:
-    """Lower-cased text, digits and runs of blanks as one blank, as code points."""
+    """Lower-cased text, runs of blanks as one blank, as code points."""
     return np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), np.uint32)
 
 
@@ -60,13 +60,17 @@ def text_counts(texts: Iterator[str]) -> np.ndarray:
 
 
 def labelled(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE,
-             languages: int = LANGUAGES) -> DataFrame:
-    """``(text, lang)`` of about ``per_language`` rows of each of the most frequent languages, picked by hash."""
-    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
+             languages: int = LANGUAGES, key: str = "doc_id") -> DataFrame:
+    """``(text, lang)`` of about ``per_language`` rows of each of the most frequent languages.
+
+    Rows are picked by a hash of key and text, whatever files they lie in. A language beyond the ``languages`` most
+    frequent ones is not learned and never predicted.
+    """
+    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most `languages` rows; a row's language is looked up in it
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    drawn = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
+    drawn = F.pmod(F.xxhash64("text", "key"), F.lit(1 << 40)) / float(1 << 40)
     share = drawn * F.col("n") < per_language
     return rows.join(F.broadcast(sizes), "lang").filter(share).select("text", "lang")
 
@@ -141,7 +145,7 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     without an id are neither learned from nor held out.
     """
     left = remainder(F.col(key), parts)
-    model = fit(labelled(df.filter(left != held), text, lang))
+    model = fit(labelled(df.filter(left != held), text, lang, key=key))
     found = df.select(F.col(key), F.coalesce(left == held, F.lit(False)).alias("held_out"),
                       predictions(F.col(text), model).alias("p"))
     return found.select(key, "held_out", "p.lang_pred", "p.score")

@@ -627,6 +627,42 @@ def test_held_out_languages(spark, odd, empty):
     assert language.identify(empty).count() == 0
 
 
+def buckets_by_hand(text):
+    codes = [ord(c) for c in f" {' '.join(text.lower().split())} "]
+    for order in (1, 2, 3):
+        for k in range(len(codes) - order + 1):
+            h = order
+            for c, mix in zip(codes[k:k + order], (2654435761, 2246822519, 3266489917)):
+                h = ((h ^ c) * mix) & 0xFFFFFFFF
+                h ^= h >> 15
+            yield h % language.BUCKETS
+
+
+def test_naive_bayes_by_hand(spark):
+    rng = random.Random(6)
+    pools = {"xx": "aeiou xyz", "yy": "bcdfg hij", "zz": "aeiou bcd"}
+    rows = [(k, "".join(rng.choices(pools[lang], k=40)), lang) for k, lang in enumerate(rng.choices(list(pools), k=90))]
+    df = spark.createDataFrame(rows + [(200, "aeiou", None), (201, "12 34", "xx"), (202, None, "yy")], "doc_id long, text string, lang string")
+    learned = [r for r in rows + [(201, "12 34", "xx")] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {lang: Counter(b for _, t, of in learned if of == lang for b in buckets_by_hand(t)) for lang in sorted(pools)}
+    for r in language.identify(df.repartition(3)).collect():
+        text = dict((k, t) for k, t, _ in df.collect())[r.doc_id] if r.doc_id in (200, 201, 202) else rows[r.doc_id][1]
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = list(buckets_by_hand(text))
+        logs = {lang: sum(math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * language.BUCKETS)) for b in found) for lang, c in counts.items()}
+        best = max(logs, key=logs.get)
+        odds = [math.exp((v - logs[best]) / math.sqrt(len(found))) for v in logs.values()]
+        assert r.lang_pred == best and math.isclose(r.score, 1 / sum(odds), rel_tol=1e-3)
+
+
+def test_the_sample_does_not_depend_on_the_layout(spark):
+    df = spark.createDataFrame([(k, f"text {k}", "ab"[k % 2]) for k in range(400)], "doc_id long, text string, lang string")
+    drawn = [sorted(map(tuple, language.labelled(d, per_language=50).collect())) for d in (df.coalesce(1), df.orderBy("text").repartition(7))]
+    assert drawn[0] == drawn[1] and 60 < len(drawn[0]) < 140
+
+
 def test_counts_of_a_text_in_parts(monkeypatch):
     text = "Straße und Übung, " * 50
     whole = language.text_counts(iter([text]))
