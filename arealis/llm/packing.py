@@ -38,59 +38,46 @@ DRAWS = 4
 CUT_ROWS = 100  # rows sampled for each cut of the order
 ENCODED_ROWS = 256  # texts encoded at a time
 K1, B = 1.2, 0.75
-CACHE = 400_000  # distinct pre-tokens a worker keeps with their ids
 #: Characters beyond these, and what may be a special token, go to the tokenizer as whole texts.
 _OTHER = re.compile(r"[^\x00-ɏ]|<\|")
 # The tokenizer's pre-token rule with its classes written out for the characters above: letters, numbers, blanks.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
-class Encoder(dict):
-    """Ids of texts by a byte-level BPE file, as bytes of unsigned 32-bit little-endian numbers.
-
-    Such a tokenizer works on each pre-token by itself, so the ids of a pre-token are kept and joined. ``ranks`` is
-    the same vocabulary as ranks of byte strings, with which short strings are encoded sooner.
-    """
+class Encoder:
+    """Ids of texts by a byte-level BPE file. ``ranks`` is the same vocabulary as ranks of byte strings, with which texts
+    of the characters that ``_SPLIT`` knows are encoded sooner."""
 
     def __init__(self, path: str, ranks: str | None = None):
         import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.short = Tokenizer.from_file(path), None
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.short = tiktoken.Encoding("ranks", pat_str=_SPLIT.pattern, mergeable_ranks=table, special_tokens={})
+            self.short = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=table, special_tokens={})
 
-    def tokens(self, missing: list[str]) -> list[bytes]:
-        """Ids of pre-tokens as bytes."""
-        if self.short is None:
-            found = [e.ids for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)]
-        else:
-            found = map(self.short.encode_ordinary, missing)
-        return [array("I", ids).tobytes() for ids in found]
+    def _known(self, text: str) -> bool:
+        return self.short is not None and (text.isascii() and "<|" not in text or not _OTHER.search(text))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
-        split = {k: _SPLIT.findall(t) for k, t in enumerate(texts) if t and not _OTHER.search(t)}
-        whole = [k for k, t in enumerate(texts) if t and k not in split]
-        missing = list(set().union(*split.values()) - self.keys())
-        if len(self) + len(missing) > CACHE:
-            self.clear()
-            missing = list(set().union(*split.values()))
-        self.update(zip(missing, self.tokens(missing)))
+        whole = []
+        for k, t in enumerate(texts):
+            if t and self._known(t):
+                out[k] = np.frombuffer(array("I", self.short.encode_ordinary(t)), "<u4")
+            elif t:
+                whole.append(k)
         for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
             out[k] = np.array(e.ids, "<u4")
-        for k, tokens in split.items():
-            out[k] = np.frombuffer(b"".join(map(self.__getitem__, tokens)), "<u4")
         return out
 
 
 @lru_cache(1)
 def encoder(path: str, ranks: str | None = None) -> Encoder:
-    """One per worker, so that tasks share what it has seen."""
+    """One per worker, so that its tasks load the files once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, ranks)
 
@@ -195,7 +182,7 @@ def _encoded(df: DataFrame, tokenizer: str, ranks: str | None, text: str, key: s
                 wide = [bool(d.max() >= 1 << 16) for d in docs]
                 rows = [d if w else d.astype("<u2") for d, w in zip(docs, wide)]
                 for ids in rows:
-                    terms = distinct(ids)[0]
+                    terms = np.unique(ids)
                     if terms[-1] >= len(df):
                         df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
                     df[terms] += 1
