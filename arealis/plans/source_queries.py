@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import presets as P
 from ..functions import parse as PA
+from ..operators import keys as K
 from ..sources import cells as C
 from ..sources import files as S
 from ..sources import infer as IN
@@ -372,3 +374,31 @@ def inferred_types_by_file(t: Tables) -> DataFrame:
 @query(_CELLS + f"""select "column", {_TYPE} as type, count(*) filter (c > 0) as n_filled from coded group by "column" """)
 def inferred_types(t: Tables) -> DataFrame:
     return IN.column_types(_cells(t), list("abcde"))
+
+
+# stems of raster files: a known nutrient's with differing signs, or a part's name
+_STEMS = """select p_partkey, case p_partkey % 5 {0} else p_name end as stem from part"""
+_KNOWN = [n.replace("_", sign) for n, sign in zip(P.RASTER_NAMES, ("_", " ", "-", "__"))]
+_SLUG = r"regexp_replace(regexp_replace(regexp_replace(lower(stem), '^isda_', ''), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"""
+with s as ({_STEMS.format(" ".join(f"when {i} then '{'iSDA_' if i % 2 else ''}{n.title()} '" for i, n in enumerate(_KNOWN)))}),
+g as (select *, {_SLUG} as slug from s)
+select p_partkey, stem, case slug {" ".join(f"when '{k}' then '{v}'" for k, v in P.RASTER_NAMES.items())} else case when slug like '%isda' then slug else slug || '_isda' end end as "column" from g""")
+def raster_column_names(t: Tables) -> DataFrame:
+    stem = F.col("p_name")
+    for i, n in enumerate(_KNOWN):
+        stem = F.when(F.col("p_partkey") % 5 == i, F.lit(f"{'iSDA_' if i % 2 else ''}{n.title()} ")).otherwise(stem)
+    return S.raster_columns(t.part.select("p_partkey", stem.alias("stem")))
+
+
+@query("""
+with c as (select 'K' || s_suppkey as code, n_name as name, case when s_suppkey % 9 = 0 then '' when s_suppkey % 10 = 3 then null else lower(n_name) end as norm
+  from supplier join nation on s_nationkey = n_nationkey)
+select min(code) as county_code, arg_min(name, code) as county_name, norm as county_norm from c where norm <> '' group by norm""")
+def area_list(t: Tables) -> DataFrame:
+    crosswalk = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("K"), "s_suppkey").alias("county_code"), F.col("n_name").alias("county_name"),
+        F.when(F.col("s_suppkey") % 9 == 0, "").when(F.col("s_suppkey") % 10 != 3, F.lower("n_name")).alias("county_norm"))
+    return K.area_frame(crosswalk, t.spark)
