@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from .. import presets as P
 from ..operators import autocorrelation as AC
 from ..operators import clustering as CL
 from ..operators import indices as I
+from ..operators import multilevel as ML
 from ..operators import regression as R
 from ..operators import spatial as S
 from ..operators import typology as TY
@@ -260,6 +263,40 @@ def lagged_model(t: Tables) -> DataFrame:
     return R.coefficient_table(t.spark, {"lagged": fit}).withColumns({c: tested(c) for c in ("morans_i", "expected_i", "perm_p")})
 
 
+# one term: the restricted likelihood on ever finer grids of the variance ratio, from group sums
+_REML = """
+with recursive b as (select l_partkey as g, l_quantity::double as x, l_extendedprice / 1000.0::double + l_partkey % 17 * 5 as y from lineitem),
+m as (select avg(x) as mx, avg(y) as my, count(*) as nn, count(distinct g) as groups, var_pop(x) * count(*) as sxx, covar_pop(x, y) * count(*) as sxy, var_pop(y) * count(*) as syy from b),
+g as (select g, count(*) as n, sum(x - mx) as sx, sum(y - my) as sy from b, m group by g),
+s as (select 0 as i, -14.0::double as low, 9.0::double as high union all
+  select i + 1, arg_max(t, ll) - h, arg_max(t, ll) + h from (
+    select i, h, t, -0.5 * ((nn - 2) * ln((yy - (a11 * b0 * b0 - 2 * a01 * b0 * b1 + a00 * b1 * b1) / (a00 * a11 - a01 * a01)) / (nn - 2)) + ld + ln(a00 * a11 - a01 * a01)) as ll
+    from (select i, h, t, any_value(nn) as nn, any_value(nn) - sum(w * n * n) as a00, -sum(w * n * sx) as a01, any_value(sxx) - sum(w * sx * sx) as a11, -sum(w * n * sy) as b0,
+            any_value(sxy) - sum(w * sx * sy) as b1, any_value(syy) - sum(w * sy * sy) as yy, sum(ln(1 + exp(t) * n)) as ld
+          from (select p.*, g.*, m.*, exp(t) / (1 + exp(t) * n) as w from (
+            select i, (high - low) / 32 as h, unnest(list_transform(range(33), lambda k: low + (high - low) * k / 32)) as t from s where i < 12) p, g, m)
+          group by i, h, t)) group by i, h),
+r as (select exp((low + high) / 2) as r from s where i = 12),
+a as (select any_value(r) as r, any_value(mx) as mx, any_value(my) as my, any_value(groups) as groups, any_value(nn) as nn, any_value(nn) - sum(w * n * n) as a00, -sum(w * n * sx) as a01,
+    any_value(sxx) - sum(w * sx * sx) as a11, -sum(w * n * sy) as b0, any_value(sxy) - sum(w * sx * sy) as b1, any_value(syy) - sum(w * sy * sy) as yy
+  from (select *, r / (1 + r * n) as w from g, m, r)),
+f as (select *, a00 * a11 - a01 * a01 as det, (a11 * b0 - a01 * b1) / (a00 * a11 - a01 * a01) as c0, (a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01) as c1 from a),
+e as (select *, (yy - c0 * b0 - c1 * b1) / (nn - 2) as scale from f)
+select term, round(coef, 5) as coef, round(se, 5) as se, round(r / (1 + r), 5) as icc, round(sqrt(scale), 5) as sd, nn as n, groups as n_groups from (
+  select *, 'Intercept' as term, c0 + my - c1 * mx as coef, sqrt(scale * (a11 + 2 * mx * a01 + mx * mx * a00) / det) as se from e
+  union all select *, 'l_quantity', c1, sqrt(scale * a00 / det) from e)"""
+
+
+@query(_REML)
+def random_intercept_one_term(t: Tables) -> DataFrame:
+    # areas differ by a made amount
+    made = t.lineitem.withColumn("worth", F.col("l_extendedprice") / 1000.0 + F.col("l_partkey") % 17 * 5)
+    fit = ML.random_intercept(made, "worth", ["l_quantity"], "l_partkey", rounds=6)
+    rows = [(c, fit.coef[c], fit.se[c], fit.icc, math.sqrt(fit.scale), fit.n, fit.n_groups) for c in ("Intercept", "l_quantity")]
+    out = t.spark.createDataFrame(rows, "term string, coef double, se double, icc double, sd double, n bigint, n_groups bigint")
+    return out.withColumns({c: F.round(c, 5) for c in ("coef", "se", "icc", "sd")})
+
+
 @query()
 def kmeans_zones(t: Tables) -> DataFrame:
     dims = range(64)
