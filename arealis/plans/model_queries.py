@@ -155,15 +155,15 @@ _TERMS = ("select '{name}' as model, '{outcome}' as outcome, term, round(coef, 4
 
 
 # where the made columns fit exactly, errors are rounding noise
-_EXACT = "select model, outcome, term, round(coef, case when r2 = 1 then 3 else 4 end) as coef, case when r2 < 1 then se end as se, case when r2 < 1 then p end as p, n, r2, adj_r2 from"
+_EXACT = "select model, outcome, term, round(coef, case when r2 >= 0.999 then 1 else 4 end) as coef, case when r2 < 0.999 then se end as se, case when r2 < 0.999 then p end as p, n, round(r2, case when r2 >= 0.999 then 4 else 6 end) as r2, round(adj_r2, case when r2 >= 0.999 then 4 else 6 end) as adj_r2 from"
 
 
 @query(_models(P.SPECIFICATIONS, f"{_EXACT} ({_TERMS}) q"))
 def named_models(t: Tables) -> DataFrame:
     fits = _rounded(R.coefficient_table(t.spark, R.fit_many(area_table(t), R.named_specs())))
-    exact = F.col("r2") == 1
-    return fits.withColumns({"coef": F.when(exact, F.round("coef", 3)).otherwise(F.col("coef")), "se": F.when(~exact, F.col("se")),
-                             "p": F.when(~exact, F.col("p"))})
+    exact = F.col("r2") >= 0.999
+    coarse = {c: F.when(exact, F.round(c, d)).otherwise(F.col(c)) for c, d in (("coef", 1), ("r2", 4), ("adj_r2", 4))}
+    return fits.withColumns({**coarse, "se": F.when(~exact, F.col("se")), "p": F.when(~exact, F.col("p"))})
 
 
 _TWO_TERMS = ("select '{name}' as outcome, any_value(n) as n, round(any_value(r2), 3) as r2, round(any_value(coef) filter (term = 'food_nutrient_density_index'), 1) as b_food_density, "
