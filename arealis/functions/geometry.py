@@ -25,12 +25,14 @@ def box_rings(x0, y0, x1, y1) -> Column:
 
 
 def ring_edges(rings: str | Column) -> Column:
-    """All edges as one array of (x1, y1, x2, y2); open rings are closed."""
+    """All edges as one array of (x1, y1, x2, y2); open rings are closed, closed ones have no edge of length 0 for it."""
     def edges(ring):
-        return F.transform(ring, lambda p, i: F.struct(
+        size, last = F.size(ring), F.get(ring, F.size(ring) - 1)
+        closed = (size > 1) & (F.get(ring, F.lit(0))["x"] == last["x"]) & (F.get(ring, F.lit(0))["y"] == last["y"])
+        return F.transform(F.slice(ring, F.lit(1), size - F.coalesce(closed, F.lit(False)).cast("int")), lambda p, i: F.struct(
             p["x"].alias("x1"), p["y"].alias("y1"),
-            F.get(ring, (i + 1) % F.size(ring))["x"].alias("x2"),
-            F.get(ring, (i + 1) % F.size(ring))["y"].alias("y2")))
+            F.get(ring, (i + 1) % size)["x"].alias("x2"),
+            F.get(ring, (i + 1) % size)["y"].alias("y2")))
 
     return F.flatten(F.transform(as_col(rings), edges))
 

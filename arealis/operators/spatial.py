@@ -236,6 +236,35 @@ def choose_rasters(rasters: DataFrame, stems: list[str], raster: str = "raster_i
     return tagged.where(fits).groupBy("stem").agg(F.min(raster).alias(raster))
 
 
+def _held(polygons: DataFrame, area: str, rings: str, reach: float) -> DataFrame:
+    """(src, dst): a ring of src begins inside dst and not within ``reach`` of its outline.
+
+    Such a corner lies that far inside the box of dst, which is looked up first: boxes meet corners by cells about as
+    wide as the box. Only areas that this leaves are tested with their edges.
+    """
+    polygons = polygons.withColumnRenamed(area, "dst")
+    corner = polygons.select(F.col("dst").alias("src"), F.explode(rings).alias("ring")).select(
+        "src", F.get("ring", F.lit(0))["x"].alias("lon"), F.get("ring", F.lit(0))["y"].alias("lat"))
+    cell, pts, margin = suggest_cell(polygons, rings, per_side=1), F.flatten(rings), reach / 2.0
+    at = {"x": F.transform(pts, lambda p: p["x"]), "y": F.transform(pts, lambda p: p["y"])}
+    box = polygons.select("dst", *[(end(at[c]) + d).alias(f"{c}{k}") for c in "xy" for k, (end, d) in enumerate(
+        ((F.array_min, margin), (F.array_max, -margin)))]).where("x0 < x1 and y0 < y1")
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / float(cell)
+    size = float(cell) * F.pow(F.lit(2.0), F.col("level"))
+    box = box.withColumn("level", F.greatest(F.ceil(F.log2(side)), F.lit(0)).cast("int"))
+    levels = box.agg(F.collect_set("level").alias("l")).scalar()
+    for c in "xy":
+        box = box.withColumn(f"i{c}", F.explode(F.sequence(_index(F.col(f"{c}0"), size), _index(F.col(f"{c}1"), size))))
+    placed = corner.where(finite("lon").isNotNull() & finite("lat").isNotNull()).withColumn(
+        "level", F.explode(levels)).withColumns({"ix": _index(F.col("lon"), size), "iy": _index(F.col("lat"), size)})
+    maybe = cut_lineage(placed.join(box, ["level", "ix", "iy"]).where(
+        "src <> dst and lon > x0 and lon < x1 and lat > y0 and lat < y1").select("src", "lon", "lat", "dst").distinct())
+    if maybe.isEmpty():
+        return maybe.select("src", "dst")
+    return points_in_polygons(maybe.select("src", "lon", "lat").distinct(), polygons.join(maybe.select("dst").distinct(), "dst", "left_semi"),
+                              ["dst"], rings=rings, cell=cell).where("src <> dst").select("src", "dst")
+
+
 def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", tolerance: float = 0.01,
                      cell: float | None = None) -> DataFrame:
     """Row-standardised neighbour table (src, dst, w).
@@ -245,7 +274,8 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     compared. An area without neighbours has no row.
     """
     reach = 2.0 * tolerance
-    edges = polygons.select(area, F.explode(ring_edges(rings)).alias("e")).select(area, "e.*").distinct()
+    # read for the cell size and by both sides of the join
+    edges = cut_lineage(polygons.select(area, F.explode(ring_edges(rings)).alias("e")).select(area, "e.*").distinct())
     if cell is None:
         span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
         cell = (edges.agg(F.avg(span).alias("s")).first()["s"] or 0.0) + reach
@@ -254,7 +284,7 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     at_corner = corners.groupBy("c").agg(F.sort_array(F.collect_set(area)).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda a, i: F.transform(
         F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    met = cut_lineage(at_corner.select(F.explode(pairs).alias("p")).select("p.*").distinct())
+    met = at_corner.select(F.explode(pairs).alias("p")).select("p.*")
     spread = edge_cells(edges, float(cell), float(tolerance), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
     names = ("x1", "y1", "x2", "y2")
     other = spread.select("ix", "iy", F.col(area).alias("dst"),
@@ -264,19 +294,18 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     for p, q in (("x1", "x2"), ("y1", "y2")):  # boxes further apart than the reach
         apart = apart | (F.greatest(p, q) + reach < F.least(f"b_{p}", f"b_{q}")) | (
             F.greatest(f"b_{p}", f"b_{q}") + reach < F.least(p, q))
+    for p in ("1", "2"):  # edges with a common corner have met
+        for q in ("1", "2"):
+            apart = apart | ((F.col(f"x{p}") == F.col(f"b_x{q}")) & (F.col(f"y{p}") == F.col(f"b_y{q}")))
     # the exact distance is an aggregate input, evaluated once; a filter would evaluate it again
     close = (spread.withColumnRenamed(area, "src").join(other.hint("merge"), ["ix", "iy"])
-             .where((F.col("src") < F.col("dst")) & ~apart).join(met, ["src", "dst"], "left_anti")
+             .where((F.col("src") < F.col("dst")) & ~apart)
              .groupBy("src", "dst").agg(F.min(near).alias("__d"))
              .where(F.col("__d") <= reach + 1e-12).select("src", "dst"))
-    corner = polygons.select(area, F.explode(rings).alias("ring")).select(
-        F.col(area).alias("src"), F.get("ring", F.lit(0))["x"].alias("lon"),
-        F.get("ring", F.lit(0))["y"].alias("lat"))
-    held = points_in_polygons(corner, polygons.withColumnRenamed(area, "dst"), ["dst"], rings=rings,
-                              cell=suggest_cell(polygons, rings, per_side=1)).where("src <> dst").select("src", "dst")
-    half = close.unionByName(met).unionByName(held)
-    pairs = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return standardise_edges(pairs.withColumn("w", F.lit(1.0)))
+    held = _held(polygons, area, rings, reach).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    half = met.unionByName(close).unionByName(held).distinct()
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return standardise_edges(half.select(F.explode(both).alias("p")).select("p.*", F.lit(1.0).alias("w")))
 
 
 def standardise_edges(edges: DataFrame) -> DataFrame:

@@ -96,3 +96,25 @@ def test_long_edges_have_cells_along_them(spark):
     assert S.edge_cells(edges.where("area = 'long'"), 1.0, 0.01, names).count() < 300_000
     got = {(r.src, r.dst) for r in S.queen_contiguity(polys, "area", cell=10.0).collect()}
     assert ("long", "touch") in got and ("touch", "long") in got and ("s0", "s1") in got and ("s0", "s2") not in got
+
+
+def test_contiguity_tests_no_area_whose_box_holds_no_corner(spark, monkeypatch):
+    lattice = spark.range(30).select(F.col("id").alias("area"), (F.col("id") % 6).cast("double").alias("x"), F.floor(F.col("id") / 6).cast("double").alias("y"))
+    polys = lattice.select("area", box_rings(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("rings"))
+    assert polys.select(F.explode(S.ring_edges("rings"))).count() == 30 * 4  # the closing corner makes no edge
+
+    def tested(*_, **__):
+        raise AssertionError("cells of areas that hold nothing")
+
+    monkeypatch.setattr(S, "points_in_polygons", tested)
+    got = {(r.src, r.dst) for r in S.queen_contiguity(polys, "area").collect()}
+    assert got == {(a, b) for a in range(30) for b in range(30) if a != b and abs(a % 6 - b % 6) <= 1 and abs(a // 6 - b // 6) <= 1}
+
+
+def test_contiguity_of_nested_areas_of_many_sizes(spark):
+    boxes = [(0, 0, 100), (10, 10, 1), (20, 20, 30), (25, 25, 0.25), (99, 50, 3), (200, 200, 1)]
+    polys = spark.createDataFrame([(i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(boxes)], "area int, x double, y double, s double").select(
+        "area", box_rings(F.col("x"), F.col("y"), F.col("x") + F.col("s"), F.col("y") + F.col("s")).alias("rings"))
+    got = {(r.src, r.dst) for r in S.queen_contiguity(polys, "area").collect()}
+    half = {(0, 1), (0, 2), (0, 3), (2, 3), (0, 4)}
+    assert got == half | {(b, a) for a, b in half}
