@@ -138,6 +138,40 @@ def test_statistics_of_held_and_of_many_nodes(spark, monkeypatch):
     assert (alone.n, alone.morans_i, alone.perm_p) == (40, None, None)
 
 
+def test_many_nodes_are_permuted_in_a_few_tasks_each(spark, monkeypatch):
+    n = 300
+    rng = np.random.default_rng(5)
+    x = rng.permutation(n) * 1.0
+    near = [(i, j, 1.0) for i in range(n) for j in (i - 1, i + 1, i + 17, i - 17) if 0 <= j < n]
+    edges = S.standardise_edges(spark.createDataFrame(near, "src bigint, dst bigint, w double"))
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id bigint, x double")
+    held = AC.morans_of_complete(values, edges, "id", ["x"], 99).first()
+    w = np.zeros((n, n))
+    for i, j, _ in near:
+        w[i, j] = 1
+    w, z = w / w.sum(1)[:, None], x - x.mean()
+    drawn = [z[AC._permuted_wide(np.arange(n), n, AC.round_keys(n, k, 42))] for k in range(100)]
+    i = np.array([d @ w @ d / (z @ z) for d in drawn])
+    assert held.morans_i == pytest.approx(i[0]) and held.perm_p == (np.sum(abs(i[1:] + 1 / 299) >= abs(i[0] + 1 / 299) - 1e-12) + 1) / 100
+    monkeypatch.setattr(AC, "NODES_COLLECTED", 10)
+    monkeypatch.setattr(AC, "NODES_A_TASK", 64)
+    numbered = AC.morans_of_complete(values, edges, "id", ["x"], 99).first()
+    assert (numbered.morans_i, numbered.perm_p) == (pytest.approx(held.morans_i), held.perm_p)
+    # beyond what a task holds permutations are dealt a few at a time, with the same result
+    monkeypatch.setattr(AC, "NODES_HELD", 10)
+    whole = AC.morans_of_complete(values, edges, "id", ["x"], 9).first()
+    monkeypatch.setattr(AC, "ROWS_DEALT", 4 * n)
+    dealt = AC.morans_of_complete(values, edges, "id", ["x"], 9).first()
+    assert (dealt.morans_i, dealt.perm_p) == (pytest.approx(whole.morans_i), whole.perm_p)
+
+
+def test_permutations_in_32_bits():
+    for n in (2, 3, 1000, 9_000_000, (1 << 28) - 1):
+        x = np.random.default_rng(n).integers(0, n, 20_000)
+        keys = AC.round_keys(n, 3, 42)
+        assert (AC.permuted(x, n, keys) == AC._permuted_wide(x, n, keys)).all()
+
+
 def test_first_component(frame, data):
     got = np.array([r.p for r in TY.principal_component(frame, "id", ["a", "b", "y"], "p").orderBy("id").select("p").collect()])
     Z = data[["a", "b", "y"]]
