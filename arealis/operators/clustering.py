@@ -7,6 +7,7 @@ driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import step
+
 Centres = np.ndarray  # (k, dimensions)
 CANDIDATES = 3  # draws for each further seed, of which the one with the least cost is taken
 ROUNDS, TOLERANCE = 20, 1e-4
-BLOCK = 2_048  # rows of a block of the silhouette
+BLOCK, ROWS_AT_ONCE = 2_048, 256  # distances of the silhouette that are taken at once
+GROUP_BYTES = 32 * 1024 * 1024  # vectors that a task of the silhouette holds, twice
 COLLECTED = 64  # tasks whose sums the driver adds up itself
 
 
@@ -170,72 +174,76 @@ def nearest_centre(v: str, centres: Centres) -> Column:
 
 # -- silhouette
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances (rows of x, rows of y); with few dimensions without the rounding of products."""
+    if x.shape[1] > 8:
+        d = squared_distances(x, y)
+    else:
+        d = np.zeros((len(x), len(y)))
+        for c in range(x.shape[1]):
+            d += (x[:, c][:, None] - y[:, c][None, :]) ** 2
+    return np.sqrt(d, out=d)
+
+
 def silhouettes(rows: DataFrame, best: dict[int, Centres], block: int = BLOCK) -> dict[int, float]:
     """Mean Euclidean silhouette for every k of ``best`` over all rows.
 
-    Members of a cluster are packed into blocks, which meet by cluster. A mean distance to a cluster is at least the
-    distance to its centre of gravity and at most that plus the members' mean distance from it, so a block needs its
-    own cluster and those that these bounds leave open for one of its rows. What remains is exact and quadratic in a
-    cluster's blocks.
+    Equal vectors are one with a weight. Vectors are dealt into groups, and a task has two groups: it takes each distance
+    once, for both ends and all k, and adds it up by cluster. So a task holds two groups, at most, and a vector is sent
+    once for every group. The distances stay quadratic.
     """
-    told = F.array(*[F.struct(F.lit(k).alias("k"), nearest_centre("v", c).alias("own")) for k, c in best.items()])
-    member = rows.select("h", "v", F.explode(told).alias("m")).select("h", "v", "m.*")
-    dims = range(next(iter(best.values())).shape[1])
-    means = member.groupBy("k", "own").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[d]).alias(f"d{d}") for d in dims]).collect()
-    centre = {(r["k"], r["own"]): np.array([r[f"d{d}"] for d in dims]) for r in means}
-    size = {(r["k"], r["own"]): r["n"] for r in means}
-    gravity = {k: np.array([centre[k, j] for j in sorted(j for q, j in centre if q == k)]) for k in best}
-    to_own = F.lit(None).cast("double")
-    for (k, j), c in centre.items():
-        gap = F.zip_with(F.col("v"), F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b))
-        to_own = F.when((F.col("k") == k) & (F.col("own") == j), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, d: s + d))).otherwise(to_own)
-    spread = {(r["k"], r["own"]): r["r"] for r in member.groupBy("k", "own").agg(F.avg(to_own).alias("r")).collect()}
-
-    parts = F.create_map(*[F.lit(x) for (k, j), n in size.items() for x in (f"{k}|{j}", -(-n // block))])
-    part = F.pmod("h", parts[F.concat_ws("|", F.col("k").cast("string"), F.col("own").cast("string"))])
-    blocks = member.groupBy("k", "own", part.alias("part")).agg(F.flatten(F.collect_list("v")).alias("x"))
-    width = len(dims)
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                k, own = row["k"], row["own"]
-                names = sorted(j for q, j in centre if q == k)
-                low = np.sqrt(squared_distances(np.array(row["x"]).reshape(-1, width), gravity[k]))
-                high = low + np.array([spread[k, j] for j in names])[None, :]
-                other = np.array([j != own for j in names])
-                if not other.any():
-                    needed = [own]
-                else:
-                    # rounding must not rule out a tie
-                    open_ = (low * (1 - 1e-9) <= high[:, other].min(1)[:, None]) & other[None, :]
-                    needed = [own, *(j for j, any_ in zip(names, open_.any(0)) if any_)]
-                yield pa.RecordBatch.from_pydict({
-                    "k": pa.array([k] * len(needed), pa.int32()), "own": pa.array([own] * len(needed), pa.int32()),
-                    "part": pa.array([row["part"]] * len(needed), pa.int64()), "cluster": pa.array(needed, pa.int32()),
-                    "x": pa.array([row["x"]] * len(needed), pa.list_(pa.float64()))})
-
-    asked = blocks.mapInArrow(wanted, "k int, own int, part bigint, cluster int, x array<double>")
-    members = blocks.select("k", F.col("own").alias("cluster"), F.col("x").alias("y"))
-    met = asked.join(members.hint("merge"), ["k", "cluster"])
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = (np.array(row[c]).reshape(-1, width) for c in ("x", "y"))
-                total = np.array([np.sqrt(((y - p) ** 2).sum(1)).sum() for p in x])
-                yield pa.RecordBatch.from_pydict({
-                    "k": pa.array([row["k"]], pa.int32()), "own": pa.array([row["own"]], pa.int32()), "part": pa.array([row["part"]], pa.int64()),
-                    "cluster": pa.array([row["cluster"]], pa.int32()), "total": pa.array([total], pa.list_(pa.float64()))})
-
-    sums = met.mapInArrow(distances, "k int, own int, part bigint, cluster int, total array<double>")
-    each = sums.select("k", "own", "part", "cluster", F.posexplode("total").alias("at", "d")).groupBy(
-        "k", "own", "part", "at", "cluster").agg(F.sum("d").alias("d"))
-    n_of = F.create_map(*[F.lit(x) for (k, j), n in size.items() for x in (f"{k}|{j}", n)])
-    n = n_of[F.concat_ws("|", F.col("k").cast("string"), F.col("cluster").cast("string"))]
-    own = F.col("cluster") == F.col("own")
-    row = each.groupBy("k", "own", "part", "at").agg(
-        F.max(F.when(own, F.col("d") / F.nullif(n - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("d") / n)).alias("b"))
-    # a lone member counts as 0, like everything where there is one cluster
-    score = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    return {r["k"]: r["s"] for r in row.groupBy("k").agg(F.avg(score).alias("s")).collect()}
+    spark, ks, width = rows.sparkSession, list(best), next(iter(best.values())).shape[1]
+    each = step(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(
+        F.monotonically_increasing_id().alias("id"), "v", "n", F.array(*[nearest_centre("v", best[k]) for k in ks]).alias("own")))
+    size = {(ks[r["at"]], r["own"]): r["n"] for r in each.select("n", F.posexplode("own").alias("at", "own")).groupBy(
+        "at", "own").agg(F.sum("n").alias("n")).collect()}
+    names = sorted(size)
+    place = np.full((len(ks), max(len(c) for c in best.values())), -1)
+    for at, (k, j) in enumerate(names):
+        place[ks.index(k), j] = at
+    groups = max(math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)), -(-each.count() * width * 8 // GROUP_BYTES))
+    schema = f"id bigint, {', '.join(f's{at} double' for at in range(len(names)))}"
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        group, other, ids, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in ("g", "other", "id", "n"))
+        v = np.concatenate([_matrix(b) for b in parts])
+        own = np.concatenate([_matrix(b, "own") for b in parts]).astype(np.int64)
+        del parts
+        weight = np.zeros((len(ids), len(names)))  # of the clusters that a vector is in
+        for at in range(len(ks)):
+            weight[np.arange(len(ids)), place[at, own[:, at]]] = n
+        alone = group[0] == other[0]  # a group and itself
+        a, b = np.flatnonzero(group == group[0]), np.flatnonzero(group == other[0])
+        sums, y, of_y, to_y = np.zeros(weight.shape), v[b], weight[b], np.zeros((len(b), len(names)))
+        for i in range(0, len(a), ROWS_AT_ONCE):
+            x = a[i:i + ROWS_AT_ONCE]
+            for j in range(0, len(b), block):
+                d = _distances(v[x], y[j:j + block])
+                if alone:
+                    d[x[:, None] == b[None, j:j + block]] = 0.0  # a vector itself
+                sums[x] += d @ of_y[j:j + block]
+                if not alone:
+                    to_y[j:j + block] += d.T @ weight[x]
+        sums[b] += to_y
+        yield pa.RecordBatch.from_pydict({"id": ids, **{f"s{at}": sums[:, at] for at in range(len(names))}})
+
+    pair = F.array_sort(F.array(F.col("g"), F.col("other")))
+    low, high = pair[0], pair[1]
+    dealt = each.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartitionById(
+        groups * (groups + 1) // 2, (high * (high + 1) / 2 + low).cast("int"))
+    met = dealt.select("g", "other", "id", "v", "n", "own").mapInArrow(fn, schema)
+    total = met.groupBy("id").agg(*[F.sum(f"s{at}").alias(f"s{at}") for at in range(len(names))])
+    scores = []
+    for at, k in enumerate(ks):
+        own, mine = F.col("own")[at], [(f"s{q}", j, size[k, j]) for q, (of, j) in enumerate(names) if of == k]
+        inner = F.coalesce(F.lit(None).cast("double"), *[F.when(own == j, F.col(c) / F.nullif(F.lit(m - 1), F.lit(0))) for c, j, m in mine])
+        outer = F.array_min(F.array(*[F.when(own != j, F.col(c) / m) for c, j, m in mine]))
+        # a lone member counts as 0, like everything where there is one cluster
+        score = F.coalesce((outer - inner) / F.nullif(F.greatest(inner, outer), F.lit(0.0)), F.lit(0.0))
+        scores.append((F.sum(score * F.col("n")) / F.sum("n")).alias(f"k{at}"))
+    got = each.select("id", "n", "own").join(total, "id").agg(*scores).first()
+    return {k: got[f"k{at}"] for at, k in enumerate(ks)}

@@ -33,7 +33,8 @@ def typology(df: DataFrame, key: str, columns=None, k_range=range(3, 8), seed: i
     columns = [c for c in (columns or P.TYPOLOGY_COLUMNS) if c in df.columns]
     z = standardised(df, columns)
     vectors = z.select(key, F.array(*[F.col(f"{c}__z") for c in columns]).alias("v"))
-    rows = step(vectors.select(F.xxhash64(key).alias("h"), "v"))
+    # dealt out, since a small file is one task and every pass takes all centres
+    rows = step(vectors.select(F.xxhash64(key).alias("h"), "v").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h"))
     if len(rows.select("h").head(max(k_range) + 1)) < max(k_range) + 1:
         return df.withColumn(name, F.lit(None).cast("int")), None
     best = best_centres(rows, list(k_range), n_init, seed)

@@ -138,6 +138,26 @@ def test_statistics_of_held_and_of_many_nodes(spark, monkeypatch):
     assert (alone.n, alone.morans_i, alone.perm_p) == (40, None, None)
 
 
+def test_silhouette_takes_equal_vectors_once(spark):
+    x = np.random.default_rng(2).normal(size=(30, 12))
+    copies = np.concatenate([x, x[:20], x[:5], x[:5]])
+    best = {k: x[:k] for k in (2, 4)}
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(copies)], "h bigint, v array<double>")
+    got = C.silhouettes(rows, best)
+    d = np.sqrt(((copies[:, None] - copies[None]) ** 2).sum(2))
+    for k, c in best.items():
+        own = ((copies[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        score = []
+        for i in range(len(copies)):
+            mean = [d[i, own == j].sum() / max(1, (own == j).sum() - (own[i] == j)) for j in range(k)]
+            a, b = mean[own[i]], min(m for j, m in enumerate(mean) if j != own[i])
+            score.append((b - a) / max(a, b) if (own == own[i]).sum() > 1 else 0.0)
+        assert got[k] == pytest.approx(np.mean(score))
+    # 120,000 rows would have 7 x 10^9 distances, their 30 vectors have 435
+    many = rows.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(1999)))).select(F.xxhash64("h", "v").alias("h"), "v")
+    assert C.silhouettes(many, best)[4] > got[4]
+
+
 def test_many_nodes_are_permuted_in_a_few_tasks_each(spark, monkeypatch):
     n = 300
     rng = np.random.default_rng(5)
