@@ -124,12 +124,19 @@ def locate_points(points: DataFrame, polygons: DataFrame, point_key: str, area:
                   lon: str = "lon", lat: str = "lat", rings: str = "rings",
                   cell: float | None = None) -> DataFrame:
     """All points with the first polygon (by ``ordinal``) that holds them, else NULL."""
-    hits = points_in_polygons(points.select(point_key, lon, lat), polygons, [area, ordinal],
+    first = cut_lineage(_first_of_equal(polygons, area, ordinal, rings))
+    hits = points_in_polygons(points.select(point_key, lon, lat), first, [area, ordinal],
                               lon, lat, rings, cell)
     first = hits.groupBy(point_key).agg(F.min_by(area, ordinal).alias(area))
     return points.join(first, point_key, "left")
 
 
+def _first_of_equal(polygons: DataFrame, area: str, ordinal: str, rings: str) -> DataFrame:
+    """Of polygons with equal rings the first by ``ordinal``, the only one of them that can win a point."""
+    return polygons.groupBy(rings).agg(F.min_by(F.struct(area, ordinal), ordinal).alias("__p")).select(
+        f"__p.{area}", f"__p.{ordinal}", rings)
+
+
 def dissolve(polygons: DataFrame, area: str, key: Column, carry: list[str] = ()) -> DataFrame:
     """Sub-areas relabelled with their area.
 
@@ -148,6 +155,8 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
     are planar."""
     e = {k: F.col(f"e.{k}") for k in ("x1", "y1", "x2", "y2")}
     placed = points.select(point_key, x, y).where(finite(x).isNotNull() & finite(y).isNotNull())
+    string_key = isinstance(polygons.schema[area].dataType, StringType)
+    polygons = cut_lineage(_first_of_equal(polygons, area, ordinal, rings))
     inside = cut_lineage(points_in_polygons(placed, polygons, [area, ordinal], x, y, rings).groupBy(point_key).agg(
         F.min_by(F.struct(area, F.lit(0.0).alias("distance")), ordinal).alias("b")))
     left = placed.join(inside, point_key, "left_anti")
@@ -171,7 +180,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_key: str, area
         left = left.join(found, point_key, "left_anti")
     best = reduce(lambda p, q: p.unionByName(q), parts)
     found = F.col(f"b.{area}")
-    if isinstance(polygons.schema[area].dataType, StringType):
+    if string_key:
         found = F.coalesce(found, F.lit(""))
     return points.join(best, point_key, "left").select(
         *points.columns, found.alias(area), F.col("b.distance").alias("distance"))

@@ -118,3 +118,15 @@ def test_contiguity_of_nested_areas_of_many_sizes(spark):
     got = {(r.src, r.dst) for r in S.queen_contiguity(polys, "area").collect()}
     half = {(0, 1), (0, 2), (0, 3), (2, 3), (0, 4)}
     assert got == half | {(b, a) for a, b in half}
+
+
+def test_copies_of_an_area_are_looked_up_once(spark, monkeypatch):
+    taken, seen = S.points_in_polygons, []
+    monkeypatch.setattr(S, "points_in_polygons", lambda pts, polys, *a, **k: seen.append(polys.count()) or taken(pts, polys, *a, **k))
+    polys = polygons(spark, [*[(f"w{i}", [SQUARE]) for i in range(50)], *[(f"e{i}", [[(6, 0), (8, 0), (8, 4), (6, 4)]]) for i in range(50)]])
+    pts = points(spark, [(2, 2), (5.5, 2), (7, 2), (20, 2)])
+    near = S.nearest_polygon(pts.withColumnsRenamed({"lon": "x", "lat": "y"}), polys, "pid", "area", "ordinal", 3.0)
+    assert {r.pid: (r.area, r.distance) for r in near.collect()} == {0: ("w0", 0.0), 1: ("e0", 0.5), 2: ("e0", 0.0), 3: ("", None)}
+    found = S.locate_points(pts, polys, "pid", "area", "ordinal")
+    assert {r.pid: r.area for r in found.collect()} == {0: "w0", 1: None, 2: "e0", 3: None}
+    assert seen == [2, 2]
