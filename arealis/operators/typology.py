@@ -44,12 +44,22 @@ def typology(df: DataFrame, key: str, columns=None, k_range=range(3, 8), seed: i
     return df.join(labels, key, "left"), {"k": k, "silhouette": round(scores[k], 3), "centres": best[k]}
 
 
-def principal_component(df: DataFrame, key: str, columns, name: str, min_columns: int = 3,
-                        min_rows: int = 10) -> DataFrame:
+def repeated_products(matrix: np.ndarray, start: list[float], steps: int) -> np.ndarray:
+    """``start`` after ``steps`` multiplications with a small matrix, scaled to length one."""
+    v = np.array(start, float)
+    for _ in range(steps):
+        v = matrix @ v
+        v /= np.sqrt(v @ v)
+    return v
+
+
+def principal_component(df: DataFrame, key: str, columns, name: str, min_columns: int = 3, min_rows: int = 10,
+                        products: tuple[list[float], int] | None = None) -> DataFrame:
     """First principal component of the standardised columns, mean loading not negative.
 
     The correlation matrix comes from one aggregate; scores are a linear expression. The
-    table is returned as it is with too few columns or complete rows.
+    table is returned as it is with too few columns or complete rows. ``products`` (start, steps) takes the loadings
+    from so many multiplications of a start, where a statement fixes these, and not the eigenvector itself.
     """
     have = [c for c in columns if c in df.columns]
     if len(have) < min_columns:
@@ -66,7 +76,8 @@ def principal_component(df: DataFrame, key: str, columns, name: str, min_columns
     cov = np.array([[row[f"c_{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)], float)
     sd = np.sqrt(np.diag(cov))
     scale = np.where(sd > 0, sd, 1.0)
-    loading = np.linalg.eigh(cov / np.outer(scale, scale))[1][:, -1]
+    corr = cov / np.outer(scale, scale)
+    loading = np.linalg.eigh(corr)[1][:, -1] if products is None else repeated_products(corr, *products)
     if loading.mean() < 0:
         loading = -loading
     score = F.lit(0.0)
