@@ -16,7 +16,6 @@ import base64
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,10 +38,15 @@ CUT_ROWS = 100  # rows sampled for each cut of the order
 ENCODED_ROWS = 256  # texts encoded at a time
 K1, B = 1.2, 0.75
 #: Characters beyond these, and what may be a special token, go to the tokenizer as whole texts.
-_OTHER = re.compile(r"[^\x00-ɏ]|<\|")
+_OTHER = re.compile(r"[^\x00-ɏ]")
 # The tokenizer's pre-token rule with its classes written out for the characters above: letters, numbers, blanks.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_WORDS = rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+"
+_SPLIT = rf"{_WORDS}|[{_S}]+(?![^{_S}])|[{_S}]+"
+# Where no two blanks meet the rule needs no look ahead, without which texts are split much sooner.
+_SINGLE, _BLANKS = rf"{_WORDS}|[{_S}]", re.compile(rf"[{_S}][{_S}]")
+_AS_BLANK = bytes(32 if re.match(f"[{_S}]", chr(k)) else k for k in range(256))  # of Latin-1
+_UNUSED = "<|unused|>"  # without a special token the search for such stops at each character
 
 
 class Encoder:
@@ -57,17 +61,27 @@ class Encoder:
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.short = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=table, special_tokens={})
-
-    def _known(self, text: str) -> bool:
-        return self.short is not None and (text.isascii() and "<|" not in text or not _OTHER.search(text))
+            self.short, self.single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=table, special_tokens={
+                _UNUSED: 1 + max(table.values())}) for p in (_SPLIT, _SINGLE))
+
+    def _of(self, text: str):
+        """The encoding by ranks that gives the tokenizer's ids of ``text``, if one does."""
+        if self.short is None or "<|" in text:
+            return None
+        try:
+            blanks = b"  " in text.encode("latin-1").translate(_AS_BLANK)
+        except UnicodeEncodeError:
+            if _OTHER.search(text):
+                return None
+            blanks = _BLANKS.search(text)
+        return self.short if blanks else self.single
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
         whole = []
         for k, t in enumerate(texts):
-            if t and self._known(t):
-                out[k] = np.frombuffer(array("I", self.short.encode_ordinary(t)), "<u4")
+            if t and (ranks := self._of(t)):
+                out[k] = ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False)
             elif t:
                 whole.append(k)
         for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
@@ -82,6 +96,16 @@ def encoder(path: str, ranks: str | None = None) -> Encoder:
     return Encoder(path, ranks)
 
 
+class Terms:
+    """Distinct ids of each document, found when they are asked for: only seeds need them."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.docs = docs
+
+    def __getitem__(self, doc: int) -> np.ndarray:
+        return distinct(self.docs[doc])[0]
+
+
 class ShardIndex:
     """BM25 over the documents of a shard, given as arrays of ids, none of them empty.
 
@@ -89,30 +113,38 @@ class ShardIndex:
     """
 
     def __init__(self, docs: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
-        self.terms, term, doc, tf = [], [], [], []
-        for k, ids in enumerate(docs):
-            terms, counts = distinct(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids)
-            self.terms.append(terms)
-            term.append(terms)
-            doc.append(np.full(len(terms), k))
-            tf.append(counts)
-        term, doc, tf = np.concatenate(term), np.concatenate(doc), np.concatenate(tf).astype(np.float64)
-        order = np.argsort(term, kind="stable")
-        self.n, self.doc = len(docs), doc[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term))])
-        size = np.array([len(d) for d in docs], np.float64)
-        df, n, mean = corpus or (np.diff(self.begin), self.n, size.mean())
+        self.terms, self.n, size = Terms(docs), len(docs), np.array([len(d) for d in docs])
+        # one sort for all: by id, then by document
+        pairs = np.concatenate(docs).astype(np.uint64) << np.uint64(32)
+        pairs |= np.repeat(np.arange(self.n, dtype=np.uint64), size)
+        pairs, tf = distinct(pairs)
+        term, self.doc = pairs >> 32, pairs & 0xFFFFFFFF
+        self.length = np.bincount(term)
+        self.begin = np.concatenate([[0], np.cumsum(self.length)])
+        # terms of many documents are added as whole rows, which have at most 16 cells for each entry of the index
+        self.rows, self.most = {}, 100 + self.n // 16
+        df, n, mean = corpus or (self.length, self.n, size.mean())
         norm = K1 * (1 - B + B * size / max(mean, 1))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 score of every document for a set of ids."""
         terms = terms[terms < len(self.begin) - 1]
-        begin = self.begin[terms]
-        length = self.begin[terms + 1] - begin
-        place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        return np.bincount(self.doc[place], self.weight[place], self.n)
+        many = self.length[terms] > self.most
+        total = np.zeros(self.n)
+        for t in terms[many].tolist():
+            if (row := self.rows.get(t)) is None:
+                at = slice(self.begin[t], self.begin[t + 1])
+                row = self.rows[t] = np.zeros(self.n)
+                row[self.doc[at]] = self.weight[at]
+            total += row
+        few = terms[~many]
+        begin, length = self.begin[few], self.length[few]
+        place = np.repeat(begin - (np.cumsum(length) - length), length)
+        place += np.arange(len(place))
+        total += np.bincount(self.doc.take(place), self.weight.take(place), self.n)
+        return total
 
 
 class Packer:
@@ -132,7 +164,8 @@ class Packer:
             doc = next((k for k in (ranked if self.filled else following) if unused[k]), None)
             unused[doc] = False
             if not self.filled:
-                self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc], unused)
+                self.seed = index.terms[doc]
+                ranked = self._ranked(index, self.seed, unused)
             start, total = 0, len(docs[doc])
             while start < total:
                 length = min(total - start, self.size - self.filled)
@@ -141,7 +174,8 @@ class Packer:
                 if self.filled == self.size:
                     self.window, self.filled = self.window + 1, 0
                     if start < total:
-                        self.seed, ranked = index.terms[doc], self._ranked(index, index.terms[doc], unused)
+                        self.seed = index.terms[doc]
+                        ranked = self._ranked(index, self.seed, unused)
         return pieces
 
     @staticmethod
@@ -200,9 +234,9 @@ def _encoded(df: DataFrame, tokenizer: str, ranks: str | None, text: str, key: s
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids in order and their counts."""
-    ids = np.sort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[first].astype(np.int64), np.diff(first, append=len(ids))
+    ids = np.sort(ids, kind="stable" if ids.itemsize <= 2 else None)  # by digits, if there are few
+    at = np.concatenate([[True], ids[1:] != ids[:-1], [True]]).nonzero()[0]
+    return ids[at[:-1]].astype(np.int64), at[1:] - at[:-1]
 
 
 def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -229,7 +263,7 @@ class Placer:
 
     def terms(self, ids: np.ndarray) -> np.ndarray:
         terms, tf = distinct(ids)
-        return terms[np.argmin(self.drawn[:, terms] * ((tf + K1) / tf).astype(np.float32), axis=1)]
+        return terms[np.argmin(self.drawn.take(terms, axis=1) * ((tf + K1) / tf).astype(np.float32), axis=1)]
 
     def place(self, ids: np.ndarray) -> bytes:
         return self.terms(ids).astype(">u4").tobytes() + zlib.crc32(ids.tobytes()).to_bytes(4, "big")

@@ -364,6 +364,29 @@ def test_bm25_agrees_with_the_formula_and_neighbours_come_first():
     assert [p[0] for p in packing.Packer(6).add(docs)] == [0, 2, 1, 3]
 
 
+def test_blanks_choose_the_rule_and_ids_are_the_tokenizers():
+    encoder = packing.Encoder(queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken"))
+    rng, pool = random.Random(6), ["a", "It's", "we'll", "'", "''s", "12", "é", "ÿx", "ő", "²", ".", "\t", "\n", " ", "  ", "\x1c", "\x85", "\xa0"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 30))) for _ in range(800)]
+    texts += ["one blank at a time\n", "two  blanks", "x\n\ny", "x \xa0y", "\x85ő", "漢字", packing._UNUSED, f"a {packing._UNUSED}"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encoder._of("ça va, it's one blank\n") is encoder.single and "(?!" not in packing._SINGLE
+    assert all(encoder._of(t) is encoder.short for t in ("a  b", "x\n\ny", "x \xa0y", "ő \n"))
+
+
+def test_terms_of_many_documents_are_added_as_rows():
+    rng = np.random.default_rng(8)
+    docs = [np.unique(np.append(rng.integers(2, 3000, 20), 1)) for _ in range(400)]
+    index = packing.ShardIndex(docs)
+    got, want = index.scores(index.terms[0]), np.zeros(len(docs))
+    assert list(index.rows) == [1]
+    for t in docs[0]:
+        at = slice(index.begin[t], index.begin[t + 1])
+        want[index.doc[at]] += index.weight[at]
+    assert np.allclose(got, want, rtol=1e-12)
+
+
 def test_neighbours_meet_from_any_place_of_the_table(spark):
     rng = random.Random(5)
     pool = [f"{a}{b}" for a in ("stone", "river", "cloud", "paper") for b in range(400)]
