@@ -1,16 +1,19 @@
 """Least squares with HC3 errors from two distributed aggregates.
 
-The first pass takes means and covariances (merge-stable aggregates, so no raw cross-products
+The first pass takes means and covariances (merged about the means, so no raw cross-products
 of large numbers), the driver inverts a k x k correlation matrix, the second pass takes the
-HC3 middle matrix. All models given together share the two passes.
+HC3 middle matrix. All models given together share the two passes; a task adds up its batches
+and gives one k x k matrix per model.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +89,68 @@ def _masked(df: DataFrame, live: list[tuple[Spec, list[str]]]) -> tuple[DataFram
     return flagged.select(*values), cells
 
 
+def _used_rows(batch: pa.RecordBatch, cells: dict[int, list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+    """A row per column of each model, of the rows that it uses: cells of a row are missing all or none."""
+    for i, names in cells.items():
+        columns = [batch.column(c) for c in names]
+        used = columns[-1].is_valid()
+        x = np.array([c.filter(used).to_numpy(zero_copy_only=False) for c in columns], np.float64)
+        if x.shape[1]:
+            yield i, x
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """(n, means, sums of products about the means) of two sets of rows together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _moments(masked: DataFrame, cells: dict[int, list[str]]) -> dict[int, tuple]:
+    """(n, means, sums of products about the means) of each model that has rows; the driver merges a row per task."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            for i, x in _used_rows(batch, cells):
+                mean = x.mean(axis=1)
+                part = (x.shape[1], mean, (x - mean[:, None]) @ (x - mean[:, None]).T)
+                found[i] = _merged(found[i], part) if i in found else part
+        if found:
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(list(found), pa.int32()), "n": pa.array([p[0] for p in found.values()], pa.int64()),
+                "mean": pa.array([p[1] for p in found.values()], pa.list_(pa.float64())),
+                "cross": pa.array([p[2].ravel() for p in found.values()], pa.list_(pa.float64()))})
+
+    out: dict[int, tuple] = {}
+    for r in masked.mapInArrow(fn, "i int, n bigint, mean array<double>, cross array<double>").collect():
+        k = len(r["mean"])
+        part = (r["n"], np.array(r["mean"]), np.array(r["cross"]).reshape(k, k))
+        out[r["i"]] = _merged(out[r["i"]], part) if r["i"] in out else part
+    return out
+
+
+def _middle(masked: DataFrame, cells: dict[int, list[str]], solved: dict[int, tuple]) -> dict[int, np.ndarray]:
+    """The HC3 middle matrix of each model, with a column of ones first."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in _used_rows(batch, cells):
+                n, mean, scale, inv, beta = solved[i][:5]
+                z = (x[:-1] - mean[:-1, None]) / scale[:, None]
+                error, lever = x[-1] - mean[-1] - beta @ z, 1.0 + ((inv @ z) * z).sum(axis=0)
+                u = (error / np.maximum(1e-12, 1.0 - lever / n)) ** 2
+                z = np.vstack([np.ones_like(u), z])
+                found[i] = found.get(i, 0.0) + (z * u) @ z.T
+        if found:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(list(found), pa.int32()), "meat": pa.array(
+                [m.ravel() for m in found.values()], pa.list_(pa.float64()))})
+
+    out: dict[int, np.ndarray] = {}
+    for r in masked.mapInArrow(fn, "i int, meat array<double>").collect():
+        k = math.isqrt(len(r["meat"]))
+        out[r["i"]] = out.get(r["i"], 0.0) + np.array(r["meat"]).reshape(k, k)
+    return out
+
+
 def normal_p(z: float) -> float:
     """Two-sided p of a normal score."""
     return math.erfc(abs(z) / math.sqrt(2.0)) if math.isfinite(z) else float("nan")
@@ -102,68 +167,33 @@ def fit_many(df: DataFrame, specs: list[Spec]) -> dict[str, Fit | None]:
         return fits
 
     masked, cells = _masked(df, live)
-    moments = []
-    for i, cols in cells.items():
-        moments.append(F.count(cols[-1]).alias(f"n_{i}"))
-        for a, c in enumerate(cols):
-            moments.append(F.avg(c).alias(f"m_{i}_{a}"))
-            moments += [F.covar_pop(c, cols[b]).alias(f"c_{i}_{a}_{b}") for b in range(a, len(cols))]
-    first = masked.agg(*moments).first()
-
-    solved, scored = {}, {}
+    first = _moments(masked, cells)
+
+    solved = {}
     for i, (s, used) in enumerate(live):
-        k, n = len(used), first[f"n_{i}"]
+        k = len(used)
+        n, mean, cross = first.get(i, (0, None, None))
         if n < k + s.min_extra:
             continue
-        cov = np.zeros((k + 1, k + 1))
-        for a in range(k + 1):
-            for b in range(a, k + 1):
-                cov[a, b] = cov[b, a] = first[f"c_{i}_{a}_{b}"]
-        mean = np.array([first[f"m_{i}_{a}"] for a in range(k + 1)])
+        cov = cross / n
         sd = np.sqrt(np.diag(cov)[:k])
         scale = np.where(sd > 0, sd, 1.0)
         inv = np.linalg.pinv(cov[:k, :k] / np.outer(scale, scale), hermitian=True)
         beta = inv @ (cov[:k, k] / scale)
         solved[i] = (n, mean, scale, inv, beta, cov[k, k], cov[:k, k] / scale)
-        scored |= {f"z_{i}_{a}": (F.col(c) - float(mean[a])) / float(scale[a])
-                   for a, c in enumerate(cells[i][:-1])}
-        scored[f"y_{i}"] = F.col(cells[i][-1]) - float(mean[k])
     if not solved:
         return fits
 
-    weights, meats = {}, []
-    for i, (n, _, _, inv, beta, _, _) in solved.items():
-        z = [F.col(f"z_{i}_{a}") for a in range(len(beta))]
-        error, lever = F.col(f"y_{i}"), F.lit(1.0)
-        for a in range(len(z)):
-            error = error - z[a] * float(beta[a])
-            # row a of z' inv z, folded over the symmetric half
-            row = z[a] * float(inv[a, a])
-            for b in range(a + 1, len(z)):
-                row = row + z[b] * float(2.0 * inv[a, b])
-            lever = lever + z[a] * row
-        rest = F.greatest(F.lit(1e-12), F.lit(1.0) - lever / float(n))
-        weights[f"u_{i}"] = F.pow(error / rest, 2)
-        meats.append(F.sum(f"u_{i}").alias(f"q_{i}_0_0"))
-        for a in range(len(z)):
-            meats.append(F.sum(F.col(f"u_{i}") * z[a]).alias(f"q_{i}_0_{a + 1}"))
-            meats += [F.sum(F.col(f"u_{i}") * z[a] * z[b]).alias(f"q_{i}_{a + 1}_{b + 1}")
-                      for b in range(a, len(z))]
-    second = masked.select(*[c.alias(n) for n, c in scored.items()]).withColumns(weights).agg(*meats).first()
-
+    meats = _middle(masked, {i: cells[i] for i in solved}, solved)
     for i, (n, mean, scale, inv, beta, var_y, cxy) in solved.items():
         s, used = live[i]
         k = len(used)
-        meat = np.zeros((k + 1, k + 1))
-        for a in range(k + 1):
-            for b in range(a, k + 1):
-                meat[a, b] = meat[b, a] = second[f"q_{i}_{a}_{b}"]
         bread = np.zeros((k + 1, k + 1))
         bread[0, 0], bread[1:, 1:] = 1.0 / n, inv / n
         back = np.eye(k + 1)
         back[1:, 1:] = np.diag(1.0 / scale)
         back[0, 1:] = -mean[:k] / scale
-        var = back @ bread @ meat @ bread @ back.T
+        var = back @ bread @ meats[i] @ bread @ back.T
         coef = back @ np.concatenate([[mean[k]], beta])
         names = ["Intercept", *used]
         se = np.sqrt(np.maximum(np.diag(var), 0.0))

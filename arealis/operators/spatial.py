@@ -280,24 +280,26 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
 
     Areas are neighbours when their outlines come within twice the tolerance of each other,
     or one holds the other. Edges meet by grid cell, so only edges that lie close are
-    compared. An area without neighbours has no row.
+    compared, an edge of several outlines once. An area without neighbours has no row.
     """
     reach = 2.0 * tolerance
+    names = ("x1", "y1", "x2", "y2")
+    # of an edge's two directions one: outlines that share it share its corners
+    turned = (F.col("e.x1") > F.col("e.x2")) | ((F.col("e.x1") == F.col("e.x2")) & (F.col("e.y1") > F.col("e.y2")))
+    one_way = [F.when(turned, F.col(f"e.{b}")).otherwise(F.col(f"e.{a}")).alias(a) for a, b in zip(names, ("x2", "y2", "x1", "y1"))]
+    of_area = polygons.select(area, F.explode(ring_edges(rings)).alias("e")).select(area, *one_way)
     # read for the cell size and by both sides of the join
-    edges = cut_lineage(polygons.select(area, F.explode(ring_edges(rings)).alias("e")).select(area, "e.*").distinct())
+    edges = cut_lineage(of_area.select(*names).distinct())
     if cell is None:
         span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
         cell = (edges.agg(F.avg(span).alias("s")).first()["s"] or 0.0) + reach
     # most neighbours share a corner, which needs no distances; each area is there once, however many parts meet
-    corners = polygons.select(area, F.explode(F.array_distinct(F.flatten(rings))).alias("c"))
-    at_corner = corners.groupBy("c").agg(F.sort_array(F.collect_set(area)).alias("s")).where(F.size("s") > 1)
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(
-        F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    met = at_corner.select(F.explode(pairs).alias("p")).select("p.*")
-    spread = edge_cells(edges, float(cell), float(tolerance), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
-    names = ("x1", "y1", "x2", "y2")
-    other = spread.select("ix", "iy", F.col(area).alias("dst"),
-                          *[F.col(c).alias(f"b_{c}") for c in names])
+    corners = polygons.select(F.col(area).alias("src"), F.explode(F.array_distinct(F.flatten(rings))).alias("c")).select(
+        "src", "c.x", "c.y")
+    met = (corners.join(corners.withColumnRenamed("src", "dst").hint("merge"), ["x", "y"])
+           .where("src < dst").select("src", "dst"))
+    spread = edge_cells(edges, float(cell), float(tolerance), {c: F.col(c) for c in names})
+    other = spread.select("ix", "iy", *[F.col(c).alias(f"b_{c}") for c in names])
     near = segment_distance(tuple(F.col(c) for c in names), tuple(F.col(f"b_{c}") for c in names))
     apart = F.lit(False)
     for p, q in (("x1", "x2"), ("y1", "y2")):  # boxes further apart than the reach
@@ -306,13 +308,19 @@ def queen_contiguity(polygons: DataFrame, area: str, rings: str = "rings", toler
     for p in ("1", "2"):  # edges with a common corner have met
         for q in ("1", "2"):
             apart = apart | ((F.col(f"x{p}") == F.col(f"b_x{q}")) & (F.col(f"y{p}") == F.col(f"b_y{q}")))
+    one, two = [F.col(c) for c in names], [F.col(f"b_{c}") for c in names]
     # the exact distance is an aggregate input, evaluated once; a filter would evaluate it again
-    close = (spread.withColumnRenamed(area, "src").join(other.hint("merge"), ["ix", "iy"])
-             .where((F.col("src") < F.col("dst")) & ~apart)
-             .groupBy("src", "dst").agg(F.min(near).alias("__d"))
-             .where(F.col("__d") <= reach + 1e-12).select("src", "dst"))
+    close = cut_lineage(spread.join(other.hint("merge"), ["ix", "iy"]).where((F.struct(*one) < F.struct(*two)) & ~apart)
+                        .groupBy(*one, *two).agg(F.min(near).alias("__d")).where(F.col("__d") <= reach + 1e-12).drop("__d"))
     held = _held(polygons, area, rings, reach).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    half = met.unionByName(close).unionByName(held).distinct()
+    half = met.unionByName(held)
+    if not close.isEmpty():
+        ends = of_area.distinct()
+        half = half.unionByName(
+            close.join(ends.withColumnRenamed(area, "src"), list(names))
+            .join(ends.select(F.col(area).alias("dst"), *[F.col(c).alias(f"b_{c}") for c in names]), [f"b_{c}" for c in names])
+            .where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    half = half.distinct()
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return standardise_edges(half.select(F.explode(both).alias("p")).select("p.*", F.lit(1.0).alias("w")))
 

@@ -130,3 +130,21 @@ def test_copies_of_an_area_are_looked_up_once(spark, monkeypatch):
     found = S.locate_points(pts, polys, "pid", "area", "ordinal")
     assert {r.pid: r.area for r in found.collect()} == {0: "w0", 1: None, 2: "e0", 3: None}
     assert seen == [2, 2]
+
+
+def test_edges_of_several_outlines_are_compared_once(spark, monkeypatch):
+    compared = []
+
+    def cells(edges, *rest, spread=S.edge_cells):
+        compared.append(edges.count())
+        return spread(edges, *rest)
+
+    monkeypatch.setattr(S, "edge_cells", cells)
+    boxes = [("a", 0.0, 0.0, 1.0, 1.0), ("b", 1.0, 0.0, 2.0, 1.0), ("c", 2.015, 0.3, 3.0, 0.8), ("d", 0.0, 0.0, 1.0, 1.0),
+             ("e", 5.0, 0.0, 6.0, 1.0), ("f", 3.0, 0.8, 4.0, 2.0)]
+    polys = spark.createDataFrame(boxes, "area string, x0 double, y0 double, x1 double, y1 double").select(
+        "area", box_rings(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("rings"))
+    got = {(r.src, r.dst): r.w for r in S.queen_contiguity(polys, "area").collect()}
+    pairs = {("a", "b"), ("a", "d"), ("b", "d"), ("b", "c"), ("c", "f")}
+    assert set(got) == pairs | {p[::-1] for p in pairs} and got["b", "c"] == pytest.approx(1 / 3)
+    assert compared == [4 + 3 + 4 + 4 + 4]  # 24 with their outlines
