@@ -184,7 +184,8 @@ def morans_i(values: DataFrame, edges: DataFrame, key: str, value: str, permutat
     """One row: n, I, its expectation and the two-sided permutation p.
 
     Nodes without a value are left out and the weights of the others made to sum to one
-    again. Without spread or without edges the statistics are missing.
+    again. Without spread or without edges the statistics are missing. Without permutations
+    p is missing.
     """
     known = values.where(finite(value).isNotNull())
     return morans_of_complete(known, edges, key, [value], permutations, seed).drop("variable")
@@ -196,8 +197,8 @@ def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: l
     spark, kind = values.sparkSession, f"variable string, {MORAN}"
     x = [f"x{i}" for i in range(len(columns))]
     known = cut_lineage(values.select(key, *[finite(c).alias(n) for c, n in zip(columns, x)]))
-    held = known.count()
-    if held <= NODES_HELD:
+    held = known.count() if permutations else None
+    if permutations and held <= NODES_HELD:
         rows = _rows_of_held(known, held, edges, key, columns, permutations, seed)
         names = ("variable", "n", "morans_i", "expected_i", "perm_p")
         types = (pa.string(), pa.int64(), *[pa.float64()] * 3)
@@ -212,6 +213,10 @@ def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: l
         return flat
     z = known.select(key, *[(F.col(x[i]) - s[f"m_{x[i]}"]).alias(f"z{i}") for i in live])
     ei = -1.0 / (n - 1)
+    if not permutations:
+        got = _statistics(z, edges, key, {f"z{i}": s[f"v_{x[i]}"] for i in live}, n)
+        return flat.unionByName(spark.createDataFrame(
+            [(columns[i], n, got[f"z{i}"], None if got[f"z{i}"] is None else ei, None) for i in live], kind))
     i_k = _statistics_of_many(z, edges, key, {f"z{i}": s[f"v_{x[i]}"] for i in live}, n, permutations, seed)
     first = i_k.where("perm = 0").first()
     if first is None:
@@ -222,6 +227,15 @@ def morans_of_complete(values: DataFrame, edges: DataFrame, key: str, columns: l
     return spark.createDataFrame(rows, kind).unionByName(flat)
 
 
+def _statistics(z: DataFrame, edges: DataFrame, key: str, spread: dict[str, float], n: int) -> dict[str, float | None]:
+    """I of each column, without an order of nodes: neighbours' weighted means are one row per source."""
+    lag = (edges.join(z.withColumnRenamed(key, "dst"), "dst").groupBy(F.col("src").alias(key))
+           .agg(F.sum("w").alias("__w"), *[F.sum(F.col("w") * F.col(c)).alias(f"l{c}") for c in spread]))
+    sums = lag.join(z, key).agg(F.count(F.lit(1)).alias("w"), *[
+        F.sum(F.col(c) * F.col(f"l{c}") / F.col("__w")).alias(c) for c in spread]).first()
+    return {c: n / sums["w"] * sums[c] / (v * n) if sums["w"] else None for c, v in spread.items()}
+
+
 def _statistics_of_many(z: DataFrame, edges: DataFrame, key: str, spread: dict[str, float], n: int, permutations: int,
                         seed: int) -> DataFrame:
     """(perm, i_z ..) for more nodes than a task may hold: permuted values are joined with the edges.

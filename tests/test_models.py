@@ -138,6 +138,43 @@ def test_statistics_of_held_and_of_many_nodes(spark, monkeypatch):
     assert (alone.n, alone.morans_i, alone.perm_p) == (40, None, None)
 
 
+def test_statistic_without_a_test_needs_no_order_of_nodes(spark, monkeypatch):
+    values = spark.createDataFrame([(k, float(k * k % 17), float(k % 5), 1.0) for k in range(40)], "id int, x double, y double, z double")
+    edges = spark.createDataFrame([(k, (k + d) % 45, 0.5 + d) for k in range(42) for d in (1, 3)], "src int, dst int, w double")
+    want = {r.variable: r for r in AC.morans_of_complete(values, edges, "id", ["x", "y", "z"], 1).collect()}
+    monkeypatch.setattr(AC, "_rows_of_held", None)
+    monkeypatch.setattr(AC, "permuted_positions", None)
+    got = {r.variable: r for r in AC.morans_of_complete(values, edges, "id", ["x", "y", "z"], 0).collect()}
+    for c in ("x", "y", "z"):
+        assert got[c].morans_i == (want[c].morans_i and pytest.approx(want[c].morans_i)) and got[c].perm_p is None
+        assert (got[c].n, got[c].expected_i) == (want[c].n, want[c].expected_i)
+    alone = AC.morans_of_complete(values, edges.where("w < 0"), "id", ["x"], 0).first()
+    assert (alone.n, alone.morans_i, alone.expected_i) == (40, None, None)
+
+
+def test_both_passes_of_a_fit_give_a_matrix_per_task(spark, monkeypatch):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(300):
+        a, b = rng.normal(1e6, 1, 2)
+        rows.append((None if k % 50 == 7 else float(a), float("nan") if k % 60 == 9 else float(b), float(a - 2 * b + rng.normal())))
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(5)
+    specs = [R.Spec("both", "y", ("a", "b")), R.Spec("one", "y", ("a",)), R.Spec("few", "y", ("a",), where=F.col("b") > 2e6)]
+    monkeypatch.setattr(F, "covar_pop", None)  # 78 of them for eleven terms are more than a compiled aggregate holds
+    got = R.fit_many(df, specs)
+    assert got["few"] is None
+    for name, terms in (("both", (0, 1)), ("one", (0,))):
+        used = np.array([r for r in rows if all(r[c] is not None and not math.isnan(r[c]) for c in terms)], float)
+        X, y = used[:, terms] - 1e6, used[:, 2]
+        X = np.column_stack([np.ones(len(y)), X])
+        inv = np.linalg.inv(X.T @ X)
+        beta = inv @ X.T @ y
+        u = ((y - X @ beta) / (1 - np.einsum("ij,jk,ik->i", X, inv, X))) ** 2
+        se = np.sqrt(np.diag(inv @ (X.T * u) @ X @ inv))
+        assert got[name].n == len(y)
+        for k, c in enumerate("ab"[:len(terms)]):
+            assert got[name].coef[c] == pytest.approx(beta[k + 1], rel=1e-6) and got[name].se[c] == pytest.approx(se[k + 1], rel=1e-6)
+
+
 def test_silhouette_takes_equal_vectors_once(spark):
     x = np.random.default_rng(2).normal(size=(30, 12))
     copies = np.concatenate([x, x[:20], x[:5], x[:5]])
